@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from motionspark.jobs import motion_queries
+
+MODULES = (motion_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
