@@ -10,7 +10,7 @@ from motionspark.sources.adapters import table
 
 LIMIT, SPIKE, WIN = 1.2, 0.8, 61
 CFG = gates.QcConfig(
-    max_nan=0.06, max_pegged=0.16, good_step_um=1.04, max_spikes=0.5, field_um=6.55, limit_x_um=LIMIT, limit_y_um=LIMIT, spike_um=SPIKE, spike_frames=3, settle_base_min=0.5, settle_least_min=0.1, median_frames=WIN, peg_run_frames=3,
+    max_nan=0.06, max_pegged=0.34, good_step_um=1.6, max_spikes=0.5, field_um=16.0, limit_x_um=LIMIT, limit_y_um=LIMIT, spike_um=SPIKE, spike_frames=3, settle_base_min=0.5, settle_least_min=0.1, median_frames=WIN, peg_run_frames=3,
 )
 #: Reposition rules small enough for recordings of about a minute.
 MOVES = dict(threshold=SPIKE, sustain_s=3.0, shift=0.3, around_s=5.0, more_than=3, widen_s=1.0)
@@ -101,14 +101,14 @@ whole as (
     greatest(max(dx_um) - min(dx_um), max(dy_um) - min(dy_um)) as excursion_um, median(step_um) as median_step, sum(step_um) as cum_path, count(*) filter (not post) + 1 as post_start_frame
   from settled group by recording, "group"),
 tests as (
-  select *, nan_frac >= 0.06 as t_nan, pegged >= 0.16 as t_peg, coalesce(excursion_um / 6.55 > 0.4, false) as t_exit, excursion_um / 6.55 as excursion_frac from whole left join post using (recording)),
+  select *, nan_frac >= 0.06 as t_nan, pegged >= 0.34 as t_peg, coalesce(excursion_um / 16.0 > 0.4, false) as t_exit, excursion_um / 16.0 as excursion_frac from whole left join post using (recording)),
 judged as (
   select *, not (t_nan or t_peg or flatline) as movement_valid, not (t_nan or t_peg or flatline or t_exit) as roi_eligible,
     case when t_nan or t_peg or flatline then concat_ws(',', case when t_nan then 'nan_frac_high' end, case when t_peg then 'tracking_ceiling' end, case when flatline then 'flatline_suspicious' end) else 'TRACKING_OK' end as movement_reason,
     case when t_nan or t_peg or flatline or t_exit then concat_ws(',', case when t_nan then 'nan_frac_high' end, case when t_peg then 'tracking_ceiling' end, case when flatline then 'flatline_suspicious' end, case when t_exit then 'boundary_exit' end) else 'ELIGIBLE' end as roi_reason,
     case when flatline then 'FLATLINE' when t_nan then 'NAN_EXCESS' when t_peg then 'TRACKING_CEILING' else 'OK' end as movement_health,
     case when not (t_nan or t_peg or flatline) and t_exit then 'BOUNDARY_EXIT' when flatline then 'FLATLINE' when t_nan then 'NAN_EXCESS' when t_peg then 'TRACKING_CEILING' else 'OK' end as roi_health,
-    case when med_step_ps >= 1.04 then 'HIGH_MOTION' when spike_frac_ps >= 0.5 then 'SPIKY' else 'GOOD' end as motion_quality
+    case when med_step_ps >= 1.6 then 'HIGH_MOTION' when spike_frac_ps >= 0.5 then 'SPIKY' else 'GOOD' end as motion_quality
   from tests)"""
 
 QUERIES, SQL = {}, {}
@@ -184,9 +184,9 @@ def mo09(spark, sf):
     return frames(spark, sf).groupBy("recording", F.floor(F.col("frame") / 4).alias("part")).agg(series.flatline().alias("flatline"))
 
 
-@query("mo10_excursion", f"with {FRAMES}, e as (select recording, greatest(max(dx_um) - min(dx_um), max(dy_um) - min(dy_um)) as u from frames group by recording) select recording, round(u, 6) as excursion_um, round(u / 6.55, 6) as excursion_frac, u / 6.55 > 0.25 as boundary_warning, u / 6.55 > 0.4 as boundary_exit from e")
+@query("mo10_excursion", f"with {FRAMES}, e as (select recording, greatest(max(dx_um) - min(dx_um), max(dy_um) - min(dy_um)) as u from frames group by recording) select recording, round(u, 6) as excursion_um, round(u / 16.0, 6) as excursion_frac, u / 16.0 > 0.25 as boundary_warning, u / 16.0 > 0.4 as boundary_exit from e")
 def mo10(spark, sf):
-    return six(series.excursion(frames(spark, sf), 6.55), "excursion_um", "excursion_frac")
+    return six(series.excursion(frames(spark, sf), 16.0), "excursion_um", "excursion_frac")
 
 
 @query("mo11_step_stats", f"""with {FRAMES}, v as (select recording, list_sort(list(step_um) filter (step_um is not null)) as v, avg(step_um) as m, coalesce(stddev_samp(step_um), 0) as sd, sum(step_um) as c, avg(coalesce(step_um <= 0.1, false)::int) as b1, avg(coalesce(step_um <= 0.2, false)::int) as b2 from steps group by recording)
@@ -295,7 +295,7 @@ def mo27(spark, sf):
 @query("mo28_movement_qc", f"""with {JUDGED}, {island('pegs', 'is_pegged', 'isl')}, longest as (select recording, coalesce(max(k) filter (is_pegged), 0) as longest from (select recording, is_pegged, count(*) as k from isl group by recording, is_pegged, island) group by recording),
 m as (select *, longest >= 3 as t_run from tests join longest using (recording))
 select recording, longest as max_pegged_run, not (t_peg or t_run or t_nan or flatline) as qc_pass, coalesce(nullif(concat_ws(',', case when t_peg then 'pegged_frac' end, case when t_run then 'ceiling_run' end, case when t_nan then 'nan_frac' end, case when flatline then 'flatline' end), ''), 'OK') as qc_reason,
-  coalesce(med_step_ps < 1.04 and spike_frac_ps < 0.5, false) as qc_soft_still, case when flatline then 'FLATLINE' when t_nan then 'NAN_EXCESS' when t_run then 'CEILING_RUN' when t_peg then 'PEGGED' else 'OK' end as health from m""")
+  coalesce(med_step_ps < 1.6 and spike_frac_ps < 0.5, false) as qc_soft_still, case when flatline then 'FLATLINE' when t_nan then 'NAN_EXCESS' when t_run then 'CEILING_RUN' when t_peg then 'PEGGED' else 'OK' end as health from m""")
 def mo28(spark, sf):
     longest = series.longest_run(series.pegged(frames(spark, sf), LIMIT, LIMIT), "is_pegged")
     return gates.movement_qc(metrics(spark, sf), CFG, longest).select("recording", "max_pegged_run", "qc_pass", "qc_reason", "qc_soft_still", "health")
