@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from motionspark.jobs import group_queries, motion_queries, trace_queries
+from motionspark.jobs import group_queries, motion_queries, movie_queries, trace_queries
 
-MODULES = (motion_queries, group_queries, trace_queries)
+MODULES = (motion_queries, group_queries, trace_queries, movie_queries)
 
 
 def queries() -> dict:
