@@ -50,6 +50,37 @@ def io02(spark, sf):
     return files.normalize_file(t.withColumnRenamed("file", "Filename")).select("c_custkey", "File")
 
 
+@query("io03_read_motion_tables", f'with {JUDGED} select recording || \'.avi\' as "File", roi_eligible as "ROI_ELIGIBLE", round(jitter_ratio, 6) as "Jitter_ratio" from judged')
+def io03(spark, sf):
+    from motionspark.operators import gates
+
+    path = f"{shared(spark)}/tables-{uuid.uuid4().hex}"
+    for name, t in gates.motion_tables(mq.judged(spark, sf)).items():
+        files.write_table(t, f"{path}/{name}")
+    return six(files.read_motion_tables(spark, path), "Jitter_ratio").select("File", "ROI_ELIGIBLE", "Jitter_ratio")
+
+
+KINDS = ("csv", "tsv", "json", "text", "parquet")
+
+
+@query("io08_write_table", "select kind, count(*) as n, sum(c_custkey)::bigint as keys from customer, (select unnest(['csv', 'tsv', 'json', 'text', 'parquet']) as kind) group by kind")
+def io08(spark, sf):
+    """One table through every sink and back."""
+    t = table(spark, sf, "customer").select("c_custkey", "c_name")
+    out = None
+    for kind in KINDS:
+        path = f"{shared(spark)}/sink-{uuid.uuid4().hex}"
+        files.write_table(t.select(F.col("c_custkey").cast("string").alias("value")) if kind == "text" else t, path, kind)
+        if kind in ("csv", "tsv"):
+            back = spark.read.option("header", True).option("sep", "\t" if kind == "tsv" else ",").csv(path)
+        else:
+            back = getattr(spark.read, kind)(path)
+        key = F.col("value" if kind == "text" else "c_custkey").cast("long")
+        one = back.agg(F.count("*").alias("n"), F.sum(key).alias("keys")).select(F.lit(kind).alias("kind"), "n", "keys")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("io04_select_inputs", """
 with f as (select case when c_custkey % 3 = 0 then 'S' || c_custkey % 97 || '_x.avi' when c_custkey % 3 = 1 then 's' || c_custkey % 97 || '_X.avi' else 'S' || c_custkey || '_rigid.avi' end as name from customer),
 k as (select name, row_number() over (partition by lower(name) order by name) as k from f where not contains(lower(name), '_rigid'))
@@ -373,6 +404,11 @@ def st14(spark, sf):
     return six(groups.bootstrap_mean_diff(means(spark, sf), "F", "O", 1000, seed=14), "ci_low", "ci_high")
 
 
+@query("st15_hierarchical_bootstrap")
+def st15(spark, sf):
+    return six(groups.hierarchical_bootstrap(nest(spark, sf), "F", "O", 200), "ci_low", "ci_high")
+
+
 @query("st16_bootstrap_effect_ci")
 def st16(spark, sf):
     return six(groups.bootstrap_effect(means(spark, sf), "F", "O", replicates=500), "effect_low", "effect_high")

@@ -81,3 +81,9 @@ def join_motion(samples: DataFrame, motion: DataFrame) -> DataFrame:
     chosen = near.select("_s", "motion_stem", "ordinal").withColumn("_k", F.row_number().over(best)).filter("_k = 1").select("_s", "motion_stem")
     near = rest.join(chosen, "_s").select(*samples.columns, "motion_stem", F.lit("contains").alias("match"))
     return equal.unionByName(near)
+
+
+def read_motion_tables(spark: SparkSession, path: str) -> DataFrame:
+    """The qc and enriched tables of one group's folder, joined on File."""
+    qc, enriched = spark.read.parquet(f"{path}/qc"), spark.read.parquet(f"{path}/enriched")
+    return normalize_file(qc).join(normalize_file(enriched), "File", "left")

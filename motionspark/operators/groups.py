@@ -297,3 +297,22 @@ def power_estimate(m: DataFrame, alpha_z: float = 1.959963984540054) -> DataFram
 
     harmonic = 2.0 * F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2"))
     return m.join(cohens_d(m), "metric").select("metric", harmonic.alias("harmonic_n"), power("cohens_d", harmonic).alias("power"))
+
+
+def hierarchical_bootstrap(long: DataFrame, first: str, second: str, replicates: int = 500, seed: int = 42) -> DataFrame:
+    """Percentile interval of the difference of means (second minus first) when samples are drawn again, and the values
+    in them. One sample's values are one task's group and leave it as one mean a replicate; the samples themselves are
+    drawn by Poisson weights, so nothing is gathered."""
+    ship_package(long.sparkSession)
+
+    def redraw(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.sort(pdf["value"].to_numpy(float))
+        rng = np.random.default_rng([seed, *(b for k in key for b in str(k).encode())])
+        means = np.array([x[rng.integers(0, len(x), len(x))].mean() for _ in range(replicates)])
+        return pd.DataFrame({"metric": key[0], "condition": key[1], "replicate": np.arange(replicates), "mean": means, "weight": rng.poisson(1, replicates).astype(float)})
+
+    schema = "metric string, condition string, replicate int, mean double, weight double"
+    drawn = long.filter("value is not null").groupBy("metric", "condition", "sample").applyInPandas(redraw, schema)
+    mean = lambda c: F.try_divide(F.sum(F.when(F.col("condition") == c, F.col("weight") * F.col("mean"))), F.sum(F.when(F.col("condition") == c, F.col("weight"))))
+    rows = drawn.groupBy("metric", "replicate").agg((mean(second) - mean(first)).alias("value"))
+    return percentiles(rows, ["metric"], {"ci_low": 2.5, "ci_high": 97.5})

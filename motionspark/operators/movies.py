@@ -163,8 +163,8 @@ def threshold_levels(stats: DataFrame, min_corr: float = 0.3, min_pnr: float = 3
     return stats.select("recording", F.inline(levels))
 
 
-def find_regions(maps: DataFrame, levels: DataFrame, g_sig: float = 3.0, least: int = 12, most: int = 120, grow: bool = True) -> DataFrame:
-    """Seeds (grow=False: y, x, score, level) or grown regions (one row a pixel with roi_id) of each recording; ``maps``
+def find_regions(maps: DataFrame, levels: DataFrame, g_sig: float = 3.0, least: int = 12, most: int = 120, grow: bool = True, blur: tuple[float, float] = (1.5, 1.0)) -> DataFrame:
+    """Maps are smoothed by ``blur`` first. Seeds (grow=False: y, x, score, level) or grown regions (one row a pixel with roi_id) of each recording; ``maps``
     has mean, cn, pnr and in_mask. The order of seeds decides, so one recording's image is one task."""
     ship_package(maps.sparkSession)
     limits = levels.groupBy("recording").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "cn", "pnr"))), lambda s: F.array(s["cn"], s["pnr"])).alias("levels"))
@@ -172,6 +172,7 @@ def find_regions(maps: DataFrame, levels: DataFrame, g_sig: float = 3.0, least:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         mean, cn, pnr, mask = image_of(pdf, "mean", "cn", "pnr", "in_mask")
         mask = mask.astype(bool)
+        cn, pnr = images.smooth(cn * mask, blur[0]), images.smooth(pnr * mask, blur[1])
         found = images.suppress(images.seeds(cn, pnr, mask, [tuple(v) for v in pdf["levels"].iloc[0]], (0.5 * g_sig, g_sig, 1.5 * g_sig), mean=mean, g_sig=g_sig), 1.5 * g_sig)
         name = pdf["recording"].iloc[0]
         if not grow:
