@@ -18,10 +18,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; of rows with one id, one stays."""
+    """Of each group of near copies the document with the smallest id stays. Of repeated rows with one id one stays; they
+    are looked for among the ids, and texts are only shuffled if there are any. Rows without an id stay."""
+    docs = docs.select(*COLUMNS)
     found = simhash.near_duplicates(docs)
-    gone = found.filter("doc_id <> component_id").select("doc_id")
-    return docs.select(*COLUMNS).join(gone.distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    if not found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        docs = docs.filter("doc_id is null").unionByName(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,3 +50,9 @@ def test_pipeline_against_brute_force(spark, sf):
     assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] for r in packed.limit(50).collect())
     ran = corpus_pipeline.run(spark, sf)
     assert ran.columns == packed.columns and np.isclose(ran.agg(F.sum("length")).first()[0], total)
+
+
+def test_repeated_rows_leave_one(spark, odd_docs, sf):
+    kept = corpus_pipeline.near_duplicates(spark, odd_docs, sf)
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert ids.count(3) <= 1 and kept.columns == corpus_pipeline.COLUMNS and len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
