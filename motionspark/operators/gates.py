@@ -40,15 +40,14 @@ def reasons(pairs: list[tuple[str, Column]], otherwise: str) -> Column:
 
 
 def recording_metrics(frames: DataFrame, cfg: QcConfig) -> DataFrame:
-    """One row a recording with what the gates need; frames have step_um, post and reposition. One aggregation gives all
-    metrics of the whole series, a second those of the settled part."""
-    marked = series.pegged(frames, cfg.limit_x_um, cfg.limit_y_um)
+    """One row a recording with what the gates need; frames have step_um, post and reposition. One aggregation over the
+    frames, which windows by recording have dealt already, gives the metrics of the whole series and of its settled part."""
+    marked = series.settled_columns(series.pegged(frames, cfg.limit_x_um, cfg.limit_y_um), cfg.spike_um, cfg.spike_frames)
     whole = marked.groupBy("recording", "group").agg(
         F.count("*").alias("n_frames"), F.max("fps").alias("fps"), series.nan_frac().alias("nan_frac"), F.avg(F.col("is_pegged").cast("double")).alias("pegged"), series.flatline().alias("flatline"),
-        series.excursion_um().alias("excursion_um"), F.median("step_um").alias("median_step"), F.sum("step_um").alias("cum_path"), (F.count_if(~F.col("post")) + 1).alias("post_start_frame"),
+        series.excursion_um().alias("excursion_um"), F.median("step_um").alias("median_step"), F.sum("step_um").alias("cum_path"), (F.count_if(~F.col("post")) + 1).alias("post_start_frame"), *series.settled_aggregates(cfg.median_frames),
     )
-    post = series.post_settle_stats(frames, cfg.limit_x_um, cfg.limit_y_um, cfg.spike_um, cfg.spike_frames, cfg.median_frames)
-    return whole.join(post, "recording", "left")
+    return series.settled_metrics(whole)
 
 
 def dual_qc(metrics: DataFrame, cfg: QcConfig, unstable: Column | None = None) -> DataFrame:

@@ -172,55 +172,82 @@ def settle(df: DataFrame, base: float = 10, least: float = 0.5, part: float = 0.
     return df.withColumn("settle_min", settle_min).withColumn("post", F.col("frame") > frames)
 
 
-def reposition_mask(df: DataFrame, threshold: float = 2.0, sustain_s: float = 2.0, shift: float = 2.0, around_s: float = 2.0, more_than: int = 10, widen_s: float = 0.5) -> DataFrame:
-    """``reposition``: frames of sustained fast steps between two different base positions, widened on both sides."""
-    fps = F.col("fps")
-    n = df.groupBy("recording").agg(F.max("frame").alias("n"))
-    events = runs(df.withColumn("_hi", F.coalesce(F.col("step_um") > threshold, F.lit(False))), "_hi").join(df.groupBy("recording").agg(F.first("fps").alias("fps")), "recording").join(n, "recording")
-    events = events.filter(F.col("length") >= F.round(sustain_s * fps))
-    reach = F.round(around_s * fps)
-    events = events.select(
-        "recording", "start", "end", "n", "fps",
-        F.greatest(F.lit(1), F.col("start") - reach).alias("pre_a"), F.greatest(F.lit(1), F.col("start") - 1).alias("pre_b"),
-        F.least(F.col("end") + 1, "n").alias("post_a"), F.least(F.col("end") + reach, F.col("n")).alias("post_b"),
-    ).filter((F.col("pre_b") - F.col("pre_a") + 1 > more_than) & (F.col("post_b") - F.col("post_a") + 1 > more_than))
-    near = events.join(df.select("recording", "frame", "dx_um", "dy_um"), "recording").filter(F.col("frame").between(F.col("pre_a"), F.col("pre_b")) | F.col("frame").between(F.col("post_a"), F.col("post_b")))
-    pre, post = F.col("frame").between(F.col("pre_a"), F.col("pre_b")), F.col("frame").between(F.col("post_a"), F.col("post_b"))
-    at = lambda c, where: F.median(F.when(where, F.col(c)))
-    moved = near.groupBy("recording", "start", "end", "n", "fps").agg(F.hypot(at("dx_um", post) - at("dx_um", pre), at("dy_um", post) - at("dy_um", pre)).alias("moved")).filter(F.col("moved") > shift)
-    wide = F.round(widen_s * fps)
-    # a span is marked by +1 at its first frame and -1 after its last: a running sum tells which frames it covers
-    edges = moved.select("recording", F.explode(F.array(F.struct(F.greatest(F.lit(1.0), F.col("start") - wide).cast("int").alias("frame"), F.lit(1).alias("d")), F.struct((F.least(F.col("n").cast("double"), F.col("end") + wide) + 1).cast("int").alias("frame"), F.lit(-1).alias("d")))).alias("e"))
-    edges = edges.groupBy("recording", F.col("e.frame").alias("frame")).agg(F.sum("e.d").alias("d"))
-    joined = df.join(edges, ["recording", "frame"], "left")
-    return joined.withColumn("reposition", F.coalesce(F.sum("d").over(in_series()), F.lit(0)) > 0).drop("d")
+def reposition_mask(df: DataFrame, fps: float = 1.0, threshold: float = 2.0, sustain_s: float = 2.0, shift: float = 2.0, around_s: float = 2.0, more_than: int = 10, widen_s: float = 0.5) -> DataFrame:
+    """``reposition``: frames of sustained fast steps between two different base positions, widened on both sides.
+
+    ``fps`` is the stage's frame rate. All windows have the recording as key, so nothing is joined or shuffled anew: the
+    medians before and after are taken at each frame and read at a run's two ends, and a frame belongs to a widened event
+    if a frame of the event lies within the widening of it."""
+    reach, wide, sustain = (int(x * fps + 0.5) for x in (around_s, widen_s, sustain_s))
+    whole, run = Window.partitionBy("recording"), Window.partitionBy("recording", "_hi", "island")
+    raised = islands(df.withColumn("_hi", F.coalesce(F.col("step_um") > threshold, F.lit(False))), "_hi")
+    near = lambda c, lo, hi: F.expr(f"percentile({c}, 0.5) over (partition by recording order by frame rows between {lo} and {hi})")
+    raised = raised.withColumns({
+        "_xa": near("dx_um", f"{reach} preceding", "1 preceding"), "_ya": near("dy_um", f"{reach} preceding", "1 preceding"), "_xb": near("dx_um", "1 following", f"{reach} following"), "_yb": near("dy_um", "1 following", f"{reach} following"),
+        "_n": F.max("frame").over(whole), "_s": F.min("frame").over(run), "_e": F.max("frame").over(run),
+    })
+    at = lambda c, edge: F.max(F.when(F.col("frame") == F.col(edge), F.col(c))).over(run)
+    raised = raised.withColumn("_moved", F.hypot(at("_xb", "_e") - at("_xa", "_s"), at("_yb", "_e") - at("_ya", "_s")))
+    before = F.greatest(F.lit(1), F.col("_s") - 1) - F.greatest(F.lit(1), F.col("_s") - reach) + 1
+    after = F.least(F.col("_e") + reach, "_n") - F.least(F.col("_e") + 1, "_n") + 1
+    event = F.col("_hi") & (F.col("_e") - F.col("_s") + 1 >= sustain) & (before > more_than) & (after > more_than) & F.coalesce(F.col("_moved") > shift, F.lit(False))
+    around = in_series().rowsBetween(-wide, wide)
+    marked = raised.withColumn("_event", event.cast("int")).withColumn("reposition", F.max("_event").over(around) == 1)
+    return marked.select(*df.columns, "reposition")
+
+
+def settled_columns(df: DataFrame, spike: float, min_consec: int) -> DataFrame:
+    """``kept`` (settled, no reposition), ``above`` (kept frames in spike runs of the compacted series), and the first and
+    last kept frame of the recording as ``lo`` and ``hi``."""
+    whole = Window.partitionBy("recording")
+    kept = df.withColumn("kept", F.col("post") & ~F.col("reposition")).withColumn("_over", F.coalesce(F.col("step_um") > spike, F.lit(False)))
+    place = F.row_number().over(Window.partitionBy("recording", "kept").orderBy("frame")) - F.row_number().over(Window.partitionBy("recording", "kept", "_over").orderBy("frame"))
+    size = F.count("*").over(Window.partitionBy("recording", "kept", "_over", "_island"))
+    marked = kept.withColumn("_island", place).withColumn("above", F.col("kept") & F.col("_over") & (size >= max(1, min_consec)))
+    own = F.when(F.col("kept"), F.col("frame"))
+    return marked.withColumns({"lo": F.min(own).over(whole), "hi": F.max(own).over(whole)}).drop("_over", "_island")
+
+
+def settled_aggregates(win: int) -> list[Column]:
+    """The aggregates of ``settled_columns`` by recording; percentiles come from the array ``v_ps``."""
+    k = F.col("kept")
+    own = lambda c: F.when(k, F.col(c))
+    half = win // 2
+    at = lambda c, mid: F.median(F.when(F.col("frame").between(F.col(mid) - half, F.col(mid) + win - half - 1), F.col(c)))
+    floor = F.greatest(F.lit(FLAT_UM), FLAT_PX * F.first("px_um"))
+    gaps = F.count_if(k & (F.col("dx_um").isNull() | F.col("dy_um").isNull()))
+    still = F.coalesce((gaps == 0) & (sample_std(own("dx_um")) < floor) & (sample_std(own("dy_um")) < floor), F.lit(False))
+    return [
+        F.count_if(k).alias("n_post"), values_of(own("step_um")).alias("v_ps"), F.avg(own("step_um")).alias("mean_step_ps"), F.sum(own("step_um")).alias("cum_path_ps"), F.avg(F.when(k, F.col("is_pegged").cast("double"))).alias("pegged_ps"),
+        still.alias("flatline_ps"), F.avg(F.when(k, F.col("above").cast("double"))).alias("spike_frac_ps"), F.hypot(at("dx_um", "hi") - at("dx_um", "lo"), at("dy_um", "hi") - at("dy_um", "lo")).alias("net_drift_ps"),
+    ]
 
 
-def compacted(df: DataFrame) -> DataFrame:
-    """Settled frames without repositions, numbered anew from 1; ``frame_was`` keeps the old number."""
-    kept = df.filter(F.col("post") & ~F.col("reposition"))
-    return kept.withColumnRenamed("frame", "frame_was").withColumn("frame", F.row_number().over(Window.partitionBy("recording").orderBy("frame_was")))
+SETTLED = ("med_step_ps", "mean_step_ps", "p95_step_ps", "p99_step_ps", "cum_path_ps", "net_drift_ps", "drift_rate_ps", "pegged_ps", "flatline_ps", "spike_frac_ps", "jitter_ratio")
+
+
+def settled_metrics(got: DataFrame) -> DataFrame:
+    """The settled metrics from the aggregates, NULL for recordings with fewer than two kept frames; needs ``fps``."""
+    v = F.col("v_ps")
+    duration = (F.col("n_post") - 1) / F.greatest(F.lit(1.0), F.col("fps"))
+    wide = got.withColumns({
+        "med_step_ps": hazen(v, 50), "p95_step_ps": hazen(v, 95), "p99_step_ps": hazen(v, 99), "drift_rate_ps": F.col("net_drift_ps") / F.greatest(F.lit(1e-9), duration), "jitter_ratio": jitter_ratio("cum_path_ps", "net_drift_ps"),
+    })
+    return wide.withColumns({c: F.when(F.col("n_post") >= 2, F.col(c)) for c in SETTLED}).drop("v_ps")
 
 
 def post_settle_stats(df: DataFrame, limit_x: float, limit_y: float, spike: float, min_consec: int, win: int) -> DataFrame:
     """The metrics of the settled, compacted frames; recordings with fewer than two such frames are left out. The drift is
     taken between full windows of the whole series around the first and last kept frame."""
-    clean = above_mask(pegged(compacted(df), limit_x, limit_y), "step_um", spike, min_consec)
-    step = F.col("step_um")
-    got = clean.groupBy("recording").agg(
-        F.count("*").alias("n"), values_of(step).alias("v"), F.avg(step).alias("mean_step_ps"), F.sum(step).alias("cum_path_ps"), share(F.col("is_pegged")).alias("pegged_ps"), flatline().alias("flatline_ps"),
-        share(F.col("above")).alias("spike_frac_ps"), F.min("frame_was").alias("lo"), F.max("frame_was").alias("hi"), F.first("fps").alias("fps"),
-    ).filter("n >= 2")
-    ends = df.select("recording", "frame", "dx_um", "dy_um").join(got.select("recording", "lo", "hi"), "recording")
-    half = win // 2
-    at = lambda c, mid: F.median(F.when(F.col("frame").between(F.col(mid) - half, F.col(mid) + win - half - 1), F.col(c)))
-    drift = ends.groupBy("recording").agg(F.hypot(at("dx_um", "hi") - at("dx_um", "lo"), at("dy_um", "hi") - at("dy_um", "lo")).alias("net_drift_ps"))
-    v = F.col("v")
-    duration = (F.col("n") - 1) / F.greatest(F.lit(1.0), F.col("fps"))
-    return got.join(drift, "recording").select(
-        "recording", F.col("n").alias("n_post"), hazen(v, 50).alias("med_step_ps"), "mean_step_ps", hazen(v, 95).alias("p95_step_ps"), hazen(v, 99).alias("p99_step_ps"), "cum_path_ps", "net_drift_ps",
-        (F.col("net_drift_ps") / F.greatest(F.lit(1e-9), duration)).alias("drift_rate_ps"), "pegged_ps", "flatline_ps", "spike_frac_ps", jitter_ratio("cum_path_ps", "net_drift_ps").alias("jitter_ratio"),
-    )
+    marked = settled_columns(pegged(df, limit_x, limit_y), spike, min_consec)
+    got = settled_metrics(marked.groupBy("recording").agg(F.max("fps").alias("fps"), *settled_aggregates(win)))
+    return got.filter("n_post >= 2").select("recording", "n_post", *SETTLED)
+
+
+def compacted(df: DataFrame) -> DataFrame:
+    """Settled frames without repositions, numbered anew from 1; ``frame_was`` keeps the old number."""
+    kept = df.filter(F.col("post") & ~F.col("reposition"))
+    return kept.withColumnRenamed("frame", "frame_was").withColumn("frame", F.row_number().over(Window.partitionBy("recording").orderBy("frame_was")))
 
 
 def jitter_ratio(path: str, drift: str, most: float = 1000) -> Column:
