@@ -75,7 +75,9 @@ def join_motion(samples: DataFrame, motion: DataFrame) -> DataFrame:
     equal = s.join(m.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k"), s["_s"] == m["_m"]).select(*samples.columns, "motion_stem", F.lit("exact").alias("match"))
     rest = s.join(m.select(F.col("_m").alias("_s")), "_s", "left_anti")
     piece = F.substring("_s", 1, 4)
-    pieces = m.withColumn("piece", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_m") - 3)), lambda i: F.substring(F.col("_m"), i, F.lit(4))))))
+    # stems shorter than four letters are pieces of their own length
+    cut = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_m") - k + 1)), lambda i: F.substring(F.col("_m"), i, F.lit(k)))
+    pieces = m.withColumn("piece", F.explode(F.array_distinct(F.concat(*[cut(k) for k in (1, 2, 3, 4)]))))
     near = rest.select("_s").distinct().withColumn("piece", piece).join(pieces, "piece").filter(F.col("_m").contains(F.col("_s")))
     best = Window.partitionBy("_s").orderBy("ordinal")
     chosen = near.select("_s", "motion_stem", "ordinal").withColumn("_k", F.row_number().over(best)).filter("_k = 1").select("_s", "motion_stem")
