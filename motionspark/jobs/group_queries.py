@@ -278,13 +278,13 @@ def m215(spark, sf):
 @query("m216_rank_samples", f"""with {PER_FILE}, o as (select *, row_number() over (order by "File") as ordinal from per_file),
 r as (select *, case when median_step is not null then row_number() over (order by median_step nulls last, ordinal) end as a, case when jitter_ratio is not null then row_number() over (order by jitter_ratio nulls last, ordinal) end as b from o),
 s as (select *, (coalesce(a, 0) + coalesce(b, 0)) / nullif((a is not null)::int + (b is not null)::int, 0) as avg_rank from r)
-select "File", a as median_step_rank, b as jitter_ratio_rank, round(avg_rank, 6) as avg_rank, row_number() over (order by avg_rank nulls last, ordinal) as overall_rank from s""")
+select "File", a::int as median_step_rank, b::int as jitter_ratio_rank, round(avg_rank, 6) as avg_rank, (row_number() over (order by avg_rank nulls last, ordinal))::int as overall_rank from s""")
 def m216(spark, sf):
     wide = per_file(spark, sf).withColumn("ordinal", F.row_number().over(Window.orderBy("File")))
     return six(groups.rank_samples(wide, ["median_step", "jitter_ratio"]), "avg_rank").select("File", "median_step_rank", "jitter_ratio_rank", "avg_rank", "overall_rank")
 
 
-@query("m217_effect_order", f"with {NEST}, {MOMENTS} select metric, round(m2 - m1, 6) as diff, row_number() over (order by abs(m2 - m1) desc) as place from m")
+@query("m217_effect_order", f"with {NEST}, {MOMENTS} select metric, round(m2 - m1, 6) as diff, (row_number() over (order by abs(m2 - m1) desc))::int as place from m")
 def m217(spark, sf):
     m = groups.moments(nest(spark, sf), "F", "O").select("metric", (F.col("m2") - F.col("m1")).alias("diff"))
     return six(m.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.abs("diff"))))), "diff")
@@ -321,7 +321,7 @@ def st01(spark, sf):
     return six(wide.join(n, ["condition", "sample"]).select("condition", "sample", "n", "quantity", "price", F.least(F.lit(100.0), F.coalesce("discount", F.lit(0.0)) * 1900).alias("pct")), "quantity", "price", "pct")
 
 
-@query("st02_group_summary", f"with {MEANS} select condition, metric, count(*) as n_samples, sum(n) as n_values, round(avg(mean), 6) as sample_mean, round(stddev_samp(mean), 6) as sample_sd, round(sum(n * mean) / sum(n), 6) as value_mean from means group by all")
+@query("st02_group_summary", f"with {MEANS} select condition, metric, count(*) as n_samples, sum(n)::bigint as n_values, round(avg(mean), 6) as sample_mean, round(stddev_samp(mean), 6) as sample_sd, round(sum(n * mean) / sum(n), 6) as value_mean from means group by all")
 def st02(spark, sf):
     got = means(spark, sf).groupBy("condition", "metric").agg(F.count("*").alias("n_samples"), F.sum("n").alias("n_values"), F.avg("mean").alias("sample_mean"), F.stddev_samp("mean").alias("sample_sd"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("value_mean"))
     return six(got, "sample_mean", "sample_sd", "value_mean")

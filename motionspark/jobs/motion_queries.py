@@ -124,12 +124,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("mo01_to_um", f"with {FRAMES} select recording, frame, round(dx_um, 6) as dx_um, round(dy_um, 6) as dy_um, round((frame - 1)::double, 6) as time_s, round((frame - 1) / 60, 6) as time_min from frames")
+@query("mo01_to_um", f"with {FRAMES} select recording, frame::int as frame, round(dx_um, 6) as dx_um, round(dy_um, 6) as dy_um, round((frame - 1)::double, 6) as time_s, round((frame - 1) / 60, 6) as time_min from frames")
 def mo01(spark, sf):
     return six(series.to_um(raw_frames(spark, sf)), "dx_um", "dy_um", "time_s", "time_min").select("recording", "frame", "dx_um", "dy_um", "time_s", "time_min")
 
 
-@query("mo02_step_size", f"with {FRAMES} select recording, frame, round(step_um, 6) as step_um from steps")
+@query("mo02_step_size", f"with {FRAMES} select recording, frame::int as frame, round(step_um, 6) as step_um from steps")
 def mo02(spark, sf):
     return six(frames(spark, sf), "step_um").select("recording", "frame", "step_um")
 
@@ -159,7 +159,7 @@ def mo04(spark, sf):
 RUNS = f"with {FRAMES}, {island('pegs', 'is_pegged', 'isl')}, runs as (select recording, min(frame) as start, max(frame) as \"end\", count(*) as length from isl where is_pegged group by recording, island)"
 
 
-@query("mo05_runs", f'{RUNS} select recording, start, "end", length, length::double as duration_s from runs')
+@query("mo05_runs", f'{RUNS} select recording, start::int as start, "end"::int as "end", length, length::double as duration_s from runs')
 def mo05(spark, sf):
     return series.runs(series.pegged(frames(spark, sf), LIMIT, LIMIT), "is_pegged")
 
@@ -195,7 +195,7 @@ def mo11(spark, sf):
     return six(series.step_stats(frames(spark, sf)), "median_step", "mean_step", "sd_step", "p95_step", "p99_step", "cum_path", "below_010", "below_020")
 
 
-@query("mo12_rolling_median", f"with {FRAMES} select recording, frame, round(median(dx_um) over w, 6) as dx_um_s, round(median(dy_um) over w, 6) as dy_um_s from frames window w as (partition by recording order by frame rows between 30 preceding and 30 following)")
+@query("mo12_rolling_median", f"with {FRAMES} select recording, frame::int as frame, round(median(dx_um) over w, 6) as dx_um_s, round(median(dy_um) over w, 6) as dy_um_s from frames window w as (partition by recording order by frame rows between 30 preceding and 30 following)")
 def mo12(spark, sf):
     return six(series.rolling_median(frames(spark, sf).select("recording", "frame", "dx_um", "dy_um"), ["dx_um", "dy_um"], WIN), "dx_um_s", "dy_um_s").select("recording", "frame", "dx_um_s", "dy_um_s")
 
@@ -219,7 +219,7 @@ def mo15(spark, sf):
     return six(series.post_settle_stats(settled(spark, sf), LIMIT, LIMIT, SPIKE, 3, WIN), *PS)
 
 
-@query("mo16_reposition_mask", f"with {SETTLED} select recording, frame, reposition from settled")
+@query("mo16_reposition_mask", f"with {SETTLED} select recording, frame::int as frame, reposition from settled")
 def mo16(spark, sf):
     return settled(spark, sf).select("recording", "frame", "reposition")
 

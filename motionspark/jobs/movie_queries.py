@@ -50,7 +50,7 @@ m as (select recording, frame, list_median(list_transform(list_zip(px, q), lambd
 s as (select recording, frame, median(d) over (partition by recording order by frame rows between 2 preceding and 2 following) as m from m),
 a as (select recording, frame, avg(m) over w as activity, count(*) over w as k, count(*) over (partition by recording) as n from s window w as (partition by recording order by frame rows between current row and 9 following)),
 r as (select *, row_number() over (partition by recording order by activity, frame) as p from a where k = least(10, n))
-select recording, frame as start, round(activity, 6) as activity from r where p = 1""")
+select recording, frame::int as start, round(activity, 6) as activity from r where p = 1""")
 def im01(spark, sf):
     return six(movies.quiet_window(movie(spark, sf), fps=10, least=10, seconds=1), "activity")
 
@@ -73,7 +73,7 @@ def im03(spark, sf):
 
 
 @query("im04_align_shifts", f"""with {MV}, s as (select recording, frame, frame * 0.5 as dx, -frame * 0.25 as dy from mv where frame <= 20 and frame % 3 <> 0)
-select m.recording, m.frame, s.dx::double as dx_px, s.dy::double as dy_px from mv m left join s on s.recording = m.recording and s.frame = (select max(t.frame) from s t where t.recording = m.recording and t.frame <= m.frame)""")
+select m.recording, m.frame::int as frame, s.dx::double as dx_px, s.dy::double as dy_px from mv m left join s on s.recording = m.recording and s.frame = (select max(t.frame) from s t where t.recording = m.recording and t.frame <= m.frame)""")
 def im04(spark, sf):
     m = movie(spark, sf).select("recording", "frame")
     known = m.filter((F.col("frame") <= 20) & (F.col("frame") % 3 != 0)).select("recording", "frame", (F.col("frame") * 0.5).cast("double").alias("dx_px"), (-F.col("frame") * 0.25).cast("double").alias("dy_px"))
@@ -177,14 +177,14 @@ def im15(spark, sf):
     return movies.neuropil_masks(masks(spark, sf), 8, 8, 1.0, 2.5)
 
 
-@query("im16_extract_traces", f"with {MV}, {MASKS}, {RING}, f as (select p.recording, roi_id, frame, avg(value) as f from pix p join mk using (recording, y, x) group by all), g as (select p.recording, roi_id, frame, median(value) as fneu from pix p join ring using (recording, y, x) group by all) select recording, roi_id, frame, round(f, 6) as f, round(fneu, 6) as fneu from f join g using (recording, roi_id, frame)")
+@query("im16_extract_traces", f"with {MV}, {MASKS}, {RING}, f as (select p.recording, roi_id, frame, avg(value) as f from pix p join mk using (recording, y, x) group by all), g as (select p.recording, roi_id, frame, median(value) as fneu from pix p join ring using (recording, y, x) group by all) select recording, roi_id, frame::int as frame, round(f, 6) as f, round(fneu, 6) as fneu from f join g using (recording, roi_id, frame)")
 def im16(spark, sf):
     p, m = pixels(spark, sf), masks(spark, sf)
     ring = movies.extract_traces(p, movies.neuropil_masks(m, 8, 8, 1.0, 2.5), "median").withColumnRenamed("f", "fneu")
     return six(movies.extract_traces(p, m).join(ring, ["recording", "roi_id", "frame"]), "f", "fneu")
 
 
-@query("im18_global_signal", f"with {MV}, {MASKS} select recording, frame, round(avg(value), 6) as g from pix p where not exists (select 1 from mk where mk.recording = p.recording and mk.y = p.y and mk.x = p.x) group by all")
+@query("im18_global_signal", f"with {MV}, {MASKS} select recording, frame::int as frame, round(avg(value), 6) as g from pix p where not exists (select 1 from mk where mk.recording = p.recording and mk.y = p.y and mk.x = p.x) group by all")
 def im18(spark, sf):
     """With every frame sampled the curve passes through the means themselves."""
     got = movies.global_signal(pixels(spark, sf), masks(spark, sf), 20_000, 10).select("recording", F.posexplode("signal").alias("frame", "g"))

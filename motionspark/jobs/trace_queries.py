@@ -35,7 +35,7 @@ pt as (select recording, roi_id, unnest(x) as v, unnest(range(1, len(x) + 1)) as
 @query("im17_dff", f"""with {TR}, c as (select recording, roi_id, frame, (v + 50) - 0.7 * 20.0 as f from pt),
 a as (select *, min(f) over w as lo from c window w as (partition by roi_id order by frame rows between 10 preceding and 9 following)),
 b as (select *, avg(lo) over w as base from a window w as (partition by roi_id order by frame rows between 10 preceding and 9 following))
-select recording, roi_id, frame, round((f - base) / base, 6) as dff from b""")
+select recording, roi_id, frame::int as frame, round((f - base) / base, 6) as dff from b""")
 def im17(spark, sf):
     t = rows(spark, sf).withColumns({"f": F.transform("trace", lambda v: v + 50), "fneu": F.transform("trace", lambda v: F.lit(20.0))})
     got = traces.dff(t, seconds=10).select("recording", "roi_id", F.posexplode("dff_raw").alias("frame", "dff"))
@@ -46,7 +46,7 @@ MEAN = "mt as (select recording, frame, avg(v) as m from pt group by all)"
 
 
 @query("im19_regress_out", f"""with {TR}, {MEAN}, j as (select p.*, m from pt p join mt using (recording, frame)), s as (select roi_id, regr_slope(v, m) as b, regr_intercept(v, m) as a from j group by roi_id)
-select recording, roi_id, frame, round(v - a - b * m, 6) as residual from j join s using (roi_id)""")
+select recording, roi_id, frame::int as frame, round(v - a - b * m, 6) as residual from j join s using (roi_id)""")
 def im19(spark, sf):
     t = rows(spark, sf)
     both = t.join(traces.mean_trace(t, "trace"), "recording")
@@ -94,7 +94,7 @@ def im23(spark, sf):
 
 
 @query("im24_savgol", f"""with {TR}, w as (select recording, roi_id, frame, (-3 * lag(v, 2) over o + 12 * lag(v, 1) over o + 17 * v + 12 * lead(v, 1) over o - 3 * lead(v, 2) over o) / 35 as s from pt window o as (partition by roi_id order by frame))
-select recording, roi_id, frame, round(s, 6) as s from w where s is not null""")
+select recording, roi_id, frame::int as frame, round(s, 6) as s from w where s is not null""")
 def im24(spark, sf):
     """The inner frames, where the five-point cubic has a closed form; the ends are tested on their own."""
     got = traces.savgol(rows(spark, sf), "trace").select("recording", "roi_id", F.posexplode("dff_smooth").alias("frame", "s")).withColumn("frame", F.col("frame") + 1)
@@ -288,7 +288,7 @@ def rf15(spark, sf):
     return six(s.groupBy("condition").agg(F.sum("n_original").alias("n_original"), F.sum("n_refined").alias("n_refined"), F.avg("pct_removed").alias("mean_pct"), F.stddev_samp("pct_removed").alias("sd_pct")), "mean_pct", "sd_pct")
 
 
-@query("rf16_zscore_traces", f"with {TR} select recording, roi_id, frame, round((v - avg(v) over w) / coalesce(nullif(stddev_samp(v) over w, 0), 1), 6) as z from pt window w as (partition by roi_id)")
+@query("rf16_zscore_traces", f"with {TR} select recording, roi_id, frame::int as frame, round((v - avg(v) over w) / coalesce(nullif(stddev_samp(v) over w, 0), 1), 6) as z from pt window w as (partition by roi_id)")
 def rf16(spark, sf):
     got = traces.zscore(rows(spark, sf), "trace").select("recording", "roi_id", F.posexplode("z").alias("frame", "z"))
     return six(got.withColumn("frame", F.col("frame") + 1), "z")
