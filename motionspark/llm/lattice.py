@@ -27,7 +27,7 @@ from motionspark.llm.graph import components
 
 #: Vectors of a cell, or of a block of a large cell, that are compared at once.
 BLOCK = 1024
-TABLES, PARTS, SCALE, PROBES = 12, 3, 0.5, 8
+TABLES, PARTS, SCALE, PROBES = 8, 3, 0.45, 4
 FOUND = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
 
