@@ -198,7 +198,7 @@ def im28(spark, sf):
 
 @query("im31_zero_roi_diagnostics")
 def im31(spark, sf):
-    counts = regions(spark, sf).groupBy("recording").agg(F.count_distinct("roi_id").alias("n_rois")).filter("n_rois > 7")
+    counts = regions(spark, sf).groupBy("recording").agg(F.count_distinct("roi_id").alias("n_rois"))
     return six(movies.zero_roi_diagnostics(movies.map_stats(maps(spark, sf)), counts), "value")
 
 

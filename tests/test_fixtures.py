@@ -239,3 +239,12 @@ def test_blocks_give_all_pairs(spark, monkeypatch):
     assert len(whole) == 435 and set(parts) == set(whole) and all(parts[k] == pytest.approx(whole[k]) for k in whole)
     want = np.abs(np.corrcoef([r[2] for r in rows])[np.triu_indices(30, 1)]).mean()
     assert traces.synchrony(df, "x").first()["synchrony"] == pytest.approx(want)
+
+
+def test_zero_roi_diagnostics_only_without_regions(spark):
+    from motionspark.jobs import movie_queries as mv
+
+    sf = "/root/testdata/sf0.001"
+    names = lambda df: {r["recording"] for r in df.select("recording").distinct().collect()}
+    got = names(mv.im31(spark, sf))
+    assert got == names(mv.maps(spark, sf)) - names(mv.regions(spark, sf))
