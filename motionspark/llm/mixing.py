@@ -3,7 +3,9 @@
 A source of n documents and target weight w gets the rate ``w * target rows / n``. Each document draws a uniform number
 from a hash of its id and the seed, and the inverse of the Poisson distribution with its source's rate turns it into a
 number of copies; the copies are shuffled globally by another hash. The same seed gives the same corpus, whatever the
-partitions. Only DataFrame functions are used.
+partitions. Only DataFrame functions are used. A rate above ``PART_RATE`` is split into equal parts of at most that, each
+drawn from its own hash: a Poisson number is the sum of independent ones whose rates add up to its own. So no rate is
+limited, and the probabilities of a source stay a short list.
 
 The only table that is joined has one row a source with its cumulative probabilities. Its size is counted: up to
 ``BROADCAST_NUMBERS`` probabilities it is broadcast, so the documents of one source, even a third of all, stay where they
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 
 #: Probabilities in the joined table up to which it is broadcast (8 bytes each); a larger one is joined by shuffle.
 BROADCAST_NUMBERS = 1_000_000
-#: Largest rate; a source that would be repeated more often than this does not carry its weight.
-MAX_RATE = 1000.0
+#: Largest rate that is drawn at once; a larger one is drawn in parts.
+PART_RATE = 1000.0
+#: Copies of a row that are listed at once.
+COPY_BLOCK = 1000
 OWN = ("source_rate", "copies", "copy", "shuffle_key")
 
 
@@ -42,7 +46,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, target_rows: int |
     if not rows or not all_weight:
         return weighed.limit(0).select("mix_source", F.lit(0.0).alias("source_rate"))
     rate = F.col("w") / F.lit(float(all_weight)) * F.lit(float(rows if target_rows is None else target_rows)) / F.col("n")
-    return weighed.select("mix_source", F.round(F.least(F.lit(MAX_RATE), rate), 9).alias("source_rate"))
+    return weighed.select("mix_source", F.round(rate, 9).alias("source_rate"))
 
 
 def last_count(rate: Column) -> Column:
@@ -63,18 +67,28 @@ def cumulative(rate: Column) -> Column:
     return F.aggregate(steps, start, step, lambda acc: acc["cdf"])
 
 
+def draws(source: Column, seed: str, id_col: str) -> Column:
+    """The copies of a row: one draw, or the sum of one draw a part with the part's number in its hash."""
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    more = F.transform(F.sequence(F.lit(1).cast("long"), source["parts"]), lambda i: uniform(F.lit(seed), key, i, F.lit("part")))
+    us = F.when(source["parts"] == 1, F.array(uniform(F.lit(seed), key))).otherwise(more)
+    return F.aggregate(us, F.lit(0), lambda acc, u: acc + F.size(F.filter(source["cdf"], lambda p: p <= u)))
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, target_rows: int | None = None, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", shuffle: bool = True) -> DataFrame:
     """``docs`` with each row repeated: source_rate, copies, copy (from 0) and shuffle_key are added. Rows of a partition
     follow the shuffle key, and partitions are dealt by it, so the files hold a random order of all copies."""
     docs = docs.drop(*OWN)
     table = rates(docs, weights, target_rows, source_col).filter("source_rate > 0")
-    numbers = table.agg(F.sum(last_count(F.col("source_rate")) + 2)).first()[0] or 0
-    table = table.withColumn("cdf", cumulative(F.col("source_rate")))
+    table = table.withColumn("parts", F.ceil(F.col("source_rate") / F.lit(PART_RATE)).cast("long"))
+    part_rate = F.col("source_rate") / F.col("parts")
+    numbers = table.agg(F.sum(last_count(part_rate) + 2)).first()[0] or 0
+    table = table.select("mix_source", F.struct("source_rate", "parts", cumulative(part_rate).alias("cdf")).alias("source_rate"))
     table = F.broadcast(table) if numbers <= BROADCAST_NUMBERS else table
     drawn = docs.join(table, docs[source_col].eqNullSafe(table["mix_source"])).drop("mix_source")
+    drawn = drawn.withColumn("copies", draws(F.col("source_rate"), seed, id_col)).withColumn("source_rate", F.col("source_rate.source_rate")).filter("copies > 0")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    u = uniform(F.lit(seed), key)
-    drawn = drawn.withColumn("copies", F.size(F.filter("cdf", lambda p: p <= u))).drop("cdf").filter("copies > 0")
-    drawn = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    drawn = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1, F.lit(COPY_BLOCK))))
+    drawn = drawn.withColumn("copy", F.explode(F.sequence("copy", F.least(F.col("copy") + (COPY_BLOCK - 1), F.col("copies") - 1))))
     drawn = drawn.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), key, F.col("copy"), F.lit("order"))))
     return drawn.repartition("shuffle_key").sortWithinPartitions("shuffle_key") if shuffle else drawn

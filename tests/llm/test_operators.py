@@ -156,6 +156,23 @@ def test_mixing(spark, docs, odd_docs, no_docs):
     assert np.allclose(cdf[:10], want, atol=1e-9)
 
 
+def test_mixing_keeps_the_weight_of_a_small_source(spark, monkeypatch):
+    small = spark.createDataFrame([(i, "a" if i < 2 else "b") for i in range(42)], "doc_id long, source string")
+    rows = mixing.mix(small, target_rows=20_000).collect()
+    assert {r["source"]: r["source_rate"] for r in rows} == {"a": 5000.0, "b": 250.0}
+    for name in "ab":
+        assert abs(sum(r["source"] == name for r in rows) - 10_000) < 500
+    copies = {r["doc_id"]: r["copies"] for r in rows}
+    assert len(rows) == sum(copies.values()) and {(r["doc_id"], r["copy"]) for r in rows} == {(d, c) for d, n in copies.items() for c in range(n)}
+    # drawn in parts, the copies are still a Poisson number
+    monkeypatch.setattr(mixing, "PART_RATE", 2.0)
+    monkeypatch.setattr(mixing, "COPY_BLOCK", 3)
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"))
+    rows = mixing.mix(many, target_rows=21_000, shuffle=False).collect()
+    n = np.array([r["copies"] for r in rows if r["copy"] == 0] + [0] * (3000 - len({r["doc_id"] for r in rows})))
+    assert abs(n.mean() - 7) < 0.25 and abs(n.var() - 7) < 1 and len(rows) == n.sum()
+
+
 def test_site_bayes(docs, labels, odd_docs, no_docs, no_labels):
     rows = sites.classify(docs, labels.filter("doc_id % 2 = 0"), F.col("source"), F.col("lang")).collect()
     p = {r["doc_id"]: r["p_good"] for r in rows}
