@@ -9,8 +9,8 @@ Copies of one vector are joined first. A pair that meets in several cells is cou
 from the two vectors, so no pairs are kept or shuffled: a cell gives link counts and a star of links. Cells with very
 many vectors are cut into blocks that are compared two by two.
 
-Edge cases: vectors that are null, empty, zero, or hold null or non-finite components, or differ in length from the most
-usual length, link with nothing; repeated rows are linked copies; an empty table gives no rows; other columns are ignored.
+Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of each
+length have cells of their own; repeated rows are linked copies; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from motionspark.llm.graph import components
 
 #: Vectors of a cell, or of a block of a large cell, that are compared at once.
 BLOCK = 1024
-TABLES, PARTS, SCALE, PROBES = 8, 3, 0.45, 4
+TABLES, PARTS, SCALE, PROBES = 12, 3, 0.5, 8
 FOUND = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
 
@@ -63,11 +63,19 @@ def projection(dim: int, table: int, seed: int) -> np.ndarray:
     return np.random.default_rng((seed, table)).normal(size=(dim, 8 * PARTS)) * SCALE
 
 
-def cell_hash(points: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the doubled lattice coordinates along the last axis."""
-    weights = np.random.default_rng(8).integers(1, 1 << 63, points.shape[-1], dtype=np.uint64) | np.uint64(1)
-    x = ((2 * points).astype(np.int64).view(np.uint64) * weights).sum(-1, dtype=np.uint64)
-    x ^= x >> np.uint64(29)
+@lru_cache(maxsize=1)
+def hash_weights() -> np.ndarray:
+    return np.random.default_rng(8).integers(1, 1 << 63, 8 * PARTS, dtype=np.uint64) | np.uint64(1)
+
+
+def weighted(points: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weighted sum of the doubled lattice coordinates along the last axis, modulo 2**64: the sums of two points add."""
+    return ((2 * points).astype(np.int64).view(np.uint64) * weights).sum(-1, dtype=np.uint64)
+
+
+def cell_hash(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of a weighted sum."""
+    x = x ^ (x >> np.uint64(29))
     return (x * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
@@ -81,12 +89,10 @@ def cells(unit: np.ndarray, table: int, seed: int, probes: int) -> np.ndarray:
         gain = (y[:, part] - home[:, part]) @ shortest_vectors().T
         best = np.argpartition(-gain, probes, axis=1)[:, :probes]
         near.append(np.take_along_axis(gain, best, 1))
-        move = np.zeros((len(unit), probes, 8 * PARTS))
-        move[:, :, part] = shortest_vectors()[best]
-        moves.append(move)
+        moves.append(weighted(shortest_vectors(), hash_weights()[part])[best])
     order = np.argsort(-np.concatenate(near, 1), axis=1, kind="stable")[:, :probes]
-    moves = np.take_along_axis(np.concatenate(moves, 1), order[:, :, None], 1)
-    return np.concatenate([cell_hash(home)[:, None], cell_hash(home[:, None, :] + moves)], axis=1)
+    own = weighted(home, hash_weights())[:, None]
+    return cell_hash(np.concatenate([own, own + np.take_along_axis(np.concatenate(moves, 1), order, 1)], axis=1))
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -143,25 +149,25 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, tables: int = TABL
     fine = F.size("v") > 0
     fine &= ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("v", F.when(fine, F.col("v")))
-    lengths = rows.filter("v is not null").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if lengths is None:
+    if rows.filter("v is not null").isEmpty():
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = lengths["n"]
-    rows = rows.withColumn("v", F.when(F.size("v") == dim, F.col("v")))
     reps = materialise(rows.filter("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
 
     def entries(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                unit, rep = unit_rows(matrix(part.column(0))), part.column(1).to_numpy()
-                for t in range(tables):
-                    own = cells(unit, t, seed, probes)
-                    width = own.shape[1]
-                    columns = [np.full(own.size, t, np.int32), own.ravel(), np.repeat(rep, width), np.tile(np.arange(width) == 0, len(rep))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["t", "cell", "rep", "home"])
-
-    every = materialise(reps.select("v", "rep").mapInArrow(entries, "t int, cell long, rep long, home boolean"), "cells")
+                lengths = batch.column(0).slice(k, 1000).value_lengths().to_numpy()
+                for dim in np.unique(lengths):
+                    part = batch.slice(k, 1000).filter(pa.array(lengths == dim))
+                    unit, rep = unit_rows(matrix(part.column(0))), part.column(1).to_numpy()
+                    for t in range(tables):
+                        own = cells(unit, t, seed, probes)
+                        width = own.shape[1]
+                        # each length has tables of its own
+                        columns = [np.full(own.size, int(dim) * tables + t), own.ravel(), np.repeat(rep, width), np.tile(np.arange(width) == 0, len(rep))]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["t", "cell", "rep", "home"])
+
+    every = materialise(reps.select("v", "rep").mapInArrow(entries, "t long, cell long, rep long, home boolean"), "cells")
     shared = every.groupBy("t", "cell").agg(F.count("*").alias("n"), F.count_if("home").alias("n_home")).filter("n > 1 and n_home > 0").select("t", "cell", "n")
     met = every.join(shared, ["t", "cell"])
     # a cell of n vectors has ceil(n / BLOCK) blocks; each vector goes to every pair of blocks that has its own
@@ -180,7 +186,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, tables: int = TABL
                 return None
             unit = unit_rows(matrix(table.column(8).combine_chunks()))
             left, right = np.nonzero(own == lo)[0], np.nonzero(own == hi)[0]
-            a, b = links_of_block(rep, unit, home, copies, left, left if lo == hi else right, t, cell, threshold, seed, probes)
+            a, b = links_of_block(rep, unit, home, copies, left, left if lo == hi else right, t % tables, cell, threshold, seed, probes)
             if not len(a):
                 return None
             links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))

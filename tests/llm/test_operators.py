@@ -218,6 +218,30 @@ def test_lattice(spark, no_docs):
     assert lattice.near_vectors(x.limit(0)).count() == 0
 
 
+def test_lattice_recall_at_the_threshold():
+    rng = np.random.default_rng(7)
+    v, w = (x / np.linalg.norm(x, axis=1)[:, None] for x in rng.normal(size=(2, 3000, 64)))
+    w -= (w * v).sum(1)[:, None] * v
+    near = 0.95 * v + np.sqrt(1 - 0.95**2) * w / np.linalg.norm(w, axis=1)[:, None]
+    met = np.zeros(len(v), bool)
+    for t in range(lattice.TABLES):
+        x, y = lattice.cells(v, t, 6, lattice.PROBES), lattice.cells(near, t, 6, lattice.PROBES)
+        met |= (y == x[:, :1]).any(1) | (x == y[:, :1]).any(1)
+    assert met.mean() > 0.99
+
+
+def test_lattice_links_vectors_of_each_length(spark):
+    rng = np.random.default_rng(8)
+    base = {n: rng.normal(size=(5, n)) for n in (3, 16, 64)}
+    rows = [list(map(float, v)) for n in (64, 16, 3) for v in np.repeat(base[n], 3 if n == 64 else 2, axis=0) * (1 + rng.integers(0, 2, (15 if n == 64 else 10, 1)))]
+    got = lattice.near_vectors(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")).collect()
+    want = {}
+    for i, x in enumerate(rows):
+        cos = [len(x) == len(y) and np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) >= 0.95 for y in rows]
+        want[i] = sum(cos) - 1
+    assert {r["vec_id"]: r["n_links"] for r in got} == want and min(want.values()) >= 1
+
+
 def test_large_cells_are_compared_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(2)
     v = rng.normal(size=64)
