@@ -18,14 +18,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays. Of repeated rows with one id one stays; they
-    are looked for among the ids, and texts are only shuffled if there are any. Rows without an id stay."""
+    """Of each group of near copies the document with the smallest id stays. Of rows with one id that are near copies one
+    stays, and rows with one id and different texts are judged each on its own; repeated ids are looked for among the ids,
+    and texts are only shuffled if there are any. Rows without an id stay."""
     docs = docs.select(*COLUMNS)
     found = simhash.near_duplicates(docs)
-    if not found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        docs = docs.filter("doc_id is null").unionByName(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]))
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    once = docs.join(gone.unionByName(repeated).distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    stays = found.join(repeated, "doc_id", "left_semi").filter("doc_id = component_id").select("doc_id", "fp", "component").distinct()
+    several = docs.join(repeated, "doc_id", "left_semi").withColumn("fp", simhash.printed()).join(stays, ["doc_id", "fp"])
+    return once.unionByName(several.dropDuplicates(["doc_id", "component"]).select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,21 +122,27 @@ def links_within(prints: DataFrame, radius: int = 2) -> DataFrame:
     return groups.unionByName(large).mapInArrow(linked, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a long) and component_id (smallest doc_id that links reach) of each row."""
-    small_batches(docs.sparkSession)
+def printed(text_col: str = "text", size: int = 3):
+    """The fingerprints of a column of texts as longs."""
 
     @F.pandas_udf("long")
-    def printed(texts: pd.Series) -> pd.Series:
+    def prints(texts: pd.Series) -> pd.Series:
         return pd.Series([signed(fingerprint(t, size)) for t in texts], dtype="int64")
 
-    rows = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), printed(F.col(text_col).cast("string")).alias("fp")), "fingerprints")
+    return prints(F.col(text_col).cast("string"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (the fingerprint as a long), component_id (smallest doc_id that links reach) and component (smallest
+    fingerprint that they reach: it tells components apart where ids repeat) of each row."""
+    small_batches(docs.sparkSession)
+    rows = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), printed(text_col, size).alias("fp")), "fingerprints")
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     found = components(links_within(classes.select("fp"), radius))
     # a component is named by its least fingerprint; its name for the user is its least doc_id
     named = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return rows.join(named.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named.join(least, "component").select("fp", "component_id", "component"), "fp").select("doc_id", "fp", "component_id", "component")
 
 
 def hex_digits(fp: str = "fp"):

@@ -56,3 +56,12 @@ def test_repeated_rows_leave_one(spark, odd_docs, sf):
     kept = corpus_pipeline.near_duplicates(spark, odd_docs, sf)
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids.count(3) <= 1 and kept.columns == corpus_pipeline.COLUMNS and len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
+
+
+def test_different_texts_with_one_id_stay(spark, sf):
+    rng = np.random.default_rng(9)
+    a, b, c, d, e = (" ".join(f"word{k}" for k in rng.integers(0, 5000, 80)) for _ in range(5))
+    rows = [(1, a), (3, a), (3, b), (4, c), (4, c), (5, d), (5, e), (6, b), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, a), (3, b), (4, c), (5, d), (5, e), (None, a)], key=str)
