@@ -47,6 +47,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, or a longer one, that no column of ``df`` has, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Rows:
     """Rows gathered as columns; ``add`` returns a record batch whenever enough have come."""
 
