@@ -13,7 +13,8 @@ were read; beyond that it is joined by a shuffle that adaptive execution splits.
 
 Edge cases: a null source is a source of its own; a source without a given weight gets none (no copies) if weights are
 given, else all sources weigh the same; a null doc_id hashes as an empty id; repeated rows draw alike; an empty table
-gives no rows. Columns named source_rate, copies, copy or shuffle_key in the input are replaced.
+gives no rows. Columns named source_rate, copies, copy or shuffle_key in the input are replaced; all others stay, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motionspark.llm.common import fresh
+
 #: Probabilities in the joined table up to which it is broadcast (8 bytes each); a larger one is joined by shuffle.
 BROADCAST_NUMBERS = 1_000_000
 #: Largest rate that is drawn at once; a larger one is drawn in parts.
@@ -83,10 +86,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, target_rows: i
     table = table.withColumn("parts", F.ceil(F.col("source_rate") / F.lit(PART_RATE)).cast("long"))
     part_rate = F.col("source_rate") / F.col("parts")
     numbers = table.agg(F.sum(last_count(part_rate) + 2)).first()[0] or 0
-    table = table.select("mix_source", F.struct("source_rate", "parts", cumulative(part_rate).alias("cdf")).alias("source_rate"))
+    name, drawing = fresh("mix_source", docs), fresh("mix_drawing", docs)
+    table = table.select(F.col("mix_source").alias(name), F.struct("source_rate", "parts", cumulative(part_rate).alias("cdf")).alias(drawing))
     table = F.broadcast(table) if numbers <= BROADCAST_NUMBERS else table
-    drawn = docs.join(table, docs[source_col].eqNullSafe(table["mix_source"])).drop("mix_source")
-    drawn = drawn.withColumn("copies", draws(F.col("source_rate"), seed, id_col)).withColumn("source_rate", F.col("source_rate.source_rate")).filter("copies > 0")
+    drawn = docs.join(table, F.col(source_col).eqNullSafe(F.col(name)))
+    drawn = drawn.select(*docs.columns, F.col(drawing)["source_rate"].alias("source_rate"), draws(F.col(drawing), seed, id_col).alias("copies")).filter("copies > 0")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     drawn = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1, F.lit(COPY_BLOCK))))
     drawn = drawn.withColumn("copy", F.explode(F.sequence("copy", F.least(F.col("copy") + (COPY_BLOCK - 1), F.col("copies") - 1))))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motionspark.llm.common import small_batches
+from motionspark.llm.common import lowest_hashes, small_batches
 
 BUCKETS = 1 << 14
 NGRAM = 3
@@ -76,8 +76,10 @@ def base_stats(text: str | None) -> tuple[int, int, int, int, int]:
 def ratio_table(docs: DataFrame, trusted_ids: list[int], n: int = NGRAM, buckets: int = BUCKETS) -> np.ndarray | None:
     """log target - log corpus of each bucket, from counts over all of ``docs``."""
 
+    given = docs.sparkSession.sparkContext.broadcast(frozenset(trusted_ids))
+
     def count(batches):
-        trusted = set(trusted_ids)
+        trusted = given.value
         target, corpus = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -103,7 +105,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trus
     spark = docs.sparkSession
     small_batches(spark)
     good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
-    trusted = [r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_rows).collect()]  # bounded by trusted_rows
+    trusted = [r[0] for r in lowest_hashes(good, "doc_id", trusted_rows).collect()]  # bounded by trusted_rows
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     table = spark.sparkContext.broadcast(ratio_table(texts, trusted))
 

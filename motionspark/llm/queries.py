@@ -94,17 +94,20 @@ from parts"""
 
 MIXING_SQL = """
 with recursive n as (select source, count(*) as n from documents group by source),
-r as (select source, round(least(1000.0, 1.0::double / (select count(*) from n) * (select count(*) from documents) / n), 9) as source_rate from n),
+r as (
+  select source, source_rate, ceil(source_rate / 1000)::bigint as parts, source_rate / ceil(source_rate / 1000) as part_rate
+  from (select source, round(1.0::double / (select count(*) from n) * (select count(*) from documents) / n, 9) as source_rate from n)),
 pmf as (
-  select source, source_rate, 0 as k, -source_rate as log_p, exp(-source_rate) as total from r
+  select source, source_rate, parts, part_rate, 0 as k, -part_rate as log_p, exp(-part_rate) as total from r
   union all
-  select source, source_rate, k + 1, log_p + ln(source_rate) - ln((k + 1)::double), total + exp(log_p + ln(source_rate) - ln((k + 1)::double))
-  from pmf where k < ceil(source_rate + 12 * sqrt(source_rate) + 30)),
-cdf as (select source, source_rate, list(round(total, 12)) as cdf from pmf group by source, source_rate),
+  select source, source_rate, parts, part_rate, k + 1, log_p + ln(part_rate) - ln((k + 1)::double), total + exp(log_p + ln(part_rate) - ln((k + 1)::double))
+  from pmf where k < ceil(part_rate + 12 * sqrt(part_rate) + 30)),
+cdf as (select source, source_rate, parts, list(round(total, 12)) as cdf from pmf group by source, source_rate, parts),
 drawn as (
-  select d.*, c.source_rate, ('0x' || substr(md5('mix:' || coalesce(d.doc_id::varchar, '')), 1, 13))::bigint::double / 4503599627370496 as u, c.cdf
+  select d.*, c.source_rate, c.cdf, list_transform(range(1, c.parts + 1), lambda i: ('0x' || substr(md5(
+    'mix:' || coalesce(d.doc_id::varchar, '') || case when c.parts = 1 then '' else ':' || i || ':part' end), 1, 13))::bigint::double / 4503599627370496) as us
   from documents d join cdf c on d.source is not distinct from c.source),
-counted as (select * exclude (u, cdf), len(list_filter(cdf, lambda p: p <= u))::int as copies from drawn),
+counted as (select * exclude (us, cdf), list_sum(list_transform(us, lambda u: len(list_filter(cdf, lambda p: p <= u))))::int as copies from drawn),
 many as (select *, unnest(range(copies))::int as copy from counted)
 select *, md5('mix:' || coalesce(doc_id::varchar, '') || ':' || copy || ':order') as shuffle_key from many"""
 

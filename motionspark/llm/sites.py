@@ -3,7 +3,8 @@
 A logistic classifier on a dozen text statistics gives each document its own evidence. Labels and classifier
 probabilities are then summed by host and by path; each host's rate is shrunk toward the global rate and each path's rate
 toward its host's, with a strength that grows as groups are alike (method of moments). The document's log odds and the
-shift that its path's posterior brings are added.
+shift that its path's posterior brings are added; for that the posteriors are taken without the document itself, which
+would else be counted twice.
 
 The classifier is fitted on at most ``FIT_ROWS`` labelled documents (lowest hashes of doc_id); the rates come from all
 documents. Sums are taken before the shuffle, so a host with a third of all documents is one row from each task.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motionspark.llm.common import materialise, small_batches
+from motionspark.llm.common import lowest_hashes, materialise, small_batches
 
 FIT_ROWS = 20_000
 #: Weight of a classifier probability against a label in the sums.
@@ -63,9 +64,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return w, mean, spread
 
 
-def shrunk(groups: DataFrame, keys: list[str], prior: Column, out: str) -> DataFrame:
-    """``groups`` (n, k and the prior's column) with the posterior rate ``out``; the strength is estimated from all groups
-    by the method of moments: prior variance over the variance between groups that sampling doesn't explain."""
+def strength_of(groups: DataFrame, prior: Column) -> float:
+    """The strength of the prior over ``groups`` (n, k and the prior's column), estimated from all of them by the method of
+    moments: prior variance over the variance between groups that sampling doesn't explain."""
     rate = F.col("k") / F.col("n")
     moments = groups.agg(
         F.sum(F.col("n") * prior * (1 - prior)).alias("v"), F.sum(F.col("n") * (rate - prior) * (rate - prior)).alias("between"), F.sum(prior * (1 - prior)).alias("noise"), F.sum("n").alias("n")
@@ -75,7 +76,16 @@ def shrunk(groups: DataFrame, keys: list[str], prior: Column, out: str) -> DataF
         extra = (moments["between"] - moments["noise"]) / moments["n"]
         spread = moments["v"] / moments["n"]
         strength = min(MAX_STRENGTH, max(1.0, spread / extra - 1)) if extra > 1e-9 else MAX_STRENGTH
-    return groups.withColumn(out, (F.col("k") + F.lit(strength) * prior) / (F.col("n") + F.lit(strength)))
+    return float(strength)
+
+
+def posterior(k: Column, n: Column, prior: Column, strength: float) -> Column:
+    return (k + F.lit(strength) * prior) / (n + F.lit(strength))
+
+
+def shrunk(groups: DataFrame, keys: list[str], prior: Column, out: str) -> DataFrame:
+    """``groups`` (n, k and the prior's column) with the posterior rate ``out``."""
+    return groups.withColumn(out, posterior(F.col("k"), F.col("n"), prior, strength_of(groups, prior)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, fit_rows: int = FIT_ROWS, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,7 +101,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, fit
     rows = materialise(source.mapInArrow(measure, "doc_id long, host string, path string, x array<double>"), "statistics")
     known = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"))
     marked = materialise(rows.join(known, "doc_id", "left"), "marked")
-    sample = marked.filter("y is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("x", "y").collect()  # bounded by fit_rows
+    sample = lowest_hashes(marked.filter("y is not null").select("doc_id", "x", "y"), "doc_id", fit_rows).collect()  # bounded by fit_rows
     y = np.array([r["y"] for r in sample], float)
     if not len(y) or y.min() == y.max():
         half = F.lit(0.5)
@@ -102,15 +112,22 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, fit
         odds = odds + F.lit(float(w[1 + k] / spread[k])) * F.col("x")[k]
     odds = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds))
     scored = marked.select("doc_id", "host", "path", "y", odds.alias("odds"), (1 / (1 + F.exp(-odds))).alias("p_text"))
-    weight = F.when(F.col("y").isNull(), SOFT).otherwise(1.0)
-    paths = materialise(scored.groupBy("host", "path").agg(F.sum(weight).alias("n"), F.sum(weight * F.coalesce(F.col("y").cast("double"), F.col("p_text"))).alias("k")), "paths")
+    scored = scored.withColumn("n_own", F.when(F.col("y").isNull(), SOFT).otherwise(1.0))
+    scored = scored.withColumn("k_own", F.col("n_own") * F.coalesce(F.col("y").cast("double"), F.col("p_text")))
+    paths = materialise(scored.groupBy("host", "path").agg(F.sum("n_own").alias("n"), F.sum("k_own").alias("k")), "paths")
     whole = paths.agg(F.sum("k").alias("k"), F.sum("n").alias("n")).first()
     rate = min(1 - 1e-6, max(1e-6, whole["k"] / whole["n"]))
-    hosts = shrunk(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), ["host"], F.lit(rate), "p_host").select(F.col("host").alias("h"), "p_host")
-    sites = shrunk(paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h"), ["host", "path"], F.col("p_host"), "p_path")
-    sites = sites.select(F.col("host").alias("h"), F.col("path").alias("p"), "p_host", "p_path")
+    every = F.lit(rate)
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    host_strength = strength_of(hosts, every)
+    hosts = hosts.select(F.col("host").alias("h"), F.col("n").alias("n_host"), F.col("k").alias("k_host"), posterior(F.col("k"), F.col("n"), every, host_strength).alias("p_host"))
+    sites = materialise(paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h"), "sites")
+    path_strength = strength_of(sites, F.col("p_host"))
+    sites = sites.withColumn("p_path", posterior(F.col("k"), F.col("n"), F.col("p_host"), path_strength)).withColumnsRenamed({"host": "h", "path": "p"})
     logit = lambda p: F.log(p / (1 - p))
     judged = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
-    judged = judged.withColumn("p_good", 1 / (1 + F.exp(-(F.col("odds") + logit(F.col("p_path")) - F.lit(math.log(rate / (1 - rate)))))))
+    without = lambda k, n, prior, strength: posterior(F.greatest(F.lit(0.0), F.col(k) - F.col("k_own")), F.greatest(F.lit(0.0), F.col(n) - F.col("n_own")), prior, strength)
+    others = without("k", "n", without("k_host", "n_host", every, host_strength), path_strength)
+    judged = judged.withColumn("p_good", 1 / (1 + F.exp(-(F.col("odds") + logit(others) - F.lit(math.log(rate / (1 - rate)))))))
     six = [F.round(c, 6).alias(c) for c in ("p_text", "p_host", "p_path", "p_good")]
     return judged.select("doc_id", "host", "path", *six, (F.round("p_good", 6) >= keep).alias("kept"))

@@ -136,7 +136,7 @@ def test_sanitised_texts_of_odd_rows(spark, odd_docs, no_docs):
 
 def test_random_tokens_by_length(spark):
     """Trained on the test corpus, the models find random keys of any length from ``MIN_TOKEN`` on, and no prose."""
-    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    texts = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text")
     table = secrets.ratio_table(texts)
     scores, rng = secrets.Scores(table, secrets.THRESHOLD, secrets.EVIDENCE), np.random.default_rng(4)
     mixed = list(string.ascii_letters + string.digits)
