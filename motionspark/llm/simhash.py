@@ -8,6 +8,14 @@ leaves free, which keeps the guarantee; after that at most ``2^free`` different
 
 Equal fingerprints are joined before any mask is used, so copies cost one row. Buckets give stars of links, not pairs.
 
+``near_duplicates`` links fingerprints of word shingles by their distance alone. ``near_copies`` looks for texts whose
+five-word shingles have a similarity of 0.8 or more. One changed word changes five shingles, so a fingerprint of shingles
+would need a radius that no set of masks can cover; the fingerprint that the masks see is that of the single words, each
+weighted by the square root of its count, within ``COPY_RADIUS`` bits. With so large a radius the positions are covered
+in two halves, one of which differs in half the radius at most. A pair that meets must also agree in a sketch of its
+shingles (``SKETCH`` least hashes under as many permutations, one bit each), from which the similarity is estimated with a
+standard error of 0.0375 at 0.8; ``SLACK`` is left for it.
+
 Edge cases: a null text, or one without words, has fingerprint zero; fewer words than a shingle make one shingle;
 rows with a null doc_id take part and can be a component of their own (null); repeated rows get the same component; an
 empty table gives no rows; other columns are ignored.
@@ -15,6 +23,8 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,6 +36,11 @@ from motionspark.llm.graph import components
 SEED = 42
 #: Largest bucket of different fingerprints that is compared as it is.
 BUCKET = 2048
+#: Bits in which the word fingerprints of near copies may differ.
+COPY_RADIUS = 7
+#: Bits of a sketch of shingles.
+SKETCH = 256
+SLACK = 0.04
 
 
 def fingerprint(text: str | None, size: int = 3, seed: int = SEED) -> int:
@@ -60,9 +75,18 @@ def covering_masks(positions: list[int], radius: int, salt: int) -> list[int]:
     return [sum(1 << p for p, m in given.items() if (m & v).bit_count() % 2) for v in range(1, vectors + 1)]
 
 
+def cover(positions: list[int], radius: int, salt: int) -> list[int]:
+    """Covering masks of ``positions``: of all at once, or beyond a radius of 3 of each half with half the radius, for one
+    half differs in no more."""
+    if radius <= 3:
+        return covering_masks(positions, radius, salt)
+    cut = len(positions) // 2
+    return covering_masks(positions[:cut], radius // 2, salt) + covering_masks(positions[cut:], radius // 2, salt + 1)
+
+
 def masks_of(radius: int) -> tuple[list[int], list[list[int]]]:
-    first = covering_masks(list(range(64)), radius, 0)
-    second = [covering_masks([p for p in range(64) if not mask >> p & 1], radius, 1 + t) for t, mask in enumerate(first)]
+    first = cover(list(range(64)), radius, 0)
+    second = [cover([p for p in range(64) if not mask >> p & 1], radius, 1 + t) for t, mask in enumerate(first)]
     return first, [[mask | m for m in own] for mask, own in zip(first, second, strict=True)]
 
 
@@ -70,18 +94,25 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def star_links(group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) that join the fingerprints of one bucket which are connected within ``radius``."""
-    n, step = len(group), 1024
+def star_links(group: np.ndarray, radius: int, sketches: np.ndarray | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (a, b) that join the fingerprints of one bucket which are connected within ``radius`` and, if there are
+    ``sketches``, by sketches that differ in at most ``most`` bits."""
+    n, step = len(group), 512
     root = np.arange(n)
     left, right = [], []
     for i in range(0, n, step):
         for j in range(i, n, step):
-            near = np.bitwise_count(group[i : i + step, None] ^ group[None, j : j + step]) <= radius
-            a, b = np.nonzero(near)
-            keep = a + i < b + j
-            left.append(a[keep] + i)
-            right.append(b[keep] + j)
+            a, b = np.nonzero(np.bitwise_count(group[i : i + step, None] ^ group[None, j : j + step]) <= radius)
+            a, b = a + i, b + j
+            keep = a < b
+            a, b = a[keep], b[keep]
+            if sketches is not None:
+                keep = np.zeros(len(a), bool)
+                for k in range(0, len(a), 100_000):
+                    keep[k : k + 100_000] = np.bitwise_count(sketches[a[k : k + 100_000]] ^ sketches[b[k : k + 100_000]]).sum(1) <= most
+                a, b = a[keep], b[keep]
+            left.append(a)
+            right.append(b)
     a, b = np.concatenate(left), np.concatenate(right)
     while True:
         least = root.copy()
@@ -92,33 +123,42 @@ def star_links(group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
             break
         root = least
     moved = np.nonzero(root != np.arange(n))[0]
-    return group[moved], group[root[moved]]
+    return moved, root[moved]
 
 
-def links_within(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """``prints``: distinct fingerprints fp (long). Links (a, b) that connect all those within ``radius`` bits."""
+def links_within(prints: DataFrame, radius: int = 2, most: int | None = None) -> DataFrame:
+    """``prints``: distinct fingerprints fp (long). Links (a, b) that connect all those within ``radius`` bits. With
+    ``most``, ``prints`` has a name (long) and a sketch (array of longs) too; links are of names, and sketches differ in no
+    more bits than that."""
     first, second = masks_of(radius)
+    sketched = most is not None
+    if not sketched:
+        prints = prints.select("fp", F.col("fp").alias("name"))
 
     def linked(batches):
+        import pyarrow as pa
+
         for batch in batches:
             for group in batch.column(0):
-                a, b = star_links(np.sort(group.values.to_numpy().view(np.uint64)), radius)
+                # names of one fingerprint are distinct, so the order is fixed
+                members = pa.RecordBatch.from_struct_array(group.values).sort_by([("fp", "ascending"), ("name", "ascending")])
+                fp, name = (members.column(k).to_numpy() for k in (0, 1))
+                order = np.argsort(fp.view(np.uint64), kind="stable")
+                sketches = members.column(2).flatten().to_numpy().view(np.uint64).reshape(len(fp), -1)[order] if sketched else None
+                a, b = star_links(fp.view(np.uint64)[order], radius, sketches, most or 0)
                 if len(a):
-                    yield pa_links(a, b)
-
-    def pa_links(a, b):
-        import pyarrow as pa
-
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(name[order[a]]), pa.array(name[order[b]])], names=["a", "b"])
 
+    held = F.struct("fp", "name", *(["sketch"] if sketched else []))
     masks = F.array(*[F.lit(signed(m)) for m in first])
-    keyed = prints.select("fp", F.posexplode(masks).alias("t", "mask")).select("fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("k"))
+    keyed = prints.withColumn("row", held).select("fp", "row", F.posexplode(masks).alias("t", "mask"))
+    keyed = keyed.select("fp", "row", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("k"))
     sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = materialise(keyed.join(sizes, ["t", "k"]), "buckets")
-    groups = shared.filter(F.col("n") <= BUCKET).groupBy("t", "k").agg(F.collect_list("fp").alias("g")).select("g")
+    shared = keyed.join(materialise(sizes, "sizes"), ["t", "k"])
+    groups = shared.filter(F.col("n") <= BUCKET).groupBy("t", "k").agg(F.collect_list("row").alias("g")).select("g")
     finer = F.array(*[F.array(*[F.lit(signed(m)) for m in own]) for own in second])
-    large = shared.filter(F.col("n") > BUCKET).select("fp", "t", F.posexplode(F.element_at(finer, F.col("t") + 1)).alias("t2", "mask"))
-    large = large.groupBy("t", "t2", F.col("fp").bitwiseAND(F.col("mask")).alias("k")).agg(F.collect_list("fp").alias("g")).filter(F.size("g") > 1).select("g")
+    large = shared.filter(F.col("n") > BUCKET).select("fp", "row", "t", F.posexplode(F.element_at(finer, F.col("t") + 1)).alias("t2", "mask"))
+    large = large.groupBy("t", "t2", F.col("fp").bitwiseAND(F.col("mask")).alias("k")).agg(F.collect_list("row").alias("g")).filter(F.size("g") > 1).select("g")
     return groups.unionByName(large).mapInArrow(linked, "a long, b long")
 
 
@@ -145,5 +185,87 @@ def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3, id_col: str
     return rows.join(named.join(least, "component").select("fp", "component_id", "component"), "fp").select("doc_id", "fp", "component_id", "component")
 
 
+class WordHashes(dict):
+    """Hash of each word, remembered for as many as fit."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        h = xxh64_intdigest(word, SEED)
+        if len(self) < 300_000:
+            self[word] = h
+        return h
+
+
+@lru_cache(maxsize=1)
+def permutations() -> np.ndarray:
+    """Odd multipliers, one for each permutation of the shingles' hashes."""
+    return np.random.default_rng(SEED).integers(0, 1 << 31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def copy_sketch(text: str | None, hashes: WordHashes, size: int = 5) -> tuple[int, list[int]]:
+    """The fingerprint of the words of a text, each weighted by the square root of its count, and the sketch of its
+    shingles. A text without words has fingerprint and sketch zero; fewer words than a shingle make one shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return 0, [0] * (SKETCH // 64)
+    h = np.fromiter((hashes[w] for w in words), np.uint64, len(words))
+    values, counts = np.unique(h, return_counts=True)
+    total = np.zeros(64)
+    for k in range(0, len(values), 65_536):
+        bits = np.unpackbits(values[k : k + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total += np.sqrt(counts[k : k + 65_536]) @ (2.0 * bits - 1)
+    fp = int.from_bytes(np.packbits(total > 1e-9, bitorder="little").tobytes(), "little")
+    shingles = h[: max(1, len(h) - size + 1)].copy()
+    for k in range(1, min(size, len(h))):
+        shingles = shingles * np.uint64(0x9E3779B97F4A7C15) + h[k : len(shingles) + k]
+        shingles ^= shingles >> np.uint64(29)
+    shingles = np.unique((shingles >> np.uint64(32)).astype(np.uint32))
+    least = np.full(SKETCH, np.iinfo(np.uint32).max, np.uint32)
+    for k in range(0, len(shingles), 256):
+        x = shingles[k : k + 256, None] * permutations()
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x2C1B3C6D)
+        np.minimum(least, x.min(0), out=least)
+    # one bit of each: the parity of the bits that chance decides
+    least = np.bitwise_count(least) & np.uint8(1)
+    return fp, np.packbits(least, bitorder="little").view("<i8").tolist()
+
+
+def most_differing(similarity: float) -> int:
+    """Bits in which sketches of this similarity differ, on average."""
+    return int(SKETCH * (1 - similarity) / 2)
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius: int = COPY_RADIUS, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, component (a name of the group of near copies) and first (doc_id and text_hash of the group's
+    first row with an id) of each row. Near copies have word fingerprints within ``radius`` bits and sketches of ``size``
+    word shingles that speak for a similarity of at least ``similarity - slack``; groups are what such links connect.
+    Nulls and short texts as in ``near_duplicates``."""
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("struct<fp: long, sketch: array<long>>")
+    def sketched(texts: pd.Series) -> pd.DataFrame:
+        hashes = word_hashes()
+        got = [copy_sketch(t, hashes, size) for t in texts]
+        return pd.DataFrame({"fp": [signed(fp) for fp, _ in got], "sketch": [x for _, x in got]})
+
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), sketched(text).alias("x"))
+    rows = materialise(rows.select("doc_id", "text_hash", "x.fp", "x.sketch").withColumn("name", F.xxhash64("fp", "sketch")), "sketches")
+    classes = rows.groupBy("fp", "name").agg(F.first("sketch").alias("sketch"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("first"))
+    classes = materialise(classes, "classes")
+    found = components(links_within(classes.select("fp", "name", "sketch"), radius, most_differing(similarity - slack)))
+    named = classes.join(found.withColumnRenamed("node", "name"), "name", "left").select("name", "first", F.coalesce("component", "name").alias("component"))
+    least = named.groupBy("component").agg(F.min("first").alias("first"))
+    return rows.join(named.drop("first").join(least, "component"), "name").select("doc_id", "text_hash", "component", "first")
+
+
+@lru_cache(maxsize=1)
+def word_hashes() -> WordHashes:
+    """One memo a Python worker."""
+    return WordHashes()
+
+
 def hex_digits(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

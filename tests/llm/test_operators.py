@@ -370,6 +370,31 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     assert {p: got.get(p, p) for p in prints} == want
 
 
+def test_masks_cover_the_radius_of_near_copies():
+    first, second = simhash.masks_of(simhash.COPY_RADIUS)
+    rng = np.random.default_rng(11)
+    for _ in range(3000):
+        diff = sum(1 << int(p) for p in rng.choice(64, simhash.COPY_RADIUS, replace=False))
+        met = [k for k, m in enumerate(first) if not m & diff]
+        assert met and all(any(not m & diff for m in second[k]) for k in met)
+
+
+@pytest.mark.parametrize("bucket", [20, 2048])
+def test_near_copies_lose_no_link(spark, monkeypatch, bucket):
+    rng = np.random.default_rng(12)
+    fps = [int(rng.integers(0, 1 << 62)) ^ int(sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 4)), replace=False)) & (1 << 62) - 1) for _ in range(20) for _ in range(1)]
+    rows = [(f ^ sum(1 << int(b) for b in rng.choice(62, int(rng.integers(0, 8)), replace=False)), [int(x) for x in rng.integers(0, 4, 4)]) for f in fps for _ in range(30)]
+    rows = [(fp, k, sketch) for k, (fp, sketch) in enumerate(rows)]
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    from motionspark.llm.graph import components
+
+    links = simhash.links_within(spark.createDataFrame(rows, "fp long, name long, sketch array<long>").repartition(3), 7, 3)
+    got = {r["node"]: r["component"] for r in components(links).collect()}
+    near = lambda a, b: (a[0] ^ b[0]).bit_count() <= 7 and sum((x ^ y).bit_count() for x, y in zip(a[2], b[2], strict=True)) <= 3
+    want = roots([r[1] for r in rows], [(a[1], b[1]) for a, b in combinations(rows, 2) if near(a, b)])
+    assert {r[1]: got.get(r[1], r[1]) for r in rows} == want
+
+
 def test_components(spark):
     from motionspark.llm.graph import components
 

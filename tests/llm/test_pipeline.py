@@ -24,7 +24,10 @@ def test_pipeline_against_brute_force(spark, sf):
     judged = quality.judge(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).filter("kept").collect()
     left = {r["doc_id"]: r["text"] for r in first if r["doc_id"] in {x["doc_id"] for x in judged}}
     assert {r["doc_id"] for r in kept["quality_rules"].collect()} == set(left)
-    prints = {d: simhash.fingerprint(t) for d, t in left.items()}
+    hashes = simhash.WordHashes()
+    sketch = lambda t: (lambda fp, x: (fp, sum((v & (1 << 64) - 1) << 64 * k for k, v in enumerate(x))))(*simhash.copy_sketch(t, hashes))
+    prints = {d: sketch(t) for d, t in left.items()}
+    most = simhash.most_differing(0.8 - simhash.SLACK)
     root = {d: d for d in prints}
 
     def find(x):
@@ -33,7 +36,7 @@ def test_pipeline_against_brute_force(spark, sf):
         return x
 
     for a, b in combinations(sorted(prints), 2):
-        if (prints[a] ^ prints[b]).bit_count() <= 2:
+        if (prints[a][0] ^ prints[b][0]).bit_count() <= simhash.COPY_RADIUS and (prints[a][1] ^ prints[b][1]).bit_count() <= most:
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     alone = {d for d in prints if find(d) == d}
@@ -65,3 +68,45 @@ def test_different_texts_with_one_id_stay(spark, sf):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.near_duplicates(spark, docs, sf).select("doc_id", "text").collect()
     assert sorted(map(tuple, kept), key=str) == sorted([(1, a), (3, b), (4, c), (5, d), (5, e), (None, a)], key=str)
+
+
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_copies_are_found_by_similarity(spark, sf):
+    """Near copies at a five-word similarity of 0.8 or more go, those well below it stay."""
+    rng = np.random.default_rng(10)
+    words = [f"w{k}" for k in range(3000)]
+    docs, planted = [], []
+    for i in range(400):
+        text = [words[k % 3000] for k in rng.zipf(1.4, int(rng.integers(80, 400)))]
+        docs.append((10 * i, " ".join(text)))
+        near = list(text)
+        for at in rng.integers(0, len(text), int(rng.integers(1, 12))):
+            near[at] = f"n{rng.integers(0, 10**6)}"
+        docs.append((10 * i + 1, " ".join(near)))
+        a, b = shingles(docs[-2][1]), shingles(docs[-1][1])
+        planted.append((len(a & b) / len(a | b), 10 * i + 1))
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, sf).collect()}
+    assert {d for d, _ in docs if d % 10 == 0} <= kept
+    caught = lambda lo, hi: np.mean([d not in kept for s, d in planted if lo <= s < hi])
+    assert caught(0.9, 1) > 0.98 and caught(0.8, 0.9) > 0.85 and caught(0, 0.65) < 0.05
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd_docs, no_docs, sf):
+    """Nulls in any column, empty and long texts, repeated rows, clashing columns and empty tables pass every stage."""
+    for table in (odd_docs, no_docs, odd_docs.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in odd_docs.schema])):
+        docs = table
+        for name, stage in corpus_pipeline.STAGES:
+            each = stage(spark, table, sf)
+            assert each.count() >= 0
+            docs = materialise(stage(spark, docs, sf), "test")
+            if name != "pack_sequences":
+                assert docs.columns == each.columns == corpus_pipeline.COLUMNS
+    redacted = {r["text"] for r in corpus_pipeline.secret_scan(spark, odd_docs, sf).collect()}
+    assert None in redacted and "" in redacted and not any("deadbeefdeadbeef" in (t or "") for t in redacted)
+    near = corpus_pipeline.near_duplicates(spark, odd_docs, sf).collect()
+    assert sum(r["doc_id"] is None for r in near) == 1 and len({(r["doc_id"], r["text"]) for r in near}) == len(near)
