@@ -9,6 +9,8 @@ from motionspark.llm import mixing, packing, quality, secrets, simhash
 from motionspark.llm.common import materialise
 from motionspark.llm.queries import table, vocabulary
 
+#: Rows of the list of near copies up to which it is broadcast (24 bytes each).
+BROADCAST_ROWS = 1_000_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -18,19 +20,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays. Of rows with one id that are near copies one
-    stays, and rows with one id and different texts are judged each on its own; repeated ids are looked for among the ids,
-    and texts are only shuffled if there are any. Rows without an id stay."""
+    """Of each group of near copies (similarity of five-word shingles of 0.8 or more) the row with the smallest id stays,
+    one row of those with that id and text. Rows with one id and different texts are judged each on its own, and rows
+    without an id stay. A null text counts as a text without words. What goes is told by id and a hash of the text, so
+    texts stay where they are while the list of what goes is small; beyond a counted size it is joined by a shuffle."""
     docs = docs.select(*COLUMNS)
-    found = simhash.near_duplicates(docs)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    once = docs.join(gone.unionByName(repeated).distinct(), "doc_id", "left_anti").select(*COLUMNS)
-    stays = found.join(repeated, "doc_id", "left_semi").filter("doc_id = component_id").select("doc_id", "fp", "component").distinct()
-    several = docs.join(repeated, "doc_id", "left_semi").withColumn("fp", simhash.printed()).join(stays, ["doc_id", "fp"])
-    return once.unionByName(several.dropDuplicates(["doc_id", "component"]).select(*COLUMNS))
+    key = ["doc_id", "text_hash"]
+    found = simhash.near_copies(docs).filter("doc_id is not null")
+    first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    told = materialise(found.groupBy(*key).agg(F.count("*").alias("n"), F.bool_or(~first).alias("gone")).filter("gone or n > 1"), "told")
+    counts = told.agg(F.count("*"), F.count_if(~F.col("gone"))).first()
+    told = F.broadcast(told) if counts[0] <= BROADCAST_ROWS else told
+    marked = docs.withColumn("text_hash", F.xxhash64(F.col("text").cast("string"))).join(told, key, "left").filter("gone is null or not gone")
+    if not counts[1]:
+        return marked.select(*COLUMNS)
+    repeated = marked.filter("n > 1").dropDuplicates(key)
+    return marked.filter("n is null").select(*COLUMNS).unionByName(repeated.select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
