@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from motionspark.functions.kernels import hazen
+
 
 def smooth(image: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian filter over 2*ceil(2*sigma)+1 pixels with the border repeated."""
@@ -116,12 +118,12 @@ def seeds(cn, pnr, mask, levels, scales=(1.5, 3.0, 4.5), cn_uniform=False, mean=
             for s in scales:
                 take((cn > c) & (pnr > p) & local_maxima(smooth(cn, s)), cn * pnr, level)
     if not found or cn_uniform:
-        limit = max(0.9 * levels[-1][1], np.quantile(pnr[mask], 0.7)) if mask.any() else 0
+        limit = max(0.9 * levels[-1][1], hazen(pnr[mask], 70)) if mask.any() else 0
         for s in scales:
             take(local_maxima(smooth(pnr, s)) & (pnr > limit), pnr, 4)
     if not found and mean is not None and mask.any():
         m = smooth(mean * mask, g_sig)
-        take(local_maxima(m) & (m > np.quantile(m[mask], 0.4)), m, 5)
+        take(local_maxima(m) & (m > hazen(m[mask], 40)), m, 5)
     return sorted(((y, x, s, k) for (y, x), (s, k) in found.items()), key=lambda r: (-r[2], r[0], r[1]))
 
 

@@ -122,11 +122,11 @@ def detect_events(x: np.ndarray, fps: float, prominence: float = 0.03, widths: t
     return found, y[found]
 
 
-def kinetics(x: np.ndarray, fps: float, most_ratio: float = 3, taus: tuple[float, float] = (0.05, 8)) -> str | None:
-    """The reason for which up to five of the tallest peaks have wrong kinetics, if they have."""
+def kinetics_values(x: np.ndarray, fps: float) -> tuple[float | None, float | None]:
+    """Rise over decay and decay time (medians) of up to five of the tallest peaks; None with fewer than two peaks."""
     peaks = find_peaks(x, 0.05, int(0.5 * fps + 0.5))
     if len(peaks) < 2:
-        return None
+        return None, None
     rises, decays = [], []
     for p in peaks[np.argsort(-x[peaks], kind="stable")][:5]:
         start = max(0, p - int(2 * fps + 0.5))
@@ -137,11 +137,19 @@ def kinetics(x: np.ndarray, fps: float, most_ratio: float = 3, taus: tuple[float
             rises.append((p - low) / fps)
             decays.append((below[0] + 1) / fps)
     if not rises:
-        return None
+        return None, None
     up, down = np.median(rises), np.median(decays)
-    if up / (down + np.finfo(float).eps) > most_ratio:
+    return float(up / (down + np.finfo(float).eps)), float(down)
+
+
+def kinetics(x: np.ndarray, fps: float, most_ratio: float = 3, taus: tuple[float, float] = (0.05, 8)) -> str | None:
+    """The category of the kinetics that are wrong, if they are."""
+    ratio, tau = kinetics_values(x, fps)
+    if ratio is None:
+        return None
+    if ratio > most_ratio:
         return "kinetics_ratio"
-    return "kinetics_decay" if not taus[0] <= down <= taus[1] else None
+    return "kinetics_decay" if not taus[0] <= tau <= taus[1] else None
 
 
 def bad_steps(x: np.ndarray, fps: float, jump: float = 0.5) -> int:
@@ -161,14 +169,20 @@ def longest_plateau(x: np.ndarray, level: float = 0.7) -> int:
     return int((np.nonzero(d == -1)[0] - np.nonzero(d == 1)[0]).max(initial=0))
 
 
-def drifted(x: np.ndarray, fps: float, seconds: float = 5, limit: float = 0.5) -> bool:
-    """Whether the trimmed end lies off the trimmed start and most of the end is raised."""
+def drift_values(x: np.ndarray, fps: float, seconds: float = 5, limit: float = 0.5) -> tuple[float, float]:
+    """How far the trimmed end lies off the trimmed start, and how much of the end is raised."""
     n = min(int(seconds * fps + 0.5), len(x) // 4)
     if n < 1:
-        return False
+        return 0.0, 0.0
     start, end = x[:n], x[-n:]
     a, b = (np.median(w[w <= hazen(w, 90)]) for w in (start, end))
-    return bool(abs(b - a) > limit and (end > a + limit / 2).mean() > 0.5)
+    return float(abs(b - a)), float((end > a + limit / 2).mean())
+
+
+def drifted(x: np.ndarray, fps: float, seconds: float = 5, limit: float = 0.5) -> bool:
+    """Whether the trimmed end lies off the trimmed start and most of the end is raised."""
+    drift, raised = drift_values(x, fps, seconds, limit)
+    return drift > limit and raised > 0.5
 
 
 def negative_z(x: np.ndarray) -> float:

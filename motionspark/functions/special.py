@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -11,6 +12,12 @@ def normal_cdf(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
+def normal_cdfs(z: np.ndarray) -> np.ndarray:
+    """The same for many values; each different one is computed once."""
+    values, at = np.unique(z, return_inverse=True)
+    return np.fromiter(map(normal_cdf, values), float, len(values))[at]
+
+
 def beta_fraction(a: float, b: float, x: float) -> float:
     """The continued fraction of the incomplete beta function, by Lentz's method."""
     tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
@@ -52,6 +59,7 @@ def rank_sum_exact(u: float, n: int, m: int) -> float:
     return min(1.0, 2 * tail)
 
 
+@lru_cache(maxsize=512)
 def lilliefors_limit(n: int, alpha: float = 0.05, draws: int = 4000, seed: int = 42) -> float:
     """The limit of the D statistic of n normal values whose mean and spread are estimated, by a seeded simulation."""
     rng = np.random.default_rng((seed, n))

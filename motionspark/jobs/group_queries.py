@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from motionspark.jobs import motion_queries as mq
 from motionspark.jobs.motion_queries import FRAMES, JUDGED, hz, six
-from motionspark.operators import files, groups, series
+from motionspark.operators import files, groups, series, tables
+from motionspark.runtime import shared_folder
 from motionspark.sources.adapters import nested, table
 
 QUERIES, SQL = {}, {}
@@ -31,19 +30,14 @@ def query(name: str, sql: str | None = None):
 
 @query("io01_read_shifts", f"with {FRAMES} select recording, count(*) as n, round(sum(dx_um), 6) as dx, round(sum(dy_um), 6) as dy, count(*) filter (dx_um is null) as lost from frames group by recording")
 def io01(spark, sf):
-    """The frames written as CSV files, one a recording, and read back."""
+    """The frames written as CSV files, a folder for each recording, and read back."""
     raw = mq.raw_frames(spark, sf).select("recording", "frame", "dx_px", "dy_px")
-    path = f"{shared(spark)}/shifts-{uuid.uuid4().hex}"
-    raw.withColumnRenamed("recording", "name").repartition("name").write.partitionBy("name").option("header", True).csv(path)
-    got = spark.read.option("header", True).csv(path, schema="frame int, dx_px double, dy_px double, name string")
-    rows = got.select(F.col("name").alias("recording"), (F.col("dx_px") * 0.26).alias("dx_um"), (F.col("dy_px") * 0.26).alias("dy_um"))
+    path = f"{shared_folder(spark)}/shifts-{uuid.uuid4().hex}"
+    files.write_shifts(raw, path)
+    rows = files.read_shifts(spark, path, px_um=0.26, fps=1.0, glob="*.csv")
     return six(rows.groupBy("recording").agg(F.count("*").alias("n"), F.sum("dx_um").alias("dx"), F.sum("dy_um").alias("dy"), F.count_if(F.col("dx_um").isNull()).alias("lost")), "dx", "dy")
 
 
-def shared(spark) -> str:
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-shared-")).rstrip("/")
-
-
 @query("io02_normalize_file", "select c_custkey, regexp_replace(c_name || '.csv', '\\.csv$', '.avi') as \"File\" from customer")
 def io02(spark, sf):
     t = table(spark, sf, "customer").select("c_custkey", F.concat("c_name", F.lit(".csv")).alias("file"))
@@ -54,7 +48,7 @@ def io02(spark, sf):
 def io03(spark, sf):
     from motionspark.operators import gates
 
-    path = f"{shared(spark)}/tables-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
     for name, t in gates.motion_tables(mq.judged(spark, sf)).items():
         files.write_table(t, f"{path}/{name}")
     return six(files.read_motion_tables(spark, path), "Jitter_ratio").select("File", "ROI_ELIGIBLE", "Jitter_ratio")
@@ -69,7 +63,7 @@ def io08(spark, sf):
     t = table(spark, sf, "customer").select("c_custkey", "c_name")
     out = None
     for kind in KINDS:
-        path = f"{shared(spark)}/sink-{uuid.uuid4().hex}"
+        path = f"{shared_folder(spark)}/sink-{uuid.uuid4().hex}"
         files.write_table(t.select(F.col("c_custkey").cast("string").alias("value")) if kind == "text" else t, path, kind)
         if kind in ("csv", "tsv"):
             back = spark.read.option("header", True).option("sep", "\t" if kind == "tsv" else ",").csv(path)
@@ -99,9 +93,9 @@ def io06(spark, sf):
     return kept.groupBy("recording").agg(F.count("*").alias("n"))
 
 
-@query("io07_pending", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("io07_pending", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey % 3 <> 0)")
 def io07(spark, sf):
-    return files.pending(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return files.pending(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").filter("o_custkey % 3 <> 0").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("io09_group_label", """
@@ -120,17 +114,13 @@ METRICS = ("net_drift", "drift_rate", "median_step", "path")
 
 def per_file(spark, sf):
     """Metrics of each eligible recording, settled values first."""
-    judged = mq.judged(spark, sf).filter("movement_valid")
-    drift = series.net_drift(mq.frames(spark, sf), mq.WIN)
-    return judged.join(drift, "recording", "left").select(
-        F.concat("recording", F.lit(".avi")).alias("File"), F.col("group").alias("Group"), F.coalesce("net_drift_ps", "net_drift").alias("net_drift"), F.coalesce("drift_rate_ps", "drift_rate").alias("drift_rate"),
-        F.coalesce("med_step_ps", "median_step").alias("median_step"), F.coalesce("cum_path_ps", "cum_path").alias("path"), "jitter_ratio", F.col("duration_s"), F.col("post_start_frame").alias("ordinal"),
-    )
+    return tables.per_file_metrics(mq.judged(spark, sf), series.net_drift(mq.frames(spark, sf), mq.WIN))
 
 
 PER_FILE = f"""{JUDGED},
-drift as (select recording, max(n) - 1 as duration_s, sqrt((median(dx_um) filter (frame >= n - 30) - median(dx_um) filter (frame <= 31)) ** 2 + (median(dy_um) filter (frame >= n - 30) - median(dy_um) filter (frame <= 31)) ** 2) as net_drift from steps group by recording),
-per_file as (select recording || '.avi' as "File", "group" as "Group", coalesce(net_drift_ps, net_drift) as net_drift, coalesce(drift_rate_ps, net_drift / greatest(1e-9, duration_s)) as drift_rate, coalesce(med_step_ps, median_step) as median_step, coalesce(cum_path_ps, cum_path) as path, jitter_ratio, duration_s::double as duration_s from judged left join drift using (recording) where movement_valid)"""
+drift as (select recording, max(n) - 1 as duration_s, sqrt((median(dx_um) filter (frame >= n - 30) - median(dx_um) filter (frame <= 31)) ** 2 + (median(dy_um) filter (frame >= n - 30) - median(dy_um) filter (frame <= 31)) ** 2) as net_drift,
+  degrees(atan2(median(dy_um) filter (frame >= n - 30) - median(dy_um) filter (frame <= 31), median(dx_um) filter (frame >= n - 30) - median(dx_um) filter (frame <= 31))) as drift_angle from steps group by recording),
+per_file as (select recording || '.avi' as "File", "group" as "Group", coalesce(net_drift_ps, net_drift) as net_drift, coalesce(drift_rate_ps, net_drift / greatest(1e-9, duration_s)) as drift_rate, drift_angle, coalesce(med_step_ps, median_step) as median_step, coalesce(cum_path_ps, cum_path) as path, jitter_ratio, duration_s::double as duration_s from judged left join drift using (recording) where movement_valid)"""
 LONG = f"{PER_FILE}, long as (select \"Group\" as condition, \"File\" as sample, unnest(['net_drift', 'drift_rate', 'median_step', 'path']) as metric, unnest([net_drift, drift_rate, median_step, path]) as value from per_file)"
 
 
@@ -140,56 +130,48 @@ def motion_long(spark, sf):
 
 @query("m201_select_pass", f'with {JUDGED} select recording, round(med_step_ps, 6) as med_step_ps from judged where movement_valid')
 def m201(spark, sf):
-    judged = mq.judged(spark, sf)
-    return six(judged.select("recording", "med_step_ps").join(judged.filter("movement_valid").select("recording"), "recording", "left_semi"), "med_step_ps")
+    return six(tables.select_pass(mq.judged(spark, sf)), "med_step_ps").select("recording", "med_step_ps")
 
 
-@query("m202_per_file_metrics", f'with {PER_FILE} select "File", "Group", round(net_drift, 6) as net_drift, round(drift_rate, 6) as drift_rate, round(median_step, 6) as median_step, round(path, 6) as path, round(jitter_ratio, 6) as jitter_ratio, duration_s, round(jitter_ratio * drift_rate, 6) as mean_speed from per_file')
+@query("m202_per_file_metrics", f'with {PER_FILE} select "File", "Group", round(net_drift, 6) as net_drift, round(drift_rate, 6) as drift_rate, round(drift_angle, 6) as drift_angle, round(median_step, 6) as median_step, round(path, 6) as path, round(jitter_ratio, 6) as jitter_ratio, duration_s, round(jitter_ratio * drift_rate, 6) as mean_speed from per_file')
 def m202(spark, sf):
-    got = per_file(spark, sf).withColumn("mean_speed", F.col("jitter_ratio") * F.col("drift_rate")).drop("ordinal")
-    return six(got.withColumn("duration_s", F.col("duration_s").cast("double")), "net_drift", "drift_rate", "median_step", "path", "jitter_ratio", "mean_speed")
+    return six(per_file(spark, sf), *(c for c in tables.METRICS if c != "duration_s"))
 
 
 @query("m203_windowed_metrics", f"""with {FRAMES}, w as (select * from (select *, (frame - 1) / 60.0 as m from frames) where m between 0.25 and 0.75),
-s as (select *, row_number() over v as k, case when row_number() over v = 1 then 0.0 else sqrt((dx_um - lag(dx_um) over v) ** 2 + (dy_um - lag(dy_um) over v) ** 2) end as step from w window v as (partition by recording order by frame))
-select recording, count(*) as n, round(median(step), 6) as median_step, round(sum(step), 6) as path from s group by recording having count(*) >= 10""")
+s as (select *, row_number() over v as k, count(*) over (partition by recording) as n, case when row_number() over v = 1 then 0.0 else sqrt((dx_um - lag(dx_um) over v) ** 2 + (dy_um - lag(dy_um) over v) ** 2) end as step from w window v as (partition by recording order by frame)),
+d as (select recording, max(n) as n, median(step) as median_step, sum(step) as path, median(dx_um) filter (k >= n - 30) - median(dx_um) filter (k <= 31) as x, median(dy_um) filter (k >= n - 30) - median(dy_um) filter (k <= 31) as y from s group by recording having count(*) >= 10)
+select recording, n, round(sqrt(x * x + y * y), 6) as net_drift, round(sqrt(x * x + y * y) / (n - 1), 6) as drift_rate, round(degrees(atan2(y, x)), 6) as drift_angle, round(median_step, 6) as median_step, round(path, 6) as path,
+  round(path / greatest(1e-9, sqrt(x * x + y * y)), 4) as jitter_ratio, (n - 1)::double as duration_s, round(path / (n - 1), 6) as mean_speed from d""")
 def m203(spark, sf):
-    window = mq.frames(spark, sf).filter(F.col("time_min").between(0.25, 0.75)).withColumn("frame", F.row_number().over(series.in_series()))
-    got = series.step_size(window).groupBy("recording").agg(F.count("*").alias("n"), F.median("step_um").alias("median_step"), F.sum("step_um").alias("path")).filter("n >= 10")
-    return six(got, "median_step", "path")
+    got = tables.windowed_metrics(mq.frames(spark, sf), 0.25, 0.75)
+    return six(got, "net_drift", "drift_rate", "drift_angle", "median_step", "path", "mean_speed").withColumn("jitter_ratio", F.round("jitter_ratio", 4))
 
 
 @query("m204_union_groups", f'with {PER_FILE} select "File", "Group" as label, round(path, 6) as path from per_file')
 def m204(spark, sf):
     every = per_file(spark, sf)
-    control, experimental = (every.filter(F.col("Group") == g).drop("Group").withColumn("label", F.lit(g)) for g in ("control", "experimental"))
-    return six(control.unionByName(experimental).select("File", "label", "path"), "path")
+    control, experimental = (every.filter(F.col("Group") == g).drop("Group") for g in ("control", "experimental"))
+    return six(tables.union_groups(control, experimental).select("File", "label", "path"), "path")
 
 
 def sizes(spark, sf):
-    return table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count_if(F.col("c_acctbal") > 8000).alias("a"), F.count_if(F.col("c_acctbal") < -500).alias("b"))
+    return table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count_if(F.col("c_acctbal") >= 4500).alias("a"), F.count_if(F.col("c_acctbal") < 4500).alias("b"))
 
 
 @query("m205_sample_size_warnings", """
-with s as (select c_nationkey, count(*) filter (c_acctbal > 8000) as a, count(*) filter (c_acctbal < -500) as b from customer group by c_nationkey)
+with s as (select c_nationkey, count(*) filter (c_acctbal >= 4500) as a, count(*) filter (c_acctbal < 4500) as b from customer group by c_nationkey)
 select c_nationkey, concat_ws(';', case when a < 3 then 'CRITICAL: control' end, case when b < 3 then 'CRITICAL: experimental' end, case when a >= 3 and a < 10 then 'CAUTION: control' end, case when b >= 3 and b < 10 then 'CAUTION: experimental' end,
   case when a > 0 and b > 0 and greatest(a, b) / least(a, b) > 3 then 'IMBALANCE' end) as warnings from s""")
 def m205(spark, sf):
-    a, b = F.col("a"), F.col("b")
-    warn = [("CRITICAL: control", a < 3), ("CRITICAL: experimental", b < 3), ("CAUTION: control", (a >= 3) & (a < 10)), ("CAUTION: experimental", (b >= 3) & (b < 10)), ("IMBALANCE", (a > 0) & (b > 0) & (F.greatest(a, b) > 3 * F.least(a, b)))]
-    return sizes(spark, sf).select("c_nationkey", F.concat_ws(";", *[F.when(c, w) for w, c in warn]).alias("warnings"))
+    return tables.sample_size_warnings(sizes(spark, sf)).select("c_nationkey", "warnings")
 
 
 @query("m206_duration_warnings", f"""with {PER_FILE}, d as (select stddev_samp(duration_s) filter ("Group" = 'control') / avg(duration_s) filter ("Group" = 'control') * 100 as c, stddev_samp(duration_s) filter ("Group" = 'experimental') / avg(duration_s) filter ("Group" = 'experimental') * 100 as e,
   avg(duration_s) filter ("Group" = 'control') as mc, avg(duration_s) filter ("Group" = 'experimental') as me from per_file)
-select round(c, 6) as cv_control, round(e, 6) as cv_experimental, coalesce(c > 10, false) as warn_control, coalesce(e > 10, false) as warn_experimental, coalesce(abs(mc - me) / ((mc + me) / 2) * 100 > 25, false) as mismatch from d""")
+select round(c, 6) as cv_control, round(e, 6) as cv_experimental, coalesce(c > 20, false) as warn_control, coalesce(e > 20, false) as warn_experimental, coalesce(abs(mc - me) / ((mc + me) / 2) * 100 > 25, false) as mismatch from d""")
 def m206(spark, sf):
-    x = lambda g: F.when(F.col("Group") == g, F.col("duration_s"))
-    cv = lambda g: F.stddev_samp(x(g)) / F.avg(x(g)) * 100
-    got = per_file(spark, sf).agg(cv("control").alias("cv_control"), cv("experimental").alias("cv_experimental"), F.avg(x("control")).alias("mc"), F.avg(x("experimental")).alias("me"))
-    mismatch = F.abs(F.col("mc") - F.col("me")) / ((F.col("mc") + F.col("me")) / 2) * 100 > 25
-    flag = lambda c: F.coalesce(c, F.lit(False))
-    return six(got.select("cv_control", "cv_experimental", flag(F.col("cv_control") > 10).alias("warn_control"), flag(F.col("cv_experimental") > 10).alias("warn_experimental"), flag(mismatch).alias("mismatch")), "cv_control", "cv_experimental")
+    return six(tables.duration_warnings(per_file(spark, sf)), "cv_control", "cv_experimental")
 
 
 NEST = "long as (select l_linestatus as condition, l_suppkey as sample, unnest(['quantity', 'price', 'discount']) as metric, unnest([l_quantity::double, l_extendedprice::double, l_discount::double]) as value from lineitem)"
@@ -217,6 +199,12 @@ def m209(spark, sf):
     return groups.welch_t(groups.moments(nest(spark, sf), "F", "O")).select("metric", F.round("t", 6).alias("t"), F.round("df", 4).alias("df"))
 
 
+@query("m209_welch_p")
+def m209p(spark, sf):
+    """t with its two-sided p, which SQL has no function for (tested against tabled values)."""
+    return six(groups.welch_t(groups.moments(nest(spark, sf), "F", "O")), "t", "p").drop("df")
+
+
 RANKS = """ranked as (select metric, condition, rank() over (partition by metric order by value) + (count(*) over (partition by metric, value) - 1) / 2 as r from long where value is not null),
 sums as (select metric, count(*) filter (condition = 'F') as n1, count(*) filter (condition = 'O') as n2, sum(r) filter (condition = 'F') as r1 from ranked group by metric),
 us as (select metric, n1, n2, r1 - n1 * (n1 + 1) / 2 as u from sums)"""
@@ -228,18 +216,24 @@ def m210(spark, sf):
     return got.select("metric", F.col("n1").cast("double").alias("n1"), F.col("n2").cast("double").alias("n2"), "u", F.round("z", 6).alias("z"))
 
 
+@query("m210_rank_p")
+def m210p(spark, sf):
+    """z with its two-sided p (tested against tabled values)."""
+    return six(groups.mann_whitney(groups.rank_sums(nest(spark, sf), "F", "O")), "z", "p").select("metric", "z", "p")
+
+
 def means(spark, sf):
     return groups.sample_means(nest(spark, sf))
 
 
 @query("m211_bootstrap_mean_diff")
 def m211(spark, sf):
-    return six(groups.bootstrap_mean_diff(means(spark, sf), "F", "O", 1000), "ci_low", "ci_high")
+    return six(groups.bootstrap_mean_diff(means(spark, sf), "F", "O", 10_000), "ci_low", "ci_high")
 
 
 @query("m212_permutation_test")
 def m212(spark, sf):
-    return six(groups.permutation_test(means(spark, sf), "F", "O", 1000), "p_permutation")
+    return six(groups.permutation_test(means(spark, sf), "F", "O", 10_000), "p_permutation")
 
 
 G = "(m2 - m1) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) * (1 - 3 / (4 * (n1 + n2) - 9))"
@@ -265,14 +259,9 @@ def m214(spark, sf):
 
 @query("m215_compare_groups")
 def m215(spark, sf):
-    """One row a metric: moments, Welch's t, ranks, effect, resampling and corrected p."""
-    long = motion_long(spark, sf)
-    m = groups.moments(long, "control", "experimental")
-    t = groups.welch_t(m)
-    u = groups.mann_whitney(groups.rank_sums(long, "control", "experimental"), 10).select("metric", "u", F.col("p").alias("p_rank"))
-    per = groups.sample_means(long)
-    got = m.join(t, "metric").join(u, "metric").join(groups.hedges_g(m), "metric").join(groups.bootstrap_mean_diff(per, "control", "experimental", 500), "metric").join(groups.permutation_test(per, "control", "experimental", 500), "metric")
-    return groups.fdr_bh(got, "p_rank")
+    """One row a metric: description, Welch's t, ranks, effect, resampling and corrected p (each of them has an oracle or
+    a fixture of its own)."""
+    return tables.compare_groups(motion_long(spark, sf), "control", "experimental")
 
 
 @query("m216_rank_samples", f"""with {PER_FILE}, o as (select *, row_number() over (order by "File") as ordinal from per_file),
@@ -280,22 +269,32 @@ r as (select *, case when median_step is not null then row_number() over (order
 s as (select *, (coalesce(a, 0) + coalesce(b, 0)) / nullif((a is not null)::int + (b is not null)::int, 0) as avg_rank from r)
 select "File", a::int as median_step_rank, b::int as jitter_ratio_rank, round(avg_rank, 6) as avg_rank, (row_number() over (order by avg_rank nulls last, ordinal))::int as overall_rank from s""")
 def m216(spark, sf):
-    wide = per_file(spark, sf).withColumn("ordinal", F.row_number().over(Window.orderBy("File")))
+    wide = groups.places(per_file(spark, sf).drop("ordinal"), ["File"], "ordinal")
     return six(groups.rank_samples(wide, ["median_step", "jitter_ratio"]), "avg_rank").select("File", "median_step_rank", "jitter_ratio_rank", "avg_rank", "overall_rank")
 
 
 @query("m217_effect_order", f"with {NEST}, {MOMENTS} select metric, round(m2 - m1, 6) as diff, (row_number() over (order by abs(m2 - m1) desc))::int as place from m")
 def m217(spark, sf):
-    m = groups.moments(nest(spark, sf), "F", "O").select("metric", (F.col("m2") - F.col("m1")).alias("diff"))
-    return six(m.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.abs("diff"))))), "diff")
+    return six(tables.effect_order(groups.moments(nest(spark, sf), "F", "O")), "diff")
 
 
-@query("m218_conclusions", f"with {NEST}, {MOMENTS}, g as (select *, {G} as g from m) select metric, round(100 * (m2 - m1) / m1, 6) as pct_change, case when m2 > m1 then 'increase' when m2 < m1 then 'decrease' else 'none' end as direction, abs(g) >= 0.2 as notable from g")
-def m218(spark, sf):
+CONCLUDED = f"""with {NEST}, {MOMENTS}, g as (select *, {G} as g from m),
+c as (select metric, 100 * (m2 - m1) / abs(m1) as pct_change, case when m2 > m1 then 'increase' when m2 < m1 then 'decrease' else 'none' end as direction, case when abs(g) >= 0.8 then 'large' when abs(g) >= 0.5 then 'medium' when abs(g) >= 0.2 then 'small' else 'none' end as effect_size, abs(g) >= 0.2 as notable from g)"""
+
+
+def concluded(spark, sf):
     m = groups.moments(nest(spark, sf), "F", "O")
-    gap = F.col("m2") - F.col("m1")
-    got = m.join(groups.hedges_g(m), "metric").select("metric", (100 * gap / F.col("m1")).alias("pct_change"), F.when(gap > 0, "increase").when(gap < 0, "decrease").otherwise("none").alias("direction"), (F.abs("g") >= 0.2).alias("notable"))
-    return six(got, "pct_change")
+    return tables.conclusions(m.join(groups.hedges_g(m), "metric"))
+
+
+@query("m218_conclusions", f"{CONCLUDED} select metric, round(pct_change, 6) as pct_change, direction, effect_size, notable from c")
+def m218(spark, sf):
+    return six(concluded(spark, sf), "pct_change").drop("ci_excludes_zero", "significant")
+
+
+@query("m218_conclusion_counts", f"{CONCLUDED} select count(*) filter (effect_size = 'large') as n_large, count(*) filter (effect_size = 'medium') as n_medium, count(*) filter (effect_size = 'small') as n_small from c")
+def m218c(spark, sf):
+    return tables.conclusion_counts(concluded(spark, sf)).select("n_large", "n_medium", "n_small")
 
 
 @query("m219_box_stats", f"with {NEST}, q as (select metric, condition, {hz('v', 25)} as q1, {hz('v', 50)} as med, {hz('v', 75)} as q3 from {DESCRIBE}) select metric, condition, round(q1, 6) as q1, round(med, 6) as median, round(q3, 6) as q3, round(q3 + 1.5 * (q3 - q1), 6) as fence, count(*) filter (value > q3 + 1.5 * (q3 - q1)) as n_outliers from long join q using (metric, condition) group by all")
@@ -305,10 +304,8 @@ def m219(spark, sf):
 
 @query("m220_timecourse_overlay", f"with {mq.MINUTES} select \"group\", minute, count(median_step) as n_active, round(avg(median_step) - coalesce(stddev_samp(median_step), 0) / sqrt(count(median_step)), 6) as low, round(avg(median_step) + coalesce(stddev_samp(median_step), 0) / sqrt(count(median_step)), 6) as high from minutes group by all")
 def m220(spark, sf):
-    t = series.group_timecourse(series.per_minute_median(mq.frames(spark, sf)))
-    control, experimental = t.filter("group = 'control'"), t.filter("group = 'experimental'")
-    both = control.unionByName(experimental)
-    return six(both.select("group", "minute", "n_active", (F.col("mean_um") - F.col("sem_um")).alias("low"), (F.col("mean_um") + F.col("sem_um")).alias("high")), "low", "high")
+    t = tables.timecourse_overlay(series.per_minute_median(mq.frames(spark, sf)))
+    return six(t.select("group", "minute", "n_active", "low", "high"), "low", "high")
 
 
 # ---- nested statistics -------------------------------------------------------------------------------------------
@@ -316,20 +313,19 @@ def m220(spark, sf):
 
 @query("st01_sample_table", f"with {MEANS} select condition, sample, max(n) as n, round(max(mean) filter (metric = 'quantity'), 6) as quantity, round(max(mean) filter (metric = 'price'), 6) as price, round(least(100, max(mean) filter (metric = 'discount') * 1900), 6) as pct from means group by all")
 def st01(spark, sf):
-    wide = means(spark, sf).groupBy("condition", "sample").pivot("metric", ["quantity", "price", "discount"]).agg(F.first("mean"))
-    n = means(spark, sf).groupBy("condition", "sample").agg(F.max("n").alias("n"))
-    return six(wide.join(n, ["condition", "sample"]).select("condition", "sample", "n", "quantity", "price", F.least(F.lit(100.0), F.coalesce("discount", F.lit(0.0)) * 1900).alias("pct")), "quantity", "price", "pct")
+    wide = tables.sample_table(means(spark, sf), ["quantity", "price", "discount"])
+    return six(wide.select("condition", "sample", "n", "quantity", "price", F.least(F.lit(100.0), F.coalesce("discount", F.lit(0.0)) * 1900).alias("pct")), "quantity", "price", "pct")
 
 
 @query("st02_group_summary", f"with {MEANS} select condition, metric, count(*) as n_samples, sum(n)::bigint as n_values, round(avg(mean), 6) as sample_mean, round(stddev_samp(mean), 6) as sample_sd, round(sum(n * mean) / sum(n), 6) as value_mean from means group by all")
 def st02(spark, sf):
-    got = means(spark, sf).groupBy("condition", "metric").agg(F.count("*").alias("n_samples"), F.sum("n").alias("n_values"), F.avg("mean").alias("sample_mean"), F.stddev_samp("mean").alias("sample_sd"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("value_mean"))
-    return six(got, "sample_mean", "sample_sd", "value_mean")
+    return six(tables.group_summary(means(spark, sf)), "sample_mean", "sample_sd", "value_mean")
 
 
-@query("st03_metric_long", f"with {NEST} select condition, metric, count(value) as n, round(sum(value), 2) as total from long where value is not null group by all")
+@query("st03_metric_long", f"with {MEANS}, k as (select condition, sample, metric, mean from means) select condition, sample, metric, round(mean, 6) as value from k where mean is not null")
 def st03(spark, sf):
-    return nest(spark, sf).filter("value is not null").groupBy("condition", "metric").agg(F.count("value").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    wide = tables.sample_table(means(spark, sf), ["quantity", "price", "discount"])
+    return six(tables.metric_long(wide, ["condition", "sample"], ["quantity", "price", "discount"]), "value")
 
 
 @query("st04_cliffs_delta", f"with {NEST}, {RANKS}, d as (select metric, 2 * u / (n1 * n2) - 1 as d from us) select metric, round(d, 6) as delta, round((1 + d) / 2, 6) as probability, case when abs(d) < 0.147 then 'negligible' when abs(d) < 0.33 then 'small' when abs(d) < 0.474 then 'medium' else 'large' end as effect from d")
@@ -342,17 +338,28 @@ def st05(spark, sf):
     return six(groups.cohens_d(groups.moments(nest(spark, sf), "F", "O")), "cohens_d")
 
 
-@query("st06_bonferroni", f"with {P_SQL}, b as (select metric, p, least(1, p * count(p) over ()) as c, 0.05 / count(p) over () as a from p) select metric, p, round(c, 6) as p_bonferroni, round(a, 9) as alpha_bonferroni, case when c < 0.001 then '***' when c < 0.01 then '**' when c < 0.05 then '*' else 'n.s.' end as stars from b")
+@query("st06_bonferroni", f"with {P_SQL}, b as (select metric, p, least(1, p * count(p) over ()) as c, 0.05 / count(p) over () as a from p) select metric, p, round(c, 6) as p_bonferroni, round(a, 9) as alpha_bonferroni, case when p is null or p >= a then 'n.s.' when p < 0.001 then '***' when p < 0.01 then '**' when p < 0.05 then '*' else 'n.s.' end as stars from b")
 def st06(spark, sf):
     return groups.bonferroni(some_p(spark, sf)).withColumns({"p_bonferroni": F.round("p_bonferroni", 6), "alpha_bonferroni": F.round("alpha_bonferroni", 9)})
 
 
-@query("st07_compare_conditions")
+SIDES = f"d as (select metric, condition, n, mean, coalesce(sd, 0) as sd, {hz('v', 50)} as median, {hz('v', 75)} - {hz('v', 25)} as iqr from {DESCRIBE})"
+COMPARED = ("median1", "sd1", "iqr1", "median2", "sd2", "iqr2", "delta", "cohens_d")
+
+
+@query("st07_compare_conditions", f"""with {NEST}, {MOMENTS}, {RANKS}, {SIDES}
+select m.metric, n1, n2, round(a.median, 6) as median1, round(a.sd, 6) as sd1, round(a.iqr, 6) as iqr1, round(b.median, 6) as median2, round(b.sd, 6) as sd2, round(b.iqr, 6) as iqr2, u::double as u,
+  round(2 * u / (m.n1 * m.n2) - 1, 6) as delta, round((m1 - m2) / sqrt(((m.n1 - 1) * v1 + (m.n2 - 1) * v2) / (m.n1 + m.n2 - 2)), 6) as cohens_d
+from m join (select metric, u from us) us on us.metric = m.metric join d a on a.metric = m.metric and a.condition = 'F' join d b on b.metric = m.metric and b.condition = 'O'""")
 def st07(spark, sf):
-    long = nest(spark, sf)
-    m, u = groups.moments(long, "F", "O"), groups.rank_sums(long, "F", "O")
-    tests = groups.mann_whitney(u).select("metric", "u", "p")
-    return groups.bonferroni(m.join(tests, "metric").join(groups.cliffs_delta(u), "metric").join(groups.cohens_d(m), "metric"))
+    """Without p and what follows from it, which SQL has no function for (``st07_significance``)."""
+    return six(tables.compare_conditions(nest(spark, sf), "F", "O").select("metric", "n1", "n2", "u", *COMPARED), *COMPARED)
+
+
+@query("st07_significance")
+def st07p(spark, sf):
+    got = tables.compare_conditions(nest(spark, sf), "F", "O")
+    return six(got.select("metric", "p", "p_bonferroni", "stars", "effect", "significant", "significant_but_negligible", "large_but_not_significant"), "p", "p_bonferroni")
 
 
 @query("st08_normality_screen", f"with {NEST}, k as (select metric, condition, sum((value - a) ** 3) / count(*) / (sum((value - a) ** 2) / count(*)) ** 1.5 as s, sum((value - a) ** 4) / count(*) / (sum((value - a) ** 2) / count(*)) ** 2 as k from (select *, avg(value) over (partition by metric, condition) as a from long) group by all) select metric, condition, round(s, 5) as skewness, round(k, 5) as kurtosis, abs(s) > 1 or abs(k - 3) > 2 as non_normal from k")
@@ -367,20 +374,16 @@ def st09(spark, sf):
 
 @query("st10_motion_quality_counts", f'with {JUDGED} select "group", count(*) filter (motion_quality = \'GOOD\') as good, count(*) filter (motion_quality = \'HIGH_MOTION\') as high_motion, count(*) filter (motion_quality = \'SPIKY\') as spiky from judged group by "group"')
 def st10(spark, sf):
-    return mq.judged(spark, sf).groupBy("group").agg(*[F.count_if(F.col("motion_quality") == q).alias(q.lower()) for q in ("GOOD", "HIGH_MOTION", "SPIKY")])
+    return tables.motion_quality_counts(mq.judged(spark, sf))
 
 
-@query("st11_join_motion", """
-with s as (select c_custkey, case when c_custkey % 2 = 0 then upper(c_name) else substr(c_name, 1, length(c_name) - 1) end as stem from customer where c_nationkey = 3),
-m as (select c_name as stem, c_custkey as ordinal from customer where c_nationkey < 6),
-e as (select s.c_custkey, s.stem, m.stem as motion_stem, 'exact' as match from s join m on lower(s.stem) = lower(m.stem)),
-r as (select s.c_custkey, s.stem, min(m.ordinal) as o from s join m on contains(lower(m.stem), lower(s.stem)) where lower(s.stem) not in (select lower(stem) from m) group by all)
-select * from e union all select r.c_custkey, r.stem, m.stem, 'contains' from r join m on m.ordinal = r.o""")
+@query("st11_join_motion")
 def st11(spark, sf):
+    """All customers on both sides; a stem that is cut short is looked for inside the others (tested on a fixture, for the
+    plain form compares every stem with every other)."""
     c = table(spark, sf, "customer")
-    s = c.filter("c_nationkey = 3").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.upper("c_name")).otherwise(F.expr("substr(c_name, 1, length(c_name) - 1)")).alias("stem"))
-    m = c.filter("c_nationkey < 6").select(F.col("c_name").alias("stem"), F.col("c_custkey").alias("ordinal"))
-    return files.join_motion(s, m)
+    s = c.select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.upper("c_name")).otherwise(F.expr("substr(c_name, 1, length(c_name) - 1)")).alias("stem"))
+    return files.join_motion(s, c.select(F.col("c_name").alias("stem"), F.col("c_custkey").alias("ordinal")))
 
 
 ICC = f"""with {NEST}, per as (select metric, condition, sample, count(*) as n, avg(value) as m, sum(value * value) as ss from long group by all),
@@ -401,23 +404,23 @@ def st13(spark, sf):
 
 @query("st14_cluster_bootstrap")
 def st14(spark, sf):
-    return six(groups.bootstrap_mean_diff(means(spark, sf), "F", "O", 1000, seed=14), "ci_low", "ci_high")
+    return six(groups.bootstrap_mean_diff(means(spark, sf), "F", "O", 5000, seed=14), "ci_low", "ci_high")
 
 
 @query("st15_hierarchical_bootstrap")
 def st15(spark, sf):
-    return six(groups.hierarchical_bootstrap(nest(spark, sf), "F", "O", 200), "ci_low", "ci_high")
+    return six(groups.hierarchical_bootstrap(nest(spark, sf), "F", "O", 2000), "ci_low", "ci_high")
 
 
 @query("st16_bootstrap_effect_ci")
 def st16(spark, sf):
-    return six(groups.bootstrap_effect(means(spark, sf), "F", "O", replicates=500), "effect_low", "effect_high")
+    return six(groups.bootstrap_effect(means(spark, sf), "F", "O", replicates=5000), "effect_low", "effect_high")
 
 
 @query("st17_hierarchical_permutation")
 def st17(spark, sf):
     """Whole samples change their label; regions stay in their sample."""
-    return six(groups.permutation_test(means(spark, sf), "F", "O", 1000, seed=17), "p_permutation")
+    return six(groups.permutation_test(means(spark, sf), "F", "O", 10_000, seed=17, plain=True), "p_permutation")
 
 
 SPEARMAN = f"""with {MEANS}, w as (select condition, sample, max(mean) filter (metric = 'quantity') as x, max(mean) filter (metric = 'price') as y from means group by all),
@@ -427,30 +430,25 @@ select condition, count(*) as n, round(corr(rx, ry), 6) as rho from r group by c
 
 @query("st18_spearman", SPEARMAN)
 def st18(spark, sf):
-    wide = means(spark, sf).groupBy("condition", "sample").pivot("metric", ["quantity", "price"]).agg(F.first("mean"))
-    rank = lambda c: F.rank().over(Window.partitionBy("condition").orderBy(c)) + (F.count("*").over(Window.partitionBy("condition", c)) - 1) / 2.0
-    ranked = wide.select("condition", rank("quantity").alias("x"), rank("price").alias("y"))
-    return six(ranked.groupBy("condition").agg(F.count("*").alias("n"), F.corr("x", "y").alias("rho")).filter("n > 3"), "rho")
+    return six(tables.spearman(tables.sample_table(means(spark, sf), ["quantity", "price"]), "condition", "quantity", "price"), "rho")
 
 
-@query("st19_ecdf", f"with {NEST} select distinct metric, condition, value, round(cume_dist() over (partition by metric, condition order by value), 6) as ecdf from long where metric = 'quantity'")
+@query("st19_ecdf", f"with {NEST} select distinct metric, condition, value, round(cume_dist() over (partition by metric, condition order by value), 6) as ecdf from long where value is not null")
 def st19(spark, sf):
-    return six(groups.ecdf(nest(spark, sf).filter("metric = 'quantity'")), "ecdf")
+    return six(groups.ecdf(nest(spark, sf)), "ecdf")
 
 
 @query("st20_removal_breakdown", "with k as (select l_linestatus as condition, l_suppkey, unnest(['A', 'N', 'R']) as category, unnest([count(*) filter (l_returnflag = 'A'), count(*) filter (l_returnflag = 'N'), count(*) filter (l_returnflag = 'R')]) as n from lineitem group by l_linestatus, l_suppkey) select condition, category, round(avg(n), 6) as mean_removed from k group by all having avg(n) > 0")
 def st20(spark, sf):
     wide = table(spark, sf, "lineitem").groupBy(F.col("l_linestatus").alias("condition"), "l_suppkey").agg(*[F.count_if(F.col("l_returnflag") == c).alias(c) for c in "ANR"])
-    got = wide.unpivot(["condition", "l_suppkey"], list("ANR"), "category", "n").groupBy("condition", "category").agg(F.avg("n").alias("mean_removed")).filter("mean_removed > 0")
-    return six(got, "mean_removed").orderBy(F.desc("mean_removed"))
+    return six(tables.removal_breakdown(wide, list("ANR")), "mean_removed")
 
 
 @query("st21_cv", f"with {MEANS} select metric, condition, round(100 * stddev_samp(mean) / avg(mean), 6) as cv from means group by all")
 def st21(spark, sf):
-    return six(means(spark, sf).groupBy("metric", "condition").agg((100 * F.stddev_samp("mean") / F.avg("mean")).alias("cv")), "cv")
+    return six(tables.cv(means(spark, sf)), "cv")
 
 
 @query("st22_forest_table")
 def st22(spark, sf):
-    long = nest(spark, sf)
-    return groups.cliffs_delta(groups.rank_sums(long, "F", "O")).join(groups.bootstrap_effect(means(spark, sf), "F", "O", replicates=500), "metric")
+    return six(groups.forest_table(nest(spark, sf), "F", "O"), "delta", "effect_low", "effect_high")

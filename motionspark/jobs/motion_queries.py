@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from motionspark.operators import gates, series
+from motionspark.operators import gates, series, tables
 from motionspark.sources.adapters import frames as raw_frames
 from motionspark.sources.adapters import table
 
@@ -312,8 +312,7 @@ def mo29(spark, sf):
 select recording, round(median_step, 6) as median_step, round(cum_path, 6) as cum_path, round(median_step_late, 6) as median_step_late, round(sqrt(x * x + y * y), 6) as net_drift from e""")
 def mo30(spark, sf):
     """A fixed settling time (20 frames here) and no reposition cleaning."""
-    f = frames(spark, sf)
-    got = series.step_stats(f).join(series.net_drift(f, WIN), "recording").join(f.groupBy("recording").agg(F.median(F.when(F.col("frame") > 20, F.col("step_um"))).alias("median_step_late")), "recording")
+    got = tables.motion_summary(frames(spark, sf), WIN, 20)
     return six(got, "median_step", "cum_path", "median_step_late", "net_drift").select("recording", "median_step", "cum_path", "median_step_late", "net_drift")
 
 

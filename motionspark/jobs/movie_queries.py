@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from motionspark.jobs.motion_queries import hz, six
 from motionspark.operators import movies, refine
+from motionspark.operators.traces import mean_of
 from motionspark.sources import adapters
 
 QUERIES, SQL = {}, {}
@@ -33,15 +34,8 @@ MV = """mv as (select 'L' || label as recording, row_number() over (partition by
 pix as (select recording, frame, (i // 8)::int as y, (i % 8)::int as x, value from (select recording, frame, unnest(range(64)) as i, unnest(px) as value from mv))"""
 
 
-def pixels(spark, sf):
-    long = movie(spark, sf).select("recording", "frame", F.posexplode("pixels").alias("i", "value"))
-    return long.select("recording", "frame", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"), "value")
-
-
 @query("io05_read_frames", f"with {MV} select recording, count(*) as n_frames, round(avg(list_avg(px)), 6) as mean from mv group by recording")
 def io05(spark, sf):
-    from motionspark.operators.traces import mean_of
-
     return six(movie(spark, sf).groupBy("recording").agg(F.count("*").alias("n_frames"), F.avg(mean_of(F.col("pixels"))).alias("mean")), "mean")
 
 
@@ -66,10 +60,11 @@ def im02(spark, sf):
 
 
 @query("im03_motion_quality", r"""with f as (select 'S' || user_id as recording, (value - 50) / 10 as dx, (try_cast(regexp_extract(props, '(\d+)', 1) as double) - 50) / 10 as dy, event_type = 'error' and event_id % 7 = 0 as lost from events),
-q as (select recording, max(greatest(abs(case when not coalesce(lost, false) then dx end), abs(case when not coalesce(lost, false) then dy end))) as m from f group by recording)
-select recording, round(m, 6) as max_shift, case when m > 9 then 'excessive_motion' when m > 4.5 then 'high_motion' else 'good' end as motion_quality from q""")
+k as (select recording, case when not coalesce(lost, false) then dx end as dx, case when not coalesce(lost, false) then dy end as dy from f),
+q as (select recording, max(greatest(abs(dx), abs(dy))) as m, greatest(max(dx) - min(dx), max(dy) - min(dy)) as r from k group by recording)
+select recording, round(m, 6) as max_shift, round(r, 6) as shift_range, case when m > 9 then 'excessive_motion' when r > 9 then 'high_motion' else 'good' end as motion_quality from q""")
 def im03(spark, sf):
-    return six(movies.motion_quality(adapters.frames(spark, sf), 9), "max_shift")
+    return six(movies.motion_quality(adapters.frames(spark, sf), 9), "max_shift", "shift_range")
 
 
 @query("im04_align_shifts", f"""with {MV}, s as (select recording, frame, frame * 0.5 as dx, -frame * 0.25 as dy from mv where frame <= 20 and frame % 3 <> 0)
@@ -121,17 +116,42 @@ def maps(spark, sf):
     return movies.cn_pnr_maps(movie(spark, sf), 20)
 
 
-@query("im10_map_stats", f"""with {CN}, v as (select recording, avg(cn) as cm, median(cn) as cd, min(cn) as c0, max(cn) as c1, avg(pnr) as pm, max(pnr) as p1, list_sort(list(cn)) as cl, list_sort(list(pnr)) as pl from cnp group by recording)
-select recording, round(cm, 6) as cn_mean, round(cd, 6) as cn_median, round(c1, 6) as cn_max, round({hz('cl', 75)}, 6) as cn_p75, round(pm, 6) as pnr_mean, round({hz('pl', 90)}, 6) as pnr_p90, c1 - c0 < 0.15 and cd > 0.7 as cn_uniform, case when p1 < 3 then 'low_pnr' when c1 < 0.3 then 'low_cn' else 'good' end as data_quality from v""")
+INSIDE = f"{CN}, inside as (select * from cnp where y between 1 and 6)"
+MEASURES = ("mean", "median", "std", "min", "max", *(f"p{k}" for k in movies.PERCENTILES))
+
+
+def map_sql(c: str) -> str:
+    """The measures of one map as SQL."""
+    plain = {"mean": f"avg({c})", "median": f"median({c})", "std": f"stddev_samp({c})", "min": f"min({c})", "max": f"max({c})"}
+    return ", ".join(f"{plain.get(k) or hz(f'list_sort(list({c}))', int(k[1:]))} as {c}_{k}" for k in MEASURES)
+
+
+def map_stats_sql(least_c: float, least_p: float, rows: str) -> str:
+    return f"""v as (select recording, {map_sql("cn")}, {map_sql("pnr")} from {rows} group by recording),
+ms as (select *, cn_max - cn_min as cn_range, cn_max - cn_min < 0.15 and cn_median > 0.7 as cn_uniform, case when pnr_max < {least_p} then 'low_pnr' when cn_max < {least_c} then 'poor_correlation' else 'normal' end as data_quality,
+  pnr_p75 < {least_p} as weak_signal_mode, case when pnr_p75 < {least_p} then {0.75 * least_p} else {least_p} end::double as effective_min_pnr, case when pnr_p75 < {least_p} then {0.8 * least_c} else {least_c} end::double as effective_min_corr from v)"""
+
+
+LEVELS = """t as (select *, greatest(effective_min_corr, least(cn_p75, 0.6)) as c, greatest(effective_min_pnr, least(pnr_p75, 6)) as p from ms),
+lv as (select recording, cn_uniform, 1 as level, 'strict' as name, c as cn, p as pnr from t union all select recording, cn_uniform, 2, 'medium', greatest(effective_min_corr, 0.7 * c), greatest(0.8 * effective_min_pnr, 0.7 * p) from t union all select recording, cn_uniform, 3, 'relaxed', effective_min_corr, effective_min_pnr from t)"""
+MAP_COLUMNS = (*(f"{c}_{k}" for c in ("cn", "pnr") for k in MEASURES), "cn_range")
+
+
+@query("im10_map_stats", f"with {INSIDE}, {map_stats_sql(0.3, 3.0, 'inside')} select recording, {', '.join(f'round({c}, 6) as {c}' for c in MAP_COLUMNS)}, cn_uniform, data_quality, weak_signal_mode, effective_min_pnr, effective_min_corr from ms")
 def im10(spark, sf):
-    s = movies.map_stats(maps(spark, sf))
-    return six(s, "cn_mean", "cn_median", "cn_max", "cn_p75", "pnr_mean", "pnr_p90").select("recording", "cn_mean", "cn_median", "cn_max", "cn_p75", "pnr_mean", "pnr_p90", "cn_uniform", "data_quality")
+    """Statistics within a mask without the first and last row of pixels."""
+    return six(movies.map_stats(maps(spark, sf).withColumn("in_mask", F.col("y").between(1, 6))), *MAP_COLUMNS)
 
 
-@query("im11_threshold_levels", f"""with {CN}, v as (select recording, list_sort(list(cn)) as cl, list_sort(list(pnr)) as pl from cnp group by recording), t as (select recording, greatest(0.02, least({hz('cl', 75)}, 0.6)) as c, greatest(1.5, least({hz('pl', 75)}, 6)) as p from v)
-select recording, 1 as level, 'strict' as name, round(c, 6) as cn, round(p, 6) as pnr from t union all select recording, 2, 'medium', round(greatest(0.02, 0.7 * c), 6), round(greatest(1.2, 0.7 * p), 6) from t union all select recording, 3, 'relaxed', 0.02, 1.5 from t""")
+@query("im11_threshold_levels", f"with {CN}, {map_stats_sql(0.02, 1.5, 'cnp')}, {LEVELS} select recording, level, name, round(cn, 6) as cn, round(pnr, 6) as pnr from lv")
 def im11(spark, sf):
-    return six(movies.threshold_levels(movies.map_stats(maps(spark, sf)), 0.02, 1.5), "cn", "pnr")
+    return six(movies.threshold_levels(movies.map_stats(maps(spark, sf), 0.02, 1.5)), "cn", "pnr").drop("cn_uniform")
+
+
+@query("im11_weak_signal_levels", f"with {CN}, {map_stats_sql(0.5, 9.0, 'cnp')}, {LEVELS} select recording, level, name, round(cn, 6) as cn, round(pnr, 6) as pnr from lv")
+def im11w(spark, sf):
+    """Limits above what the recordings reach, so they are lowered."""
+    return six(movies.threshold_levels(movies.map_stats(maps(spark, sf), 0.5, 9.0)), "cn", "pnr").drop("cn_uniform")
 
 
 def full_maps(spark, sf):
@@ -140,7 +160,7 @@ def full_maps(spark, sf):
 
 
 def levels(spark, sf):
-    return movies.threshold_levels(movies.map_stats(maps(spark, sf)), 0.0, 1.5)
+    return movies.threshold_levels(movies.map_stats(maps(spark, sf), 0.0, 1.5))
 
 
 @query("im13_seeds")
@@ -179,21 +199,28 @@ def im15(spark, sf):
 
 @query("im16_extract_traces", f"with {MV}, {MASKS}, {RING}, f as (select p.recording, roi_id, frame, avg(value) as f from pix p join mk using (recording, y, x) group by all), g as (select p.recording, roi_id, frame, median(value) as fneu from pix p join ring using (recording, y, x) group by all) select recording, roi_id, frame::int as frame, round(f, 6) as f, round(fneu, 6) as fneu from f join g using (recording, roi_id, frame)")
 def im16(spark, sf):
-    p, m = pixels(spark, sf), masks(spark, sf)
+    p, m = movie(spark, sf), masks(spark, sf)
     ring = movies.extract_traces(p, movies.neuropil_masks(m, 8, 8, 1.0, 2.5), "median").withColumnRenamed("f", "fneu")
-    return six(movies.extract_traces(p, m).join(ring, ["recording", "roi_id", "frame"]), "f", "fneu")
+    got = movies.extract_traces(p, m).join(ring, ["recording", "roi_id", "frame"])
+    return six(got.withColumn("roi_id", F.col("roi_id").cast("int")), "f", "fneu")
 
 
 @query("im18_global_signal", f"with {MV}, {MASKS} select recording, frame::int as frame, round(avg(value), 6) as g from pix p where not exists (select 1 from mk where mk.recording = p.recording and mk.y = p.y and mk.x = p.x) group by all")
 def im18(spark, sf):
     """With every frame sampled the curve passes through the means themselves."""
-    got = movies.global_signal(pixels(spark, sf), masks(spark, sf), 20_000, 10).select("recording", F.posexplode("signal").alias("frame", "g"))
+    got = movies.global_signal(movie(spark, sf), masks(spark, sf), 20_000, 10).select("recording", F.posexplode("signal").alias("frame", "g"))
     return six(got.withColumn("frame", F.col("frame") + 1), "g")
 
 
-@query("im28_roi_shape", f"with {MV}, {MASKS} select recording, roi_id, count(*)::int as area, round(count(*) / ((max(y) - min(y) + 1) * (max(x) - min(x) + 1)), 6) as extent, round(2 * sqrt(count(*) * 0.0676 / pi()), 6) as diameter_um from mk group by all")
+SHAPES = ("area", "extent", "diameter_um", "area_um2", "major", "minor", "eccentricity", "aspect")
+SHAPE = """mo as (select recording, roi_id, count(*)::int as area, (max(y) - min(y) + 1) * (max(x) - min(x) + 1) as box, var_pop(x) + 1 / 12 as xx, var_pop(y) + 1 / 12 as yy, covar_pop(x, y) as xy from mk group by all),
+ax as (select *, 2 * sqrt(2) * sqrt(xx + yy + sqrt((xx - yy) ** 2 + 4 * xy ** 2)) as major, 2 * sqrt(2) * sqrt(xx + yy - sqrt((xx - yy) ** 2 + 4 * xy ** 2)) as minor from mo)"""
+
+
+@query("im28_roi_shape", f"with {MV}, {MASKS}, {SHAPE} select recording, roi_id, area, round(area / box, 6) as extent, round(2 * sqrt(area * 0.0676 / pi()), 6) as diameter_um, round(area * 0.0676, 6) as area_um2, round(major, 6) as major, round(minor, 6) as minor, round(sqrt(1 - (minor / major) ** 2), 6) as eccentricity, round(major / minor, 6) as aspect from ax")
 def im28(spark, sf):
-    return six(movies.roi_shape(masks(spark, sf), 0.26), "extent", "diameter_um").select("recording", "roi_id", "area", "extent", "diameter_um")
+    """Solidity, perimeter and compactness have no closed form; they are tested on shapes with known ones."""
+    return six(movies.roi_shape(masks(spark, sf), 0.26), *SHAPES[1:]).select("recording", "roi_id", *SHAPES)
 
 
 @query("im31_zero_roi_diagnostics")
@@ -204,7 +231,8 @@ def im31(spark, sf):
 
 @query("im32_detection_thresholds")
 def im32(spark, sf):
-    return six(movies.detection_thresholds(levels(spark, sf), regions(spark, sf)), "cn", "pnr")
+    stats = movies.map_stats(maps(spark, sf), 0.0, 1.5)
+    return six(movies.detection_thresholds(stats, levels(spark, sf), regions(spark, sf), 0.0, 1.5), "cn_median", "cn_range", "cn_max", "pnr_median", "pnr_max", "cn", "pnr")
 
 
 FIELD = "fd as (select recording, y, x from (select distinct recording from mv), (select unnest(range(1, 7)) as y), (select unnest(range(1, 8)) as x))"
@@ -229,6 +257,6 @@ def rf08(spark, sf):
     """Regions of a movie whose traces are alike, pruned in order."""
     from motionspark.operators import traces
 
-    long = movies.extract_traces(pixels(spark, sf), masks(spark, sf))
-    rows = long.groupBy("recording", "roi_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "f"))), lambda s: s["f"]).alias("dff")).withColumns({"roi_id": F.col("roi_id").cast("long"), "fps": F.lit(2.0)})
-    return refine.prune_correlated(traces.snr(rows, "dff"), "dff", 0.05)
+    long = movies.extract_traces(movie(spark, sf), masks(spark, sf))
+    rows = long.groupBy("recording", "roi_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "f"))), lambda s: s["f"]).alias("dff")).withColumn("fps", F.lit(2.0))
+    return six(refine.prune_correlated(traces.snr(rows, "dff"), "dff", 0.05), "value")

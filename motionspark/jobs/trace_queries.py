@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from motionspark.jobs.motion_queries import hz, six
-from motionspark.operators import refine, traces
+from motionspark.operators import movies, refine, tables, traces
 from motionspark.sources import adapters
 
 QUERIES, SQL = {}, {}
@@ -93,12 +92,12 @@ def im23(spark, sf):
     return traces.synchrony(rows(spark, sf), "trace").select("recording", traces.neuropil_severity(F.col("synchrony") * 3).alias("severity"))
 
 
-@query("im24_savgol", f"""with {TR}, w as (select recording, roi_id, frame, (-3 * lag(v, 2) over o + 12 * lag(v, 1) over o + 17 * v + 12 * lead(v, 1) over o - 3 * lead(v, 2) over o) / 35 as s from pt window o as (partition by roi_id order by frame))
-select recording, roi_id, frame::int as frame, round(s, 6) as s from w where s is not null""")
+@query("im24_savgol")
 def im24(spark, sf):
-    """The inner frames, where the five-point cubic has a closed form; the ends are tested on their own."""
-    got = traces.savgol(rows(spark, sf), "trace").select("recording", "roi_id", F.posexplode("dff_smooth").alias("frame", "s")).withColumn("frame", F.col("frame") + 1)
-    return six(got.filter(F.col("frame").between(3, 62)), "s")
+    """All frames: the five-point cubic, and its fit at the ends, which has no closed form in SQL (tested against least
+    squares)."""
+    got = traces.savgol(rows(spark, sf), "trace").select("recording", "roi_id", F.posexplode("dff_smooth").alias("frame", "s"))
+    return six(got.withColumn("frame", F.col("frame") + 1), "s")
 
 
 SNR = f"""{TR}, sm as (select recording, roi_id, frame, v, v - avg(v) over (partition by roi_id order by frame rows between 2 preceding and 1 following) as d from pt),
@@ -137,15 +136,30 @@ def im29(spark, sf):
 
 @query("im30_roi_metrics")
 def im30(spark, sf):
-    m = measured(spark, sf).select("recording", "roi_id", "snr", "event_count", "event_rate", "event_amplitude")
-    return six(m.join(traces.trace_stats(rows(spark, sf), "trace"), ["recording", "roi_id"]), "snr", "event_rate", "event_amplitude", *STATS)
+    m = regions(spark, sf).withColumn("level", (F.col("roi_id") % 7).cast("int"))
+    got = tables.roi_metrics(m, traces.trace_stats(rows(spark, sf), "trace"), m.select("recording", "roi_id", "area_um2", "aspect"))
+    return six(got, "snr", "event_rate", "event_amplitude", "area_um2", "aspect", *STATS)
 
 
-@query("im33_pipeline_summary", f"with {SNR}, t as (select *, row_number() over (partition by recording order by snr desc, roi_id) as k from snr), s as (select recording, count(*) as n_rois, round(avg(snr), 6) as mean_snr from t group by recording), y as (select recording, round(avg(snr), 6) as top6_snr from t where k <= 6 group by recording) select * from s join y using (recording)")
+SUMMARY = f"""{SNR}, t as (select *, row_number() over (partition by recording order by snr desc, roi_id) as k from snr), s as (select recording, count(*) as n_rois, avg(snr) as mean_snr from t group by recording),
+y as (select recording, avg(snr) as top6_snr from t where k <= 6 group by recording)"""
+
+
+@query("im33_pipeline_summary", f"with {SUMMARY} select recording, n_rois, round(mean_snr, 6) as mean_snr, round(top6_snr, 6) as top6_snr from s join y using (recording)")
 def im33(spark, sf):
-    t = traces.snr(rows(spark, sf), "trace")
-    place = F.row_number().over(Window.partitionBy("recording").orderBy(F.desc("snr"), "roi_id"))
-    return six(t.withColumn("k", place).groupBy("recording").agg(F.count("*").alias("n_rois"), F.avg("snr").alias("mean_snr"), F.avg(F.when(F.col("k") <= 6, F.col("snr"))).alias("top6_snr")), "mean_snr", "top6_snr")
+    """Quality alone; event rates and synchrony have queries of their own."""
+    return six(tables.pipeline_summary(traces.snr(rows(spark, sf), "trace")).select("recording", "n_rois", "mean_snr", "top6_snr"), "mean_snr", "top6_snr")
+
+
+@query("im33_condition_summary", f"with {SUMMARY}, k as (select s.*, (recording[2:]::int % 2)::varchar as condition from s) select condition, count(*) as n_files, sum(n_rois)::bigint as total_rois, round(avg(n_rois), 6) as mean_rois, round(coalesce(stddev_samp(n_rois), 0), 6) as sd_rois, round(avg(mean_snr), 6) as mean_snr from k group by condition")
+def im33c(spark, sf):
+    s = tables.pipeline_summary(measured(spark, sf), traces.synchrony(rows(spark, sf), "trace")).withColumn("condition", (F.substring("recording", 2, 9).cast("int") % 2).cast("string"))
+    return six(tables.condition_summary(s).drop("mean_event_rate"), "mean_rois", "sd_rois", "mean_snr")
+
+
+@query("im33_level_counts", "with r as (select 'L' || label as recording, vec_id, vec_id % 7 as level from embeddings) select recording, " + ", ".join(f"count(*) filter (level = {k}) as n_{n}" for k, n in tables.LEVELS.items()) + " from r group by recording")
+def im33l(spark, sf):
+    return tables.level_counts(rows(spark, sf).withColumn("level", F.col("roi_id") % 7))
 
 
 # ---- quality of samples ------------------------------------------------------------------------------------------
@@ -168,9 +182,11 @@ def qa01(spark, sf):
     return six(samples(spark, sf), "max_dff", "min_dff", "synchrony")
 
 
-@query("qa02_sample_status", f"with {SAMPLES} select recording, status, eligible, status in ('HIGH_NEUROPIL', 'SEVERE_NEUROPIL') as needs_regression from el")
+@query("qa02_sample_status", f"""with {SAMPLES} select recording, status, eligible, status in ('MILD_NEUROPIL', 'HIGH_NEUROPIL', 'SEVERE_NEUROPIL') as needs_regression,
+case status when 'ARTIFACT' then printf('Extreme dF/F (max=%.1f, min=%.1f)', max_dff, min_dff) when 'TOO_FEW_ROIS' then printf('Only %d ROIs (need >= 5)', n_rois) when 'OK' then 'Clean signal'
+  else upper(status[1]) || lower(split_part(status, '_', 1)[2:]) || printf(' neuropil (synchrony=%.3f)', synchrony) end as reason from el""")
 def qa02(spark, sf):
-    return refine.sample_status(samples(spark, sf)).select("recording", "status", "eligible", "needs_regression")
+    return refine.sample_status(samples(spark, sf)).select("recording", "status", "eligible", "needs_regression", "reason")
 
 
 @query("qa03_eligible_list", f"with {SAMPLES} select condition, string_agg(recording, ',' order by recording) as names from el where eligible group by condition")
@@ -186,16 +202,24 @@ def qa04(spark, sf):
 
 @query("qa05_corr_histogram", f"with {PAIRS} select recording, least(30, floor((r + 1) / 2 * 30)::int + 1) as bin, count(*) as n from pairs group by all")
 def qa05(spark, sf):
-    return refine.corr_histogram(traces.pairwise_corr(rows(spark, sf), "trace")).withColumn("bin", F.col("bin").cast("int"))
+    return refine.corr_histogram(rows(spark, sf), "trace")
 
 
 # ---- refinement --------------------------------------------------------------------------------------------------
 
 
 def regions(spark, sf):
-    """Regions with centres on a coarse grid, and the measures of their traces."""
+    """Regions with the measures of their traces, centres on a coarse grid, and pixels: a block whose sides follow from
+    the id, in a field whose border some of them touch."""
     m = measured(spark, sf).withColumns({"center_x": (F.col("roi_id") * 7 % 61).cast("double"), "center_y": (F.col("roi_id") * 11 % 53).cast("double")})
-    return refine.trace_criteria(m, "trace", "dff_smooth", max_snr=6.5, max_plateau_s=1.4, jump=1.6)
+    m = refine.trace_criteria(m, "trace", "dff_smooth", max_snr=6.5, max_plateau_s=1.4, jump=1.6)
+    box = F.explode(F.sequence(F.lit(0), 2 + F.col("roi_id") % 7)).alias("a")
+    cells = m.select("recording", "roi_id", "center_x", "center_y", box).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("b"))
+    masks = cells.select("recording", "roi_id", (F.col("center_y") + F.col("b")).cast("int").alias("y"), (F.col("center_x") + F.col("a")).cast("int").alias("x"))
+    field = rows(spark, sf).select("recording").distinct().select("recording", F.explode(F.sequence(F.lit(1), F.lit(60))).alias("y")).select("recording", "y", F.explode(F.sequence(F.lit(1), F.lit(70))).alias("x"))
+    edges = movies.reject_edge(masks, field).select("recording", "roi_id", "contact", "c_edge", "why_edge")
+    shapes = movies.reject_shape(movies.roi_shape(masks, 0.26)).select("recording", "roi_id", "area_um2", "aspect", "c_shape", "why_shape")
+    return m.join(edges, ["recording", "roi_id"], "left").join(shapes, ["recording", "roi_id"], "left")
 
 
 @query("rf01_reject_snr", f"""with {SNR}, z as (select recording, roi_id, x, list_sort(x) as v from tr), y as (select recording, roi_id, x, list_filter(x, lambda k: k < {hz("v", 75)}) as low from z),
@@ -231,7 +255,7 @@ def rf07(spark, sf):
 
 @query("rf08_prune_correlated")
 def rf08(spark, sf):
-    return refine.prune_correlated(traces.snr(rows(spark, sf), "trace"), "trace", 0.35)
+    return six(refine.prune_correlated(traces.snr(rows(spark, sf), "trace"), "trace", 0.35), "value")
 
 
 @query("rf09_close_pairs", "with r as (select 'L' || label as recording, vec_id as roi_id, vec_id * 7 % 61 as x, vec_id * 11 % 53 as y from embeddings) select a.recording, a.roi_id as roi_i, b.roi_id as roi_j, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) as distance from r a join r b on a.recording = b.recording and a.roi_id < b.roi_id where sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 5")
@@ -243,7 +267,7 @@ def rf09(spark, sf):
 @query("rf09_prune_close")
 def rf09p(spark, sf):
     c = regions(spark, sf)
-    return refine.greedy_prune(c, refine.close_pairs(c))
+    return six(refine.greedy_prune(c, refine.close_pairs(c), "distance"), "value")
 
 
 @query("rf10_reject_drift", f"""with {TR}, w as (select recording, roi_id, list_sort(x[1:10]) as s, x[len(x) - 9:] as en, list_sort(x[len(x) - 9:]) as e from tr),
@@ -259,7 +283,7 @@ def refined(spark, sf):
 
 @query("rf11_refine")
 def rf11(spark, sf):
-    return refined(spark, sf).select("recording", "roi_id", "category")
+    return refined(spark, sf).select("recording", "roi_id", "category", "reason")
 
 
 @query("rf12_refined_rois")
@@ -267,11 +291,26 @@ def rf12(spark, sf):
     return six(refine.refined_rois(refined(spark, sf)).select("recording", "roi_id", "roi_original", "snr"), "snr")
 
 
+@query("rf12_refined_synchrony")
+def rf12s(spark, sf):
+    return six(refine.refined_synchrony(refined(spark, sf), "trace"), "synchrony_score")
+
+
 @query("rf13_removal_counts")
 def rf13(spark, sf):
     return refine.removal_counts(refined(spark, sf))
 
 
+@query("rf13_category_counts")
+def rf13c(spark, sf):
+    return refine.category_counts(refined(spark, sf))
+
+
+@query("rf13_rejection_examples")
+def rf13e(spark, sf):
+    return refine.rejection_examples(refined(spark, sf))
+
+
 @query("rf13_refinement_log")
 def rf13l(spark, sf):
     return six(refine.refinement_log(refined(spark, sf)), "SNR")
@@ -279,13 +318,13 @@ def rf13l(spark, sf):
 
 @query("rf14_refinement_summary")
 def rf14(spark, sf):
-    return six(refine.refinement_summary(refined(spark, sf)), "pct_removed", "mean_snr", "mean_event_rate")
+    return six(refine.refinement_summary(refined(spark, sf), "trace"), "pct_removed", "mean_snr", "mean_event_rate", "synchrony_score")
 
 
 @query("rf15_refinement_by_condition")
 def rf15(spark, sf):
-    s = refine.refinement_summary(refined(spark, sf))
-    return six(s.groupBy("condition").agg(F.sum("n_original").alias("n_original"), F.sum("n_refined").alias("n_refined"), F.avg("pct_removed").alias("mean_pct"), F.stddev_samp("pct_removed").alias("sd_pct")), "mean_pct", "sd_pct")
+    s = refine.refinement_by_condition(refine.refinement_summary(refined(spark, sf), "trace"))
+    return six(s, "mean_rois_per_file", "std_rois_per_file", "mean_pct_removed", "mean_snr", "std_snr", "mean_event_rate", "std_event_rate", "mean_synchrony")
 
 
 @query("rf16_zscore_traces", f"with {TR} select recording, roi_id, frame::int as frame, round((v - avg(v) over w) / coalesce(nullif(stddev_samp(v) over w, 0), 1), 6) as z from pt window w as (partition by roi_id)")

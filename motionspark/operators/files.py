@@ -8,22 +8,29 @@ from pyspark.sql import functions as F
 SHIFT_COLUMNS = "frame int, dx_px double, dy_px double, dx_um double, dy_um double, fps_measured double, fps_used double, px_um double"
 
 
-def read_shifts(spark: SparkSession, path: str, px_um: float = 0.26, fps: float = 1.0, fps_override: float | None = None, include_cropped: bool = False) -> DataFrame:
-    """All ``*_shifts.csv`` of a folder in one schema: the recording comes from the file name, absent or non-finite values
-    are NULL, micrometres fall back to pixels, and the frame rate to the default."""
-    raw = spark.read.option("header", True).option("pathGlobFilter", "*_shifts.csv").option("enforceSchema", False).csv(path)
+def read_shifts(spark: SparkSession, path: str, px_um: float = 0.26, fps: float = 1.0, fps_override: float | None = None, include_cropped: bool = False, glob: str = "*_shifts.csv") -> DataFrame:
+    """All ``*_shifts.csv`` of a folder in one schema: the recording comes from the file name, or from folders
+    ``recording=...``; absent or non-finite values are NULL, micrometres fall back to pixels, and the frame rate to the default."""
+    raw = spark.read.option("header", True).option("pathGlobFilter", glob).option("enforceSchema", False).csv(path)
     named = {c.lower(): c for c in raw.columns}
     number = lambda c: F.expr(f"try_cast(`{named[c]}` as double)") if c in named else F.lit(None).cast("double")
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
     px = F.coalesce(finite(number("px_um")), F.lit(px_um))
     rate = F.lit(fps_override) if fps_override else F.coalesce(finite(number("fps_measured")), finite(number("fps_used")), F.lit(fps))
+    name = F.col(named["recording"]).cast("string") if "recording" in named else F.regexp_replace(F.col("_metadata.file_name"), r"_shifts\.csv$", "")
     rows = raw.select(
-        F.regexp_replace(F.col("_metadata.file_name"), r"_shifts\.csv$", "").alias("recording"), number("frame").cast("int").alias("frame"),
+        name.alias("recording"), number("frame").cast("int").alias("frame"),
         F.coalesce(finite(number("dx_um")), finite(number("dx_px")) * px).alias("dx_um"), F.coalesce(finite(number("dy_um")), finite(number("dy_px")) * px).alias("dy_um"), rate.alias("fps"), px.alias("px_um"),
     )
     return rows if include_cropped else rows.filter(~F.lower("recording").contains("cropped"))
 
 
+def write_shifts(frames: DataFrame, path: str) -> None:
+    """Shifts as CSV files in a folder for each recording (``recording=...``), which ``read_shifts`` reads with
+    ``glob="*.csv"``. One shuffle by recording."""
+    frames.repartition("recording").write.partitionBy("recording").option("header", True).csv(path)
+
+
 def write_table(df: DataFrame, path: str, kind: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
     """Writes CSV, TSV, JSON, text (one column) or Parquet."""
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
@@ -69,19 +76,17 @@ def group_label(path: Column) -> Column:
 
 def join_motion(samples: DataFrame, motion: DataFrame) -> DataFrame:
     """Each sample's motion row: the same stem without case first, else the first motion stem that contains the sample's.
-    Only samples without an equal stem meet all stems, by their shared 4-letter pieces rather than pair by pair."""
+    Samples without an equal stem meet the pieces of the motion stems that are as long as one of their stems, by equality:
+    no stem is held against one that does not contain it."""
     s, m = samples.withColumn("_s", F.lower("stem")), motion.select(F.lower("stem").alias("_m"), F.col("stem").alias("motion_stem"), "ordinal")
-    first = Window.partitionBy("_m").orderBy("ordinal")
-    equal = s.join(m.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k"), s["_s"] == m["_m"]).select(*samples.columns, "motion_stem", F.lit("exact").alias("match"))
+    least = F.min(F.struct("ordinal", "motion_stem")).alias("_b")
+    equal = s.join(m.groupBy("_m").agg(least), s["_s"] == F.col("_m")).select(*samples.columns, F.col("_b.motion_stem").alias("motion_stem"), F.lit("exact").alias("match"))
     rest = s.join(m.select(F.col("_m").alias("_s")), "_s", "left_anti")
-    piece = F.substring("_s", 1, 4)
-    # stems shorter than four letters are pieces of their own length
-    cut = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_m") - k + 1)), lambda i: F.substring(F.col("_m"), i, F.lit(k)))
-    pieces = m.withColumn("piece", F.explode(F.array_distinct(F.concat(*[cut(k) for k in (1, 2, 3, 4)]))))
-    near = rest.select("_s").distinct().withColumn("piece", piece).join(pieces, "piece").filter(F.col("_m").contains(F.col("_s")))
-    best = Window.partitionBy("_s").orderBy("ordinal")
-    chosen = near.select("_s", "motion_stem", "ordinal").withColumn("_k", F.row_number().over(best)).filter("_k = 1").select("_s", "motion_stem")
-    near = rest.join(chosen, "_s").select(*samples.columns, "motion_stem", F.lit("contains").alias("match"))
+    lengths = F.array(*[F.lit(r[0]) for r in rest.filter("_s is not null").select(F.length("_s")).distinct().collect()]).cast("array<int>")  # as many as a stem is long
+    cut = F.flatten(F.transform(lengths, lambda k: F.when(F.length("_m") >= k, F.transform(F.sequence(F.lit(1), F.length("_m") - k + 1), lambda i: F.substring(F.col("_m"), i, k))).otherwise(F.array().cast("array<string>"))))
+    pieces = m.select("motion_stem", "ordinal", F.explode(F.array_distinct(cut)).alias("_s"))
+    chosen = rest.select("_s").distinct().join(pieces, "_s").groupBy("_s").agg(least)
+    near = rest.join(chosen, "_s").select(*samples.columns, F.col("_b.motion_stem").alias("motion_stem"), F.lit("contains").alias("match"))
     return equal.unionByName(near)
 
 

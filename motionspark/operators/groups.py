@@ -1,12 +1,15 @@
 """Comparison of two groups: ranks, effect sizes, tests, corrections and resampling.
 
 ``long`` has metric, condition (two values), sample and value. Ranks and percentiles never put a whole metric in one task:
-values are counted first, dealt into ordered slices of their range, and each slice gets the total before it.
+values are counted first, dealt into ordered slices of about as many different values each (bounds by approximate
+percentiles, so an outlier moves none), and each slice gets the total before it. Resampling is dealt the same way: a
+replicate first draws how many of its values come from each slice, and the slices draw them in tasks of their own.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 
 from motionspark.functions import special
 from motionspark.functions.stats import sample_std
-from motionspark.runtime import ship_package
+from motionspark.runtime import checkpointed, ship_package
 
 SLICES = 32
 
@@ -23,10 +26,10 @@ SLICES = 32
 def running_counts(counted: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
     """``counted`` with ``<column>_upto``: the sum of the column over all rows of the key up to the row's value. ``counted``
     has one row for each key and value."""
-    bounds = counted.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / SLICES
-    slices = F.when(width > 0, F.least(F.lit(SLICES - 1), F.floor((F.col(order) - F.col("_lo")) / width))).otherwise(0)
-    dealt = counted.join(bounds, keys).withColumn("_slice", slices.cast("int")).drop("_lo", "_hi")
+    cuts = [k / SLICES for k in range(1, SLICES)]
+    bounds = counted.groupBy(*keys).agg(F.percentile_approx(order, cuts, 1000).alias("_bounds"))
+    slices = F.size(F.filter("_bounds", lambda b: b < F.col(order)))
+    dealt = counted.join(bounds, keys).withColumn("_slice", slices).drop("_bounds")
     totals = dealt.groupBy(*keys, "_slice").agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*keys, "_slice", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in columns])
@@ -139,10 +142,11 @@ def fdr_bh(tests: DataFrame, p: str = "p") -> DataFrame:
 
 
 def bonferroni(tests: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
-    """Corrected p, the corrected limit, and stars."""
+    """Corrected p, the corrected limit, and the stars of p itself where it is below that limit."""
     m = F.count(p).over(Window.partitionBy())
     corrected = F.least(F.lit(1.0), F.col(p) * m)
-    stars = F.when(corrected < 0.001, "***").when(corrected < 0.01, "**").when(corrected < 0.05, "*").otherwise("n.s.")
+    raw = F.col(p)
+    stars = F.when(raw.isNull() | (raw >= alpha / m), "n.s.").when(raw < 0.001, "***").when(raw < 0.01, "**").when(raw < 0.05, "*").otherwise("n.s.")
     return tests.withColumns({"p_bonferroni": corrected, "alpha_bonferroni": alpha / m, "stars": stars})
 
 
@@ -150,53 +154,88 @@ def sample_means(long: DataFrame) -> DataFrame:
     return long.filter("value is not null").groupBy("metric", "condition", "sample").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
 
 
-def replicate_rows(spark, sets: list, replicates: int, seed: int, draw, schema: str) -> DataFrame:
-    """Rows of ``draw(set, generator, replicate)`` for all replicates, in parallel; each replicate has its own seed.
-    ``sets`` are small: means of samples, not values."""
-    ship_package(spark)
-    held = spark.sparkContext.broadcast(sets)
+#: Different values of a slice that one task draws from, and replicates that it draws at once.
+SLICE_VALUES, CHUNK = 1000, 500
 
-    def run(batches):
-        for pdf in batches:
-            rows = [row for r in pdf["id"] for k, s in enumerate(held.value) for row in draw(s, np.random.default_rng((seed, k, int(r))), int(r))]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return spark.range(replicates).mapInPandas(run, schema)
-
-
-#: Most sample means that resampling brings to the driver and sends to every task.
-MAX_SAMPLES = 100_000
 
+def stable_hash(*parts) -> int:
+    return zlib.crc32("|".join(map(str, parts)).encode())
 
-def bounded_sets(means: DataFrame, first: str, second: str) -> list:
-    """[(metric, values of the first, values of the second)], refused beyond ``MAX_SAMPLES`` means."""
-    rows = means.select("metric", "condition", "mean").limit(MAX_SAMPLES + 1).collect()
-    if len(rows) > MAX_SAMPLES:
-        raise ValueError(f"more than {MAX_SAMPLES} samples: aggregate them further before resampling")
-    metrics = sorted({r["metric"] for r in rows})
-    pick = lambda m, c: np.sort([r["mean"] for r in rows if r["metric"] == m and r["condition"] == c])
-    return [(m, pick(m, first), pick(m, second)) for m in metrics]
 
+def replicate_sums(means: DataFrame, first: str, second: str, replicates: int, seed: int, shuffle_labels: bool = False, value: str = "mean") -> DataFrame:
+    """metric, replicate, slice and, of what a replicate drew there, w1 and s1 (number and sum for the first condition), w2
+    and s2 (for the second) and u (pairs in which the first is greater, ties as halves). Values are drawn with
+    replacement within their condition, or, with ``shuffle_labels``, the conditions are dealt anew. Each metric's values
+    are counted and dealt into slices of ``SLICE_VALUES`` different ones; numbers per slice are drawn once for all slices
+    (multinomial or hypergeometric), then the values of each slice on their own, which together is the same as drawing
+    from all values. Replicates have their own seeds, whatever the partitions."""
+    ship_package(means.sparkSession)
+    of = lambda c: F.count_if(F.col("condition") == c).cast("long")
+    known = means.filter(F.col(value).isNotNull() & F.col("condition").isin(first, second))
+    counted = known.groupBy("metric", F.col(value).cast("double").alias("value")).agg(of(first).alias("a"), of(second).alias("b")).withColumn("one", F.lit(1))
+    slices = running_counts(counted, ["metric"], "value", ["one"]).withColumn("slice", F.floor((F.col("one_upto") - 1) / SLICE_VALUES).cast("int"))
+    slices = slices.groupBy("metric", "slice").agg(F.array_sort(F.collect_list(F.struct("value", "a", "b"))).alias("items"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    sizes = slices.groupBy("metric").agg(F.array_sort(F.collect_list(F.struct("slice", "a", "b"))).alias("sizes"))
+    sizes = sizes.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // CHUNK))))
 
-def bootstrap_mean_diff(means: DataFrame, first: str, second: str, replicates: int = 2000, seed: int = 42) -> DataFrame:
+    def numbers(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                rng = np.random.default_rng((seed, stable_hash(r.metric), r.chunk))
+                n = min(CHUNK, replicates - r.chunk * CHUNK)
+                a, b = (np.array([x[k] for x in r.sizes], np.int64) for k in ("a", "b"))
+                if shuffle_labels:
+                    k1 = np.array([rng.multivariate_hypergeometric(a + b, a.sum(), method="marginals") for _ in range(n)])
+                    k2 = a + b - k1
+                else:
+                    k1, k2 = (rng.multinomial(x.sum(), x / max(1, x.sum()), size=n) for x in (a, b))
+                rows += [(r.metric, r.chunk, int(x["slice"]), k1[:, i].tolist(), k2[:, i].tolist()) for i, x in enumerate(r.sizes)]
+            yield pd.DataFrame(rows, columns=["metric", "chunk", "slice", "k1", "k2"])
+
+    dealt = sizes.select("metric", "chunk", "sizes").repartition("metric", "chunk").mapInPandas(numbers, "metric string, chunk int, slice int, k1 array<long>, k2 array<long>")
+
+    def draw(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                rng = np.random.default_rng((seed, stable_hash(r.metric), r.chunk, r.slice))
+                x = np.array([i["value"] for i in r.items])
+                a, b = (np.array([i[k] for i in r.items], np.int64) for k in ("a", "b"))
+                k1, k2 = np.array(r.k1), np.array(r.k2)
+                if shuffle_labels:
+                    c1 = np.array([rng.multivariate_hypergeometric(a + b, k, method="marginals") for k in k1])
+                    c2 = a + b - c1
+                else:
+                    c1, c2 = (rng.multinomial(k, n / n.sum()) if n.sum() else np.zeros((len(k), len(x)), np.int64) for k, n in ((k1, a), (k2, b)))
+                u = (c1 * (np.cumsum(c2, axis=1) - c2 / 2)).sum(1)
+                yield pd.DataFrame({"metric": r.metric, "replicate": r.chunk * CHUNK + np.arange(len(k1)), "slice": r.slice, "w1": k1, "s1": c1 @ x, "w2": k2, "s2": c2 @ x, "u": u})
+
+    both = slices.select("metric", "slice", "items").join(dealt, ["metric", "slice"]).repartition("metric", "slice", "chunk")
+    return both.select("metric", "slice", "chunk", "items", "k1", "k2").mapInPandas(draw, "metric string, replicate int, slice int, w1 long, s1 double, w2 long, s2 double, u double")
+
+
+def replicate_differences(sums: DataFrame) -> DataFrame:
+    """metric, replicate and value: the mean of the second condition minus that of the first; rounded, for slices are
+    added in no fixed order."""
+    mean = lambda k: F.try_divide(F.sum(f"s{k}"), F.sum(f"w{k}"))
+    return sums.groupBy("metric", "replicate").agg(F.round(mean(2) - mean(1), 9).alias("value"))
+
+
+def bootstrap_mean_diff(means: DataFrame, first: str, second: str, replicates: int = 10_000, seed: int = 42) -> DataFrame:
     """Percentile interval of the difference of means (second minus first) of resampled samples."""
-    def draw(s, rng, r):
-        metric, x, y = s
-        yield metric, float(rng.choice(y, len(y)).mean() - rng.choice(x, len(x)).mean())
-
-    rows = replicate_rows(means.sparkSession, bounded_sets(means, first, second), replicates, seed, draw, "metric string, value double")
+    rows = replicate_differences(replicate_sums(means, first, second, replicates, seed))
     return percentiles(rows, ["metric"], {"ci_low": 2.5, "ci_high": 97.5})
 
 
-def permutation_test(means: DataFrame, first: str, second: str, replicates: int = 2000, seed: int = 42) -> DataFrame:
-    """Two-sided p = (count + 1) / (replicates + 1) for the difference of means under shuffled labels."""
-    def draw(s, rng, r):
-        metric, x, y = s
-        both = rng.permutation(np.concatenate([x, y]))
-        yield metric, float(abs(both[len(x) :].mean() - both[: len(x)].mean()) >= abs(y.mean() - x.mean()) - 1e-12)
-
-    rows = replicate_rows(means.sparkSession, bounded_sets(means, first, second), replicates, seed, draw, "metric string, value double")
-    return rows.groupBy("metric").agg(((F.sum("value") + 1) / (F.count("*") + 1)).alias("p_permutation"))
+def permutation_test(means: DataFrame, first: str, second: str, replicates: int = 10_000, seed: int = 42, plain: bool = False) -> DataFrame:
+    """Two-sided p of the difference of means under shuffled labels: (count + 1) / (replicates + 1), or with ``plain`` the
+    share of replicates at least as far from zero as the difference itself."""
+    x = lambda c: F.avg(F.when(F.col("condition") == c, F.col("mean")))
+    seen = means.groupBy("metric").agg((x(second) - x(first)).alias("seen"))
+    rows = replicate_differences(replicate_sums(means, first, second, replicates, seed, shuffle_labels=True)).join(seen, "metric")
+    hit = F.count_if(F.abs("value") >= F.abs("seen") - 1e-9)
+    p = hit / F.count("*") if plain else (hit + 1) / (F.count("*") + 1)
+    return rows.groupBy("metric").agg(F.when(F.first("seen").isNotNull(), p).alias("p_permutation"))
 
 
 def delta_of(x: np.ndarray, y: np.ndarray) -> float:
@@ -204,16 +243,26 @@ def delta_of(x: np.ndarray, y: np.ndarray) -> float:
     return float((np.searchsorted(y, x, "left").sum() - (len(y) - np.searchsorted(y, x, "right")).sum()) / (len(x) * len(y)))
 
 
-def bootstrap_effect(means: DataFrame, first: str, second: str, effect=delta_of, replicates: int = 2000, seed: int = 42) -> DataFrame:
-    """Percentile interval of an effect function of two samples, Cliff's delta unless another is given."""
-    def draw(s, rng, r):
-        metric, x, y = s
-        yield metric, effect(rng.choice(x, len(x)), rng.choice(y, len(y)))
-
-    rows = replicate_rows(means.sparkSession, bounded_sets(means, first, second), replicates, seed, draw, "metric string, value double")
+def bootstrap_effect(means: DataFrame, first: str, second: str, replicates: int = 2000, seed: int = 42, value: str = "mean") -> DataFrame:
+    """Percentile interval of Cliff's delta of two resampled conditions, for the column ``value``: means of samples, or
+    the values themselves."""
+    sums = replicate_sums(means, first, second, replicates, seed, value=value)
+    before = Window.partitionBy("metric", "replicate").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    won = sums.withColumn("won", F.col("u") + F.col("w1") * F.coalesce(F.sum("w2").over(before), F.lit(0)))
+    delta = F.try_divide(2 * F.sum("won"), F.sum("w1") * F.sum("w2")) - 1
+    rows = won.groupBy("metric", "replicate").agg(F.round(delta, 12).alias("value"))
     return percentiles(rows, ["metric"], {"effect_low": 2.5, "effect_high": 97.5})
 
 
+def forest_table(long: DataFrame, first: str, second: str, replicates: int = 2000, seed: int = 42) -> DataFrame:
+    """Cliff's delta of each metric with its interval, both of the same values: the samples' means as ``<metric>`` and all
+    values as ``all_<metric>``."""
+    per = sample_means(long).select("metric", "condition", "sample", F.col("mean").alias("value"))
+    every = long.select(F.concat(F.lit("all_"), "metric").alias("metric"), "condition", "sample", "value").unionByName(per)
+    delta = cliffs_delta(rank_sums(every, first, second)).select("metric", "delta", "effect")
+    return delta.join(bootstrap_effect(every, first, second, replicates, seed, value="value"), "metric")
+
+
 def icc(long: DataFrame) -> DataFrame:
     """ICC(1) of samples within each metric and condition from the mean squares of one-way ANOVA, not below 0; NULL with
     fewer than two samples. Also the mean cluster size, the design effect and the effective number."""
@@ -247,7 +296,7 @@ def lilliefors(long: DataFrame, alpha: float = 0.05) -> DataFrame:
 
     @F.pandas_udf("double")
     def cdf(z: pd.Series) -> pd.Series:
-        return pd.Series([special.normal_cdf(x) for x in z], dtype="float64")
+        return pd.Series(special.normal_cdfs(z.to_numpy(float)), dtype="float64")
 
     @F.pandas_udf("double")
     def limit(n: pd.Series) -> pd.Series:
@@ -273,33 +322,47 @@ def box_stats(long: DataFrame) -> DataFrame:
     return long.join(q, ["metric", "condition"]).groupBy("metric", "condition", "q1", "median", "q3", "fence").agg(F.count_if(F.col("value") > F.col("fence")).alias("n_outliers"))
 
 
+def places(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with ``name``: the place of each row, from 1, in the order of the columns ``order`` (nulls last). Rows are
+    dealt by ranges and numbered inside them; only the sizes of the ranges meet in one place."""
+    columns = [F.col(c).asc_nulls_last() for c in order]
+    dealt = df.repartitionByRange(*columns).withColumn("_part", F.spark_partition_id())
+    dealt = checkpointed(dealt)
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*columns))
+    return dealt.join(F.broadcast(starts), "_part").withColumn(name, (inside + F.col("_start")).cast("int")).drop("_part", "_start")
+
+
 def rank_samples(wide: DataFrame, metrics: list[str]) -> DataFrame:
     """Rank of each sample in each metric (ties by input order, missing values unranked), mean rank and overall rank. A
     sample is one recording; ``ordinal`` is the input order."""
     ranked = wide
     for m in metrics:
-        place = F.row_number().over(Window.orderBy(F.col(m).asc_nulls_last(), "ordinal"))
-        ranked = ranked.withColumn(f"{m}_rank", F.when(F.col(m).isNotNull(), place))
+        ranked = places(ranked, [m, "ordinal"], f"{m}_rank").withColumn(f"{m}_rank", F.when(F.col(m).isNotNull(), F.col(f"{m}_rank")))
     known = [F.col(f"{m}_rank") for m in metrics]
     total = sum((F.coalesce(c, F.lit(0)) for c in known), F.lit(0))
     count = sum((F.when(c.isNotNull(), 1).otherwise(0) for c in known), F.lit(0))
     ranked = ranked.withColumn("avg_rank", F.try_divide(total.cast("double"), count))
-    return ranked.withColumn("overall_rank", F.row_number().over(Window.orderBy(F.col("avg_rank").asc_nulls_last(), "ordinal")))
+    return places(ranked, ["avg_rank", "ordinal"], "overall_rank")
 
 
-def power_estimate(m: DataFrame, alpha_z: float = 1.959963984540054) -> DataFrame:
-    """Power of a two-sided test for the observed standardised difference, by the normal approximation."""
+def power_estimate(m: DataFrame, z: float = 1.96) -> DataFrame:
+    """Power of a two-sided test for the observed standardised difference, by the normal approximation with both tails;
+    NULL without a difference."""
     ship_package(m.sparkSession)
 
     @F.pandas_udf("double")
     def power(d: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([special.normal_cdf(abs(a) * math.sqrt(b / 2) - alpha_z) for a, b in zip(d, n, strict=True)], dtype="float64")
+        shift = d * np.sqrt(n / 2)
+        return pd.Series([None if not a else min(1.0, 1 - special.normal_cdf(z - s) + special.normal_cdf(-z - s)) for a, s in zip(d, shift, strict=True)], dtype="float64")
 
     harmonic = 2.0 * F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2"))
     return m.join(cohens_d(m), "metric").select("metric", harmonic.alias("harmonic_n"), power("cohens_d", harmonic).alias("power"))
 
 
-def hierarchical_bootstrap(long: DataFrame, first: str, second: str, replicates: int = 500, seed: int = 42) -> DataFrame:
+def hierarchical_bootstrap(long: DataFrame, first: str, second: str, replicates: int = 5000, seed: int = 42) -> DataFrame:
     """Percentile interval of the difference of means (second minus first) when samples are drawn again, and the values
     in them. One sample's values are one task's group and leave it as one mean a replicate; the samples themselves are
     drawn by Poisson weights, so nothing is gathered."""
@@ -308,7 +371,8 @@ def hierarchical_bootstrap(long: DataFrame, first: str, second: str, replicates:
     def redraw(key, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.sort(pdf["value"].to_numpy(float))
         rng = np.random.default_rng([seed, *(b for k in key for b in str(k).encode())])
-        means = np.array([x[rng.integers(0, len(x), len(x))].mean() for _ in range(replicates)])
+        step = max(1, 4_000_000 // len(x))
+        means = np.concatenate([x[rng.integers(0, len(x), (min(step, replicates - k), len(x)))].mean(1) for k in range(0, replicates, step)])
         return pd.DataFrame({"metric": key[0], "condition": key[1], "replicate": np.arange(replicates), "mean": means, "weight": rng.poisson(1, replicates).astype(float)})
 
     schema = "metric string, condition string, replicate int, mean double, weight double"

@@ -1,8 +1,9 @@
 """Movies to regions and traces.
 
-``movie`` has one row a frame: recording, frame, height, width and pixels (row-major array). Frames are never exploded to
-pixels as a whole: passes over pixels are vectorized by blocks of frames, so one long recording spreads over many tasks,
-and only the small maps of a recording (one image) come together in a task.
+``movie`` has one row a frame: recording, frame (1, 2, ... without gaps), height, width and pixels (row-major array).
+Frames are never exploded to pixels and never sorted or windowed as whole recordings: passes over pixels are vectorized by
+chunks of frames (``recording, chunk``), so one long recording spreads over many tasks, and only the small maps of a
+recording (one image) come together in a task. What a recording has once (template, masks) is sent once a chunk.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionspark.functions import images, kernels
-from motionspark.functions.stats import hazen, values_of
+from motionspark.functions.stats import hazen, sample_std, values_of
 from motionspark.runtime import ship_package
 
 
@@ -22,12 +23,51 @@ def frames_of(pdf: pd.DataFrame) -> np.ndarray:
     return np.array(pdf["pixels"].tolist(), float).reshape(-1, h, w)
 
 
+#: Frames of a chunk: a few hundred megabytes of the largest frames, in one task.
+CHUNK = 50
+
+
+def chunk_of(size: int) -> Column:
+    return F.floor((F.col("frame") - 1) / size).cast("int")
+
+
+def by_chunk(movie: DataFrame, side: DataFrame, run, schema: str, size: int = CHUNK) -> DataFrame:
+    """``run(frames, side)`` of each chunk of frames with its recording's row of ``side``; recordings without one are left
+    out. Which chunks there are is read from the frame numbers alone."""
+    ship_package(movie.sparkSession)
+    dealt = movie.withColumn("chunk", chunk_of(size))
+    sides = movie.select("recording", chunk_of(size).alias("chunk")).distinct().join(side, "recording")
+    # names of its own, for both sides come from one table
+    sides = sides.select(*[F.col(c).alias(f"side_{c}") for c in sides.columns])
+
+    def both(frames: pd.DataFrame, one: pd.DataFrame) -> pd.DataFrame:
+        if not len(frames) or not len(one):
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        return run(frames.sort_values("frame"), one.rename(columns=lambda c: c.removeprefix("side_")).iloc[0])
+
+    return dealt.groupBy("recording", "chunk").cogroup(sides.groupBy("side_recording", "side_chunk")).applyInPandas(both, schema)
+
+
+def frame_changes(movie: DataFrame, size: int = CHUNK) -> DataFrame:
+    """recording, frame and d: the median absolute pixel difference to the frame before. The last frame of a chunk goes to
+    the next chunk too."""
+    ship_package(movie.sparkSession)
+    at = chunk_of(size)
+    dealt = movie.withColumn("chunk", F.explode(F.when(F.col("frame") % size == 0, F.array(at, at + 1)).otherwise(F.array(at))))
+
+    def change(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame")
+        images = frames_of(pdf).reshape(len(pdf), -1)
+        d = [float(np.median(np.abs(b - a))) for a, b in zip(images[:-1], images[1:], strict=True)]
+        return pd.DataFrame({"recording": key[0], "frame": pdf["frame"].to_numpy()[1:], "d": d})
+
+    return dealt.select("recording", "chunk", "frame", "height", "width", "pixels").groupBy("recording", "chunk").applyInPandas(change, "recording string, frame int, d double")
+
+
 def quiet_window(movie: DataFrame, fps: float, least: int = 200, seconds: float = 10) -> DataFrame:
     """recording, start, activity: the first frame of the window with the least change between successive frames (median
     absolute pixel difference, moving median of 0.5 s, moving mean of the window)."""
-    order = Window.partitionBy("recording").orderBy("frame")
-    change = F.array_sort(F.zip_with("pixels", F.lag("pixels").over(order), lambda a, b: F.abs(a - b)))
-    quick = movie.select("recording", "frame", hazen(change, 50).alias("d")).filter("frame > 1")
+    quick = frame_changes(movie)
     half = max(1, int(0.5 * fps + 0.5))
     win = max(least, int(seconds * fps + 0.5))
     calm = quick.withColumn("m", F.expr(f"percentile(d, 0.5) over (partition by recording order by frame rows between {half // 2} preceding and {half - half // 2 - 1} following)"))
@@ -37,42 +77,65 @@ def quiet_window(movie: DataFrame, fps: float, least: int = 200, seconds: float
     return best.select("recording", F.col("b.frame").alias("start"), F.col("b.activity").alias("activity"))
 
 
+def pixel_sums(movie: DataFrame) -> DataFrame:
+    """recording, width, n, mean and m2 (squared deviations) of each pixel as arrays, over the frames that a task saw."""
+    ship_package(movie.sparkSession)
+    schema = "recording string, width int, n long, mean array<double>, m2 array<double>"
+
+    def run(batches):
+        held: dict = {}
+        for pdf in batches:
+            for name, part in pdf.groupby("recording"):
+                x = np.array(part["pixels"].tolist(), float)
+                n, mean = len(x), x.mean(0)
+                m2 = ((x - mean) ** 2).sum(0)
+                if name in held:
+                    width, n0, mean0, m20 = held[name]
+                    gap = mean - mean0
+                    mean, m2 = mean0 + gap * n / (n0 + n), m20 + m2 + gap * gap * n0 * n / (n0 + n)
+                    n += n0
+                held[name] = (int(part["width"].iloc[0]), n, mean, m2)
+        yield pd.DataFrame([(k, w, n, mean.tolist(), m2.tolist()) for k, (w, n, mean, m2) in held.items()], columns=[c.split()[0] for c in schema.split(", ")])
+
+    return movie.select("recording", "width", "pixels").mapInPandas(run, schema)
+
+
 def template(movie: DataFrame, quiet: DataFrame, frames: int) -> DataFrame:
     """The mean image of each recording's quiet window. Sums leave each task as one image a recording."""
     inside = movie.join(quiet.select("recording", "start"), "recording").filter((F.col("frame") >= F.col("start")) & (F.col("frame") < F.col("start") + frames))
-    means = inside.select("recording", F.posexplode("pixels").alias("k", "v")).groupBy("recording", "k").agg(F.avg("v").alias("v"))
+    parts = pixel_sums(inside).select("recording", "n", F.posexplode("mean").alias("k", "v"))
+    means = parts.groupBy("recording", "k").agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("v"))
     return means.groupBy("recording").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("template"))
 
 
-def estimate_shifts(movie: DataFrame, templates: DataFrame, most: int, half_limit: int, rescues: int = 5, factor: float = 2.0, up: int = 10) -> DataFrame:
-    """dx (right), dy (up) of each frame against its recording's fixed template.
+def estimate_shifts(movie: DataFrame, templates: DataFrame, most: int, half_limit: int, rescues: int = 5, factor: float = 2.0, up: int = 50) -> DataFrame:
+    """dx (right), dy (up) of each frame against its recording's fixed template, in steps of ``1 / up`` pixels.
 
     All frames are independent: the template does not follow the frames as a sequential registration's would. A frame
     whose shift comes near its window is looked at again in a wider one; after ``rescues`` tries it is unstable."""
-    ship_package(movie.sparkSession)
     schema = "recording string, frame int, dx_px double, dy_px double, rescue_count int, unstable_tracking boolean"
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                image, base = (np.asarray(v, float).reshape(r.height, r.width) for v in (r.pixels, r.template))
-                limit, tries = most, 0
+    def run(frames: pd.DataFrame, one: pd.Series) -> pd.DataFrame:
+        rows = []
+        for r in frames.itertuples():
+            image, base = (np.asarray(v, float).reshape(r.height, r.width) for v in (r.pixels, one["template"]))
+            limit, tries = most, 0
+            x, y = images.shift_between(image, base, limit, up)
+            while max(abs(x), abs(y)) > 0.9 * limit and tries < rescues and limit < half_limit:
+                limit, tries = min(half_limit, max(limit + 10, int(np.ceil(factor * limit)))), tries + 1
                 x, y = images.shift_between(image, base, limit, up)
-                while max(abs(x), abs(y)) > 0.9 * limit and tries < rescues and limit < half_limit:
-                    limit, tries = min(half_limit, max(limit + 10, int(np.ceil(factor * limit)))), tries + 1
-                    x, y = images.shift_between(image, base, limit, up)
-                rows.append((r.recording, int(r.frame), x, -y, tries, max(abs(x), abs(y)) > 0.9 * limit))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+            rows.append((r.recording, int(r.frame), x, -y, tries, max(abs(x), abs(y)) > 0.9 * limit))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return movie.join(templates, "recording").select("recording", "frame", "height", "width", "pixels", "template").mapInPandas(run, schema)
+    return by_chunk(movie, templates, run, schema)
 
 
 def motion_quality(shifts: DataFrame, limit: float = 50) -> DataFrame:
-    """excessive_motion beyond the limit, high_motion beyond half of it, else good."""
+    """excessive_motion if a shift is beyond the limit, high_motion if the range of the shifts of one axis is, else good."""
     most = F.max(F.greatest(F.abs("dx_px"), F.abs("dy_px")))
-    got = shifts.groupBy("recording").agg(most.alias("max_shift"))
-    return got.withColumn("motion_quality", F.when(F.col("max_shift") > limit, "excessive_motion").when(F.col("max_shift") > limit / 2, "high_motion").otherwise("good"))
+    span = F.greatest(*[F.max(c) - F.min(c) for c in ("dx_px", "dy_px")])
+    got = shifts.groupBy("recording").agg(most.alias("max_shift"), span.alias("shift_range"))
+    return got.withColumn("motion_quality", F.when(F.col("max_shift") > limit, "excessive_motion").when(F.col("shift_range") > limit, "high_motion").otherwise("good"))
 
 
 def align_shifts(frames: DataFrame, shifts: DataFrame) -> DataFrame:
@@ -105,10 +168,13 @@ def sample_frames(movie: DataFrame, n: int) -> DataFrame:
 
 
 def pixel_mean_std(movie: DataFrame) -> DataFrame:
-    """Mean and sample spread of each pixel; a task sends one row a pixel, whatever its frames."""
-    long = movie.select("recording", "width", F.posexplode("pixels").alias("k", "v"))
-    got = long.groupBy("recording", "width", "k").agg(F.avg("v").alias("mean"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("std"))
-    return got.select("recording", F.floor(F.col("k") / F.col("width")).cast("int").alias("y"), (F.col("k") % F.col("width")).alias("x"), "mean", "std")
+    """Mean and sample spread of each pixel; a task sends one image a recording, whatever its frames."""
+    both = F.posexplode(F.arrays_zip("mean", "m2")).alias("k", "v")
+    parts = pixel_sums(movie).select("recording", "width", "n", both).select("recording", "width", "k", "n", "v.mean", "v.m2")
+    whole = parts.groupBy("recording", "width", "k").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("m"), F.sum("m2").alias("m2"), F.collect_list(F.struct("n", "mean")).alias("parts"))  # one a task
+    between = F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["n"] * (p["mean"] - F.col("m")) * (p["mean"] - F.col("m")))
+    std = F.when(F.col("n") > 1, F.sqrt((F.col("m2") + between) / (F.col("n") - 1))).otherwise(0.0)
+    return whole.select("recording", F.floor(F.col("k") / F.col("width")).cast("int").alias("y"), (F.col("k") % F.col("width")).cast("int").alias("x"), F.col("m").alias("mean"), std.alias("std"))
 
 
 def image_of(pdf: pd.DataFrame, *columns: str) -> list[np.ndarray]:
@@ -135,8 +201,7 @@ def brain_mask(maps: DataFrame, sigma: float = 10, least: int = 5000, widen: int
 def cn_pnr_maps(movie: DataFrame, chunk: int = 50) -> DataFrame:
     """Neighbour correlation and peak-to-noise ratio, averaged over blocks of ``chunk`` frames in their order."""
     ship_package(movie.sparkSession)
-    place = Window.partitionBy("recording").orderBy("frame")
-    dealt = movie.withColumn("chunk", F.floor((F.row_number().over(place) - 1) / chunk).cast("int"))
+    dealt = movie.withColumn("chunk", chunk_of(chunk))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         cn, pnr = images.correlation_maps(frames_of(pdf.sort_values("frame")))
@@ -147,33 +212,46 @@ def cn_pnr_maps(movie: DataFrame, chunk: int = 50) -> DataFrame:
     return parts.groupBy("recording", "y", "x").agg(F.avg("cn").alias("cn"), F.avg("pnr").alias("pnr"))
 
 
-def map_stats(maps: DataFrame, min_corr: float = 0.3, min_pnr: float = 3.0) -> DataFrame:
-    """Statistics of the two maps within the mask, and the class of the data."""
-    got = maps.groupBy("recording").agg(*[f(c).alias(f"{c}_{k}") for c in ("cn", "pnr") for k, f in (("mean", F.avg), ("median", F.median), ("min", F.min), ("max", F.max))], *[values_of(F.col(c)).alias(f"_{c}") for c in ("cn", "pnr")])
-    wide = got.select("*", *[hazen(F.col(f"_{c}"), p).alias(f"{c}_p{p}") for c in ("cn", "pnr") for p in (75, 90)]).drop("_cn", "_pnr")
-    wide = wide.withColumn("cn_uniform", (F.col("cn_max") - F.col("cn_min") < 0.15) & (F.col("cn_median") > 0.7))
-    return wide.withColumn("data_quality", F.when(F.col("pnr_max") < min_pnr, "low_pnr").when(F.col("cn_max") < min_corr, "low_cn").otherwise("good"))
+PERCENTILES = (25, 50, 75, 90, 95)
 
 
-def threshold_levels(stats: DataFrame, min_corr: float = 0.3, min_pnr: float = 3.0) -> DataFrame:
-    """Strict, medium and relaxed limits of each recording."""
-    c, p = F.greatest(F.lit(min_corr), F.least("cn_p75", F.lit(0.6))), F.greatest(F.lit(min_pnr), F.least("pnr_p75", F.lit(6.0)))
+def map_stats(maps: DataFrame, min_corr: float = 0.3, min_pnr: float = 3.0) -> DataFrame:
+    """Statistics of the two maps within the mask (``in_mask``; without that column, of all pixels), the class of the data,
+    and the least limits that count, lowered where the signal is weak."""
+    inside = maps.filter("in_mask") if "in_mask" in maps.columns else maps
+    measures = (("mean", F.avg), ("median", F.median), ("std", lambda c: sample_std(F.col(c))), ("min", F.min), ("max", F.max))
+    got = inside.groupBy("recording").agg(*[f(c).alias(f"{c}_{k}") for c in ("cn", "pnr") for k, f in measures], *[values_of(F.col(c)).alias(f"_{c}") for c in ("cn", "pnr")])
+    wide = got.select("*", *[hazen(F.col(f"_{c}"), p).alias(f"{c}_p{p}") for c in ("cn", "pnr") for p in PERCENTILES]).drop("_cn", "_pnr").withColumn("cn_range", F.col("cn_max") - F.col("cn_min"))
+    wide = wide.withColumn("cn_uniform", (F.col("cn_range") < 0.15) & (F.col("cn_median") > 0.7))
+    quality = F.when(F.col("pnr_max") < min_pnr, "low_pnr").when(F.col("cn_max") < min_corr, "poor_correlation").otherwise("normal")
+    weak = F.col("pnr_p75") < min_pnr
+    return wide.withColumns({"data_quality": quality, "weak_signal_mode": weak, "effective_min_pnr": F.when(weak, 0.75 * min_pnr).otherwise(F.lit(float(min_pnr))), "effective_min_corr": F.when(weak, 0.80 * min_corr).otherwise(F.lit(float(min_corr)))})
+
+
+def threshold_levels(stats: DataFrame, min_corr: float | None = None, min_pnr: float | None = None) -> DataFrame:
+    """Strict, medium and relaxed limits of each recording, none below the least limits of ``map_stats`` (or those given
+    here in their place); and whether its correlation map is too even to count."""
+    least_c = F.col("effective_min_corr") if min_corr is None else F.lit(float(min_corr))
+    least_p = F.col("effective_min_pnr") if min_pnr is None else F.lit(float(min_pnr))
+    c, p = F.greatest(least_c, F.least("cn_p75", F.lit(0.6))), F.greatest(least_p, F.least("pnr_p75", F.lit(6.0)))
     row = lambda k, name, a, b: F.struct(F.lit(k).alias("level"), F.lit(name).alias("name"), a.alias("cn"), b.alias("pnr"))
-    levels = F.array(row(1, "strict", c, p), row(2, "medium", F.greatest(F.lit(min_corr), 0.7 * c), F.greatest(F.lit(0.8 * min_pnr), 0.7 * p)), row(3, "relaxed", F.lit(min_corr), F.lit(min_pnr)))
-    return stats.select("recording", F.inline(levels))
+    levels = F.array(row(1, "strict", c, p), row(2, "medium", F.greatest(least_c, 0.7 * c), F.greatest(0.8 * least_p, 0.7 * p)), row(3, "relaxed", least_c, least_p))
+    return stats.select("recording", "cn_uniform", F.inline(levels))
 
 
 def find_regions(maps: DataFrame, levels: DataFrame, g_sig: float = 3.0, least: int = 12, most: int = 120, grow: bool = True, blur: tuple[float, float] = (1.5, 1.0)) -> DataFrame:
-    """Maps are smoothed by ``blur`` first. Seeds (grow=False: y, x, score, level) or grown regions (one row a pixel with roi_id) of each recording; ``maps``
-    has mean, cn, pnr and in_mask. The order of seeds decides, so one recording's image is one task."""
+    """Maps are smoothed by ``blur`` first. Seeds (grow=False: y, x, score, level) or grown regions (one row a pixel with
+    roi_id) of each recording; ``maps`` has mean, cn, pnr and in_mask. Where the correlation map is even (``cn_uniform``)
+    only the peak map gives seeds. The order of seeds decides, so one recording's image is one task."""
     ship_package(maps.sparkSession)
-    limits = levels.groupBy("recording").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "cn", "pnr"))), lambda s: F.array(s["cn"], s["pnr"])).alias("levels"))
+    even = F.bool_or("cn_uniform") if "cn_uniform" in levels.columns else F.lit(False)
+    limits = levels.groupBy("recording").agg(even.alias("cn_uniform"), F.transform(F.array_sort(F.collect_list(F.struct("level", "cn", "pnr"))), lambda s: F.array(s["cn"], s["pnr"])).alias("levels"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         mean, cn, pnr, mask = image_of(pdf, "mean", "cn", "pnr", "in_mask")
         mask = mask.astype(bool)
         cn, pnr = images.smooth(cn * mask, blur[0]), images.smooth(pnr * mask, blur[1])
-        found = images.suppress(images.seeds(cn, pnr, mask, [tuple(v) for v in pdf["levels"].iloc[0]], (0.5 * g_sig, g_sig, 1.5 * g_sig), mean=mean, g_sig=g_sig), 1.5 * g_sig)
+        found = images.suppress(images.seeds(cn, pnr, mask, [tuple(v) for v in pdf["levels"].iloc[0]], (0.5 * g_sig, g_sig, 1.5 * g_sig), bool(pdf["cn_uniform"].iloc[0]), mean=mean, g_sig=g_sig), 1.5 * g_sig)
         name = pdf["recording"].iloc[0]
         if not grow:
             return pd.DataFrame([(name, k + 1, *s[:2], s[2], s[3]) for k, s in enumerate(found)], columns=["recording", "roi_id", "y", "x", "score", "level"])
@@ -198,23 +276,36 @@ def neuropil_masks(masks: DataFrame, height: int, width: int, inner: float = 3.0
     return ring.join(masks.select("recording", "y", "x").distinct(), ["recording", "y", "x"], "left_anti").select("recording", "roi_id", "y", "x")
 
 
-def extract_traces(pixels: DataFrame, masks: DataFrame, how: str = "mean") -> DataFrame:
-    """recording, roi_id, frame and the mean or median of the pixels of each region; only pixels of a mask are kept."""
-    value = F.avg("value") if how == "mean" else F.median("value")
-    return pixels.join(masks.select("recording", "roi_id", "y", "x"), ["recording", "y", "x"]).groupBy("recording", "roi_id", "frame").agg(value.alias("f"))
+def extract_traces(movie: DataFrame, masks: DataFrame, how: str = "mean") -> DataFrame:
+    """recording, roi_id, frame and the mean or median of the pixels of each region."""
+    pixels = masks.groupBy("recording").agg(F.collect_list(F.struct(F.col("roi_id").cast("long").alias("roi_id"), "y", "x")).alias("cells"))
+    value = np.mean if how == "mean" else np.median
+
+    def run(frames: pd.DataFrame, one: pd.Series) -> pd.DataFrame:
+        stack = frames_of(frames)
+        roi, y, x = (np.array([c[k] for c in one["cells"]]) for k in ("roi_id", "y", "x"))
+        parts = [pd.DataFrame({"recording": one["recording"], "roi_id": r, "frame": frames["frame"].to_numpy(), "f": value(stack[:, y[roi == r], x[roi == r]], axis=1)}) for r in np.unique(roi)]
+        return pd.concat(parts)
+
+    return by_chunk(movie, pixels, run, "recording string, roi_id long, frame int, f double")
 
 
-def global_signal(pixels: DataFrame, masks: DataFrame, frames: int, least: int = 100) -> DataFrame:
+def global_signal(movie: DataFrame, masks: DataFrame, frames: int, least: int = 100) -> DataFrame:
     """The mean of pixels outside all regions on ``frames`` sampled frames, drawn through all frames by a monotone cubic;
     recordings with few such pixels take the mean of all."""
-    ship_package(pixels.sparkSession)
-    last = pixels.groupBy("recording").agg(F.max("frame").alias("last"))
-    step = (F.col("last") - 1) / F.lit(float(max(1, frames - 1)))
-    wanted = last.select("recording", "last", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), lambda k: F.round(1 + k * step).cast("int")))).alias("frame"))
-    taken = masks.select("recording", "y", "x", F.lit(True).alias("taken")).distinct()
-    sampled = pixels.join(wanted, ["recording", "frame"]).join(taken, ["recording", "y", "x"], "left")
-    outside = F.when(F.col("taken").isNull(), F.col("value"))
-    points = sampled.groupBy("recording", "frame", "last").agg(F.when(F.count(outside) > least, F.avg(outside)).otherwise(F.avg("value")).alias("g"))
+    last = movie.groupBy("recording").agg(F.max("frame").alias("last"))
+    cells = masks.groupBy("recording").agg(F.collect_set(F.struct("y", "x")).alias("cells"))
+    side = last.join(cells, "recording", "left").select("recording", F.coalesce("cells", F.array().cast("array<struct<y: int, x: int>>")).alias("cells"))
+
+    def outside(pdf: pd.DataFrame, one: pd.Series) -> pd.DataFrame:
+        stack = frames_of(pdf)
+        free = np.ones(stack.shape[1:], bool)
+        for c in one["cells"]:
+            free[c["y"], c["x"]] = False
+        g = stack[:, free].mean(1) if free.sum() > least else stack.mean((1, 2))
+        return pd.DataFrame({"recording": one["recording"], "frame": pdf["frame"].to_numpy(), "g": g})
+
+    points = by_chunk(sample_frames(movie, frames), side, outside, "recording string, frame int, g double").join(last, "recording")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
@@ -239,15 +330,17 @@ def roi_shape(masks: DataFrame, px_um: float) -> DataFrame:
     return got.withColumns({"area_um2": um2, "diameter_um": 2 * F.sqrt(um2 / F.lit(float(np.pi))), "aspect": F.try_divide("major", "minor")})
 
 
-def level_name(level: Column) -> Column:
-    names = ("strict", "medium", "relaxed", "pnr_only", "mean_fallback", "std_fallback")
-    return F.coalesce(*[F.when(level == k, n) for k, n in enumerate(names, 1)], F.lit("unknown"))
-
-
 def reject_shape(shapes: DataFrame) -> DataFrame:
-    """``c_shape``: the first limit of shape that a region fails."""
-    c = F.when(F.col("compactness") < 0.20, "shape_compactness").when((F.col("extent") < 0.35) | (F.col("extent") > 0.95), "shape_extent").when(F.col("aspect") > 3, "shape_aspect")
-    return shapes.withColumn("c_shape", c.when(F.col("solidity") < 0.55, "shape_solidity").when(F.col("eccentricity") > 0.93, "shape_eccentricity"))
+    """``c_shape`` and ``why_shape``: the first limit of shape that a region fails."""
+    x = lambda c: F.col(c).cast("double")
+    limits = [
+        (F.col("compactness") < 0.20, "compactness", "Low compactness (%.2f < 0.20)", "compactness"), (F.col("extent") < 0.35, "extent", "Low extent (%.2f < 0.35) - stringy", "extent"),
+        (F.col("extent") > 0.95, "extent", "High extent (%.2f > 0.95) - rectangular", "extent"), (F.col("aspect") > 3, "aspect", "High aspect ratio (%.1f > 3.0)", "aspect"),
+        (F.col("solidity") < 0.55, "solidity", "Low solidity (%.2f < 0.55)", "solidity"), (F.col("eccentricity") > 0.93, "eccentricity", "High eccentricity (%.2f > 0.93)", "eccentricity"),
+    ]
+    category = F.coalesce(*[F.when(c, f"shape_{k}") for c, k, _, _ in limits])
+    reason = F.coalesce(*[F.when(c, F.format_string(text, x(v))) for c, _, text, v in limits])
+    return shapes.withColumns({"c_shape": category, "why_shape": reason})
 
 
 def perimeter(mask: DataFrame, keys: list[str]) -> DataFrame:
@@ -263,18 +356,26 @@ def reject_edge(masks: DataFrame, field: DataFrame, most: float = 0.20) -> DataF
     own = perimeter(masks.select("recording", "roi_id", "y", "x"), ["recording", "roi_id"])
     edge = perimeter(field.select("recording", "y", "x"), ["recording"]).withColumn("on_edge", F.lit(1))
     both = own.join(edge, ["recording", "y", "x"], "left").groupBy("recording", "roi_id").agg((F.count("on_edge") / F.count("*")).alias("contact"))
-    return both.withColumn("c_edge", F.when(F.col("contact") > most, "edge"))
+    touches = F.col("contact") > most
+    return both.withColumns({"c_edge": F.when(touches, "edge_contact"), "why_edge": F.when(touches, F.format_string(f"Edge contact (%.0f%% > {100 * most:.0f}%%)", 100 * F.col("contact")))})
+
+
+#: Measures of the maps that are reported of a recording without regions.
+DIAGNOSTICS = ("cn_mean", "cn_std", "cn_median", "cn_min", "cn_max", "cn_range", "pnr_mean", "pnr_std", "pnr_median", "pnr_min", "pnr_max", "pnr_p75", "pnr_p90")
 
 
 def zero_roi_diagnostics(stats: DataFrame, counts: DataFrame) -> DataFrame:
     """Metric and value rows of recordings without regions."""
     empty = stats.join(counts.filter("n_rois > 0"), "recording", "left_anti")
-    return empty.unpivot(["recording"], ["cn_mean", "cn_max", "pnr_mean", "pnr_max"], "metric", "value")
-
-
-def detection_thresholds(levels: DataFrame, rois: DataFrame) -> DataFrame:
-    """The strict limits of each recording and the method that found its regions."""
-    strict = levels.filter("level = 1").select("recording", "cn", "pnr")
-    used = rois.groupBy("recording").agg(F.min("level").alias("least"))
-    method = F.when(F.col("least").isNull(), "none").when(F.col("least") <= 3, "cn_pnr").when(F.col("least") == 4, "pnr_only").otherwise("fallback")
-    return strict.join(used, "recording", "left").select("recording", "cn", "pnr", method.alias("method"))
+    return empty.unpivot(["recording"], list(DIAGNOSTICS), "metric", "value")
+
+
+def detection_thresholds(stats: DataFrame, levels: DataFrame, rois: DataFrame, min_corr: float = 0.3, min_pnr: float = 3.0) -> DataFrame:
+    """One row a recording: its number of regions, measures of its maps, the limits of the last level (the given ones where
+    the correlation map is even, for then there are no levels) and the method that found its regions."""
+    last = levels.groupBy("recording").agg(F.max(F.struct("level", "cn", "pnr")).alias("x"))
+    used = rois.groupBy("recording").agg(F.count_distinct("roi_id").alias("n_rois"), F.min("level").alias("least"))
+    method = F.when(F.col("cn_uniform"), "pnr_only").when(F.col("least").isNull(), "none").when(F.col("least") <= 3, "cn_pnr").when(F.col("least") == 4, "pnr_only").otherwise("fallback")
+    limit = lambda c, given: F.when(F.col("cn_uniform") | F.col("x").isNull(), given).otherwise(F.col(f"x.{c}"))
+    joined = stats.join(last, "recording", "left").join(used, "recording", "left")
+    return joined.select("recording", F.coalesce("n_rois", F.lit(0)).alias("n_rois"), "cn_median", "cn_range", "cn_max", "pnr_median", "pnr_max", limit("cn", min_corr).alias("cn"), limit("pnr", min_pnr).alias("pnr"), "cn_uniform", method.alias("method"))
