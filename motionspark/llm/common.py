@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionspark.runtime import ship_package
+from motionspark.runtime import checkpointed, shared_folder, ship_package  # noqa: F401
 
 #: Rows of one Arrow batch: texts can be long, so batches are small.
 BATCH_ROWS = 500
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session. Only where that is unset, as
-    in tests on one machine, a temporary folder takes its place."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def small_batches(spark: SparkSession) -> None:
     """Sends the package to the executors and bounds the rows of an Arrow batch, for the operators that send whole texts
     to Python."""
@@ -42,12 +30,6 @@ def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut in reliable storage; for small tables in loops."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fresh(name: str, df: DataFrame) -> str:
     """``name``, or a longer one, that no column of ``df`` has, whatever the case of letters."""
     taken = {c.lower() for c in df.columns}
