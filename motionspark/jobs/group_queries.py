@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from motionspark.jobs import motion_queries as mq
 from motionspark.jobs.motion_queries import FRAMES, JUDGED, hz, six
-from motionspark.operators import files, groups, series, tables
+from motionspark.operators import files, gates, groups, series, tables
 from motionspark.runtime import shared_folder
 from motionspark.sources.adapters import nested, table
 
@@ -44,14 +44,16 @@ def io02(spark, sf):
     return files.normalize_file(t.withColumnRenamed("file", "Filename")).select("c_custkey", "File")
 
 
-@query("io03_read_motion_tables", f'with {JUDGED} select recording || \'.avi\' as "File", roi_eligible as "ROI_ELIGIBLE", round(jitter_ratio, 6) as "Jitter_ratio" from judged')
+@query("io03_read_motion_tables", f'with {JUDGED} select recording || \'.avi\' as "File", kind, roi_eligible as "ROI_ELIGIBLE", round(jitter_ratio, 6) as "JitterRatio", round(mean_step_ps, 6) as "MeanStep_postSettle_um" from judged, (select unnest([\'parquet\', \'csv\']) as kind)')
 def io03(spark, sf):
-    from motionspark.operators import gates
-
-    path = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
-    for name, t in gates.motion_tables(mq.judged(spark, sf)).items():
-        files.write_table(t, f"{path}/{name}")
-    return six(files.read_motion_tables(spark, path), "Jitter_ratio").select("File", "ROI_ELIGIBLE", "Jitter_ratio")
+    """The tables written and read back as Parquet and as CSV."""
+    path, out = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", []
+    for kind in ("parquet", "csv"):
+        for name, t in gates.motion_tables(mq.judged(spark, sf)).items():
+            files.write_table(t, f"{path}/{kind}/{name}", kind)
+        t = files.read_motion_tables(spark, f"{path}/{kind}", kind)
+        out.append(t.select("File", F.lit(kind).alias("kind"), "ROI_ELIGIBLE", F.col("JitterRatio_post_cumPath_over_netDrift").alias("JitterRatio"), "MeanStep_postSettle_um"))
+    return six(out[0].unionByName(out[1]), "JitterRatio", "MeanStep_postSettle_um")
 
 
 KINDS = ("csv", "tsv", "json", "text", "parquet")
@@ -87,8 +89,6 @@ def io04(spark, sf):
 
 @query("io06_eligible_recordings", f'with {JUDGED} select f.recording, count(*) as n from frames f where recording in (select recording from judged where roi_eligible) group by f.recording')
 def io06(spark, sf):
-    from motionspark.operators import gates
-
     kept = files.eligible(mq.frames(spark, sf), gates.roi_candidates(mq.judged(spark, sf)))
     return kept.groupBy("recording").agg(F.count("*").alias("n"))
 

@@ -282,6 +282,17 @@ def mo25(spark, sf):
     return six(series.per_minute_median(frames(spark, sf)), "median_step")
 
 
+SETTLED_MINUTES = f"""{SETTLED}, lengths as (select recording, "group", (max(n) - 1) / 60.0 as minutes, max(settle_min) as settle_min from posted group by all),
+long_enough as (select "group" from lengths group by "group" having median(minutes) >= 2 * median(settle_min)), enough as (select recording from clean group by recording having count(*) >= 2),
+minutes as (select recording, "group", ((frame - 1) // 60 + 1)::int as minute, median(step_um) as median_step from clean where "group" in (select "group" from long_enough) and recording in (select recording from enough) group by all)"""
+TIMECOURSE = """select "group", minute, count(median_step) as n_active, round(avg(median_step), 6) as mean_um, round(coalesce(stddev_samp(median_step), case when count(median_step) = 1 then 0 end) / sqrt(count(median_step)), 6) as sem_um from minutes group by all"""
+
+
+@query("mo26_settled_timecourse", f"with {SETTLED_MINUTES} {TIMECOURSE}")
+def mo26s(spark, sf):
+    return six(series.group_timecourse(series.settled_minutes(settled(spark, sf))), "mean_um", "sem_um")
+
+
 @query("mo26_group_timecourse", f"with {MINUTES} select \"group\", minute, count(median_step) as n_active, round(avg(median_step), 6) as mean_um, round(coalesce(stddev_samp(median_step), case when count(median_step) = 1 then 0 end) / sqrt(count(median_step)), 6) as sem_um from minutes group by all")
 def mo26(spark, sf):
     return six(series.group_timecourse(series.per_minute_median(frames(spark, sf))), "mean_um", "sem_um")
@@ -301,11 +312,30 @@ def mo28(spark, sf):
     return gates.movement_qc(metrics(spark, sf), CFG, longest).select("recording", "max_pegged_run", "qc_pass", "qc_reason", "qc_soft_still", "health")
 
 
-@query("mo29_motion_tables", f"""with {JUDGED} select recording || '.avi' as "File", "group" as "Group", round(median_step, 6) as "Median_step_um", round(cum_path, 6) as "Cumulative_path_um", n_frames as "N_frames", movement_valid as "MOVEMENT_VALID", roi_eligible as "ROI_ELIGIBLE", motion_quality as "MotionQuality", round(med_step_ps, 6) as "PostSettle_median_step_um", round(jitter_ratio, 6) as "Jitter_ratio" from judged""")
+MO29 = {
+    "MedianDisp_um": "median_step", "CumPath_um": "cum_path", "Pegged_frac": "pegged", "MedianDisp_postSettle_um": "med_step_ps", "Pct95Disp_postSettle_um": "p95_step_ps", "CumPath_postSettle_um": "cum_path_ps",
+    "NetDrift_postSettle_um": "net_drift_ps", "SpikeFrac_postSettle_over_0p8um_per_s": "spike_frac_ps", "JitterRatio_post_cumPath_over_netDrift": "jitter_ratio", "nan_frac": "nan_frac", "Excursion_max_um": "excursion_um",
+    "Excursion_frac_FOV": "excursion_frac", "MeanStep_postSettle_um": "mean_step_ps", "P99Step_postSettle_um": "p99_step_ps",
+}
+MO29_PLAIN = {"n_frames": "n_frames", "MOVEMENT_VALID": "movement_valid", "Movement_QC_reason": "movement_reason", "Movement_HealthFlag": "movement_health", "ROI_ELIGIBLE": "roi_eligible", "ROI_QC_reason": "roi_reason", "ROI_HealthFlag": "roi_health", "MotionQuality": "motion_quality"}
+
+
+@query("mo29_motion_tables", f"""with {JUDGED} select recording || '.avi' as "File", {', '.join(f'round({c}, 6) as "{n}"' for n, c in MO29.items())}, {', '.join(f'{c} as "{n}"' for n, c in MO29_PLAIN.items())} from judged""")
 def mo29(spark, sf):
-    t = gates.motion_tables(judged(spark, sf))
-    joined = t["basic"].join(t["qc"], "File").join(t["enriched"], "File")
-    return six(joined, "Median_step_um", "Cumulative_path_um", "PostSettle_median_step_um", "Jitter_ratio").select("File", "Group", "Median_step_um", "Cumulative_path_um", "N_frames", "MOVEMENT_VALID", "ROI_ELIGIBLE", "MotionQuality", "PostSettle_median_step_um", "Jitter_ratio")
+    """What the qc and enriched tables hold of the gates' own metrics."""
+    t = gates.motion_tables(judged(spark, sf), SPIKE)
+    joined = t["qc"].join(t["enriched"].select("File", *[c for c in t["enriched"].columns if c not in t["qc"].columns]), "File")
+    return six(joined.select("File", *MO29, *MO29_PLAIN), *MO29)
+
+
+@query("mo29_full_tables")
+def mo29f(spark, sf):
+    """All columns of the three tables side by side; each has an oracle in the query of its own operator."""
+    t = gates.motion_tables(gates.full_record(settled(spark, sf), judged(spark, sf), CFG), SPIKE)
+    wide = t["basic"]
+    for name in ("qc", "enriched"):
+        wide = wide.join(t[name].select("File", *[c for c in t[name].columns if c not in wide.columns]), "File")
+    return six(wide, *[f.name for f in wide.schema if f.dataType.simpleString() == "double"])
 
 
 @query("mo30_motion_summary", f"""with {FRAMES}, e as (select recording, median(dx_um) filter (frame >= n - 30) - median(dx_um) filter (frame <= 31) as x, median(dy_um) filter (frame >= n - 30) - median(dy_um) filter (frame <= 31) as y, median(step_um) as median_step, sum(step_um) as cum_path, median(step_um) filter (frame > 20) as median_step_late from steps group by recording)
@@ -316,12 +346,17 @@ def mo30(spark, sf):
     return six(got, "median_step", "cum_path", "median_step_late", "net_drift").select("recording", "median_step", "cum_path", "median_step_late", "net_drift")
 
 
-@query("mo31_group_summary", f"""with {JUDGED} select "group", count(*) as n_files, count(*) filter (movement_valid) as n_valid, count(*) filter (roi_eligible) as n_eligible, round(100 * count(*) filter (roi_eligible) / count(*), 6) as pct_eligible, round(avg(median_step), 6) as mean_median_step, round(stddev_samp(median_step), 6) as sd_median_step, round(max(excursion_um), 6) as max_excursion_um, round(avg(pegged), 6) as mean_pegged from judged group by "group" """)
+MO31 = ("movement_valid_rate", "roi_eligible_rate", "mean_median_step_ps", "sd_median_step_ps", "mean_excursion_frac", "max_excursion_frac", "mean_pegged")
+
+
+@query("mo31_group_summary", f"""with {JUDGED} select "group", count(*) as n_files, count(*) filter (movement_valid) as n_movement_valid, round(count(*) filter (movement_valid) / count(*), 6) as movement_valid_rate, count(*) filter (roi_eligible) as n_roi_eligible,
+round(count(*) filter (roi_eligible) / count(*), 6) as roi_eligible_rate, count(*) filter (t_exit) as n_boundary_exit, round(avg(med_step_ps), 6) as mean_median_step_ps, round(stddev_samp(med_step_ps), 6) as sd_median_step_ps,
+round(avg(excursion_frac), 6) as mean_excursion_frac, round(max(excursion_frac), 6) as max_excursion_frac, round(avg(pegged), 6) as mean_pegged from judged group by "group" """)
 def mo31(spark, sf):
-    return six(gates.group_summary(judged(spark, sf)), "pct_eligible", "mean_median_step", "sd_median_step", "max_excursion_um", "mean_pegged")
+    return six(gates.group_summary(judged(spark, sf), CFG), *MO31)
 
 
-CANDIDATES = """"group" as "Group", recording as "Stem", recording || '.avi' as "AVI", movement_valid as "MOVEMENT_VALID", movement_reason as "Movement_QC_reason", roi_eligible as "ROI_ELIGIBLE", roi_reason as "ROI_QC_reason", round(excursion_frac, 6) as "Excursion_frac_FOV", post_start_frame as "PostSettleStartFrame", n_frames"""
+CANDIDATES = """"group" as "Group", recording as "Stem", recording || '.avi' as "AVI", movement_valid as "MOVEMENT_VALID", movement_reason as "Movement_QC_reason", roi_eligible as "ROI_ELIGIBLE", roi_reason as "ROI_QC_reason", round(excursion_frac, 6) as "Excursion_frac_FOV", post_start_frame as "PostSettleStartFrame", n_frames, 1.0::double as fps_used"""
 
 
 @query("mo32_roi_candidates", f"with {JUDGED} select {CANDIDATES} from judged")

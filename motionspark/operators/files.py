@@ -57,8 +57,18 @@ def select_inputs(files: DataFrame) -> DataFrame:
     return kept.withColumn("number", number).orderBy(F.col("number").asc_nulls_last(), "name")
 
 
-def eligible(recordings: DataFrame, candidates: DataFrame, gate: str = "ROI_ELIGIBLE") -> DataFrame:
-    """Recordings that pass the gate of the candidates' table; all of them if there is no such column."""
+def read_list(spark: SparkSession, path: str) -> DataFrame:
+    """The names of a list file: column Stem, one row a word."""
+    return spark.read.text(path).select(F.explode(F.split(F.trim("value"), r"\s+")).alias("Stem")).filter("Stem <> ''")
+
+
+def eligible(recordings: DataFrame, candidates: DataFrame | None, gate: str = "ROI_ELIGIBLE", listed: DataFrame | None = None) -> DataFrame:
+    """Recordings of the list file (column Stem), which counts when the gate is ROI_ELIGIBLE; without one, those that pass
+    the gate of the candidates' table, or its ROI_ELIGIBLE; all that it names if it has neither, and all without a table."""
+    if listed is not None and gate.upper() == "ROI_ELIGIBLE":
+        return recordings.join(listed.select(F.col("Stem").alias("recording")), "recording", "left_semi")
+    if candidates is None:
+        return recordings
     gate = gate if gate in candidates.columns else "ROI_ELIGIBLE"
     if gate not in candidates.columns:
         return recordings
@@ -90,7 +100,10 @@ def join_motion(samples: DataFrame, motion: DataFrame) -> DataFrame:
     return equal.unionByName(near)
 
 
-def read_motion_tables(spark: SparkSession, path: str) -> DataFrame:
-    """The qc and enriched tables of one group's folder, joined on File."""
-    qc, enriched = spark.read.parquet(f"{path}/qc"), spark.read.parquet(f"{path}/enriched")
-    return normalize_file(qc).join(normalize_file(enriched), "File", "left")
+def read_motion_tables(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    """The qc and enriched tables of one group's folder, joined on File; columns that both have come from qc. ``kind`` is
+    parquet, or csv for files with a header."""
+    read = lambda name: spark.read.parquet(f"{path}/{name}") if kind == "parquet" else spark.read.option("header", True).option("inferSchema", True).csv(f"{path}/{name}")
+    qc, enriched = normalize_file(read("qc")), normalize_file(read("enriched"))
+    own = [c for c in enriched.columns if c == "File" or c not in qc.columns]
+    return qc.join(enriched.select(*own), "File", "left")

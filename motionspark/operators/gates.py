@@ -78,22 +78,72 @@ def movement_qc(metrics: DataFrame, cfg: QcConfig, longest: DataFrame, unstable:
     })
 
 
-def motion_tables(judged: DataFrame) -> dict[str, DataFrame]:
-    """The basic, qc and enriched tables of a judged set of recordings."""
-    file = F.concat("recording", F.lit(".avi")).alias("File")
-    return {
-        "basic": judged.select(file, F.col("group").alias("Group"), F.col("median_step").alias("Median_step_um"), F.col("cum_path").alias("Cumulative_path_um"), F.col("n_frames").alias("N_frames")),
-        "qc": judged.select(file, F.col("movement_valid").alias("MOVEMENT_VALID"), F.col("movement_reason").alias("Movement_QC_reason"), F.col("roi_eligible").alias("ROI_ELIGIBLE"), F.col("roi_reason").alias("ROI_QC_reason"), F.col("motion_quality").alias("MotionQuality")),
-        "enriched": judged.select(file, F.col("med_step_ps").alias("PostSettle_median_step_um"), F.col("p95_step_ps").alias("PostSettle_P95_um"), F.col("net_drift_ps").alias("PostSettle_net_drift_um"), F.col("jitter_ratio").alias("Jitter_ratio")),
-    }
-
-
-def group_summary(judged: DataFrame) -> DataFrame:
-    """Counts, pass rates and the spread of the main metrics of each group."""
-    n = F.count("*")
+#: Columns of the tables of a recording and what they hold; all start with File and n_frames.
+BASIC = {
+    "MedianDisp_um": "median_step", "Pct95Disp_um": "p95_step", "CumPath_um": "cum_path", "NetDrift_um": "net_drift", "DriftRate_um_per_s": "drift_rate", "Pegged_frac": "pegged", "Flatline_flag": "flatline",
+    "MedianDisp_postSettle_um": "med_step_ps", "Pct95Disp_postSettle_um": "p95_step_ps", "CumPath_postSettle_um": "cum_path_ps", "NetDrift_postSettle_um": "net_drift_ps", "DriftRate_postSettle_um_per_s": "drift_rate_ps",
+    "Pegged_postSettle_frac": "pegged_ps", "Flatline_postSettle_flag": "flatline_ps", "fps_used": "fps", "px_um": "px_um", "max_shift_um": "max_shift_um", "settle_min": "settle_min",
+}
+QC = {
+    "MedianDisp_preSettle_um": "med_step_pre", "SettleRatio_post_over_pre": "settle_ratio", "SPIKE": "spike_frac_ps", "JitterRatio_post_cumPath_over_netDrift": "jitter_ratio", "nan_frac": "nan_frac", "rescue_count": "rescue_count",
+    "unstable_tracking": "unstable_tracking", "Excursion_max_um": "excursion_um", "Excursion_frac_FOV": "excursion_frac", "Boundary_warning": "boundary_warning", "Boundary_exit": "boundary_exit", "MOVEMENT_VALID": "movement_valid",
+    "Movement_QC_reason": "movement_reason", "Movement_HealthFlag": "movement_health", "ROI_ELIGIBLE": "roi_eligible", "ROI_QC_reason": "roi_reason", "ROI_HealthFlag": "roi_health", "MotionQuality": "motion_quality",
+}
+ENRICHED = {
+    "MeanStep_um": "mean_step", "SDStep_um": "sd_step", "P99Step_um": "p99_step", "MeanStep_postSettle_um": "mean_step_ps", "P99Step_postSettle_um": "p99_step_ps", "PctTime_step_le_0p10um": "below_010", "PctTime_step_le_0p20um": "below_020",
+    "DriftAngle_deg": "drift_angle", "AutoSettle_min": "auto_settle_min", "Bursts_post_0p2um": "n_bursts_0", "Rate_post_0p2um_per_min": "burst_rate_0", "Bursts_post_0p5um": "n_bursts_1", "Rate_post_0p5um_per_min": "burst_rate_1",
+    "Bursts_post_1p0um": "n_bursts_2", "Rate_post_1p0um_per_min": "burst_rate_2", "PSD_DominantFreq_Hz": "dom_f", "PSD_DominantPeriod_min": "dom_period_min", "PSD_DominantPower": "dom_p", "PSD_FracLow": "frac_low",
+    "PSD_FracMid": "frac_mid", "PSD_FracHigh": "frac_high", "MedianStep_um": "median_step", "MedianStep_postSettle_um": "med_step_ps", "CumPath_um": "cum_path", "CumPath_postSettle_um": "cum_path_ps", "Pegged_frac": "pegged",
+    "Pegged_postSettle_frac": "pegged_ps", "SPIKE": "spike_frac_ps", "JitterRatio_post_cumPath_over_netDrift": "jitter_ratio", "Excursion_max_um": "excursion_um", "Excursion_frac_FOV": "excursion_frac", "MOVEMENT_VALID": "movement_valid",
+    "Movement_HealthFlag": "movement_health", "ROI_ELIGIBLE": "roi_eligible", "ROI_HealthFlag": "roi_health", "rescue_count": "rescue_count", "unstable_tracking": "unstable_tracking",
+}
+BURSTS = (0.2, 0.5, 1.0)
+BANDS = {"low": (0.0, 0.02), "mid": (0.02, 0.1), "high": (0.1, 0.5)}
+
+
+def full_record(frames: DataFrame, judged: DataFrame, cfg: QcConfig, calm_um: float = 0.30, calm_win: int = 61, calm_hold: int = 60) -> DataFrame:
+    """``judged`` with all that the tables hold; ``frames`` as for ``recording_metrics``. Everything is grouped by recording,
+    so the parts meet without moving frames again."""
+    spectra = series.psd(frames)
+    pre = frames.groupBy("recording").agg(F.median(F.when(~F.col("post"), F.col("step_um"))).alias("med_step_pre"), F.max("px_um").alias("px_um"), F.max("settle_min").alias("settle_min"))
+    counts = series.bursts(series.compacted(frames), list(BURSTS))
+    place = F.coalesce(*[F.when(F.col("threshold") == t, k) for k, t in enumerate(BURSTS)])
+    bursts = counts.groupBy("recording").agg(*[F.max(F.when(place == k, F.col(c))).alias(f"{n}_{k}") for k in range(len(BURSTS)) for c, n in (("n_bursts", "n_bursts"), ("rate_per_min", "burst_rate"))])
+    parts = [
+        series.step_stats(frames).drop("median_step", "cum_path"), series.net_drift(frames, cfg.median_frames).drop("duration_s"), pre, series.settle_ratio(frames), series.auto_settle(frames, calm_um, calm_win, calm_hold), bursts,
+        series.dominant_peak(spectra), series.band_power(spectra, BANDS), series.excursion(frames, cfg.field_um, cfg.boundary_warning, cfg.boundary_exit).select("recording", "boundary_warning", "boundary_exit"),
+    ]
+    got = judged.drop("settle_min", "px_um")
+    for part in parts:
+        got = got.join(part, "recording", "left")
+    own = {c: F.lit(v) for c, v in (("rescue_count", 0), ("unstable_tracking", False), ("max_shift_um", max(cfg.limit_x_um, cfg.limit_y_um))) if c not in got.columns}
+    return got.withColumns(own)
+
+
+def spike_header(spike_um_per_s: float) -> str:
+    """The name of the column of spikes, which holds their limit."""
+    return f"SpikeFrac_postSettle_over_{spike_um_per_s:.3g}um_per_s".replace(".", "p")
+
+
+def motion_tables(judged: DataFrame, spike_um_per_s: float = 3.0) -> dict[str, DataFrame]:
+    """The basic, qc and enriched tables of judged recordings; with ``full_record`` every column is there, without it those
+    that ``judged`` has no value for are left out."""
+    has = set(judged.columns)
+    named = lambda columns: [F.col(c).alias(spike_header(spike_um_per_s) if n == "SPIKE" else n) for n, c in columns.items() if c in has]
+    first = [F.concat("recording", F.lit(".avi")).alias("File"), F.col("n_frames")]
+    return {"basic": judged.select(*first, F.col("group").alias("Group"), *named(BASIC)), "qc": judged.select(*first, *named(BASIC | QC)), "enriched": judged.select(*first, *named(ENRICHED))}
+
+
+def group_summary(judged: DataFrame, cfg: QcConfig | None = None) -> DataFrame:
+    """Counts, pass rates, boundary exits and the spread of the main metrics over the recordings of each group."""
+    cfg = cfg or QcConfig()
+    n, left = F.count("*"), F.coalesce(F.col("excursion_frac") > cfg.boundary_exit, F.lit(False))
+    extra = [F.avg("rescue_count").alias("mean_rescue_count")] if "rescue_count" in judged.columns else []
+    extra += [F.avg(F.col("unstable_tracking").cast("double")).alias("frac_unstable")] if "unstable_tracking" in judged.columns else []
     return judged.groupBy("group").agg(
-        n.alias("n_files"), F.count_if("movement_valid").alias("n_valid"), F.count_if("roi_eligible").alias("n_eligible"), (100 * F.count_if("roi_eligible") / n).alias("pct_eligible"),
-        F.avg("median_step").alias("mean_median_step"), sample_std(F.col("median_step")).alias("sd_median_step"), F.max("excursion_um").alias("max_excursion_um"), F.avg("pegged").alias("mean_pegged"),
+        n.alias("n_files"), F.count_if("movement_valid").alias("n_movement_valid"), (F.count_if("movement_valid") / n).alias("movement_valid_rate"), F.count_if("roi_eligible").alias("n_roi_eligible"),
+        (F.count_if("roi_eligible") / n).alias("roi_eligible_rate"), F.count_if(left).alias("n_boundary_exit"), F.avg("med_step_ps").alias("mean_median_step_ps"), sample_std(F.col("med_step_ps")).alias("sd_median_step_ps"),
+        F.avg("excursion_frac").alias("mean_excursion_frac"), F.max("excursion_frac").alias("max_excursion_frac"), F.avg("pegged").alias("mean_pegged"), *extra,
     )
 
 
@@ -102,8 +152,14 @@ def roi_candidates(judged: DataFrame) -> DataFrame:
     return judged.select(
         F.col("group").alias("Group"), F.col("recording").alias("Stem"), F.concat("recording", F.lit(".avi")).alias("AVI"), F.col("movement_valid").alias("MOVEMENT_VALID"), F.col("movement_reason").alias("Movement_QC_reason"),
         F.col("roi_eligible").alias("ROI_ELIGIBLE"), F.col("roi_reason").alias("ROI_QC_reason"), F.col("excursion_frac").alias("Excursion_frac_FOV"), F.col("post_start_frame").alias("PostSettleStartFrame"), "n_frames",
+        *[F.col(c).alias(n) for c, n in (("fps", "fps_used"), ("px_um", "px_um")) if c in judged.columns],
     )
 
 
+def candidate_list(candidates: DataFrame, gate: str = "ROI_ELIGIBLE") -> DataFrame:
+    """The names of the recordings that passed a gate, as the list file holds them."""
+    return candidates.filter(gate).select("Stem")
+
+
 def sort_by_status(candidates: DataFrame) -> DataFrame:
     return candidates.orderBy(F.desc("ROI_ELIGIBLE"), F.desc("MOVEMENT_VALID"), "Stem")

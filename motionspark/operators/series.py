@@ -35,22 +35,34 @@ def step_size(df: DataFrame) -> DataFrame:
     return df.withColumn("step_um", F.when(F.col("frame") == 1, 0.0).otherwise(gap))
 
 
-#: Share of the smaller side that a search window takes.
+#: Share of the smaller side that a search window of a calcium recording takes.
 WINDOW_SHARE = {"auto": 0.40, "auto_conservative": 0.10, "auto_loose": 0.45, "auto_extreme": 0.50}
+#: Modes of a movement recording: a share, a length in micrometres, or all that fits.
+MOVEMENT_WINDOWS = {"auto": 0.30, "auto_conservative": 50.0, "auto_loose": None}
 
 
-def max_shift(df: DataFrame, mode: str = "auto", value: float | None = None) -> DataFrame:
-    """``max_shift_px`` and ``max_shift_um`` from height, width and px_um."""
+def max_shift(df: DataFrame, mode: str = "auto", value: float | tuple[float, float] | None = None, stage: str = "calcium") -> DataFrame:
+    """The search window from height, width and px_um: ``max_shift_px_y`` and ``max_shift_px_x``, the same in micrometres,
+    and the smaller of the two as ``max_shift_px`` and ``max_shift_um``. ``value`` of the fixed modes is one length or two
+    (y, x). A window is at least 1 px and at most half a side less one: of its own side for the fixed modes of a calcium
+    recording, else of the smaller side."""
+    half = lambda side: (F.floor(side / 2) - 1).cast("double")
     small = F.least("height", "width")
-    most = F.floor(small / 2) - 1
-    if mode in WINDOW_SHARE:
-        px = F.round(F.lit(WINDOW_SHARE[mode]) * small)
-    elif mode in ("fixed_um", "fixed_px") and value is not None:
-        px = F.round(F.lit(float(value)) / F.col("px_um")) if mode == "fixed_um" else F.round(F.lit(float(value)))
+    most = (half(small), half(small))
+    if mode in ("fixed_um", "fixed_px") and value is not None:
+        lengths = value if isinstance(value, tuple) else (value, value)
+        px = [F.round(F.lit(float(v)) / (F.col("px_um") if mode == "fixed_um" else F.lit(1.0))) for v in lengths]
+        most = (half(F.col("height")), half(F.col("width"))) if stage == "calcium" else most
+    elif stage == "calcium" and mode in WINDOW_SHARE:
+        px = [F.round(F.lit(WINDOW_SHARE[mode]) * small)] * 2
+    elif stage == "movement" and mode in MOVEMENT_WINDOWS:
+        length = MOVEMENT_WINDOWS[mode]
+        px = [most[0] if length is None else F.round(F.lit(length) / F.col("px_um")) if length > 1 else F.round(F.lit(length) * small)] * 2
     else:
-        raise ValueError(f"unknown mode {mode}, or no value")
-    px = F.greatest(F.lit(1.0), F.least(most.cast("double"), px))
-    return df.withColumns({"max_shift_px": px, "max_shift_um": px * F.col("px_um")})
+        raise ValueError(f"unknown mode {mode} of stage {stage}, or no value")
+    y, x = (F.greatest(F.lit(1.0), F.least(m, v)) for m, v in zip(most, px, strict=True))
+    um = F.col("px_um")
+    return df.withColumns({"max_shift_px_y": y, "max_shift_px_x": x, "max_shift_um_y": y * um, "max_shift_um_x": x * um, "max_shift_px": F.least(y, x), "max_shift_um": F.least(y, x) * um})
 
 
 def rescue_cap(df: DataFrame) -> DataFrame:
@@ -60,9 +72,13 @@ def rescue_cap(df: DataFrame) -> DataFrame:
     return df.withColumn("rescue_cap_px", F.greatest(cap, F.col("max_shift_px")))
 
 
-def pegged(df: DataFrame, limit_x: float, limit_y: float) -> DataFrame:
-    """``is_pegged``: a shift beyond 0.98 of its limit."""
-    over = (F.abs("dx_um") > PEG * limit_x) | (F.abs("dy_um") > PEG * limit_y)
+def pegged(df: DataFrame, limit_x: float | None = None, limit_y: float | None = None) -> DataFrame:
+    """``is_pegged``: a shift beyond 0.98 of its limit; without limits given, of the recording's own ``max_shift_um_x`` and
+    ``max_shift_um_y``, or of ``max_shift_um`` where it has only that."""
+    axis = lambda c: F.col(c if c in df.columns else "max_shift_um")
+    x = axis("max_shift_um_x") if limit_x is None else F.lit(float(limit_x))
+    y = axis("max_shift_um_y") if limit_y is None else F.lit(float(limit_y))
+    over = (F.abs("dx_um") > PEG * x) | (F.abs("dy_um") > PEG * y)
     return df.withColumn("is_pegged", F.coalesce(over, F.lit(False)))
 
 
@@ -335,17 +351,17 @@ def mean_psd(spectra: DataFrame) -> DataFrame:
 
 
 def resampled(spectra: DataFrame, first: DataFrame) -> DataFrame:
-    """``spectra`` at the frequencies of ``first`` (column f), linearly between a recording's own lines, NULL outside."""
+    """``spectra`` at the frequencies of ``first`` (column f), linearly between a recording's own lines and, outside them,
+    along the line through its two last ones; NULL for a recording with one line."""
     lines = F.array(*[F.lit(r["f"]) for r in first.select("f").distinct().orderBy("f").collect()])  # half a spectrum's length, 1,025 at most
-    grid = spectra.select("recording").distinct().select("recording", F.explode(lines).alias("f"), F.lit(None).cast("double").alias("p"), F.lit(True).alias("wanted"))
-    every = grid.unionByName(spectra.select("recording", "f", "p", F.lit(False).alias("wanted")))
-    up = Window.partitionBy("recording").orderBy("f").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("recording").orderBy("f").rowsBetween(0, Window.unboundedFollowing)
-    line = F.when(~F.col("wanted"), F.struct("f", "p"))
-    near = every.withColumns({"a": F.last(line, True).over(up), "b": F.first(line, True).over(down)}).filter("wanted")
-    same = F.col("b.f") == F.col("a.f")
-    value = F.when(same, F.col("a.p")).otherwise(F.col("a.p") + (F.col("f") - F.col("a.f")) * F.try_divide(F.col("b.p") - F.col("a.p"), F.col("b.f") - F.col("a.f")))
-    return near.select("recording", "f", value.alias("p"))
+    own = F.array_sort(F.collect_list(F.struct("f", "p")))
+    whole = spectra.groupBy("recording").agg(own.alias("s")).filter(F.size("s") > 0)
+    at = whole.select("recording", "s", F.explode(lines).alias("f"))
+    # the number of own lines up to f says which two to draw through
+    k = F.greatest(F.lit(1), F.least(F.size("s") - 1, F.size(F.filter("s", lambda x: x["f"] <= F.col("f")))))
+    a, b = F.get("s", k - 1), F.get("s", k)
+    value = a["p"] + (F.col("f") - a["f"]) * F.try_divide(b["p"] - a["p"], b["f"] - a["f"])
+    return at.select("recording", "f", value.alias("p"))
 
 
 def per_minute_median(df: DataFrame) -> DataFrame:
@@ -353,6 +369,16 @@ def per_minute_median(df: DataFrame) -> DataFrame:
     return df.groupBy("recording", "group", minute.alias("minute")).agg(F.median("step_um").alias("median_step"))
 
 
+def settled_minutes(df: DataFrame) -> DataFrame:
+    """Medians by minute of the settled frames alone, numbered anew, of the recordings of each group whose usual duration
+    (median) is at least twice the settling time; ``df`` has post, reposition and settle_min."""
+    clean = compacted(df)
+    length = df.groupBy("recording", "group").agg(((F.count("*") - 1) / F.greatest(F.lit(1.0), F.max("fps")) / 60).alias("minutes"), F.max("settle_min").alias("settle_min"))
+    usual = length.groupBy("group").agg(F.median("minutes").alias("minutes"), F.median("settle_min").alias("settle_min")).filter(F.col("minutes") >= 2 * F.col("settle_min")).select("group")
+    enough = clean.groupBy("recording").agg(F.count("*").alias("n")).filter("n >= 2").select("recording")
+    return per_minute_median(clean.join(usual, "group", "left_semi").join(enough, "recording", "left_semi"))
+
+
 def group_timecourse(minutes: DataFrame) -> DataFrame:
     """For every minute up to the group's last: active recordings, mean and standard error of their medians."""
     last = minutes.groupBy("group").agg(F.max("minute").alias("last")).select("group", F.explode(F.sequence(F.lit(1), "last")).alias("minute"))
