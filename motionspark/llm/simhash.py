@@ -192,7 +192,7 @@ class WordHashes(dict):
         from xxhash import xxh64_intdigest
 
         h = xxh64_intdigest(word, SEED)
-        if len(self) < 300_000:
+        if len(self) < 100_000:
             self[word] = h
         return h
 
@@ -212,9 +212,9 @@ def copy_sketch(text: str | None, hashes: WordHashes, size: int = 5) -> tuple[in
     h = np.fromiter((hashes[w] for w in words), np.uint64, len(words))
     values, counts = np.unique(h, return_counts=True)
     total = np.zeros(64)
-    for k in range(0, len(values), 65_536):
-        bits = np.unpackbits(values[k : k + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += np.sqrt(counts[k : k + 65_536]) @ (2.0 * bits - 1)
+    for k in range(0, len(values), 4096):
+        bits = np.unpackbits(values[k : k + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total += np.sqrt(counts[k : k + 4096]) @ (2.0 * bits - 1)
     fp = int.from_bytes(np.packbits(total > 1e-9, bitorder="little").tobytes(), "little")
     shingles = h[: max(1, len(h) - size + 1)].copy()
     for k in range(1, min(size, len(h))):
