@@ -21,12 +21,27 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: Tables that ``materialise`` wrote in this session, in order.
+WRITTEN: list[str] = []
+
+
+def discard(spark: SparkSession, since: int, keep: str) -> None:
+    """Removes the tables written since ``WRITTEN`` had ``since`` entries, but for the one whose name starts with ``keep``:
+    for a chain of steps of which only the last result is read again."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [p for p in WRITTEN[since:] if not p.rsplit("/", 1)[1].startswith(keep)]:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+        WRITTEN.remove(path)
+
+
 def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read again: later steps start from files that survive
     the loss of executors, and do not repeat the work."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -14,7 +14,8 @@ def components(links: DataFrame) -> DataFrame:
     """``links``: columns a, b (long). Returns (node, component) for every node of a link; component is the smallest node
     that can be reached. Each round keeps at most as many links as there were; a node with very many links is one key of
     a join that adaptive execution can split, and of minima that are taken before the shuffle. The rounds are about the
-    logarithm of the longest path."""
+    logarithm of the longest path. Links with a null end, and links of a node to itself, are left out; without links there are
+    no rows; should the links not settle within ``MAX_ROUNDS`` rounds, enough for any path of 2^60 links, it is an error."""
     links = checkpointed(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(MAX_ROUNDS):

@@ -8,7 +8,8 @@ columns, not compressed again), so a lost task leaves nothing half written and a
 ``path/blocks``  shard, block, start (in the shard), n_ids, planes, crc32, and the documents' pieces in the block
 ``path/index``   shard, block, start (over all shards), n_ids, plane_bytes, crc32
 
-Edge cases: a null or empty text is the end id alone; null doc_ids come first; repeated rows are stored as often as they
+Edge cases: a null or empty text is the end id alone; null doc_ids come first, rows with one id in the order of a hash of
+their text; repeated rows are stored as often as they
 come; an empty table gives an empty folder that reads as no rows; other columns are ignored.
 """
 
@@ -85,7 +86,9 @@ def write_planes(docs: DataFrame, path: str, vocab: str, blanks: str = "kept", e
     names = ["shard", "block", "start", "n_ids", "kind", "planes", "crc32", "pieces"]
     types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.binary()), pa.int64(), pa.list_(piece)]
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # rows with one id, or none, follow a hash of their text, so that many of them make several ranges
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    ordered = ordered.withColumn("tie", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
     ordered.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     index = blocks.join(shard_starts(blocks), "shard").select(
