@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motionspark.llm import mixing, packing, quality, secrets, simhash
-from motionspark.llm.common import materialise
+from motionspark.llm.common import WRITTEN, discard, materialise
 from motionspark.llm.queries import table, vocabulary
 
 #: Rows of the list of near copies up to which it is broadcast (24 bytes each).
@@ -62,7 +62,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's table, and what its operators wrote, goes as soon as the next one is whole."""
+    docs, start = table(spark, sf_dir, "documents"), len(WRITTEN)
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(spark, start, f"stage-{name}")
     return docs
