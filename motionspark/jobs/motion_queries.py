@@ -252,23 +252,38 @@ def spectra(spark, sf):
     return series.psd(frames(spark, sf), 128, 16)
 
 
-@query("mo21_psd")
+TAPER = "(0.54 - 0.46 * cos(2 * pi() * i / (win - 1)))"
+SPECTRA = f"""{FRAMES}, series as (select recording, n, greatest(16, n // 4) as win, list(coalesce(step_um - m, 0) order by frame) as x from (select *, avg(step_um) over (partition by recording) as m from steps) group by all),
+weight as (select recording, sum({TAPER} ** 2) as weight from (select recording, win, unnest(range(win)) as i from series) group by recording),
+pieces as (select recording, win, x, unnest(range((n - win) // (win - win // 2) + 1)) as piece from series),
+samples as (select recording, piece, i, x[piece * (win - win // 2) + i + 1] * {TAPER} as v from (select *, unnest(range(win)) as i from pieces)),
+lines as (select recording, piece, k, sum(v * cos(2 * pi() * ((k * i) % 256) / 256)) as re, sum(v * sin(2 * pi() * ((k * i) % 256) / 256)) as im from samples, (select unnest(range(129)) as k) group by all),
+spectra as (select recording, k::int as k, k::double / 256 as f, avg(re * re + im * im) / any_value(weight) * case when k between 1 and 127 then 2 else 1 end as p from lines join weight using (recording) group by recording, k)"""
+
+
+@query("mo21_psd", f"with {SPECTRA} select recording, k, round(f, 6) as f, round(p, 6) as p from spectra")
 def mo21(spark, sf):
+    """Recordings of about a minute: pieces of 16 frames or a quarter of the recording, padded to 256."""
     return six(spectra(spark, sf), "f", "p")
 
 
-@query("mo22_dominant_peak")
+@query("mo22_dominant_peak", f"with {SPECTRA}, r as (select *, row_number() over (partition by recording order by p desc, f) as place from spectra where f between 0.01 and 0.5) select recording, round(f, 6) as dom_f, round(p, 6) as dom_p, round(1 / f / 60, 6) as dom_period_min from r where place = 1")
 def mo22(spark, sf):
     return six(series.dominant_peak(spectra(spark, sf)), "dom_f", "dom_p", "dom_period_min")
 
 
-@query("mo23_band_power")
+MO23 = {"low": (0.01, 0.05), "mid": (0.05, 0.2), "high": (0.2, 0.5)}
+
+
+@query("mo23_band_power", f"""with {SPECTRA}, strips as (select recording, f, lead(f) over w as f2, (lead(f) over w - f) * (p + lead(p) over w) / 2 as area from spectra window w as (partition by recording order by f))
+select recording, {', '.join(f'round(coalesce(sum(area) filter (f >= {lo} and f2 <= {hi}), 0) / sum(area), 6) as frac_{k}' for k, (lo, hi) in MO23.items())} from strips group by recording""")
 def mo23(spark, sf):
-    return series.band_power(spectra(spark, sf), {"low": (0.01, 0.05), "mid": (0.05, 0.2), "high": (0.2, 0.5)})
+    return six(series.band_power(spectra(spark, sf), MO23), *(f"frac_{k}" for k in MO23))
 
 
-@query("mo24_mean_psd")
+@query("mo24_mean_psd", f"with {SPECTRA} select round(f, 6) as f, round(avg(p), 6) as mean_p, count(*) as n_recordings from spectra group by f")
 def mo24(spark, sf):
+    """All recordings have one grid here; other grids are tested on a fixture."""
     every = spectra(spark, sf)
     first = every.join(F.broadcast(every.agg(F.min("recording").alias("recording"))), "recording", "left_semi")
     return six(series.mean_psd(series.resampled(every, first)), "f", "mean_p")
