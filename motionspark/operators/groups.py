@@ -362,21 +362,29 @@ def power_estimate(m: DataFrame, z: float = 1.96) -> DataFrame:
     return m.join(cohens_d(m), "metric").select("metric", harmonic.alias("harmonic_n"), power("cohens_d", harmonic).alias("power"))
 
 
-def hierarchical_bootstrap(long: DataFrame, first: str, second: str, replicates: int = 5000, seed: int = 42) -> DataFrame:
-    """Percentile interval of the difference of means (second minus first) when samples are drawn again, and the values
-    in them. One sample's values are one task's group and leave it as one mean a replicate; the samples themselves are
-    drawn by Poisson weights, so nothing is gathered."""
-    ship_package(long.sparkSession)
-
-    def redraw(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf["value"].to_numpy(float))
-        rng = np.random.default_rng([seed, *(b for k in key for b in str(k).encode())])
-        step = max(1, 4_000_000 // len(x))
-        means = np.concatenate([x[rng.integers(0, len(x), (min(step, replicates - k), len(x)))].mean(1) for k in range(0, replicates, step)])
-        return pd.DataFrame({"metric": key[0], "condition": key[1], "replicate": np.arange(replicates), "mean": means, "weight": rng.poisson(1, replicates).astype(float)})
-
-    schema = "metric string, condition string, replicate int, mean double, weight double"
-    drawn = long.filter("value is not null").groupBy("metric", "condition", "sample").applyInPandas(redraw, schema)
-    mean = lambda c: F.try_divide(F.sum(F.when(F.col("condition") == c, F.col("weight") * F.col("mean"))), F.sum(F.when(F.col("condition") == c, F.col("weight"))))
-    rows = drawn.groupBy("metric", "replicate").agg((mean(second) - mean(first)).alias("value"))
-    return percentiles(rows, ["metric"], {"ci_low": 2.5, "ci_high": 97.5})
+def hierarchical_bootstrap(long: DataFrame, first: str, second: str, replicates: int = 10_000, seed: int = 42) -> DataFrame:
+    """Percentile intervals when samples are drawn again, and the values in each drawn sample: of each condition's mean over
+    all drawn values (low1, high1, low2, high2) and of the difference of the two (ci_low, ci_high; second minus first).
+
+    Values of a sample are drawn by slices as in ``replicate_sums``, so a sample of any size spreads over tasks; a sample
+    that is drawn more than once in a replicate counts with the same redrawn values. Samples are drawn by number: a
+    replicate has as many draws as its condition has samples, each a hash, and draws of one sample are counted."""
+    known = long.filter(F.col("value").isNotNull() & F.col("condition").isin(first, second))
+    keyed = known.select(F.to_json(F.struct("metric", "condition", F.xxhash64("sample").alias("h"))).alias("metric"), F.lit("v").alias("condition"), "value")
+    sums = replicate_sums(keyed, "v", "", replicates, seed, value="value").groupBy("metric", "replicate").agg(F.sum("w1").alias("w"), F.sum("s1").alias("s"))
+    part = lambda c, kind: F.get_json_object("metric", f"$.{c}").cast(kind)
+    redrawn = sums.select(part("metric", "string").alias("metric"), part("condition", "string").alias("condition"), part("h", "long").alias("h"), "replicate", "w", "s")
+    samples = known.select("metric", "condition", F.xxhash64("sample").alias("h")).groupBy("metric", "condition", "h").agg(F.lit(1).alias("one"))
+    numbered = running_counts(samples, ["metric", "condition"], "h", ["one"]).withColumnRenamed("one_upto", "number")
+    sizes = samples.groupBy("metric", "condition").agg(F.count("*").alias("n"))
+    draws = numbered.select("metric", "condition", "number").join(sizes, ["metric", "condition"]).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    pick = F.pmod(F.xxhash64(F.lit(seed), "metric", "condition", "replicate", "number"), F.col("n")) + 1
+    times = draws.groupBy("metric", "condition", "replicate", pick.alias("number")).agg(F.count("*").alias("times"))
+    drawn = times.join(numbered.drop("one"), ["metric", "condition", "number"]).join(redrawn, ["metric", "condition", "h", "replicate"])
+    total = lambda c, name: F.sum(F.when(F.col("condition") == name, F.col("times") * F.col(c)))
+    mean = lambda name: F.round(F.try_divide(total("s", name), total("w", name)), 9)
+    rows = checkpointed(drawn.groupBy("metric", "replicate").agg(mean(first).alias("m1"), mean(second).alias("m2")).withColumn("gap", F.round(F.col("m2") - F.col("m1"), 9)))
+    out = percentiles(rows, ["metric"], {"ci_low": 2.5, "ci_high": 97.5}, "gap")
+    for k in (1, 2):
+        out = out.join(percentiles(rows, ["metric"], {f"low{k}": 2.5, f"high{k}": 97.5}, f"m{k}"), "metric", "left")
+    return out

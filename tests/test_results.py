@@ -81,6 +81,20 @@ def test_resampling_has_the_right_distribution(spark, monkeypatch, slice_values)
     assert (ci["effect_low"], ci["effect_high"]) == pytest.approx(tuple(want), abs=0.05)
 
 
+def test_hierarchical_bootstrap_against_numpy(spark):
+    rng = np.random.default_rng(8)
+    data = {c: [np.round(rng.normal(m, 1, n), 2) for n, m in zip((5, 30, 12, 8), mean, strict=True)] for c, mean in (("x", (0, 1, 0.5, 0)), ("y", (2, 1, 3, 2)))}
+    values = [("m", c, f"{c}{s}", float(v)) for c, samples in data.items() for s, x in enumerate(samples) for v in x]
+    got = groups.hierarchical_bootstrap(rows(spark, values, "metric string, condition string, sample string, value double"), "x", "y", 3000).first()
+
+    def one(samples):
+        return np.concatenate([rng.choice(x, len(x)) for x in (samples[k] for k in rng.integers(0, len(samples), len(samples)))]).mean()
+
+    x, y = (np.array([one(data[c]) for _ in range(6000)]) for c in "xy")
+    for low, high, want in (("low1", "high1", x), ("low2", "high2", y), ("ci_low", "ci_high", y - x)):
+        assert (got[low], got[high]) == pytest.approx(tuple(np.percentile(want, [2.5, 97.5])), abs=0.12)
+
+
 def test_permutation_p(spark):
     means = groups.sample_means(long_of(spark, [1, 2, 3], [10, 11, 12]))
     # of the 20 ways to deal six values, two are as far apart
