@@ -162,13 +162,14 @@ def stable_hash(*parts) -> int:
     return zlib.crc32("|".join(map(str, parts)).encode())
 
 
-def replicate_sums(means: DataFrame, first: str, second: str, replicates: int, seed: int, shuffle_labels: bool = False, value: str = "mean") -> DataFrame:
+def replicate_sums(means: DataFrame, first: str, second: str, replicates: int, seed: int, shuffle_labels: bool = False, value: str = "mean", arrays: bool = False) -> DataFrame:
     """metric, replicate, slice and, of what a replicate drew there, w1 and s1 (number and sum for the first condition), w2
     and s2 (for the second) and u (pairs in which the first is greater, ties as halves). Values are drawn with
     replacement within their condition, or, with ``shuffle_labels``, the conditions are dealt anew. Each metric's values
     are counted and dealt into slices of ``SLICE_VALUES`` different ones; numbers per slice are drawn once for all slices
     (multinomial or hypergeometric), then the values of each slice on their own, which together is the same as drawing
-    from all values. Replicates have their own seeds, whatever the partitions."""
+    from all values. Replicates have their own seeds, whatever the partitions. With ``arrays``: metric, chunk, slice, w and s
+    of the first condition alone, as arrays over the ``CHUNK`` replicates of a chunk."""
     ship_package(means.sparkSession)
     of = lambda c: F.count_if(F.col("condition") == c).cast("long")
     known = means.filter(F.col(value).isNotNull() & F.col("condition").isin(first, second))
@@ -207,11 +208,15 @@ def replicate_sums(means: DataFrame, first: str, second: str, replicates: int, s
                     c2 = a + b - c1
                 else:
                     c1, c2 = (rng.multinomial(k, n / n.sum()) if n.sum() else np.zeros((len(k), len(x)), np.int64) for k, n in ((k1, a), (k2, b)))
+                if arrays:
+                    yield pd.DataFrame({"metric": [r.metric], "chunk": [r.chunk], "slice": [r.slice], "w": [k1.astype(float).tolist()], "s": [(c1 @ x).tolist()]})
+                    continue
                 u = (c1 * (np.cumsum(c2, axis=1) - c2 / 2)).sum(1)
                 yield pd.DataFrame({"metric": r.metric, "replicate": r.chunk * CHUNK + np.arange(len(k1)), "slice": r.slice, "w1": k1, "s1": c1 @ x, "w2": k2, "s2": c2 @ x, "u": u})
 
     both = slices.select("metric", "slice", "items").join(dealt, ["metric", "slice"]).repartition("metric", "slice", "chunk")
-    return both.select("metric", "slice", "chunk", "items", "k1", "k2").mapInPandas(draw, "metric string, replicate int, slice int, w1 long, s1 double, w2 long, s2 double, u double")
+    schema = "metric string, chunk int, slice int, w array<double>, s array<double>" if arrays else "metric string, replicate int, slice int, w1 long, s1 double, w2 long, s2 double, u double"
+    return both.select("metric", "slice", "chunk", "items", "k1", "k2").mapInPandas(draw, schema)
 
 
 def replicate_differences(sums: DataFrame) -> DataFrame:
@@ -258,7 +263,7 @@ def forest_table(long: DataFrame, first: str, second: str, replicates: int = 200
     """Cliff's delta of each metric with its interval, both of the same values: the samples' means as ``<metric>`` and all
     values as ``all_<metric>``."""
     per = sample_means(long).select("metric", "condition", "sample", F.col("mean").alias("value"))
-    every = long.select(F.concat(F.lit("all_"), "metric").alias("metric"), "condition", "sample", "value").unionByName(per)
+    every = checkpointed(long.select(F.concat(F.lit("all_"), "metric").alias("metric"), "condition", "sample", "value").unionByName(per))
     delta = cliffs_delta(rank_sums(every, first, second)).select("metric", "delta", "effect")
     return delta.join(bootstrap_effect(every, first, second, replicates, seed, value="value"), "metric")
 
@@ -367,21 +372,51 @@ def hierarchical_bootstrap(long: DataFrame, first: str, second: str, replicates:
     all drawn values (low1, high1, low2, high2) and of the difference of the two (ci_low, ci_high; second minus first).
 
     Values of a sample are drawn by slices as in ``replicate_sums``, so a sample of any size spreads over tasks; a sample
-    that is drawn more than once in a replicate counts with the same redrawn values. Samples are drawn by number: a
-    replicate has as many draws as its condition has samples, each a hash, and draws of one sample are counted."""
+    that is drawn more than once in a replicate counts with the same redrawn values. Samples are drawn in the same two steps,
+    by blocks and then in each block. Replicates stay in arrays of ``CHUNK`` until they are summed."""
     known = long.filter(F.col("value").isNotNull() & F.col("condition").isin(first, second))
-    keyed = known.select(F.to_json(F.struct("metric", "condition", F.xxhash64("sample").alias("h"))).alias("metric"), F.lit("v").alias("condition"), "value")
-    sums = replicate_sums(keyed, "v", "", replicates, seed, value="value").groupBy("metric", "replicate").agg(F.sum("w1").alias("w"), F.sum("s1").alias("s"))
-    part = lambda c, kind: F.get_json_object("metric", f"$.{c}").cast(kind)
-    redrawn = sums.select(part("metric", "string").alias("metric"), part("condition", "string").alias("condition"), part("h", "long").alias("h"), "replicate", "w", "s")
-    samples = known.select("metric", "condition", F.xxhash64("sample").alias("h")).groupBy("metric", "condition", "h").agg(F.lit(1).alias("one"))
-    numbered = running_counts(samples, ["metric", "condition"], "h", ["one"]).withColumnRenamed("one_upto", "number")
-    sizes = samples.groupBy("metric", "condition").agg(F.count("*").alias("n"))
-    draws = numbered.select("metric", "condition", "number").join(sizes, ["metric", "condition"]).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    pick = F.pmod(F.xxhash64(F.lit(seed), "metric", "condition", "replicate", "number"), F.col("n")) + 1
-    times = draws.groupBy("metric", "condition", "replicate", pick.alias("number")).agg(F.count("*").alias("times"))
-    drawn = times.join(numbered.drop("one"), ["metric", "condition", "number"]).join(redrawn, ["metric", "condition", "h", "replicate"])
-    total = lambda c, name: F.sum(F.when(F.col("condition") == name, F.col("times") * F.col(c)))
+    known = known.withColumn("key", F.xxhash64("metric", "condition", "sample"))
+    redrawn = replicate_sums(known.select(F.col("key").cast("string").alias("metric"), F.lit("v").alias("condition"), "value"), "v", "", replicates, seed, value="value", arrays=True)
+    redrawn = redrawn.select(F.col("metric").cast("long").alias("key"), "chunk", "w", "s")
+    samples = known.groupBy("metric", "condition", "key").agg(F.lit(1).alias("one"))
+    numbered = running_counts(samples, ["metric", "condition"], "key", ["one"]).withColumn("block", F.floor((F.col("one_upto") - 1) / SLICE_VALUES).cast("int"))
+    blocks = checkpointed(numbered.groupBy("metric", "condition", "block").agg(F.array_sort(F.collect_list("key")).alias("keys")))
+    sizes = blocks.groupBy("metric", "condition").agg(F.array_sort(F.collect_list(F.struct("block", F.size("keys").alias("n")))).alias("sizes"))
+    sizes = sizes.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // CHUNK))))
+
+    def numbers(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                rng = np.random.default_rng((seed, 1, stable_hash(r.metric, r.condition), r.chunk))
+                n = np.array([x["n"] for x in r.sizes], np.int64)
+                k = rng.multinomial(n.sum(), n / n.sum(), size=min(CHUNK, replicates - r.chunk * CHUNK))
+                rows += [(r.metric, r.condition, int(x["block"]), r.chunk, k[:, i].tolist()) for i, x in enumerate(r.sizes)]
+            yield pd.DataFrame(rows, columns=["metric", "condition", "block", "chunk", "k"])
+
+    dealt = sizes.repartition("metric", "condition", "chunk").select("metric", "condition", "chunk", "sizes").mapInPandas(numbers, "metric string, condition string, block int, chunk int, k array<long>")
+
+    def pick(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                rng = np.random.default_rng((seed, 2, stable_hash(r.metric, r.condition), r.chunk, r.block))
+                times = rng.multinomial(np.array(r.k), np.full(len(r.keys), 1 / len(r.keys)))
+                yield pd.DataFrame({"metric": r.metric, "condition": r.condition, "key": r.keys, "chunk": r.chunk, "times": list(times.T)})
+
+    both = blocks.join(dealt, ["metric", "condition", "block"]).repartition("metric", "condition", "block", "chunk")
+    picked = both.select("metric", "condition", "block", "chunk", "keys", "k").mapInPandas(pick, "metric string, condition string, key long, chunk int, times array<long>")
+
+    def add(batches):
+        for pdf in batches:
+            rows = []
+            for (metric, condition, chunk), part in pdf.groupby(["metric", "condition", "chunk"]):
+                times = np.array(part["times"].tolist(), float)
+                w, s = ((times * np.array(part[c].tolist())).sum(0) for c in ("w", "s"))
+                rows.append(pd.DataFrame({"metric": metric, "condition": condition, "replicate": chunk * CHUNK + np.arange(len(w)), "w": w, "s": s}))
+            yield pd.concat(rows)
+
+    drawn = picked.join(redrawn, ["key", "chunk"]).select("metric", "condition", "chunk", "times", "w", "s").mapInPandas(add, "metric string, condition string, replicate long, w double, s double")
+    total = lambda c, name: F.sum(F.when(F.col("condition") == name, F.col(c)))
     mean = lambda name: F.round(F.try_divide(total("s", name), total("w", name)), 9)
     rows = checkpointed(drawn.groupBy("metric", "replicate").agg(mean(first).alias("m1"), mean(second).alias("m2")).withColumn("gap", F.round(F.col("m2") - F.col("m1"), 9)))
     out = percentiles(rows, ["metric"], {"ci_low": 2.5, "ci_high": 97.5}, "gap")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from motionspark.functions.stats import sample_std
 from motionspark.operators import groups, series
+from motionspark.runtime import checkpointed
 
 # ---- inputs ------------------------------------------------------------------------------------------------------
 
@@ -133,14 +134,15 @@ def conclusion_counts(concluded: DataFrame) -> DataFrame:
 def compare_groups(long: DataFrame, first: str, second: str, replicates: int = 10_000, seed: int = 42) -> DataFrame:
     """One row a metric: both groups' description, differences, Welch's t, ranks, normality, effect, resampling and the
     corrected permutation p, with the labels and numbers of the run."""
+    long = checkpointed(long)
     m, per = groups.moments(long, first, second), groups.sample_means(long)
-    described = groups.describe(long)
+    described, normality = groups.describe(long), checkpointed(groups.lilliefors(long))
 
     def side(name: str, k: int) -> DataFrame:
         return described.filter(F.col("condition") == name).select("metric", *[F.col(c).alias(f"{c}{k}") for c in ("median", "sd", "sem", "iqr")])
 
     def normal(name: str, k: int) -> DataFrame:
-        return groups.lilliefors(long).filter(F.col("condition") == name).select("metric", (~F.col("rejected")).alias(f"normal{k}"))
+        return normality.filter(F.col("condition") == name).select("metric", (~F.col("rejected")).alias(f"normal{k}"))
 
     parts = [
         side(first, 1), side(second, 2), groups.welch_t(m), groups.mann_whitney(groups.rank_sums(long, first, second), 10).select("metric", "u", F.col("p").alias("p_rank")), groups.hedges_g(m),
@@ -229,6 +231,7 @@ def metric_long(wide: DataFrame, keys: list[str], metrics: list[str]) -> DataFra
 def compare_conditions(long: DataFrame, first: str, second: str, alpha: float = 0.05) -> DataFrame:
     """One row a metric: both conditions' description, Mann-Whitney with corrected p and stars, Cliff's delta, Cohen's d, and
     flags for effects that size and corrected p do not agree on."""
+    long = checkpointed(long)
     m, u = groups.moments(long, first, second), groups.rank_sums(long, first, second)
     described = groups.describe(long)
     side = lambda name, k: described.filter(F.col("condition") == name).select("metric", *[F.col(c).alias(f"{c}{k}") for c in ("median", "sd", "iqr")])
