@@ -116,3 +116,19 @@ def test_mixing_sql_beyond_one_part(spark, tmp_path, sources):
     documents = small.toPandas()  # noqa: F841
     want = sorted(duckdb.sql(f"select doc_id, source_rate, copies, copy, shuffle_key from ({MIXING_SQL})").fetchall())
     assert got == want and max(r[1] for r in got) > mixing.PART_RATE
+
+
+def test_lattice_recall_on_the_table(spark):
+    """Links of the rows whose id is divisible by 50, against all rows, by brute force."""
+    from motionspark.llm import lattice
+
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
+    good = [(i, v) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    unit = np.array([v for _, v in good], np.float64)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    links = {i: int(n) for (i, _), n in zip(good, (unit @ unit.T >= 0.95).sum(1) - 1, strict=True)}
+    got = {r["vec_id"]: r["n_links"] for r in lattice.near_vectors(table).collect()}
+    assert all(got[i] <= links.get(i, 0) for i in got)
+    asked = [i for i in links if i % 50 == 0]
+    assert sum(got[i] for i in asked) >= 0.97 * sum(links[i] for i in asked) and sum(got.values()) >= 0.97 * sum(links.values())
