@@ -43,7 +43,10 @@ def crc(ids):
 @pytest.mark.parametrize(("path", "blanks"), [(WORD, "dropped"), (BYTE, "kept")])
 def test_word_memo_gives_the_ids_of_whole_texts(docs, odd_docs, path, blanks):
     enc = TextEncoder(path, blanks, room=500)
-    for _, text in pairs(docs)[:120] + pairs(odd_docs):
+    rng = np.random.default_rng(13)
+    parts = ["the", "The", "don't", "x1", "12", "é", "ß", "İ", "ﬁ", "漢字", "🙂", ".", ",", "!?", "--", "<|endoftext|>", "a.b", "Ω", "ŉ", "%", "ab" * 40]
+    mixed = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", "\n", "  ", "\t", "\u00a0"], p=[0.3, 0.4, 0.1, 0.1, 0.04, 0.03, 0.03]) for _ in range(int(rng.integers(1, 25)))) for _ in range(2000)]
+    for text in [t for _, t in pairs(docs) + pairs(odd_docs)] + mixed:
         assert enc.encode(text or "") == enc.whole(text or ""), text[:60]
 
 
