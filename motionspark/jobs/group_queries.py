@@ -409,7 +409,7 @@ def st14(spark, sf):
 
 @query("st15_hierarchical_bootstrap")
 def st15(spark, sf):
-    return six(groups.hierarchical_bootstrap(nest(spark, sf), "F", "O"), "ci_low", "ci_high", "low1", "high1", "low2", "high2")
+    return six(groups.hierarchical_bootstrap(nest(spark, sf), "F", "O", 5000), "ci_low", "ci_high", "low1", "high1", "low2", "high2")
 
 
 @query("st16_bootstrap_effect_ci")
