@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionspark.llm import lattice, mixing, packing, pii, planes, quality, secrets, simhash, sites, urls
+from motionspark.llm import divergence, lattice, mixing, packing, pii, planes, quality, secrets, simhash, sites, urls
 from motionspark.llm.common import shared_folder
 
 
@@ -66,6 +66,10 @@ def op10_secrets(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op13_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def like(column: str, glob: str) -> str:
     """A glob as a regular expression: ``*`` before the first ``/`` stays in the host."""
     host, slash, rest = glob.partition("/")
@@ -112,6 +116,38 @@ many as (select *, unnest(range(copies))::int as copy from counted)
 select *, md5('mix:' || coalesce(doc_id::varchar, '') || ':' || copy || ':order') as shuffle_key from many"""
 
 
+DIVERGENCE_SQL = r"""
+with docs as (select row_number() over () as row_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+words as (select row_id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+kept as (select lang, term from words group by lang, term having count(distinct row_id) >= 3),
+v as (select lang, count(*) as v from kept group by lang),
+groups as (select distinct lang, source from docs),
+counts as (select lang, source, term, count(*) as c from words join kept using (lang, term) group by all),
+n as (select lang, source, sum(c) as n from counts group by all),
+lang_counts as (select lang, term, sum(c) as c from counts group by all),
+lang_n as (select lang, sum(c) as n from lang_counts group by lang),
+dense as (
+  select g.lang, g.source, k.term, coalesce(c.c, 0) as c, 1 + ((1000000000 * (coalesce(c.c, 0) + 1)::hugeint) // (coalesce(n.n, 0) + v.v))::bigint as p
+  from groups g join kept k on g.lang = k.lang join v on v.lang = g.lang
+  left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term left join n on n.lang = g.lang and n.source = g.source),
+summed as (
+  select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p)::bigint as value
+  from dense a join dense b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join summed s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+shares as (
+  select d.lang, d.source, d.term, d.p, 1 + ((1000000000 * (l.c + 1)::hugeint) // (ln.n + v.v))::bigint as q
+  from dense d join lang_counts l on d.lang = l.lang and d.term = l.term join lang_n ln on ln.lang = d.lang join v on v.lang = d.lang where d.c > 0),
+terms as (select lang, source, 'term' as part, term as item, (((p - q) * (p - q)) // q)::bigint as value from shares where p > q),
+ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank
+  from (select * from pairs union all select * from terms))
+select * from ranked where part = 'pair' or rank <= 200"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -119,9 +155,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_packing, op2_pii, op3_mixing, op4_site_bayes, op5_token_planes, op6_lattice, op7_url_filter, op8_quality, op9_simhash, op10_secrets, pipeline]
+    own = [op1_packing, op2_pii, op3_mixing, op4_site_bayes, op5_token_planes, op6_lattice, op7_url_filter, op8_quality, op9_simhash, op10_secrets, op13_divergence, pipeline]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": MIXING_SQL, "op7_url_filter": url_sql()}
+    return {"op3_mixing": MIXING_SQL, "op7_url_filter": url_sql(), "op13_divergence": DIVERGENCE_SQL}
