@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionspark.llm import divergence, lattice, mixing, packing, pii, planes, quality, secrets, simhash, sites, urls
+from motionspark.llm import divergence, lattice, licenses, mixing, packing, pii, planes, quality, secrets, simhash, sites, urls, whitening
 from motionspark.llm.common import shared_folder
 
 
@@ -66,6 +66,19 @@ def op10_secrets(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_licenses(spark, sf_dir):
+    base = F.filter("spans", lambda s: s["phrase"])
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    return licenses.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(base)["first_word"].alias("first_word"), F.array_max(base)["first_word"].alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("spans")).alias("labels"), "score",
+    )
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 def op13_divergence(spark, sf_dir):
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -155,7 +168,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_packing, op2_pii, op3_mixing, op4_site_bayes, op5_token_planes, op6_lattice, op7_url_filter, op8_quality, op9_simhash, op10_secrets, op13_divergence, pipeline]
+    own = [op1_packing, op2_pii, op3_mixing, op4_site_bayes, op5_token_planes, op6_lattice, op7_url_filter, op8_quality, op9_simhash, op10_secrets, op11_licenses, op12_whitening, op13_divergence, pipeline]
     return {f.__name__: f for f in own}
 
 
