@@ -37,6 +37,7 @@ from operator import itemgetter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,14 +46,17 @@ from motionspark.llm.words import blanked, pieces
 
 MIN_DOCS = 3
 TOP_TERMS = 200
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 12 << 20
 LONG_BYTES = 256
 #: Postings of one block of terms, and sources of one block of sources.
 BLOCK_POSTINGS = 100_000
 BLOCK_SOURCES = 500
-#: Entries of a task's counts, and bytes of text, after which it hands them on.
+#: Rows of the table of groups up to which it is broadcast.
+BROADCAST_GROUPS = 100_000
+#: Entries of a task's counts, bytes of text and occurrences of terms after which it hands them on.
 HELD_ENTRIES = 300_000
 HELD_BYTES = 64 << 20
+HELD_TERMS = 8_000_000
 LETTERS = blanked(string.ascii_letters.encode())
 LONG_WORD = re.compile(rb"[^ ]{%d,}" % (LONG_BYTES + 1))
 
@@ -61,15 +65,19 @@ def group_columns(docs: DataFrame) -> list[Column]:
     return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
 
 
-def handed_on(counts: dict[tuple, Counter], names: list[str], rows: int = 50_000):
-    """Record batches of ``counts``: the group's columns, the term and its number."""
-    for group, own in counts.items():
-        items = list(own.items())
-        for k in range(0, len(items), rows):
-            part = items[k : k + rows]
-            columns = [pa.array([g] * len(part), pa.string()) for g in group]
-            terms = pa.array([t if isinstance(t, str) else t.decode("utf-8", "replace") for t, _ in part], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, terms, pa.array([n for _, n in part], pa.int64())], names=names)
+def handed_on(group: tuple[str, ...], terms: pa.Array, numbers: pa.Array, names: list[str], rows: int = 50_000):
+    """Record batches of the group's columns, its terms and their numbers."""
+    for k in range(0, len(terms), rows):
+        part = terms.slice(k, rows)
+        yield pa.RecordBatch.from_arrays([*(pa.repeat(pa.scalar(g, pa.string()), len(part)) for g in group), part, numbers.slice(k, rows)], names=names)
+
+
+def spelled(terms: pa.Array) -> pa.Array:
+    """Terms as strings; bytes that are no UTF-8 as U+FFFD."""
+    try:
+        return terms.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([t.decode("utf-8", "replace") for t in terms.to_pylist()], pa.string())
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
@@ -77,17 +85,22 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 
     def count(batches):
         seen, held = defaultdict(Counter), 0
+
+        def taken():
+            for lang, own in seen.items():
+                yield from handed_on((lang,), spelled(pa.array(own.keys(), pa.binary())), pa.array(own.values(), pa.int64()), ["lang", "term", "docs"])
+
         for batch in batches:
             for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 terms = set()
                 for piece in pieces((raw or b"").translate(LETTERS)):
                     terms.update(piece.split())
-                seen[lang,].update(terms)
+                seen[lang].update(terms)
                 held += len(raw or b"")
             if held > HELD_BYTES or sum(map(len, seen.values())) > HELD_ENTRIES:
-                yield from handed_on(seen, ["lang", "term", "docs"])
+                yield from taken()
                 seen, held = defaultdict(Counter), 0
-        yield from handed_on(seen, ["lang", "term", "docs"])
+        yield from taken()
 
     texts = docs.select(group_columns(docs)[0], F.col("text").cast("string").cast("binary").alias("raw"))
     return texts.mapInArrow(count, "lang string, term string, docs long").groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
@@ -103,8 +116,8 @@ def shortened(piece: bytes) -> str:
 _BUILT: dict[str, dict] = {}
 
 
-def automata(shard: tuple[str, dict[str, str]]) -> dict[str, tuple]:
-    """The automaton and the keys of each language of a shard; a worker keeps those of the last shard."""
+def automata(shard: tuple[str, dict[str, pa.Array]]) -> dict:
+    """The automaton of each language of a shard, which gives the places of keys; a worker keeps those of the last shard."""
     import ahocorasick
 
     name, vocabulary = shard
@@ -112,37 +125,37 @@ def automata(shard: tuple[str, dict[str, str]]) -> dict[str, tuple]:
         _BUILT.clear()
         built = {}
         for lang, keys in vocabulary.items():
-            automaton, keys = ahocorasick.Automaton(), keys.split(" ")
-            for i, key in enumerate(keys):
-                automaton.add_word(f" {key} ", i)
-            automaton.make_automaton()
-            built[lang] = automaton, keys
+            built[lang] = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for i, key in enumerate(keys.to_pylist()):
+                built[lang].add_word(f" {key} ", i)
+            built[lang].make_automaton()
         _BUILT[name] = built
     return _BUILT[name]
 
 
-def occurrences(docs: DataFrame, vocabulary: dict[str, str]) -> DataFrame:
-    """lang, source, key, count: how often the keys of ``vocabulary`` (by language, joined by blanks) occur."""
+def occurrences(docs: DataFrame, vocabulary: dict[str, pa.Array]) -> DataFrame:
+    """lang, source, key, count: how often the keys of ``vocabulary`` (by language) occur."""
     shard = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, vocabulary))
 
     def count(batches):
         built, number = automata(shard.value), itemgetter(1)
-        seen, held = defaultdict(Counter), 0
+        seen, held = defaultdict(list), 0
 
         def taken():
-            named = {g: Counter({built[g[0]][1][i]: n for i, n in own.items()}) for g, own in seen.items()}
-            return handed_on(named, ["lang", "source", "key", "count"])
+            for group, parts in seen.items():
+                places, numbers = np.unique(np.concatenate(parts), return_counts=True)
+                yield from handed_on(group, shard.value[1][group[0]].take(pa.array(places)), pa.array(numbers, pa.int64()), ["lang", "source", "key", "count"])
 
         for batch in batches:
             for lang, source, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if raw and lang in built:
-                    automaton, own = built[lang][0], seen[lang, source]
                     for piece in pieces(raw.translate(LETTERS)):
-                        own.update(map(number, automaton.iter(shortened(piece))))
-                    held += len(raw)
-            if held > HELD_BYTES or sum(map(len, seen.values())) > HELD_ENTRIES:
-                yield from taken()
-                seen, held = defaultdict(Counter), 0
+                        found = np.fromiter(map(number, built[lang].iter(shortened(piece))), np.int32)
+                        seen[lang, source].append(found)
+                        held += len(found)
+                        if held > HELD_TERMS:
+                            yield from taken()
+                            seen, held = defaultdict(list), 0
         yield from taken()
 
     texts = docs.select(*group_columns(docs), F.col("text").cast("string").cast("binary").alias("raw"))
@@ -154,8 +167,9 @@ def postings(docs: DataFrame, kept: DataFrame, shard_bytes: int = SHARD_BYTES) -
     shards = max(1, -(-int(kept.agg(F.sum(F.octet_length("key") + 2)).first()[0] or 0) // shard_bytes))
     found = []
     for k in range(shards):
-        own = kept.filter(F.pmod(F.xxhash64("lang", "key"), F.lit(shards)) == k).select("lang", "key").toArrow().to_pandas()  # bounded by shard_bytes
-        found.append(materialise(occurrences(docs, own.groupby("lang")["key"].agg(" ".join).to_dict()), f"postings-{k}"))
+        own = kept.filter(F.pmod(F.xxhash64("lang", "key"), F.lit(shards)) == k).select("lang", "key", "docs").toArrow().sort_by([("docs", "descending")])  # bounded by shard_bytes
+        vocabulary = {lang: own.filter(pc.equal(own["lang"], lang))["key"].combine_chunks() for lang in own["lang"].unique().to_pylist()}
+        found.append(materialise(occurrences(docs, vocabulary), f"postings-{k}"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -176,35 +190,54 @@ def gap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // q
 
 
-def common_terms(block: pd.DataFrame, i: int, j: int) -> pd.DataFrame:
-    """Of a block of postings (key, source, part, p, p0), for each source a of part i and b of part j: the sum over their common
-    terms of f(pa, pb) - f(pa, p0b) - f(p0a, pb) + f(p0a, p0b)."""
+def common_terms(block: pd.DataFrame, lo: int, hi: int) -> pd.DataFrame:
+    """Of a block of postings (key, source, part, count, p, p0), for each source a of part ``lo`` and b of part ``hi``, and the other way round: the sum
+    over their common terms of f(pa, pb) - f(pa, p0b) - f(p0a, pb) + f(p0a, p0b). A share follows from source and count, so
+    pairs of small counts are counted by (source, count, source, count) and their values taken once each."""
     keys, (sources, names) = pd.factorize(block["key"])[0], pd.factorize(block["source"])
     order = np.argsort(keys, kind="stable")
-    keys, sources, part, p, p0 = keys[order], sources[order], block["part"].to_numpy()[order], block["p"].to_numpy(np.int64)[order], block["p0"].to_numpy(np.int64)[order]
+    keys, sources = keys[order], sources[order]
+    part, counts, p, p0 = (block[c].to_numpy(np.int64)[order] for c in ("part", "count", "p", "p0"))
+    n, small = len(names), max(1, min(64, 2000 // max(1, len(names))))
+    cell = np.where(counts < small, sources * small + counts, -1)
+    of_cell, of_source = np.ones(n * small, np.int64), np.ones(n, np.int64)
+    of_cell[cell[cell >= 0]], of_source[sources] = p[cell >= 0], p0
+    out, often = np.zeros((n, n), np.int64), np.zeros((n * small) ** 2, np.int64)
+    value = lambda pa, pb, qa, qb: gap(pa, pb) - gap(pa, qb) - gap(qa, pb) + gap(qa, qb)
     first = np.flatnonzero(np.diff(keys, prepend=-1))
     sizes = np.diff(first, append=len(keys))
-    out = np.zeros(len(names) ** 2, np.int64)
+    made = np.cumsum(sizes * sizes)
     k = 0
     while k < len(first):  # as many terms at a time as make a few million pairs
-        end = max(k + 1, int(np.searchsorted(np.cumsum(sizes[k:] ** 2), 2_000_000)) + k)
-        own = np.arange(first[k], first[end] if end < len(first) else len(keys))
-        partners = np.repeat(sizes[k:end], sizes[k:end])
-        a = np.repeat(own, partners)
-        start = np.repeat(np.repeat(first[k:end], sizes[k:end]), partners)
-        b = start + np.arange(len(a)) - np.repeat(np.cumsum(partners) - partners, partners)
-        use = (part[a] == i) & (part[b] == j) & (a != b)
-        a, b = a[use], b[use]
-        np.add.at(out, sources[a] * len(names) + sources[b], gap(p[a], p[b]) - gap(p[a], p0[b]) - gap(p0[a], p[b]) + gap(p0[a], p0[b]))
+        end = max(k + 1, int(np.searchsorted(made, 4_000_000 + (made[k - 1] if k else 0), "right")))
+        last = np.repeat(first[k:end] + sizes[k:end], sizes[k:end])
+        own = np.arange(first[k], first[k] + len(last))
+        later = last - own - 1  # postings of the term that come after
+        a = np.repeat(own, later)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
+        if lo != hi:
+            use = part[a] != part[b]
+            a, b = a[use], b[use]
+        both = (cell[a] >= 0) & (cell[b] >= 0)
+        often += np.bincount(cell[a[both]] * (n * small) + cell[b[both]], minlength=len(often))
+        a, b = a[~both], b[~both]
+        np.add.at(out, (sources[a], sources[b]), value(p[a], p[b], p0[a], p0[b]))
+        np.add.at(out, (sources[b], sources[a]), value(p[b], p[a], p0[b], p0[a]))
         k = end
-    at = np.flatnonzero(out)
-    return pd.DataFrame({"source": names[at // max(1, len(names))], "item": names[at % max(1, len(names))], "value": out[at]})
+    at = np.flatnonzero(often)
+    a, b, times = at // (n * small), at % (n * small), often[at]
+    sa, sb = a // small, b // small
+    np.add.at(out, (sa, sb), times * value(of_cell[a], of_cell[b], of_source[sa], of_source[sb]))
+    np.add.at(out, (sb, sa), times * value(of_cell[b], of_cell[a], of_source[sb], of_source[sa]))
+    sa, sb = np.nonzero(out)
+    return pd.DataFrame({"source": names[sa], "item": names[sb], "value": out[sa, sb]})
 
 
 def pairs(shares: DataFrame, groups: DataFrame, block_postings: int = BLOCK_POSTINGS, block_sources: int = BLOCK_SOURCES) -> DataFrame:
-    """lang, source, item, value for each ordered pair of sources of a language. ``shares``: lang, source, key, p, p0; ``groups``:
+    """lang, source, item, value for each ordered pair of sources of a language. ``shares``: lang, source, key, count, p, p0; ``groups``:
     lang, source, v, p0."""
     other = groups.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0"))
+    other = F.broadcast(other) if groups.count() <= BROADCAST_GROUPS else other
     every = groups.join(other, "lang").filter("source <> item").select("lang", "source", "item", F.expr(f"case when v > 0 then v * {difference('p0', 'q0')} else 0 end").alias("value"))
 
     often = shares.groupBy("lang", "source", "p", "p0").agg(F.count("*").alias("n"))
@@ -216,19 +249,19 @@ def pairs(shares: DataFrame, groups: DataFrame, block_postings: int = BLOCK_POST
 
     sizes = shares.groupBy("lang").agg(F.count("*").alias("postings")).join(groups.groupBy("lang").agg(F.count("*").alias("sources")), "lang")
     dealt = shares.join(sizes, "lang").select(
-        "lang", "key", "source", "p", "p0", F.expr(f"cast(pmod(xxhash64(key), ceil(postings / {block_postings})) as int)").alias("terms"),
+        "lang", "key", "source", "count", "p", "p0", F.expr(f"cast(pmod(xxhash64(key), ceil(postings / {block_postings})) as int)").alias("terms"),
         F.expr(f"cast(ceil(sources / {block_sources}) as int)").alias("parts"), F.expr(f"cast(pmod(xxhash64(source), ceil(sources / {block_sources})) as int)").alias("part"),
     )
-    meet = F.expr("array_distinct(concat(transform(sequence(0, parts - 1), x -> struct(part as i, x as j)), transform(sequence(0, parts - 1), x -> struct(x as i, part as j))))")
-    blocks = dealt.withColumn("meet", F.explode(meet)).select("lang", "terms", "meet.i", "meet.j", "key", "source", "part", "p", "p0")
+    blocks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = blocks.select("lang", "terms", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "key", "source", "part", "count", "p", "p0")
 
     def run(key, table):
-        lang, _, i, j = (k.as_py() for k in key)
-        found = common_terms(table.to_pandas(), i, j)
+        lang, _, lo, hi = (k.as_py() for k in key)
+        found = common_terms(table.to_pandas(), lo, hi)
         found.insert(0, "lang", lang)
         return pa.Table.from_pandas(found, schema=pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.int64())]), preserve_index=False)
 
-    both_have = blocks.groupBy("lang", "terms", "i", "j").applyInArrow(run, "lang string, source string, item string, value long")
+    both_have = blocks.groupBy("lang", "terms", "lo", "hi").applyInArrow(run, "lang string, source string, item string, value long")
     parts = every.unionByName(one_has).unionByName(both_have)
     return parts.groupBy("lang", "source", "item").agg(F.sum(F.col("value").cast("decimal(38,0)")).cast("long").alias("value"))
 
@@ -237,7 +270,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS,
     """lang, source, part (pair or term), item, value, rank."""
     ship_package(docs.sparkSession)
     key = F.when(F.octet_length("term") > LONG_BYTES, F.concat(F.lit("\x01"), F.sha2("term", 256))).otherwise(F.col("term"))
-    kept = materialise(document_frequencies(docs).filter(F.col("docs") >= min_docs).select("lang", key.alias("key"), "term"), "kept")
+    kept = materialise(document_frequencies(docs).filter(F.col("docs") >= min_docs).select("lang", key.alias("key"), "term", "docs"), "kept")
     found = postings(docs, kept, shard_bytes)
 
     sums = found.groupBy("lang", "source").agg(F.sum("count").alias("n"))
@@ -246,11 +279,11 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS,
     whole = F.sum("n").over(Window.partitionBy("lang")).alias("lang_n")
     groups = materialise(groups.select("*", F.when(F.col("v") > 0, share("0", "n", "v")).alias("p0"), whole), "groups")
     lang_count = F.sum("count").over(Window.partitionBy("lang", "key")).alias("lang_count")
-    shares = found.join(groups, ["lang", "source"]).select("lang", "source", "key", share("count", "n", "v").alias("p"), "p0", "v", "lang_n", lang_count)
-    shares = materialise(shares.select("lang", "source", "key", "p", "p0", share("lang_count", "lang_n", "v").alias("q")), "shares")
+    shares = found.join(groups, ["lang", "source"]).select("lang", "source", "key", "count", share("count", "n", "v").alias("p"), "p0", "v", "lang_n", lang_count)
+    shares = materialise(shares.select("lang", "source", "key", "count", "p", "p0", share("lang_count", "lang_n", "v").alias("q")), "shares")
 
     place = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = pairs(shares.drop("q"), groups, block_postings, block_sources).select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(place).alias("rank"))
-    spelled = shares.filter("p > q").join(kept.filter("key <> term"), ["lang", "key"], "left")
-    terms = spelled.select("lang", "source", F.lit("term").alias("part"), F.coalesce("term", "key").alias("item"), F.expr(difference("p", "q")).alias("value"))
+    named = shares.filter("p > q").join(kept.filter("key <> term").select("lang", "key", "term"), ["lang", "key"], "left")
+    terms = named.select("lang", "source", F.lit("term").alias("part"), F.coalesce("term", "key").alias("item"), F.expr(difference("p", "q")).alias("value"))
     return ranked.unionByName(terms.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= top_terms))
