@@ -56,7 +56,9 @@ BROADCAST_GROUPS = 100_000
 #: Entries of a task's counts, bytes of text and occurrences of terms after which it hands them on.
 HELD_ENTRIES = 300_000
 HELD_BYTES = 64 << 20
-HELD_TERMS = 8_000_000
+HELD_TERMS = 3_000_000
+#: Rows that are taken from a batch at a time.
+ROWS = 500
 LETTERS = blanked(string.ascii_letters.encode())
 LONG_WORD = re.compile(rb"[^ ]{%d,}" % (LONG_BYTES + 1))
 
@@ -72,6 +74,13 @@ def handed_on(group: tuple[str, ...], terms: pa.Array, numbers: pa.Array, names:
         yield pa.RecordBatch.from_arrays([*(pa.repeat(pa.scalar(g, pa.string()), len(part)) for g in group), part, numbers.slice(k, rows)], names=names)
 
 
+def parts(batches, rows: int = ROWS):
+    """The batches in parts of a few rows, so that few texts are copied at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def spelled(terms: pa.Array) -> pa.Array:
     """Terms as strings; bytes that are no UTF-8 as U+FFFD."""
     try:
@@ -80,6 +89,14 @@ def spelled(terms: pa.Array) -> pa.Array:
         return pa.array([t.decode("utf-8", "replace") for t in terms.to_pylist()], pa.string())
 
 
+#: The automata that a worker holds: those of one shard.
+_BUILT: dict[str, dict] = {}
+
+
+def forget() -> None:
+    _BUILT.clear()
+
+
 def document_frequencies(docs: DataFrame) -> DataFrame:
     """lang, term, docs: the number of documents of the language that hold the term."""
 
@@ -90,7 +107,8 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
             for lang, own in seen.items():
                 yield from handed_on((lang,), spelled(pa.array(own.keys(), pa.binary())), pa.array(own.values(), pa.int64()), ["lang", "term", "docs"])
 
-        for batch in batches:
+        forget()  # of an earlier audit
+        for batch in parts(batches):
             for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 terms = set()
                 for piece in pieces((raw or b"").translate(LETTERS)):
@@ -113,9 +131,6 @@ def shortened(piece: bytes) -> str:
     return f" {piece.decode('utf-8', 'replace')} "
 
 
-_BUILT: dict[str, dict] = {}
-
-
 def automata(shard: tuple[str, dict[str, pa.Array]]) -> dict:
     """The automaton of each language of a shard, which gives the places of keys; a worker keeps those of the last shard."""
     import ahocorasick
@@ -126,8 +141,9 @@ def automata(shard: tuple[str, dict[str, pa.Array]]) -> dict:
         built = {}
         for lang, keys in vocabulary.items():
             built[lang] = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            for i, key in enumerate(keys.to_pylist()):
-                built[lang].add_word(f" {key} ", i)
+            for k in range(0, len(keys), 10_000):
+                for i, key in enumerate(keys.slice(k, 10_000).to_pylist(), k):
+                    built[lang].add_word(f" {key} ", i)
             built[lang].make_automaton()
         _BUILT[name] = built
     return _BUILT[name]
@@ -146,7 +162,7 @@ def occurrences(docs: DataFrame, vocabulary: dict[str, pa.Array]) -> DataFrame:
                 places, numbers = np.unique(np.concatenate(parts), return_counts=True)
                 yield from handed_on(group, shard.value[1][group[0]].take(pa.array(places)), pa.array(numbers, pa.int64()), ["lang", "source", "key", "count"])
 
-        for batch in batches:
+        for batch in parts(batches):
             for lang, source, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if raw and lang in built:
                     for piece in pieces(raw.translate(LETTERS)):
