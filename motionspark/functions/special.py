@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 
@@ -46,25 +45,42 @@ def t_two_sided(t: float, df: float) -> float:
     return incomplete_beta(df / 2, 0.5, df / (df + t * t)) if df > 0 else float("nan")
 
 
-def rank_sum_exact(u: float, n: int, m: int) -> float:
-    """Two-sided p of Mann-Whitney's U without ties: the count of rank sets for each U, by recurrence."""
-    ways = np.zeros(n * m + 1)
-    ways[0] = 1
-    for i in range(1, n + 1):  # Gaussian binomial coefficient: times (1 - q^(m+i)) over (1 - q^i)
-        for k in range(n * m, m + i - 1, -1):
-            ways[k] -= ways[k - m - i]
-        for k in range(i, n * m + 1):
-            ways[k] += ways[k - i]
-    tail = ways[: int(math.floor(min(u, n * m - u))) + 1].sum() / ways.sum()
-    return min(1.0, 2 * tail)
-
-
-@lru_cache(maxsize=512)
-def lilliefors_limit(n: int, alpha: float = 0.05, draws: int = 4000, seed: int = 42) -> float:
-    """The limit of the D statistic of n normal values whose mean and spread are estimated, by a seeded simulation."""
-    rng = np.random.default_rng((seed, n))
-    x = np.sort(rng.normal(size=(draws, n)), axis=1)
-    z = (x - x.mean(1, keepdims=True)) / x.std(1, ddof=1, keepdims=True)
-    cdf = np.vectorize(normal_cdf)(z)
-    k = np.arange(1, n + 1) / n
-    return float(np.quantile(np.maximum(k - cdf, cdf - k + 1 / n).max(1), 1 - alpha))
+def rank_sum_exact(u: float, n: int, blocks: list[int]) -> float:
+    """Two-sided p of Mann-Whitney's U of a group of ``n`` values, given the sizes of the blocks of equal values of both groups in
+    order: twice the smaller tail of the exact distribution of the sum of mid-ranks. ``ways[k, w]`` counts how k values can be
+    taken from the blocks so far with a sum of doubled mid-ranks w; doubled, mid-ranks are whole numbers."""
+    whole = sum(blocks)
+    most = 2 * n * whole
+    ways = np.zeros((n + 1, most + 1), np.int64)  # up to 60 values: all of them can be taken in fewer than 2^63 ways
+    ways[0, 0] = 1
+    before = 0
+    for t in blocks:
+        rank = 2 * before + t + 1
+        new = np.zeros_like(ways)
+        for j in range(min(t, n) + 1):
+            new[j:, j * rank :] += math.comb(t, j) * ways[: n + 1 - j, : most + 1 - j * rank]
+        ways, before = new, before + t
+    seen, row = round(2 * u) + n * (n + 1), ways[n]
+    tail = min(int(row[: seen + 1].sum()), int(row[seen:].sum()))
+    return min(1.0, 2 * tail / math.comb(whole, n))
+
+
+def spearman_exact(x: list[float], y: list[float]) -> float:
+    """Two-sided p of the rank correlation of the mid-ranks ``x`` and ``y`` of a few rows: the share of all orders of ``y`` whose sum of
+    products is at least as far on the same side, doubled. Orders are counted by the products that the rows so far make, for
+    each set of ranks that they use; doubled, mid-ranks are whole numbers."""
+    a, b = ([round(2 * v) for v in r] for r in (x, y))
+    n, seen = len(a), sum(v * w for v, w in zip(a, b, strict=True))
+    sums: dict[int, dict[int, int]] = {0: {0: 1}}
+    for v in a:
+        more: dict[int, dict[int, int]] = {}
+        for used, own in sums.items():
+            for k in range(n):
+                if not used >> k & 1:
+                    to = more.setdefault(used | 1 << k, {})
+                    for s, count in own.items():
+                        to[s + v * b[k]] = to.get(s + v * b[k], 0) + count
+        sums = more
+    own = sums[(1 << n) - 1]
+    tail = min(sum(c for s, c in own.items() if s >= seen), sum(c for s, c in own.items() if s <= seen))
+    return min(1.0, 2 * tail / math.factorial(n))

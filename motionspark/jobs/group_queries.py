@@ -120,7 +120,7 @@ def per_file(spark, sf):
 PER_FILE = f"""{JUDGED},
 drift as (select recording, max(n) - 1 as duration_s, sqrt((median(dx_um) filter (frame >= n - 30) - median(dx_um) filter (frame <= 31)) ** 2 + (median(dy_um) filter (frame >= n - 30) - median(dy_um) filter (frame <= 31)) ** 2) as net_drift,
   degrees(atan2(median(dy_um) filter (frame >= n - 30) - median(dy_um) filter (frame <= 31), median(dx_um) filter (frame >= n - 30) - median(dx_um) filter (frame <= 31))) as drift_angle from steps group by recording),
-per_file as (select recording || '.avi' as "File", "group" as "Group", coalesce(net_drift_ps, net_drift) as net_drift, coalesce(drift_rate_ps, net_drift / greatest(1e-9, duration_s)) as drift_rate, drift_angle, coalesce(med_step_ps, median_step) as median_step, coalesce(cum_path_ps, cum_path) as path, jitter_ratio, duration_s::double as duration_s from judged left join drift using (recording) where movement_valid)"""
+per_file as (select recording || '.avi' as "File", "group" as "Group", net_drift_ps as net_drift, drift_rate_ps as drift_rate, drift_angle, med_step_ps as median_step, cum_path_ps as path, jitter_ratio, case when drift_rate_ps > 1e-12 then net_drift_ps / drift_rate_ps end as duration_s from judged left join drift using (recording) where movement_valid)"""
 LONG = f"{PER_FILE}, long as (select \"Group\" as condition, \"File\" as sample, unnest(['net_drift', 'drift_rate', 'median_step', 'path']) as metric, unnest([net_drift, drift_rate, median_step, path]) as value from per_file)"
 
 
@@ -133,9 +133,9 @@ def m201(spark, sf):
     return six(tables.select_pass(mq.judged(spark, sf)), "med_step_ps").select("recording", "med_step_ps")
 
 
-@query("m202_per_file_metrics", f'with {PER_FILE} select "File", "Group", round(net_drift, 6) as net_drift, round(drift_rate, 6) as drift_rate, round(drift_angle, 6) as drift_angle, round(median_step, 6) as median_step, round(path, 6) as path, round(jitter_ratio, 6) as jitter_ratio, duration_s, round(jitter_ratio * drift_rate, 6) as mean_speed from per_file')
+@query("m202_per_file_metrics", f'with {PER_FILE} select "File", "Group", round(net_drift, 6) as net_drift, round(drift_rate, 6) as drift_rate, round(drift_angle, 6) as drift_angle, round(median_step, 6) as median_step, round(path, 6) as path, round(jitter_ratio, 6) as jitter_ratio, round(duration_s, 6) as duration_s, round(jitter_ratio * drift_rate, 6) as mean_speed from per_file')
 def m202(spark, sf):
-    return six(per_file(spark, sf), *(c for c in tables.METRICS if c != "duration_s"))
+    return six(per_file(spark, sf), *tables.METRICS)
 
 
 @query("m203_windowed_metrics", f"""with {FRAMES}, w as (select * from (select *, (frame - 1) / 60.0 as m from frames) where m between 0.25 and 0.75),
@@ -189,9 +189,29 @@ def m207(spark, sf):
     return six(groups.describe(nest(spark, sf)), "mean", "median", "sd", "sem", "iqr")
 
 
-@query("m208_lilliefors")
+def normal_sql(z: str) -> str:
+    """The normal distribution function in SQL, by its series of odd powers."""
+    odd = f"list_sum(list_transform(range(0, 120), lambda k: exp((2 * k + 1) * ln(greatest(abs({z}), 1e-300)) - ((k + 1) * ln(2) + lgamma(k + 1.5) - ln(pi()) / 2))))"
+    return f"(0.5 + sign({z}) * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * {odd})"
+
+
+def lilliefors_sql(source: str) -> str:
+    """CTEs ``source`` long (metric, condition, value) to lf (metric, condition, n, d, p)."""
+    k = "(sqrt(n) - 0.01 + 0.85 / sqrt(n)) * d"
+    poly = lambda *c: " + ".join(f"({v}) * k ** {i}" for i, v in enumerate(c))
+    return f"""lw as (select metric, condition, count(*) as n, avg(value) as m, stddev_samp(value) as s from {source} where value is not null group by all having count(*) >= 4 and stddev_samp(value) > 0),
+lz as (select l.metric, l.condition, n, cume_dist() over (partition by l.metric, l.condition order by value) as hi, (rank() over (partition by l.metric, l.condition order by value) - 1) / n as lo, (value - m) / s as z from {source} l join lw on lw.metric = l.metric and lw.condition = l.condition where value is not null),
+lg as (select distinct metric, condition, n, hi, lo, z, {normal_sql("z")} as f from (select distinct * from lz)),
+ld as (select metric, condition, n, max(greatest(hi - f, f - lo)) as d from lg group by all),
+lp as (select *, case when n > 100 then d * (n / 100) ** 0.49 else d end as e, least(n, 100)::double as q, {k} as k from ld),
+ll as (select *, exp(-7.01256 * e * e * (q + 2.78019) + 2.99587 * e * sqrt(q + 2.78019) - 0.122119 + 0.974598 / sqrt(q) + 1.67997 / q) as low from lp),
+lf as (select metric, condition, n, d, greatest(0.001, least(0.5, case when low <= 0.1 then low when k <= 0.302 then 1 when k <= 0.5 then {poly(2.76773, -19.828315, 80.709644, -138.55152, 81.218052)}
+  when k <= 0.9 then {poly(-4.901232, 40.662806, -97.490286, 94.029866, -32.355711)} when k <= 1.31 then {poly(6.198765, -19.558097, 23.186922, -12.234627, 2.423045)} else 0 end)) as p from ll)"""
+
+
+@query("m208_lilliefors", f"with {LONG}, {lilliefors_sql('long')} select metric, condition, n, round(d, 6) as d, round(p, 6) as p, p <= 0.05 as rejected from lf")
 def m208(spark, sf):
-    return six(groups.lilliefors(motion_long(spark, sf)), "d")
+    return six(groups.lilliefors(motion_long(spark, sf)), "d", "p")
 
 
 @query("m209_welch_t", f"with {NEST}, {MOMENTS} select metric, round((m2 - m1) / sqrt(v1 / n1 + v2 / n2), 6) as t, round((v1 / n1 + v2 / n2) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1)), 4) as df from m")
@@ -264,13 +284,28 @@ def m215(spark, sf):
     return tables.compare_groups(motion_long(spark, sf), "control", "experimental")
 
 
-@query("m216_rank_samples", f"""with {PER_FILE}, o as (select *, row_number() over (order by "File") as ordinal from per_file),
-r as (select *, case when median_step is not null then row_number() over (order by median_step nulls last, ordinal) end as a, case when jitter_ratio is not null then row_number() over (order by jitter_ratio nulls last, ordinal) end as b from o),
-s as (select *, (coalesce(a, 0) + coalesce(b, 0)) / nullif((a is not null)::int + (b is not null)::int, 0) as avg_rank from r)
-select "File", a::int as median_step_rank, b::int as jitter_ratio_rank, round(avg_rank, 6) as avg_rank, (row_number() over (order by avg_rank nulls last, ordinal))::int as overall_rank from s""")
-def m216(spark, sf):
+RANKED = ("median_step", "jitter_ratio", "mean_speed")
+RANKED_SQL = f"""{PER_FILE}, o as (select *, jitter_ratio * drift_rate as mean_speed, row_number() over (order by "File") as ordinal from per_file),
+r as (select *, {', '.join(f'case when {m} is not null then row_number() over (order by {m} nulls last, ordinal) end as {m}_rank' for m in RANKED)} from o),
+s as (select *, ({' + '.join(f'coalesce({m}_rank, 0)' for m in RANKED)}) / nullif({' + '.join(f'({m}_rank is not null)::int' for m in RANKED)}, 0) as avg_rank from r)"""
+
+
+def ranked(spark, sf):
     wide = groups.places(per_file(spark, sf).drop("ordinal"), ["File"], "ordinal")
-    return six(groups.rank_samples(wide, ["median_step", "jitter_ratio"]), "avg_rank").select("File", "median_step_rank", "jitter_ratio_rank", "avg_rank", "overall_rank")
+    return groups.rank_samples(wide, list(RANKED))
+
+
+@query("m216_rank_samples", f"""with {RANKED_SQL}
+select "File", "Group", {', '.join(f'{m}_rank::int as {m}_rank' for m in RANKED)}, round(avg_rank, 6) as avg_rank, (row_number() over (order by avg_rank nulls last, ordinal))::int as overall_rank from s""")
+def m216(spark, sf):
+    return six(ranked(spark, sf), "avg_rank").select("File", "Group", *[f"{m}_rank" for m in RANKED], "avg_rank", "overall_rank")
+
+
+@query("m216_better_half", f"""with {RANKED_SQL}, l as (select "Group" as condition, unnest({list(RANKED)}) as metric, unnest([{', '.join(f'{m}_rank' for m in RANKED)}]) as place from s),
+h as (select metric, count(place) // 2 as half from l group by metric)
+select l.metric, condition, count(place) as n, count(*) filter (place <= half) as n_better_half from l join h using (metric) group by all""")
+def m216b(spark, sf):
+    return groups.better_half(ranked(spark, sf), list(RANKED), "Group")
 
 
 @query("m217_effect_order", f"with {NEST}, {MOMENTS} select metric, round(m2 - m1, 6) as diff, (row_number() over (order by abs(m2 - m1) desc))::int as place from m")
@@ -311,20 +346,55 @@ def m220(spark, sf):
 # ---- nested statistics -------------------------------------------------------------------------------------------
 
 
-@query("st01_sample_table", f"with {MEANS} select condition, sample, max(n) as n, round(max(mean) filter (metric = 'quantity'), 6) as quantity, round(max(mean) filter (metric = 'price'), 6) as price, round(least(100, max(mean) filter (metric = 'discount') * 1900), 6) as pct from means group by all")
+REASONS = {"correlation": "l_linenumber <= 2", "shape": "l_linenumber = 3", "edge_contact": "l_linenumber = 4", "kinetics": "l_linenumber >= 5"}
+CLASS = "case l_suppkey % 4 when 0 then 'good' when 1 then 'acceptable' when 2 then 'high_motion' else 'excessive_motion' end"
+
+
+def refined(spark, sf):
+    """Suppliers as samples and their lines as regions, of which returned ones were removed: some without any refinement, some with
+    the counts of older files, some without a region left."""
+    lines = table(spark, sf, "lineitem").withColumns({"gone": F.col("l_returnflag") == "R", "left": (F.col("l_returnflag") != "R") & (F.col("l_suppkey") % 13 != 0)})
+    why = {k: F.count_if(F.col("gone") & F.expr(c)) for k, c in REASONS.items()}
+    whole = lambda c: F.collect_list(F.when(F.col("left"), F.col(c).cast("double")))
+    got = lines.groupBy(F.col("l_linestatus").alias("condition"), F.col("l_suppkey").alias("sample")).agg(
+        whole("l_quantity").alias("snr"), whole("l_discount").alias("event_rate"), F.collect_list(F.when(F.col("left"), F.col("l_tax") > 0.06)).alias("baseline_flag"), (F.avg("l_discount") * 10).cast("double").alias("synchrony"),
+        F.count("*").alias("n_original"), F.count_if("gone").alias("n_removed"), *[c.alias(k) for k, c in why.items()],
+    )
+    counts = F.when(F.col("sample") % 5 != 0, F.struct(*REASONS))
+    refinement = F.struct("n_original", "n_removed", F.col("shape").alias("removed_shape"), F.col("correlation").alias("removed_correlated"), counts.alias("removal_counts"))
+    quality = F.when(F.col("sample") % 11 != 0, F.expr(CLASS.replace("l_suppkey", "sample")))
+    return got.select("condition", "sample", "snr", "event_rate", "baseline_flag", "synchrony", quality.alias("motion_quality"), F.when(F.col("sample") % 7 != 0, refinement).alias("refinement"))
+
+
+REFINED = f"""raw as (select l_linestatus as condition, l_suppkey as sample, l_returnflag = 'R' as gone, l_returnflag <> 'R' and l_suppkey % 13 <> 0 as kept, l_quantity::double as snr, l_discount::double as rate, l_tax, l_linenumber, l_suppkey % 7 <> 0 as fine, l_suppkey % 5 <> 0 as counts,
+  case when l_suppkey % 11 <> 0 then {CLASS} else 'unknown' end as motion_quality from lineitem),
+agg as (select condition, sample, motion_quality, fine, counts, count(*) filter (kept) as n_refined, case when fine then count(*) else count(*) filter (kept) end as n_original, case when fine then count(*) filter (gone) else 0 end as n_removed,
+  {', '.join(f"case when fine {'' if k in ('shape', 'correlation') else 'and counts'} then count(*) filter (gone and {c}) else 0 end as removed_{dict(correlation='correlated', edge_contact='edge').get(k, k)}" for k, c in REASONS.items())},
+  avg(snr) filter (kept) as mean_snr, avg(rate) filter (kept) as mean_event_rate, case when count(*) filter (kept) > 0 then avg(rate) * 10 end as synchrony, coalesce(100.0 * count(*) filter (kept and l_tax > 0.06) / nullif(count(*) filter (kept), 0), 0) as pct_baseline_flagged from raw group by condition, sample, motion_quality, fine, counts),
+smp as (select *, case when n_original > 0 then 100.0 * n_removed / n_original else 0 end as pct_removed, case when n_original > 0 then least(100, 100.0 * removed_correlated / n_original) else 0 end as pct_correlated_removed from agg)"""
+SAMPLE_NUMBERS = ("mean_snr", "mean_event_rate", "synchrony", "pct_baseline_flagged", "pct_removed", "pct_correlated_removed")
+NEVER = ("removed_snr", "removed_negative", "removed_step", "removed_plateau", "removed_spatial", "removed_inactive", "removed_baseline")
+
+
+@query("st01_sample_table", f"with {REFINED} select condition, sample, n_original, n_refined, n_removed, removed_correlated, removed_shape, removed_edge, removed_kinetics, {', '.join(f'0::bigint as {c}' for c in NEVER)}, null::double as mean_event_amplitude, motion_quality, {', '.join(f'round({c}, 6) as {c}' for c in SAMPLE_NUMBERS)} from smp")
 def st01(spark, sf):
-    wide = tables.sample_table(means(spark, sf), ["quantity", "price", "discount"])
-    return six(wide.select("condition", "sample", "n", "quantity", "price", F.least(F.lit(100.0), F.coalesce("discount", F.lit(0.0)) * 1900).alias("pct")), "quantity", "price", "pct")
+    return six(tables.sample_table(refined(spark, sf)), *SAMPLE_NUMBERS)
+
+
+GROUP_NUMBERS = ("mean_rois_per_sample", "sd_rois_per_sample", "mean_pct_removed", "mean_synchrony", "mean_pct_correlated_removed", "mean_snr", "sd_snr", "mean_event_rate", "sd_event_rate")
 
 
-@query("st02_group_summary", f"with {MEANS} select condition, metric, count(*) as n_samples, sum(n)::bigint as n_values, round(avg(mean), 6) as sample_mean, round(stddev_samp(mean), 6) as sample_sd, round(sum(n * mean) / sum(n), 6) as value_mean from means group by all")
+@query("st02_group_summary", f"""with {REFINED}, per as (select condition, count(*) as n_samples, sum(n_refined)::bigint as total_rois, avg(n_refined) as mean_rois_per_sample, stddev_samp(n_refined) as sd_rois_per_sample, avg(pct_removed) as mean_pct_removed, avg(synchrony) as mean_synchrony, avg(pct_correlated_removed) as mean_pct_correlated_removed from smp group by condition),
+each as (select condition, avg(snr) as mean_snr, stddev_samp(snr) as sd_snr, avg(rate) as mean_event_rate, stddev_samp(rate) as sd_event_rate from raw where kept group by condition)
+select condition, n_samples, total_rois, {', '.join(f'round({c}, 6) as {c}' for c in GROUP_NUMBERS)} from per join each using (condition)""")
 def st02(spark, sf):
-    return six(tables.group_summary(means(spark, sf)), "sample_mean", "sample_sd", "value_mean")
+    r = refined(spark, sf)
+    return six(tables.group_summary(tables.sample_table(r), r), *GROUP_NUMBERS)
 
 
 @query("st03_metric_long", f"with {MEANS}, k as (select condition, sample, metric, mean from means) select condition, sample, metric, round(mean, 6) as value from k where mean is not null")
 def st03(spark, sf):
-    wide = tables.sample_table(means(spark, sf), ["quantity", "price", "discount"])
+    wide = tables.wide_means(means(spark, sf), ["quantity", "price", "discount"])
     return six(tables.metric_long(wide, ["condition", "sample"], ["quantity", "price", "discount"]), "value")
 
 
@@ -338,7 +408,7 @@ def st05(spark, sf):
     return six(groups.cohens_d(groups.moments(nest(spark, sf), "F", "O")), "cohens_d")
 
 
-@query("st06_bonferroni", f"with {P_SQL}, b as (select metric, p, least(1, p * count(p) over ()) as c, 0.05 / count(p) over () as a from p) select metric, p, round(c, 6) as p_bonferroni, round(a, 9) as alpha_bonferroni, case when p is null or p >= a then 'n.s.' when p < 0.001 then '***' when p < 0.01 then '**' when p < 0.05 then '*' else 'n.s.' end as stars from b")
+@query("st06_bonferroni", f"with {P_SQL}, b as (select metric, p, case when p is not null then least(1, p * count(*) over ()) end as c, 0.05 / count(*) over () as a from p) select metric, p, round(c, 6) as p_bonferroni, round(a, 9) as alpha_bonferroni, case when p is null or p >= a then 'n.s.' when p < 0.001 then '***' when p < 0.01 then '**' when p < 0.05 then '*' else 'n.s.' end as stars from b")
 def st06(spark, sf):
     return groups.bonferroni(some_p(spark, sf)).withColumns({"p_bonferroni": F.round("p_bonferroni", 6), "alpha_bonferroni": F.round("alpha_bonferroni", 9)})
 
@@ -362,9 +432,18 @@ def st07p(spark, sf):
     return six(got.select("metric", "p", "p_bonferroni", "stars", "effect", "significant", "significant_but_negligible", "large_but_not_significant"), "p", "p_bonferroni")
 
 
-@query("st08_normality_screen", f"with {NEST}, k as (select metric, condition, sum((value - a) ** 3) / count(*) / (sum((value - a) ** 2) / count(*)) ** 1.5 as s, sum((value - a) ** 4) / count(*) / (sum((value - a) ** 2) / count(*)) ** 2 as k from (select *, avg(value) over (partition by metric, condition) as a from long) group by all) select metric, condition, round(s, 5) as skewness, round(k, 5) as kurtosis, abs(s) > 1 or abs(k - 3) > 2 as non_normal from k")
+SCREENED = f"{MEANS}, scr as (select metric, condition, mean as value from means union all select 'one', condition, 1.0 from means where metric = 'price'), {lilliefors_sql('scr')}"
+
+
+def screened(spark, sf):
+    per = groups.sample_means(nest(spark, sf)).select("metric", "condition", F.col("mean").alias("value"))
+    return per.unionByName(per.filter("metric = 'price'").select(F.lit("one").alias("metric"), "condition", F.lit(1.0).alias("value")))
+
+
+@query("st08_normality_screen", f"with {SCREENED}, k as (select metric, condition, count(*) as n, sum((value - a) ** 3) / count(*) / nullif(sum((value - a) ** 2) / count(*), 0) ** 1.5 as s, sum((value - a) ** 4) / count(*) / nullif(sum((value - a) ** 2) / count(*), 0) ** 2 as k from (select *, avg(value) over (partition by metric, condition) as a from scr) group by all) select k.metric, k.condition, k.n, case when p is not null then 'Lilliefors' when k.n >= 4 then 'moments' end as test, round(p, 6) as p, round(s, 5) as skewness, round(k, 5) as kurtosis, case when p is not null then p <= 0.05 when k.n >= 4 then coalesce(abs(s) > 1 or abs(k - 3) > 2, false) end as non_normal from k left join lf on lf.metric = k.metric and lf.condition = k.condition")
 def st08(spark, sf):
-    return groups.normality(nest(spark, sf)).withColumns({"skewness": F.round("skewness", 5), "kurtosis": F.round("kurtosis", 5)})
+    """Metrics of the samples' means, and one that is the same for all."""
+    return six(groups.normality(screened(spark, sf)), "p").withColumns({"skewness": F.round("skewness", 5), "kurtosis": F.round("kurtosis", 5)})
 
 
 @query("st09_power_estimate")
@@ -372,9 +451,9 @@ def st09(spark, sf):
     return six(groups.power_estimate(groups.moments(nest(spark, sf), "F", "O")), "harmonic_n", "power")
 
 
-@query("st10_motion_quality_counts", f'with {JUDGED} select "group", count(*) filter (motion_quality = \'GOOD\') as good, count(*) filter (motion_quality = \'HIGH_MOTION\') as high_motion, count(*) filter (motion_quality = \'SPIKY\') as spiky from judged group by "group"')
+@query("st10_motion_quality_counts", f"with {REFINED} select condition, count(*) as n_samples, {', '.join(f"count(*) filter (motion_quality = '{q}') as n_{q}" for q in tables.MOTION_CLASSES)}, count(*) filter (synchrony > 0.5) as n_high_synchrony from smp group by condition")
 def st10(spark, sf):
-    return tables.motion_quality_counts(mq.judged(spark, sf))
+    return tables.motion_quality_counts(tables.sample_table(refined(spark, sf)))
 
 
 @query("st11_join_motion")
@@ -430,7 +509,14 @@ select condition, count(*) as n, round(corr(rx, ry), 6) as rho from r group by c
 
 @query("st18_spearman", SPEARMAN)
 def st18(spark, sf):
-    return six(tables.spearman(tables.sample_table(means(spark, sf), ["quantity", "price"]), "condition", "quantity", "price"), "rho")
+    """Without p (``st18_spearman_p``)."""
+    return six(tables.spearman(tables.wide_means(means(spark, sf), ["quantity", "price"]), "condition", "quantity", "price"), "rho").drop("p")
+
+
+@query("st18_spearman_p")
+def st18p(spark, sf):
+    """The p of synchrony and quality of the samples by class of motion (tested against tabled values)."""
+    return six(tables.spearman(tables.sample_table(refined(spark, sf)), "motion_quality", "synchrony", "mean_snr"), "rho", "p")
 
 
 @query("st19_ecdf", f"with {NEST} select distinct metric, condition, value, round(cume_dist() over (partition by metric, condition order by value), 6) as ecdf from long where value is not null")

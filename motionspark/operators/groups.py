@@ -8,7 +8,6 @@ replicate first draws how many of its values come from each slice, and the slice
 
 from __future__ import annotations
 
-import math
 import zlib
 
 import numpy as np
@@ -20,14 +19,18 @@ from motionspark.functions import special
 from motionspark.functions.stats import sample_std
 from motionspark.runtime import checkpointed, ship_package
 
-SLICES = 32
+#: Slices of a key at least and at most, and different values that one is meant for.
+SLICES, MOST_SLICES, SLICE_ROWS = 32, 4096, 100_000
 
 
 def running_counts(counted: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
     """``counted`` with ``<column>_upto``: the sum of the column over all rows of the key up to the row's value. ``counted``
-    has one row for each key and value."""
-    cuts = [k / SLICES for k in range(1, SLICES)]
-    bounds = counted.groupBy(*keys).agg(F.percentile_approx(order, cuts, 1000).alias("_bounds"))
+    has one row for each key and value; it is written once, and the largest key's number of values sets the number of slices."""
+    counted = checkpointed(counted)
+    most = counted.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    slices = min(MOST_SLICES, max(SLICES, -(-most // SLICE_ROWS)))
+    cuts = [k / slices for k in range(1, slices)]
+    bounds = counted.groupBy(*keys).agg(F.percentile_approx(order, cuts, max(1000, 10 * slices)).alias("_bounds"))
     slices = F.size(F.filter("_bounds", lambda b: b < F.col(order)))
     dealt = counted.join(bounds, keys).withColumn("_slice", slices).drop("_bounds")
     totals = dealt.groupBy(*keys, "_slice").agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])
@@ -99,28 +102,47 @@ def cohens_d(m: DataFrame) -> DataFrame:
 
 
 def rank_sums(long: DataFrame, first: str, second: str) -> DataFrame:
-    """n1, n2, U of the first condition and the tie term of each metric, from counts of different values."""
+    """n1, n2, U of the first condition and the tie term of each metric, from counts of different values; of small metrics
+    also the sizes of their blocks of equal values in order (``blocks``)."""
     x = lambda c: F.count_if(F.col("condition") == c)
-    counted = long.filter(F.col("value").isNotNull()).groupBy("metric", "value").agg(x(first).alias("a"), x(second).alias("b"))
+    counted = checkpointed(long.filter(F.col("value").isNotNull()).groupBy("metric", "value").agg(x(first).alias("a"), x(second).alias("b")))
     upto = running_counts(counted, ["metric"], "value", ["b"])
     t = (F.col("a") + F.col("b")).cast("double")
-    return upto.groupBy("metric").agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * (F.col("b_upto") - F.col("b") / 2.0)).alias("u"), F.sum(t * t * t - t).alias("ties"))
+    whole = upto.groupBy("metric").agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * (F.col("b_upto") - F.col("b") / 2.0)).alias("u"), F.sum(t * t * t - t).alias("ties"))
+    small = whole.filter(F.col("n1") + F.col("n2") <= EXACT_VALUES).select("metric")
+    blocks = counted.join(small, "metric", "left_semi").filter("a + b > 0").groupBy("metric").agg(F.transform(F.array_sort(F.collect_list(F.struct("value", (F.col("a") + F.col("b")).alias("n")))), lambda s: s["n"]).alias("blocks"))
+    return whole.join(blocks, "metric", "left")
 
 
-def mann_whitney(ranks: DataFrame, exact_below: int = 20) -> DataFrame:
-    """U, z and two-sided p: exact for small groups without ties, else normal with tie and continuity corrections."""
+#: Values of both groups together up to which their blocks of ties are gathered, for an exact rank test.
+EXACT_VALUES = 40
+
+
+def exact_if_both_below(limit: int):
+    """The exact test when both groups are smaller than ``limit``, as the two-condition stage asks for."""
+    return lambda n1, n2: n1 < limit and n2 < limit
+
+
+def exact_if_small(n1: float, n2: float) -> bool:
+    """The exact test of a plain rank-sum call: the smaller group below 10 and both together below 20."""
+    return min(n1, n2) < 10 and n1 + n2 < 20
+
+
+def mann_whitney(ranks: DataFrame, exact=exact_if_both_below(20)) -> DataFrame:
+    """U, z and two-sided p: where ``exact`` of the two sizes holds by the exact distribution, tied or not, else normal with tie
+    and continuity corrections."""
     ship_package(ranks.sparkSession)
 
     @F.pandas_udf("double")
-    def p_of(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series, z: pd.Series) -> pd.Series:
-        out = [special.rank_sum_exact(a, int(n), int(m)) if t == 0 and n < exact_below and m < exact_below else min(1.0, 2 * special.normal_cdf(-abs(s))) for a, n, m, t, s in zip(u, n1, n2, ties, z, strict=True)]
-        return pd.Series(out, dtype="float64")
+    def p_of(u: pd.Series, n1: pd.Series, n2: pd.Series, blocks: pd.Series, z: pd.Series) -> pd.Series:
+        rows = zip(u, n1, n2, blocks, z, strict=True)
+        return pd.Series([special.rank_sum_exact(a, int(n), [int(t) for t in b]) if b is not None and n and m and exact(n, m) else min(1.0, 2 * special.normal_cdf(-abs(s))) for a, n, m, b, s in rows], dtype="float64")
 
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n, gap = n1 + n2, F.col("u") - n1 * n2 / 2
     spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / F.greatest(F.lit(1.0), n * (n - 1))))
     z = F.coalesce(F.try_divide(F.signum(gap) * F.greatest(F.lit(0.0), F.abs(gap) - 0.5), spread), F.lit(0.0))
-    return ranks.select("metric", "n1", "n2", "u", "ties", z.alias("z")).withColumn("p", p_of("u", "n1", "n2", "ties", "z")).drop("ties")
+    return ranks.select("metric", "n1", "n2", "u", "blocks", z.alias("z")).withColumn("p", p_of("u", "n1", "n2", "blocks", "z")).drop("blocks")
 
 
 def cliffs_delta(ranks: DataFrame) -> DataFrame:
@@ -142,9 +164,10 @@ def fdr_bh(tests: DataFrame, p: str = "p") -> DataFrame:
 
 
 def bonferroni(tests: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
-    """Corrected p, the corrected limit, and the stars of p itself where it is below that limit."""
-    m = F.count(p).over(Window.partitionBy())
-    corrected = F.least(F.lit(1.0), F.col(p) * m)
+    """Corrected p, the corrected limit, and the stars of p itself where it is below that limit. Every listed test counts, also
+    one that has no p for want of data."""
+    m = F.count("*").over(Window.partitionBy())
+    corrected = F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col(p) * m))
     raw = F.col(p)
     stars = F.when(raw.isNull() | (raw >= alpha / m), "n.s.").when(raw < 0.001, "***").when(raw < 0.01, "**").when(raw < 0.05, "*").otherwise("n.s.")
     return tests.withColumns({"p_bonferroni": corrected, "alpha_bonferroni": alpha / m, "stars": stars})
@@ -154,67 +177,96 @@ def sample_means(long: DataFrame) -> DataFrame:
     return long.filter("value is not null").groupBy("metric", "condition", "sample").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
 
 
-#: Different values of a slice that one task draws from, and replicates that it draws at once.
-SLICE_VALUES, CHUNK = 1000, 500
+#: Different values of a slice that one task draws from, slices of a block, and replicates that are drawn at once.
+SLICE_VALUES, BLOCK_SLICES, CHUNK = 1000, 256, 500
 
 
 def stable_hash(*parts) -> int:
     return zlib.crc32("|".join(map(str, parts)).encode())
 
 
-def replicate_sums(means: DataFrame, first: str, second: str, replicates: int, seed: int, shuffle_labels: bool = False, value: str = "mean", arrays: bool = False) -> DataFrame:
-    """metric, replicate, slice and, of what a replicate drew there, w1 and s1 (number and sum for the first condition), w2
-    and s2 (for the second) and u (pairs in which the first is greater, ties as halves). Values are drawn with
-    replacement within their condition, or, with ``shuffle_labels``, the conditions are dealt anew. Each metric's values
-    are counted and dealt into slices of ``SLICE_VALUES`` different ones; numbers per slice are drawn once for all slices
-    (multinomial or hypergeometric), then the values of each slice on their own, which together is the same as drawing
-    from all values. Replicates have their own seeds, whatever the partitions. With ``arrays``: metric, chunk, slice, w and s
-    of the first condition alone, as arrays over the ``CHUNK`` replicates of a chunk."""
-    ship_package(means.sparkSession)
+def shared_out(rng, k1: np.ndarray, k2: np.ndarray, a: np.ndarray, b: np.ndarray, shuffle_labels: bool) -> tuple[np.ndarray, np.ndarray]:
+    """[replicates, parts]: how many of each replicate's ``k1`` and ``k2`` draws fall to each part, of which ``a`` and ``b`` values are
+    of the two conditions."""
+    if shuffle_labels:
+        c1 = np.array([rng.multivariate_hypergeometric(a + b, k, method="marginals") for k in k1])
+        return c1, a + b - c1
+    return tuple(rng.multinomial(k, n / n.sum()) if n.sum() else np.zeros((len(k), len(n)), np.int64) for k, n in ((k1, a), (k2, b)))
+
+
+def value_slices(means: DataFrame, first: str, second: str, value: str) -> DataFrame:
+    """metric, block, slice, items (value, a, b: how often each condition has it), a and b of each slice of ``SLICE_VALUES`` different values."""
     of = lambda c: F.count_if(F.col("condition") == c).cast("long")
     known = means.filter(F.col(value).isNotNull() & F.col("condition").isin(first, second))
     counted = known.groupBy("metric", F.col(value).cast("double").alias("value")).agg(of(first).alias("a"), of(second).alias("b")).withColumn("one", F.lit(1))
-    slices = running_counts(counted, ["metric"], "value", ["one"]).withColumn("slice", F.floor((F.col("one_upto") - 1) / SLICE_VALUES).cast("int"))
-    slices = slices.groupBy("metric", "slice").agg(F.array_sort(F.collect_list(F.struct("value", "a", "b"))).alias("items"), F.sum("a").alias("a"), F.sum("b").alias("b"))
-    sizes = slices.groupBy("metric").agg(F.array_sort(F.collect_list(F.struct("slice", "a", "b"))).alias("sizes"))
-    sizes = sizes.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // CHUNK))))
+    placed = running_counts(counted, ["metric"], "value", ["one"]).withColumn("slice", F.floor((F.col("one_upto") - 1) / SLICE_VALUES).cast("int"))
+    slices = placed.groupBy("metric", "slice").agg(F.array_sort(F.collect_list(F.struct("value", "a", "b"))).alias("items"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return checkpointed(slices.withColumn("block", F.floor(F.col("slice") / BLOCK_SLICES).cast("int")))
 
-    def numbers(batches):
+
+def replicate_sums(means: DataFrame, first: str, second: str, replicates: int, seed: int, shuffle_labels: bool = False, value: str = "mean", times: DataFrame | None = None) -> DataFrame:
+    """metric, replicate, slice and, of what a replicate drew there, w1 and s1 (number and sum for the first condition), w2
+    and s2 (for the second) and u (pairs in which the first is greater, ties as halves). Values are drawn with
+    replacement within their condition, or, with ``shuffle_labels``, the conditions are dealt anew. Each metric's values
+    are counted and dealt into slices of ``SLICE_VALUES`` different ones, and slices into blocks of ``BLOCK_SLICES``; a replicate's
+    draws are shared out among the blocks, those of a block among its slices, and those of a slice among its values, each
+    in tasks of their own (multinomial or hypergeometric), which together is the same as drawing from all values. No task
+    holds more than one block's numbers at a time. Replicates have their own seeds, whatever the partitions.
+
+    ``times`` (metric, chunk, times: an array over the chunk's replicates) says how many times over a replicate draws as many
+    values as the metric has, in place of once. Then the result is metric, chunk, slice, w and s of the first condition alone,
+    as arrays over the ``CHUNK`` replicates of a chunk."""
+    ship_package(means.sparkSession)
+    slices, arrays = value_slices(means, first, second, value), times is not None
+    parts = lambda name: F.array_sort(F.collect_list(F.struct(F.col(name).alias("part"), "a", "b"))).alias("parts")
+    blocks = slices.groupBy("metric", "block").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    whole = blocks.groupBy("metric").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    if times is None:
+        chunks = whole.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // CHUNK)))).withColumn("times", F.lit(None).cast("array<long>"))
+    else:
+        chunks = whole.join(times, "metric")
+
+    def start(batches):
         for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                rng = np.random.default_rng((seed, stable_hash(r.metric), r.chunk))
-                n = min(CHUNK, replicates - r.chunk * CHUNK)
-                a, b = (np.array([x[k] for x in r.sizes], np.int64) for k in ("a", "b"))
-                if shuffle_labels:
-                    k1 = np.array([rng.multivariate_hypergeometric(a + b, a.sum(), method="marginals") for _ in range(n)])
-                    k2 = a + b - k1
-                else:
-                    k1, k2 = (rng.multinomial(x.sum(), x / max(1, x.sum()), size=n) for x in (a, b))
-                rows += [(r.metric, r.chunk, int(x["slice"]), k1[:, i].tolist(), k2[:, i].tolist()) for i, x in enumerate(r.sizes)]
-            yield pd.DataFrame(rows, columns=["metric", "chunk", "slice", "k1", "k2"])
-
-    dealt = sizes.select("metric", "chunk", "sizes").repartition("metric", "chunk").mapInPandas(numbers, "metric string, chunk int, slice int, k1 array<long>, k2 array<long>")
+            n = [min(CHUNK, replicates - c * CHUNK) for c in pdf["chunk"]]
+            t = [np.ones(k, np.int64) if x is None else np.array(x) for x, k in zip(pdf["times"], n, strict=True)]
+            yield pd.DataFrame({"metric": pdf["metric"], "chunk": pdf["chunk"], "part": 0, "k1": [(x * a).tolist() for x, a in zip(t, pdf["a"], strict=True)], "k2": [(x * b).tolist() for x, b in zip(t, pdf["b"], strict=True)]})
+
+    numbers = "metric string, chunk int, part int, k1 array<long>, k2 array<long>"
+    held = chunks.select("metric", "chunk", "times", "a", "b").mapInPandas(start, numbers)
+
+    def spread(level: int):
+        def run(batches):
+            for pdf in batches:
+                for r in pdf.itertuples():
+                    rng = np.random.default_rng((seed, level, stable_hash(r.metric), r.chunk, r.part))
+                    a, b = (np.array([x[k] for x in r.parts], np.int64) for k in ("a", "b"))
+                    c1, c2 = shared_out(rng, np.array(r.k1), np.array(r.k2), a, b, shuffle_labels)
+                    yield pd.DataFrame({"metric": r.metric, "chunk": r.chunk, "part": [x["part"] for x in r.parts], "k1": c1.T.tolist(), "k2": c2.T.tolist()})
+
+        return run
+
+    if (blocks.agg(F.max("block")).first()[0] or 0) > 0:
+        of_metric = blocks.groupBy("metric").agg(parts("block"))
+        held = held.join(of_metric, "metric").repartition("metric", "chunk").mapInPandas(spread(1), numbers)
+    of_block = slices.groupBy("metric", F.col("block").alias("part")).agg(parts("slice"))
+    held = held.join(of_block, ["metric", "part"]).select("metric", "chunk", "part", "k1", "k2", "parts").repartition("metric", "chunk", "part").mapInPandas(spread(2), numbers)
 
     def draw(batches):
         for pdf in batches:
             for r in pdf.itertuples():
-                rng = np.random.default_rng((seed, stable_hash(r.metric), r.chunk, r.slice))
+                rng = np.random.default_rng((seed, 3, stable_hash(r.metric), r.chunk, r.slice))
                 x = np.array([i["value"] for i in r.items])
                 a, b = (np.array([i[k] for i in r.items], np.int64) for k in ("a", "b"))
                 k1, k2 = np.array(r.k1), np.array(r.k2)
-                if shuffle_labels:
-                    c1 = np.array([rng.multivariate_hypergeometric(a + b, k, method="marginals") for k in k1])
-                    c2 = a + b - c1
-                else:
-                    c1, c2 = (rng.multinomial(k, n / n.sum()) if n.sum() else np.zeros((len(k), len(x)), np.int64) for k, n in ((k1, a), (k2, b)))
+                c1, c2 = shared_out(rng, k1, k2, a, b, shuffle_labels)
                 if arrays:
                     yield pd.DataFrame({"metric": [r.metric], "chunk": [r.chunk], "slice": [r.slice], "w": [k1.astype(float).tolist()], "s": [(c1 @ x).tolist()]})
                     continue
                 u = (c1 * (np.cumsum(c2, axis=1) - c2 / 2)).sum(1)
                 yield pd.DataFrame({"metric": r.metric, "replicate": r.chunk * CHUNK + np.arange(len(k1)), "slice": r.slice, "w1": k1, "s1": c1 @ x, "w2": k2, "s2": c2 @ x, "u": u})
 
-    both = slices.select("metric", "slice", "items").join(dealt, ["metric", "slice"]).repartition("metric", "slice", "chunk")
+    both = slices.select("metric", "slice", "items").join(held.withColumnRenamed("part", "slice"), ["metric", "slice"]).repartition("metric", "slice", "chunk")
     schema = "metric string, chunk int, slice int, w array<double>, s array<double>" if arrays else "metric string, replicate int, slice int, w1 long, s1 double, w2 long, s2 double, u double"
     return both.select("metric", "slice", "chunk", "items", "k1", "k2").mapInPandas(draw, schema)
 
@@ -285,14 +337,37 @@ def icc(long: DataFrame) -> DataFrame:
     return got.select("metric", "condition", F.col("k").alias("n_samples"), F.col("n_all").alias("n_values"), "mean_cluster", "icc", effect.alias("design_effect"), (F.col("n_all") / effect).alias("effective_n"))
 
 
-def normality(long: DataFrame) -> DataFrame:
-    """Skewness, kurtosis and the screen |skewness| > 1 or |kurtosis - 3| > 2."""
-    got = long.filter("value is not null").groupBy("metric", "condition").agg(F.skewness("value").alias("skewness"), (F.kurtosis("value") + 3).alias("kurtosis"))
-    return got.withColumn("non_normal", (F.abs("skewness") > 1) | (F.abs(F.col("kurtosis") - 3) > 2))
+def normality(long: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """n, test, p, skewness, kurtosis and non_normal of each metric and condition: Lilliefors' test, or, where the values have no spread to
+    test, the screen |skewness| > 1 or |kurtosis - 3| > 2; none below 4 values (``non_normal`` is NULL)."""
+    long = checkpointed(long.filter("value is not null"))
+    got = long.groupBy("metric", "condition").agg(F.count("*").alias("n"), F.skewness("value").alias("skewness"), (F.kurtosis("value") + 3).alias("kurtosis"))
+    got = got.join(lilliefors(long, alpha).select("metric", "condition", "p", "rejected"), ["metric", "condition"], "left")
+    test = F.when(F.col("p").isNotNull(), "Lilliefors").when(F.col("n") >= 4, "moments")
+    screen = F.coalesce((F.abs("skewness") > 1) | (F.abs(F.col("kurtosis") - 3) > 2), F.lit(False))
+    return got.select("metric", "condition", "n", test.alias("test"), "p", "skewness", "kurtosis", F.when(F.col("p").isNotNull(), F.col("rejected")).when(F.col("n") >= 4, screen).alias("non_normal"))
+
+
+def lilliefors_p(d: Column, n: Column) -> Column:
+    """p of Lilliefors' D by the fits of Dallal and Wilkinson (up to 0.1) and of Stephens (above it), within the range from 0.001 to 0.5
+    that tables of its critical values have."""
+    least = F.least(n, F.lit(100)).cast("double")
+    scaled = F.when(n > 100, d * F.pow(n / F.lit(100.0), F.lit(0.49))).otherwise(d)
+    m = least + 2.78019
+    low = F.exp(-7.01256 * scaled * scaled * m + 2.99587 * scaled * F.sqrt(m) - 0.122119 + 0.974598 / F.sqrt(least) + 1.67997 / least)
+    root = F.sqrt(n.cast("double"))
+    k = (root - 0.01 + 0.85 / root) * d
+    fit = lambda *c: sum((c[i] * F.pow(k, F.lit(float(i))) for i in range(1, len(c))), F.lit(c[0]))
+    high = (
+        F.when(k <= 0.302, 1.0).when(k <= 0.5, fit(2.76773, -19.828315, 80.709644, -138.55152, 81.218052)).when(k <= 0.9, fit(-4.901232, 40.662806, -97.490286, 94.029866, -32.355711))
+        .when(k <= 1.31, fit(6.198765, -19.558097, 23.186922, -12.234627, 2.423045)).otherwise(0.0)
+    )
+    return F.greatest(F.lit(0.001), F.least(F.lit(0.5), F.when(low > 0.1, high).otherwise(low)))
 
 
 def lilliefors(long: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """D statistic of each metric and condition with at least 4 values, and whether normality is rejected."""
+    """n, D, p and whether normality is rejected (p <= alpha), of each metric and condition with at least 4 values that are not all
+    the same."""
     ship_package(long.sparkSession)
     known = long.filter("value is not null")
     counted = known.groupBy("metric", "condition", "value").agg(F.count("*").alias("n"))
@@ -303,14 +378,10 @@ def lilliefors(long: DataFrame, alpha: float = 0.05) -> DataFrame:
     def cdf(z: pd.Series) -> pd.Series:
         return pd.Series(special.normal_cdfs(z.to_numpy(float)), dtype="float64")
 
-    @F.pandas_udf("double")
-    def limit(n: pd.Series) -> pd.Series:
-        # beyond 200 values the limit follows its square-root law
-        return pd.Series([special.lilliefors_limit(int(min(x, 200)), alpha) * math.sqrt(min(x, 200) / x) for x in n], dtype="float64")
-
     both = upto.withColumn("f", cdf((F.col("value") - F.col("m")) / F.col("s")))
     gap = F.greatest(F.col("n_upto") / F.col("n_all") - F.col("f"), F.col("f") - (F.col("n_upto") - F.col("n")) / F.col("n_all"))
-    return both.groupBy("metric", "condition", "n_all").agg(F.max(gap).alias("d")).withColumn("rejected", F.col("d") > limit("n_all")).withColumnRenamed("n_all", "n")
+    found = both.groupBy("metric", "condition", "n_all").agg(F.max(gap).alias("d")).withColumnRenamed("n_all", "n").withColumn("p", lilliefors_p(F.col("d"), F.col("n")))
+    return found.withColumn("rejected", F.col("p") <= alpha)
 
 
 def ecdf(long: DataFrame) -> DataFrame:
@@ -353,6 +424,14 @@ def rank_samples(wide: DataFrame, metrics: list[str]) -> DataFrame:
     return places(ranked, ["avg_rank", "ordinal"], "overall_rank")
 
 
+def better_half(ranked: DataFrame, metrics: list[str], condition: str) -> DataFrame:
+    """metric, condition, n and n_better_half: of the samples with a rank in each metric, how many of each condition are in the half with
+    the lowest values (of an odd number the smaller half)."""
+    long = ranked.select(F.col(condition).alias("condition"), *[F.col(f"{m}_rank").alias(m) for m in metrics]).unpivot(["condition"], metrics, "metric", "place")
+    half = long.groupBy("metric").agg(F.floor(F.count("place") / 2).alias("half"))
+    return long.join(half, "metric").groupBy("metric", "condition").agg(F.count("place").alias("n"), F.count_if(F.col("place") <= F.col("half")).alias("n_better_half"))
+
+
 def power_estimate(m: DataFrame, z: float = 1.96) -> DataFrame:
     """Power of a two-sided test for the observed standardised difference, by the normal approximation with both tails;
     NULL without a difference."""
@@ -371,13 +450,12 @@ def hierarchical_bootstrap(long: DataFrame, first: str, second: str, replicates:
     """Percentile intervals when samples are drawn again, and the values in each drawn sample: of each condition's mean over
     all drawn values (low1, high1, low2, high2) and of the difference of the two (ci_low, ci_high; second minus first).
 
-    Values of a sample are drawn by slices as in ``replicate_sums``, so a sample of any size spreads over tasks; a sample
-    that is drawn more than once in a replicate counts with the same redrawn values. Samples are drawn in the same two steps,
-    by blocks and then in each block. Replicates stay in arrays of ``CHUNK`` until they are summed."""
+    A replicate first draws how many times over each sample comes; then as many values as that many samples of its size have
+    are drawn from the sample, by slices as in ``replicate_sums``, so each time it comes it counts with values of its own and a
+    sample of any size spreads over tasks. Samples are drawn in the same two steps, by blocks and then in each block.
+    Replicates stay in arrays of ``CHUNK`` until they are summed."""
     known = long.filter(F.col("value").isNotNull() & F.col("condition").isin(first, second))
     known = known.withColumn("key", F.xxhash64("metric", "condition", "sample"))
-    redrawn = replicate_sums(known.select(F.col("key").cast("string").alias("metric"), F.lit("v").alias("condition"), "value"), "v", "", replicates, seed, value="value", arrays=True)
-    redrawn = redrawn.select(F.col("metric").cast("long").alias("key"), "chunk", "w", "s")
     samples = known.groupBy("metric", "condition", "key").agg(F.lit(1).alias("one"))
     numbered = running_counts(samples, ["metric", "condition"], "key", ["one"]).withColumn("block", F.floor((F.col("one_upto") - 1) / SLICE_VALUES).cast("int"))
     blocks = checkpointed(numbered.groupBy("metric", "condition", "block").agg(F.array_sort(F.collect_list("key")).alias("keys")))
@@ -386,36 +464,37 @@ def hierarchical_bootstrap(long: DataFrame, first: str, second: str, replicates:
 
     def numbers(batches):
         for pdf in batches:
-            rows = []
             for r in pdf.itertuples():
-                rng = np.random.default_rng((seed, 1, stable_hash(r.metric, r.condition), r.chunk))
+                rng = np.random.default_rng((seed, 4, stable_hash(r.metric, r.condition), r.chunk))
                 n = np.array([x["n"] for x in r.sizes], np.int64)
                 k = rng.multinomial(n.sum(), n / n.sum(), size=min(CHUNK, replicates - r.chunk * CHUNK))
-                rows += [(r.metric, r.condition, int(x["block"]), r.chunk, k[:, i].tolist()) for i, x in enumerate(r.sizes)]
-            yield pd.DataFrame(rows, columns=["metric", "condition", "block", "chunk", "k"])
+                yield pd.DataFrame({"metric": r.metric, "condition": r.condition, "block": [x["block"] for x in r.sizes], "chunk": r.chunk, "k": k.T.tolist()})
 
     dealt = sizes.repartition("metric", "condition", "chunk").select("metric", "condition", "chunk", "sizes").mapInPandas(numbers, "metric string, condition string, block int, chunk int, k array<long>")
 
     def pick(batches):
         for pdf in batches:
             for r in pdf.itertuples():
-                rng = np.random.default_rng((seed, 2, stable_hash(r.metric, r.condition), r.chunk, r.block))
+                rng = np.random.default_rng((seed, 5, stable_hash(r.metric, r.condition), r.chunk, r.block))
                 times = rng.multinomial(np.array(r.k), np.full(len(r.keys), 1 / len(r.keys)))
-                yield pd.DataFrame({"metric": r.metric, "condition": r.condition, "key": r.keys, "chunk": r.chunk, "times": list(times.T)})
+                some = times.any(0)
+                yield pd.DataFrame({"key": np.array(r.keys)[some], "chunk": r.chunk, "times": times.T[some].tolist()})
 
     both = blocks.join(dealt, ["metric", "condition", "block"]).repartition("metric", "condition", "block", "chunk")
-    picked = both.select("metric", "condition", "block", "chunk", "keys", "k").mapInPandas(pick, "metric string, condition string, key long, chunk int, times array<long>")
+    picked = both.select("metric", "condition", "block", "chunk", "keys", "k").mapInPandas(pick, "key long, chunk int, times array<long>")
+    values = known.select(F.col("key").cast("string").alias("metric"), F.lit("v").alias("condition"), "value")
+    drawn = replicate_sums(values, "v", "", replicates, seed, value="value", times=picked.select(F.col("key").cast("string").alias("metric"), "chunk", "times"))
+    drawn = drawn.select(F.col("metric").cast("long").alias("key"), "chunk", "w", "s").join(samples.drop("one"), "key")
 
     def add(batches):
         for pdf in batches:
             rows = []
             for (metric, condition, chunk), part in pdf.groupby(["metric", "condition", "chunk"]):
-                times = np.array(part["times"].tolist(), float)
-                w, s = ((times * np.array(part[c].tolist())).sum(0) for c in ("w", "s"))
+                w, s = (np.array(part[c].tolist()).sum(0) for c in ("w", "s"))
                 rows.append(pd.DataFrame({"metric": metric, "condition": condition, "replicate": chunk * CHUNK + np.arange(len(w)), "w": w, "s": s}))
             yield pd.concat(rows)
 
-    drawn = picked.join(redrawn, ["key", "chunk"]).select("metric", "condition", "chunk", "times", "w", "s").mapInPandas(add, "metric string, condition string, replicate long, w double, s double")
+    drawn = drawn.select("metric", "condition", "chunk", "w", "s").mapInPandas(add, "metric string, condition string, replicate long, w double, s double")
     total = lambda c, name: F.sum(F.when(F.col("condition") == name, F.col(c)))
     mean = lambda name: F.round(F.try_divide(total("s", name), total("w", name)), 9)
     rows = checkpointed(drawn.groupBy("metric", "replicate").agg(mean(first).alias("m1"), mean(second).alias("m2")).withColumn("gap", F.round(F.col("m2") - F.col("m1"), 9)))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from motionspark.functions import special
 from motionspark.functions.stats import sample_std
 from motionspark.operators import groups, series
-from motionspark.runtime import checkpointed
+from motionspark.runtime import checkpointed, ship_package
 
 # ---- inputs ------------------------------------------------------------------------------------------------------
 
@@ -46,16 +49,20 @@ METRICS = ("net_drift", "drift_rate", "drift_angle", "median_step", "path", "jit
 
 
 def per_file_metrics(judged: DataFrame, drift: DataFrame) -> DataFrame:
-    """The eight metrics of each recording that passed, values after settling first. Where no recording has a jitter
-    ratio it is path over drift; mean speed is jitter ratio times drift rate."""
-    first = lambda *names: F.coalesce(*[F.col(c) for c in names])
-    both = select_pass(judged).join(drift.select("recording", "net_drift", "drift_rate", "drift_angle", "duration_s"), "recording", "left")
+    """The eight metrics of each recording that passed. Of each metric the first column that the tables have counts, values after
+    settling first; a value that is missing in it stays missing, so kinds of values are never mixed. Where no recording of a
+    group has a jitter ratio it is path over drift; where none has a duration (``duration_ps_s`` or ``duration_s`` of ``judged``)
+    it is drift over drift rate. Mean speed is jitter ratio times drift rate."""
+    both = select_pass(judged)
+    both = both.join(drift.select("recording", *[c for c in ("net_drift", "drift_rate", "drift_angle") if c not in both.columns]), "recording", "left")
+    first = lambda *names: next((F.col(c) for c in names if c in both.columns), F.lit(None)).cast("double")
     got = both.select(
         F.concat("recording", F.lit(".avi")).alias("File"), F.col("group").alias("Group"), first("net_drift_ps", "net_drift").alias("net_drift"), first("drift_rate_ps", "drift_rate").alias("drift_rate"), "drift_angle",
-        first("med_step_ps", "median_step").alias("median_step"), first("cum_path_ps", "cum_path").alias("path"), "jitter_ratio", F.col("duration_s").cast("double").alias("duration_s"),
+        first("med_step_ps", "median_step").alias("median_step"), first("cum_path_ps", "cum_path").alias("path"), first("jitter_ratio").alias("jitter_ratio"), first("duration_ps_s", "duration_s").alias("duration_s"),
     )
-    none = F.count("jitter_ratio").over(Window.partitionBy("Group")) == 0
-    got = got.withColumn("jitter_ratio", F.when(none, F.col("path") / F.greatest(F.col("net_drift"), F.lit(1e-12))).otherwise(F.col("jitter_ratio")))
+    none = lambda c: F.count(c).over(Window.partitionBy("Group")) == 0
+    ratio, time = F.col("path") / F.greatest(F.col("net_drift"), F.lit(1e-12)), F.when(F.col("drift_rate") > 1e-12, F.col("net_drift") / F.col("drift_rate"))
+    got = got.withColumns({"jitter_ratio": F.when(none("jitter_ratio"), ratio).otherwise(F.col("jitter_ratio")), "duration_s": F.when(none("duration_s"), time).otherwise(F.col("duration_s"))})
     return got.withColumn("mean_speed", F.col("jitter_ratio") * F.col("drift_rate"))
 
 
@@ -145,7 +152,7 @@ def compare_groups(long: DataFrame, first: str, second: str, replicates: int = 1
         return normality.filter(F.col("condition") == name).select("metric", (~F.col("rejected")).alias(f"normal{k}"))
 
     parts = [
-        side(first, 1), side(second, 2), groups.welch_t(m), groups.mann_whitney(groups.rank_sums(long, first, second), 10).select("metric", "u", F.col("p").alias("p_rank")), groups.hedges_g(m),
+        side(first, 1), side(second, 2), groups.welch_t(m), groups.mann_whitney(groups.rank_sums(long, first, second), groups.exact_if_small).select("metric", "u", F.col("p").alias("p_rank")), groups.hedges_g(m),
         groups.bootstrap_mean_diff(per, first, second, replicates, seed), groups.permutation_test(per, first, second, replicates, seed),
     ]
     got = reduce(lambda a, b: a.join(b, "metric"), parts, m)
@@ -210,17 +217,72 @@ def sample_metrics(stored: DataFrame, computed: DataFrame, names: list[str]) ->
     return both.select("recording", *[value(n).alias(n) for n in names])
 
 
-def sample_table(means: DataFrame, metrics: list[str]) -> DataFrame:
+def wide_means(means: DataFrame, metrics: list[str]) -> DataFrame:
     """One row a sample: the number of its values and its mean of each metric."""
     n = means.groupBy("condition", "sample").agg(F.max("n").alias("n"))
     return n.join(means.groupBy("condition", "sample").pivot("metric", metrics).agg(F.first("mean")), ["condition", "sample"])
 
 
-def group_summary(means: DataFrame) -> DataFrame:
-    """Samples and values of each condition and metric: numbers, mean and spread of the samples' means, mean of all values."""
-    return means.groupBy("condition", "metric").agg(
-        F.count("*").alias("n_samples"), F.sum("n").alias("n_values"), F.avg("mean").alias("sample_mean"), sample_std(F.col("mean")).alias("sample_sd"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("value_mean")
-    )
+#: Reasons for which refinement removes regions, as refined files count them, and the columns of the sample table.
+REMOVED = {
+    "extreme_snr": "removed_snr", "edge_contact": "removed_edge", "shape": "removed_shape", "negative_transients": "removed_negative", "step_artifacts": "removed_step", "kinetics": "removed_kinetics", "plateau": "removed_plateau",
+    "correlation": "removed_correlated", "spatial": "removed_spatial", "inactive": "removed_inactive", "baseline_drift": "removed_baseline",
+}
+#: What files without ``removal_counts`` have beside their number of regions.
+LEGACY = {"shape": "removed_shape", "correlation": "removed_correlated", "spatial": "removed_spatial", "inactive": "removed_inactive"}
+
+
+def field(df: DataFrame, path: str, kind: str) -> Column:
+    """The nested field ``path`` of ``df`` as ``kind``; NULL where the schema lacks it or a part of the way to it."""
+    schema = df.schema
+    for name in path.split("."):
+        if name not in getattr(schema, "names", ()):
+            return F.lit(None).cast(kind)
+        schema = schema[name].dataType
+    return F.col(path).cast(kind)
+
+
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    """Refined samples stored as Parquet by any version: files with and without the nested counts are read together."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
+def sample_table(refined: DataFrame) -> DataFrame:
+    """One row a sample from refined samples (condition, sample, snr, event_rate and, if there, event_amplitude, baseline_flag,
+    synchrony, motion_quality and refinement with n_original, n_removed and removal_counts): numbers of regions, what was
+    removed and why, means over regions, synchrony and class of motion. A count that is missing is 0, files without
+    ``removal_counts`` have the four that they wrote, and a sample that was not refined lost nothing."""
+    get = lambda path, kind="long": field(refined, path, kind)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    n = F.coalesce(F.size(get("snr", "array<double>")), F.lit(0)).cast("long")
+    n = F.greatest(n, F.lit(0))
+    refined_at_all = F.col("refinement").isNotNull() if "refinement" in refined.columns else F.lit(False)
+    counted = "refinement" in refined.columns and "removal_counts" in refined.schema["refinement"].dataType.names
+    counts = F.col("refinement.removal_counts").isNotNull() if counted else F.lit(False)
+    removed = {column: zero(F.when(counts, get(f"refinement.removal_counts.{reason}")).otherwise(get(f"refinement.{LEGACY[reason]}") if reason in LEGACY else F.lit(None).cast("long"))) for reason, column in REMOVED.items()}
+    original = F.when(refined_at_all, zero(get("refinement.n_original"))).otherwise(n)
+    share = lambda c: F.when(F.col("n_original") > 0, 100.0 * c / F.col("n_original")).otherwise(0.0)
+    mean = lambda c: F.when(F.size(c) > 0, F.aggregate(c, F.lit(0.0), lambda a, v: a + v) / F.size(c))
+    flags = F.size(F.filter(get("baseline_flag", "array<boolean>"), lambda v: v))
+    got = refined.select(
+        "condition", "sample", original.alias("n_original"), n.alias("n_refined"), F.when(refined_at_all, zero(get("refinement.n_removed"))).otherwise(0).cast("long").alias("n_removed"), *[c.alias(k) for k, c in removed.items()],
+        mean(get("snr", "array<double>")).alias("mean_snr"), mean(get("event_rate", "array<double>")).alias("mean_event_rate"), mean(get("event_amplitude", "array<double>")).alias("mean_event_amplitude"),
+        F.when(n > 0, get("synchrony", "double")).alias("synchrony"), F.coalesce(get("motion_quality", "string"), F.lit("unknown")).alias("motion_quality"),
+        F.when(n > 0, 100.0 * F.greatest(F.coalesce(flags, F.lit(0)), F.lit(0)) / n).otherwise(0.0).alias("pct_baseline_flagged"),
+    )
+    return got.withColumns({"pct_removed": share(F.col("n_removed")), "pct_correlated_removed": F.least(F.lit(100.0), share(F.col("removed_correlated")))})
+
+
+def group_summary(samples: DataFrame, refined: DataFrame) -> DataFrame:
+    """One row a condition: numbers of samples and regions, what was removed, mean and spread of quality and event rate over all
+    regions, and mean synchrony. ``samples`` is the sample table of ``refined``."""
+    per = samples.groupBy("condition").agg(
+        F.count("*").alias("n_samples"), F.sum("n_refined").alias("total_rois"), F.avg("n_refined").alias("mean_rois_per_sample"), sample_std(F.col("n_refined")).alias("sd_rois_per_sample"), F.avg("pct_removed").alias("mean_pct_removed"),
+        F.avg("synchrony").alias("mean_synchrony"), F.avg("pct_correlated_removed").alias("mean_pct_correlated_removed"),
+    )
+    each = refined.select("condition", F.explode(F.arrays_zip(F.col("snr").alias("snr"), F.col("event_rate").alias("rate"))).alias("x"))
+    both = [f(F.col(f"x.{c}")).alias(f"{k}_{n}") for c, n in (("snr", "snr"), ("rate", "event_rate")) for k, f in (("mean", F.avg), ("sd", sample_std))]
+    return per.join(each.groupBy("condition").agg(*both), "condition", "left")
 
 
 def metric_long(wide: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
@@ -242,13 +304,25 @@ def compare_conditions(long: DataFrame, first: str, second: str, alpha: float =
     return got.withColumns({"significant": significant, "significant_but_negligible": significant & (F.col("effect") == "negligible"), "large_but_not_significant": ~significant & (F.col("effect") == "large")})
 
 
-def motion_quality_counts(judged: DataFrame, names: tuple[str, ...] = ("GOOD", "HIGH_MOTION", "SPIKY")) -> DataFrame:
-    """Recordings of each group by the class of their motion."""
-    return judged.groupBy("group").agg(*[F.count_if(F.col("motion_quality") == q).alias(q.lower()) for q in names])
+#: Classes of motion that samples can carry.
+MOTION_CLASSES = ("good", "acceptable", "high_motion", "excessive_motion")
+
+
+def motion_quality_counts(samples: DataFrame, high: float = 0.5) -> DataFrame:
+    """Samples of each condition by the class of their motion, and those whose synchrony is above ``high``."""
+    return samples.groupBy("condition").agg(
+        F.count("*").alias("n_samples"), *[F.count_if(F.col("motion_quality") == q).alias(f"n_{q}") for q in MOTION_CLASSES], F.count_if(F.col("synchrony") > high).alias("n_high_synchrony")
+    )
+
+
+#: Rows of a group up to which the p of its rank correlation comes from all orders.
+EXACT_ROWS = 9
 
 
 def spearman(pairs: DataFrame, by: str, x: str, y: str, least: int = 4) -> DataFrame:
-    """Rank correlation of two columns within each value of ``by`` that has ``least`` rows, ties at their mean rank."""
+    """Rank correlation of two columns within each value of ``by`` that has ``least`` rows (NULL if one column is the same in all), and its two-sided p:
+    from all orders of the ranks up to ``EXACT_ROWS`` rows, by Student's t beyond."""
+    ship_package(pairs.sparkSession)
     known = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
 
     def ranked(df: DataFrame, c: str) -> DataFrame:
@@ -257,7 +331,17 @@ def spearman(pairs: DataFrame, by: str, x: str, y: str, least: int = 4) -> DataF
         return df.join(upto.select(by, c, (F.col("_n_upto") - (F.col("_n") - 1) / 2.0).alias(f"_r_{c}")), [by, c])
 
     both = ranked(ranked(known.select(by, x, y), x), y)
-    return both.groupBy(by).agg(F.count("*").alias("n"), F.corr(f"_r_{x}", f"_r_{y}").alias("rho")).filter(F.col("n") >= least)
+    both = checkpointed(both.select(by, F.col(f"_r_{x}").alias("_x"), F.col(f"_r_{y}").alias("_y")))
+    found = both.groupBy(by).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y")).alias("rho")).filter(F.col("n") >= least)
+    few = both.join(found.filter(F.col("n") <= EXACT_ROWS).select(by), by, "left_semi").groupBy(by).agg(F.collect_list(F.struct("_x", "_y")).alias("_ranks"))
+
+    @F.pandas_udf("double")
+    def p_of(rho: pd.Series, n: pd.Series, ranks: pd.Series) -> pd.Series:
+        rows = zip(rho, n, ranks, strict=True)
+        far = lambda r, k: special.t_two_sided(r * np.sqrt((k - 2) / max(1e-300, 1 - r * r)), k - 2)
+        return pd.Series([np.nan if pd.isna(r) else far(r, k) if v is None else special.spearman_exact([i["_x"] for i in v], [i["_y"] for i in v]) for r, k, v in rows], dtype="float64")
+
+    return found.join(few, by, "left").withColumn("p", F.nanvl(p_of("rho", "n", "_ranks"), F.lit(None).cast("double"))).drop("_ranks")
 
 
 def removal_breakdown(counts: DataFrame, categories: list[str]) -> DataFrame:
