@@ -193,7 +193,7 @@ def term_frequencies(texts: DataFrame, candidates: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for term in set(TERM.findall((text or "").lower())):
+                for term in {t.lower() for t in set(TERM.findall(text or ""))}:  # taken first: some letters lower to two code points
                     hit = known.get(term, 0)
                     if hit == 0:
                         h = term_hash(term)
