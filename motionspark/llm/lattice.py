@@ -11,7 +11,8 @@ in several cells is counted in the first of them alone, which the two signatures
 cell gives link counts and a star of links. Probes go only to cells that are home to a vector, by a filter of counted and
 limited size. Cells with many vectors are cut into blocks that are compared two by two in tasks of their own.
 
-Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of each
+Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; components of any
+finite size are compared, the smallest and largest doubles too; vectors of each
 length have cells of their own; repeated rows are linked copies; an empty table gives no rows; other columns are ignored.
 """
 
@@ -111,7 +112,10 @@ def cells(unit: np.ndarray, table: int, seed: int, probes: int) -> np.ndarray:
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one. Each is brought to a largest component between a half and one by a power of two first, which
+    rounds nothing, so squares neither overflow nor vanish."""
     x = vectors.astype(np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
