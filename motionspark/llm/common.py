@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,18 +22,29 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-#: Tables that ``materialise`` wrote in this session, in order.
-WRITTEN: list[str] = []
+class Run:
+    """The tables that ``materialise`` writes while this is entered, in this thread alone: a chain of steps of which only the last
+    result is read again removes the others as it goes. Tables written outside of a run stay, for lazy results read them."""
 
+    current: ContextVar[Run | None] = ContextVar("run", default=None)
 
-def discard(spark: SparkSession, since: int, keep: str) -> None:
-    """Removes the tables written since ``WRITTEN`` had ``since`` entries, but for the one whose name starts with ``keep``:
-    for a chain of steps of which only the last result is read again."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in [p for p in WRITTEN[since:] if not p.rsplit("/", 1)[1].startswith(keep)]:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
-        WRITTEN.remove(path)
+    def __init__(self, spark: SparkSession):
+        self.spark, self.written = spark, []
+
+    def __enter__(self) -> Run:
+        self.token = Run.current.set(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        Run.current.reset(self.token)
+
+    def discard(self, keep: str) -> None:
+        """Removes the run's tables, but for those whose name starts with ``keep``."""
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in [p for p in self.written if not p.rsplit("/", 1)[1].startswith(keep)]:
+            target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+            self.written.remove(path)
 
 
 def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -41,7 +53,8 @@ def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    WRITTEN.append(path)
+    if run := Run.current.get():
+        run.written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,15 +66,17 @@ def fresh(name: str, df: DataFrame) -> str:
     return name
 
 
-def lowest_hashes(ids: DataFrame, column: str, rows: int) -> DataFrame:
-    """About the ``rows`` rows of ``ids`` with the lowest hashes of ``column``, in that order. The rows are counted first, and
+def lowest_hashes(sample: DataFrame, columns: str | list[str], rows: int) -> DataFrame:
+    """The ``rows`` different values of ``columns`` in ``sample`` with the lowest hashes, in that order. Different values are counted first, and
     a limit on the hash leaves about twice as many as are wanted, so what tasks send to be ordered does not grow with
-    ``ids``."""
-    n = ids.count()
-    h = F.xxhash64(column)
+    ``sample``. Repeated values count once, so they can neither crowd out others nor all fall beyond the limit."""
+    columns = [columns] if isinstance(columns, str) else columns
+    sample = sample.select(*columns).distinct()
+    n = sample.count()
+    h = F.xxhash64(*columns)
     if n > 2 * rows:
-        ids = ids.filter(h <= F.lit(-(1 << 63) + int(((1 << 64) - 1) * (2 * rows + 100) / n)))
-    return ids.orderBy(h, column).limit(rows)
+        sample = sample.filter(h <= F.lit(-(1 << 63) + int(((1 << 64) - 1) * (2 * rows + 100) / n)))
+    return sample.orderBy(h, *columns).limit(rows)
 
 
 class Rows:

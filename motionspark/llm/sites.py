@@ -6,7 +6,8 @@ toward its host's, with a strength that grows as groups are alike (method of mom
 shift that its path's posterior brings are added; for that the posteriors are taken without the document itself, which
 would else be counted twice.
 
-The classifier is fitted on at most ``FIT_ROWS`` labelled documents (lowest hashes of doc_id); the rates come from all
+The classifier is fitted on at most ``FIT_ROWS`` labelled documents (lowest hashes of id, statistics and label; rows
+that repeat all three count once there); the rates come from all
 documents. Sums are taken before the shuffle, so a host with a third of all documents is one row from each task.
 
 Edge cases: a null text has the statistics of an empty one; a null host or path is a group of its own; without labels of
@@ -101,7 +102,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, fit
     rows = materialise(source.mapInArrow(measure, "doc_id long, host string, path string, x array<double>"), "statistics")
     known = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"))
     marked = materialise(rows.join(known, "doc_id", "left"), "marked")
-    sample = lowest_hashes(marked.filter("y is not null").select("doc_id", "x", "y"), "doc_id", fit_rows).collect()  # bounded by fit_rows
+    sample = lowest_hashes(marked.filter("y is not null"), ["doc_id", "x", "y"], fit_rows).collect()  # bounded by fit_rows
     y = np.array([r["y"] for r in sample], float)
     if not len(y) or y.min() == y.max():
         half = F.lit(0.5)
