@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motionspark.llm import mixing, packing, quality, secrets, simhash
-from motionspark.llm.common import WRITTEN, discard, materialise
+from motionspark.llm.common import Run, materialise
 from motionspark.llm.queries import table, vocabulary
 
 #: Rows of the list of near copies up to which it is broadcast (24 bytes each).
@@ -15,7 +15,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or the score reject go."""
+    """Documents that the rules or the score reject go. A null or empty text has too few words and goes; a null id, language or source
+    decides nothing; repeated rows are judged alike; columns beyond those of documents are dropped; an empty table stays empty."""
     return quality.judge(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), keep_rows=True)
 
 
@@ -39,17 +40,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the texts."""
+    """Secrets are replaced in the texts, and the numbers of characters follow. Null and empty texts stay as they are; repeated rows are
+    treated alike, each stays a row; an empty table stays empty."""
     return secrets.redact(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All sources get the same weight."""
+    """All sources get the same weight; a null source is one of them. Null texts are rows like others; rows with one id draw the same
+    number of copies, a null id counts as an empty one; a source may lose single documents, as its rate is below one; an empty
+    table stays empty."""
     return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences with their token ids."""
+    """Pieces of sequences with their token ids. A null or empty text is its end token alone; repeated rows are packed as often as they
+    come; a null id stays null; an empty table gives no sequences."""
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
@@ -63,8 +68,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. A stage's table, and what its operators wrote, goes as soon as the next one is whole."""
-    docs, start = table(spark, sf_dir, "documents"), len(WRITTEN)
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
-        discard(spark, start, f"stage-{name}")
+    docs = table(spark, sf_dir, "documents")
+    with Run(spark) as tables:
+        for name, stage in STAGES:
+            docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+            tables.discard(f"stage-{name}")
     return docs
