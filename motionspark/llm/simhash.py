@@ -14,7 +14,12 @@ would need a radius that no set of masks can cover; the fingerprint that the mas
 weighted by the square root of its count, within ``COPY_RADIUS`` bits. With so large a radius the positions are covered
 in two halves, one of which differs in half the radius at most. A pair that meets must also agree in a sketch of its
 shingles (``SKETCH`` least hashes under as many permutations, one bit each), from which the similarity is estimated with a
-standard error of 0.0375 at 0.8; ``SLACK`` is left for it.
+standard error of 0.0375 at 0.8; ``SLACK`` is left for it. What such links connect is only a candidate: in each connected
+set the pairs that pass both are verified by the exact similarity of their sets of shingles, and only verified pairs join
+texts. A pair whose texts verified links have joined already needs no check of its own.
+
+Large buckets, and large sets of candidates, are cut into blocks that are compared two by two in tasks of their own, so no
+group of texts that are alike meets in one task.
 
 Edge cases: a null text, or one without words, has fingerprint zero; fewer words than a shingle make one shingle;
 rows with a null doc_id take part and can be a component of their own (null); repeated rows get the same component; an
@@ -40,7 +45,11 @@ BUCKET = 2048
 COPY_RADIUS = 7
 #: Bits of a sketch of shingles.
 SKETCH = 256
-SLACK = 0.04
+SLACK = 0.10
+#: Texts of a bucket, or of a connected set of candidates, that are compared at once in one task.
+BLOCK = 512
+#: Different shingles from which on a text keeps 64 bits of each hash instead of 32.
+WIDE = 1 << 16
 
 
 def fingerprint(text: str | None, size: int = 3, seed: int = SEED) -> int:
@@ -94,12 +103,10 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def star_links(group: np.ndarray, radius: int, sketches: np.ndarray | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers (a, b) that join the fingerprints of one bucket which are connected within ``radius`` and, if there are
-    ``sketches``, by sketches that differ in at most ``most`` bits."""
+def close_pairs(group: np.ndarray, radius: int, sketches: np.ndarray | None = None, most: int = 0):
+    """Row numbers (a < b) of the fingerprints within ``radius`` of each other and, if there are ``sketches``, with sketches that
+    differ in at most ``most`` bits; block by block."""
     n, step = len(group), 512
-    root = np.arange(n)
-    left, right = [], []
     for i in range(0, n, step):
         for j in range(i, n, step):
             a, b = np.nonzero(np.bitwise_count(group[i : i + step, None] ^ group[None, j : j + step]) <= radius)
@@ -111,9 +118,13 @@ def star_links(group: np.ndarray, radius: int, sketches: np.ndarray | None = Non
                 for k in range(0, len(a), 100_000):
                     keep[k : k + 100_000] = np.bitwise_count(sketches[a[k : k + 100_000]] ^ sketches[b[k : k + 100_000]]).sum(1) <= most
                 a, b = a[keep], b[keep]
-            left.append(a)
-            right.append(b)
-    a, b = np.concatenate(left), np.concatenate(right)
+            yield a, b
+
+
+def star_links(group: np.ndarray, radius: int, sketches: np.ndarray | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (a, b) that join the fingerprints of one bucket which are connected by ``close_pairs``."""
+    root = np.arange(len(group))
+    a, b = (np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 2, *close_pairs(group, radius, sketches, most), strict=True))
     while True:
         least = root.copy()
         np.minimum.at(least, a, root[b])
@@ -122,7 +133,7 @@ def star_links(group: np.ndarray, radius: int, sketches: np.ndarray | None = Non
         if (least == root).all():
             break
         root = least
-    moved = np.nonzero(root != np.arange(n))[0]
+    moved = np.nonzero(root != np.arange(len(group)))[0]
     return moved, root[moved]
 
 
@@ -158,10 +169,22 @@ def links_within(prints: DataFrame, radius: int = 2, most: int | None = None) ->
     groups = shared.filter(F.col("n") <= BUCKET).groupBy("t", "k").agg(F.collect_list("row").alias("g")).select("g")
     finer = F.array(*[F.array(*[F.lit(signed(m)) for m in own]) for own in second])
     large = shared.filter(F.col("n") > BUCKET).select("fp", "row", "t", F.posexplode(F.element_at(finer, F.col("t") + 1)).alias("t2", "mask"))
-    large = large.groupBy("t", "t2", F.col("fp").bitwiseAND(F.col("mask")).alias("k")).agg(F.collect_list("row").alias("g")).filter(F.size("g") > 1).select("g")
+    large = large.select("t", "t2", "row", F.col("fp").bitwiseAND(F.col("mask")).alias("k"))
+    if sketched:  # a fingerprint can have any number of names: such buckets go to tasks by pairs of blocks
+        large = in_blocks(large, ["t", "t2", "k"], F.col("row.name"))
+    large = large.groupBy("t", "t2", "k", *(["lo", "hi"] if sketched else [])).agg(F.collect_list("row").alias("g")).filter(F.size("g") > 1).select("g")
     return groups.unionByName(large).mapInArrow(linked, "a long, b long")
 
 
+def in_blocks(rows: DataFrame, keys: list[str], name, block: int | None = None) -> DataFrame:
+    """``rows`` once for each pair of blocks (lo, hi) of their group that they take part in: a group of n rows has
+    ceil(n / block) blocks, to which ``name`` deals them by its hash."""
+    sizes = materialise(rows.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(float(block or BLOCK))).cast("int").alias("blocks")).filter("blocks > 1"), "blocks")
+    dealt = rows.join(sizes, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64(name), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("blocks", "own", "other")
+
+
 def printed(text_col: str = "text", size: int = 3):
     """The fingerprints of a column of texts as longs."""
 
@@ -203,12 +226,13 @@ def permutations() -> np.ndarray:
     return np.random.default_rng(SEED).integers(0, 1 << 31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def copy_sketch(text: str | None, hashes: WordHashes, size: int = 5) -> tuple[int, list[int]]:
-    """The fingerprint of the words of a text, each weighted by the square root of its count, and the sketch of its
-    shingles. A text without words has fingerprint and sketch zero; fewer words than a shingle make one shingle."""
+def copy_sketch(text: str | None, hashes: WordHashes, size: int = 5) -> tuple[int, list[int], bytes]:
+    """The fingerprint of the words of a text, each weighted by the square root of its count, the sketch of its shingles, and
+    their different hashes, ascending (4 bytes each, or 8 in texts of ``WIDE`` or more). A text without words has fingerprint
+    and sketch zero and no shingle; fewer words than a shingle make one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0, [0] * (SKETCH // 64)
+        return 0, [0] * (SKETCH // 64), b"\x04"
     h = np.fromiter((hashes[w] for w in words), np.uint64, len(words))
     values, counts = np.unique(h, return_counts=True)
     total = np.zeros(64)
@@ -220,7 +244,9 @@ def copy_sketch(text: str | None, hashes: WordHashes, size: int = 5) -> tuple[in
     for k in range(1, min(size, len(h))):
         shingles = shingles * np.uint64(0x9E3779B97F4A7C15) + h[k : len(shingles) + k]
         shingles ^= shingles >> np.uint64(29)
-    shingles = np.unique((shingles >> np.uint64(32)).astype(np.uint32))
+    whole = np.unique(shingles)
+    shingles = np.unique((whole >> np.uint64(32)).astype(np.uint32))
+    held = b"\x08" + whole.astype("<u8").tobytes() if len(whole) >= WIDE else b"\x04" + shingles.astype("<u4").tobytes()
     least = np.full(SKETCH, np.iinfo(np.uint32).max, np.uint32)
     for k in range(0, len(shingles), 256):
         x = shingles[k : k + 256, None] * permutations()
@@ -229,7 +255,53 @@ def copy_sketch(text: str | None, hashes: WordHashes, size: int = 5) -> tuple[in
         np.minimum(least, x.min(0), out=least)
     # one bit of each: the parity of the bits that chance decides
     least = np.bitwise_count(least) & np.uint8(1)
-    return fp, np.packbits(least, bitorder="little").view("<i8").tolist()
+    return fp, np.packbits(least, bitorder="little").view("<i8").tolist(), held
+
+
+def alike(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether two sets of shingles have at least this similarity."""
+    x, y = (np.frombuffer(s, "<u8" if s[0] == 8 else "<u4", offset=1) for s in (a, b))
+    if x.itemsize != y.itemsize:
+        x, y = (np.unique((s >> np.uint64(32)).astype("<u4")) if s.itemsize == 8 else s for s in (x, y))
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= similarity * (len(both) - common) - 1e-9
+
+
+def verified_links(found: DataFrame, classes: DataFrame, shingles: DataFrame, similarity: float, radius: int, most: int) -> DataFrame:
+    """Links (a, b) of names that connect the pairs which are alike among those that the links ``found`` connect. ``classes``: name, fp,
+    sketch; ``shingles``: name and the hashes of its shingles."""
+    sets = components(found).select(F.col("node").alias("name"), "component")
+    sets = in_blocks(materialise(sets, "candidates"), ["component"], F.col("name"))
+    held = sets.select("name").distinct().join(shingles, "name").groupBy("name").agg(F.first("shingles").alias("shingles"))
+    whole = sets.join(classes.select("name", "fp", "sketch"), "name").join(held, "name")
+
+    def run(key, rows):
+        rows = rows.sort_by([("fp", "ascending"), ("name", "ascending")])
+        fp, name = (rows.column(c).to_numpy() for c in ("fp", "name"))
+        sketches = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(fp), -1)
+        texts, root, links = rows.column("shingles").to_pylist(), list(range(len(fp))), []
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for a, b in close_pairs(fp.view(np.uint64), radius, sketches, most):
+            for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                x, y = find(i), find(j)
+                if x != y and alike(texts[i], texts[j], similarity):
+                    root[max(x, y)] = min(x, y)
+                    links.append((name[i], name[j]))
+        import pyarrow as pa
+
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return whole.select("component", "lo", "hi", "name", "fp", "sketch", "shingles").groupBy("component", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
 def most_differing(similarity: float) -> int:
@@ -239,23 +311,25 @@ def most_differing(similarity: float) -> int:
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius: int = COPY_RADIUS, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, component (a name of the group of near copies) and first (doc_id and text_hash of the group's
-    first row with an id) of each row. Near copies have word fingerprints within ``radius`` bits and sketches of ``size``
-    word shingles that speak for a similarity of at least ``similarity - slack``; groups are what such links connect.
-    Nulls and short texts as in ``near_duplicates``."""
+    first row with an id) of each row. Near copies have ``size`` word shingles of at least ``similarity``; found are those with word
+    fingerprints within ``radius`` bits and sketches that speak for a similarity of at least ``similarity - slack``. Groups
+    are what links between near copies connect. Nulls and short texts as in ``near_duplicates``."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("struct<fp: long, sketch: array<long>>")
+    @F.pandas_udf("struct<fp: long, sketch: array<long>, shingles: binary>")
     def sketched(texts: pd.Series) -> pd.DataFrame:
         hashes = word_hashes()
         got = [copy_sketch(t, hashes, size) for t in texts]
-        return pd.DataFrame({"fp": [signed(fp) for fp, _ in got], "sketch": [x for _, x in got]})
+        return pd.DataFrame({"fp": [signed(fp) for fp, _, _ in got], "sketch": [x for _, x, _ in got], "shingles": [s for _, _, s in got]})
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), sketched(text).alias("x"))
-    rows = materialise(rows.select("doc_id", "text_hash", "x.fp", "x.sketch").withColumn("name", F.xxhash64("fp", "sketch")), "sketches")
+    rows = materialise(rows.select("doc_id", "text_hash", "x.*").withColumn("name", F.xxhash64("fp", "sketch", "shingles")), "sketches")
     classes = rows.groupBy("fp", "name").agg(F.first("sketch").alias("sketch"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("first"))
     classes = materialise(classes, "classes")
-    found = components(links_within(classes.select("fp", "name", "sketch"), radius, most_differing(similarity - slack)))
+    most = most_differing(similarity - slack)
+    found = verified_links(links_within(classes.select("fp", "name", "sketch"), radius, most), classes, rows.select("name", "shingles"), similarity, radius, most)
+    found = components(found)
     named = classes.join(found.withColumnRenamed("node", "name"), "name", "left").select("name", "first", F.coalesce("component", "name").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("first"))
     return rows.join(named.drop("first").join(least, "component"), "name").select("doc_id", "text_hash", "component", "first")
