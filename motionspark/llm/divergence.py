@@ -253,7 +253,8 @@ def pairs(shares: DataFrame, groups: DataFrame, block_postings: int = BLOCK_POST
     """lang, source, item, value for each ordered pair of sources of a language. ``shares``: lang, source, key, count, p, p0; ``groups``:
     lang, source, v, p0."""
     other = groups.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0"))
-    other = F.broadcast(other) if groups.count() <= BROADCAST_GROUPS else other
+    small = groups.count() <= BROADCAST_GROUPS  # and so are the languages
+    other = F.broadcast(other) if small else other
     every = groups.join(other, "lang").filter("source <> item").select("lang", "source", "item", F.expr(f"case when v > 0 then v * {difference('p0', 'q0')} else 0 end").alias("value"))
 
     often = shares.groupBy("lang", "source", "p", "p0").agg(F.count("*").alias("n"))
@@ -264,7 +265,7 @@ def pairs(shares: DataFrame, groups: DataFrame, block_postings: int = BLOCK_POST
     )).alias("x")).select("lang", "x.*")
 
     sizes = shares.groupBy("lang").agg(F.count("*").alias("postings")).join(groups.groupBy("lang").agg(F.count("*").alias("sources")), "lang")
-    dealt = shares.join(sizes, "lang").select(
+    dealt = shares.join(F.broadcast(sizes) if small else sizes, "lang").select(
         "lang", "key", "source", "count", "p", "p0", F.expr(f"cast(pmod(xxhash64(key), ceil(postings / {block_postings})) as int)").alias("terms"),
         F.expr(f"cast(ceil(sources / {block_sources}) as int)").alias("parts"), F.expr(f"cast(pmod(xxhash64(source), ceil(sources / {block_sources})) as int)").alias("part"),
     )
