@@ -144,6 +144,17 @@ def test_terms_that_reveal_are_removed(spark):
     assert {r["n_remove"] + r["n_generalise"] for r in pii.sanitise(same).collect()} == {0}
 
 
+def test_terms_with_a_dotted_capital_are_removed(spark):
+    """İ lowers to two code points; the term is counted and taken out as it is written."""
+    words = "lorem ipsum dolor amet tempor labore magna aliqua minim veniam quis nostrud".split()
+    rng = np.random.default_rng(0)
+    say = lambda n: " ".join(rng.choice(words, n))
+    rows = [(i, f"{say(6)} HAMBURGO {say(2)} İSTANBULLU x@mail.example.com {say(6)}") for i in range(6)] + [(i, say(12)) for i in range(6, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised_texts(docs, pii.sanitise(docs)).collect()}
+    assert not any("HAMBURGO" in t or "İSTANBULLU" in t for t in clean.values()) and clean[7] == rows[7][1]
+
+
 def test_mixing(spark, docs, odd_docs, no_docs):
     rows = mixing.mix(docs).collect()
     n = docs.count()
@@ -245,6 +256,13 @@ def test_lattice_links_vectors_of_each_length(spark):
     assert {r["vec_id"]: r["n_links"] for r in got} == want and min(want.values()) >= 1
 
 
+def test_lattice_links_vectors_of_any_size(spark):
+    least = float(np.nextafter(0, 1))
+    rows = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1.0, 1.0]), (4, [1e-200, 1e-200]), (5, [1.7e308, 1.7e308]), (6, [least, least]), (7, [1e200, -1e200]), (8, [3e-300, 0.0]), (9, [1e300, 1e-300])]
+    got = {r["vec_id"]: r for r in lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[k]["n_links"] for k in range(1, 10)] == [5, 5, 5, 5, 5, 5, 0, 1, 1] and {got[k]["component_id"] for k in range(1, 7)} == {1} and got[9]["component_id"] == 8
+
+
 def test_large_cells_are_compared_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(2)
     v = rng.normal(size=64)

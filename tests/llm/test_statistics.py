@@ -30,6 +30,24 @@ def slow_strength(groups):
     return min(sites.MAX_STRENGTH, max(1.0, spread / extra - 1)) if extra > 1e-9 else sites.MAX_STRENGTH
 
 
+def test_lowest_hashes_of_repeated_rows(spark):
+    """Repeats neither crowd out other rows nor leave the sample empty."""
+    df = spark.range(400_000).select((F.col("id") % 4).alias("doc_id"), F.lit(1.5).alias("x"))
+    assert lowest_hashes(df, ["doc_id", "x"], 3).count() == 3 and {r["doc_id"] for r in lowest_hashes(df, ["doc_id", "x"], 100).collect()} == {0, 1, 2, 3}
+    same = spark.range(1000).select(F.lit(7).alias("doc_id"), "id")
+    assert lowest_hashes(same, ["doc_id", "id"], 20).count() == 20
+
+
+def test_repeated_labelled_rows_change_no_verdict(spark):
+    texts = ["good plain words in a row here", "### $$$ %%% ### $$$", "more plain words for all of us", "%%% &&& ||| %%% |||"]
+    rows = [(i, t, f"h{i}", "p") for i, t in enumerate(texts)] + [(10 + i, t, f"h{i}", "p") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (3, 0)], "doc_id long, quality int")
+    judge = lambda d: {(r["doc_id"], r["kept"]) for r in sites.classify(d, labels, F.col("host"), F.col("path"), fit_rows=50).select("doc_id", "kept").distinct().collect()}
+    often = docs.filter("doc_id >= 10").unionByName(docs.filter("doc_id < 10").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("k"))
+    assert judge(docs) == judge(often) and {k for _, k in judge(docs)} == {True, False}
+
+
 def test_site_bayes_against_brute_force(spark, docs, odd_docs, labels):
     more = odd_docs.select(*docs.columns).filter("doc_id is not null").withColumn("doc_id", F.col("doc_id") + 1_000_000)
     table = docs.unionByName(more)
