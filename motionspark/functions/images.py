@@ -12,10 +12,11 @@ def smooth(image: np.ndarray, sigma: float) -> np.ndarray:
     half = int(np.ceil(2 * sigma))
     w = np.exp(-0.5 * (np.arange(-half, half + 1) / sigma) ** 2)
     w /= w.sum()
-    for axis in (0, 1):
-        pad = [(half, half) if k == axis else (0, 0) for k in (0, 1)]
-        image = np.apply_along_axis(lambda v: np.convolve(v, w, "valid"), axis, np.pad(image, pad, "edge"))
-    return image
+    h, width = image.shape
+    tall = np.pad(image, [(half, half), (0, 0)], "edge")
+    image = sum(v * tall[k : k + h] for k, v in enumerate(w))
+    wide = np.pad(image, [(0, 0), (half, half)], "edge")
+    return sum(v * wide[:, k : k + width] for k, v in enumerate(w))
 
 
 def otsu(image: np.ndarray, bins: int = 256) -> float:
@@ -30,19 +31,50 @@ def otsu(image: np.ndarray, bins: int = 256) -> float:
     return float(np.flatnonzero(between == between.max()).mean() / (bins - 1))
 
 
-def components(mask: np.ndarray) -> np.ndarray:
-    """Labels of 8-connected parts from 1, 0 outside: the least index spreads to all neighbours until nothing changes."""
+def runs_of(mask: np.ndarray, values: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of each horizontal run of the mask, in order; with ``values`` a run ends where the value changes."""
     h, w = mask.shape
-    far = h * w + 1
-    label = np.where(mask, np.arange(1, h * w + 1).reshape(h, w), far)
+    new = mask.copy()
+    new[:, 1:] &= ~mask[:, :-1] if values is None else ~(mask[:, :-1] & (values[:, 1:] == values[:, :-1]))
+    last = mask.copy()
+    last[:, :-1] &= ~mask[:, 1:] | new[:, 1:]
+    row, start = np.nonzero(new)
+    return row, start, np.nonzero(last)[1] + 1
+
+
+def joined_runs(row: np.ndarray, start: np.ndarray, end: np.ndarray, width: int, diagonal: bool = True, values: np.ndarray | None = None) -> np.ndarray:
+    """For each run the first run of its part: runs of neighbouring rows that touch belong together, where ``values`` are the same."""
+    wide = width + 2
+    first, last = row * wide + start, row * wide + end
+    below = (row + 1) * wide
+    lo = np.searchsorted(last, below + start, "left" if diagonal else "right")
+    hi = np.searchsorted(first, below + end, "right" if diagonal else "left")
+    n = np.maximum(0, hi - lo)
+    a = np.repeat(np.arange(len(row)), n)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    if values is not None:
+        same = values[a] == values[b]
+        a, b = a[same], b[same]
+    root = np.arange(len(row))
     while True:
-        p = np.pad(label, 1, constant_values=far)
-        least = np.min([p[a : a + h, b : b + w] for a in range(3) for b in range(3)], axis=0)
-        new = np.where(mask, least, far)
-        if (new == label).all():
-            break
-        label = new
-    return np.where(mask, label, 0)
+        least = root.copy()
+        np.minimum.at(least, root[a], root[b])
+        np.minimum.at(least, root[b], root[a])
+        while (least[least] != least).any():
+            least = least[least]
+        if (least == root).all():
+            return root
+        root = least
+
+
+def components(mask: np.ndarray, diagonal: bool = True, values: np.ndarray | None = None) -> np.ndarray:
+    """Labels of connected parts of the mask, 0 outside: the number, from 1, of a part's first pixel. With ``values`` parts are of one value."""
+    h, w = mask.shape
+    row, start, end = runs_of(mask, values)
+    root = joined_runs(row, start, end, w, diagonal, values[row, start] if values is not None else None)
+    label = np.zeros(h * w, np.int64)
+    label[mask.ravel()] = np.repeat((row * w + start + 1)[root], end - start)
+    return label.reshape(h, w)
 
 
 def disk(radius: float) -> np.ndarray:
@@ -64,26 +96,17 @@ def erode(mask: np.ndarray, shape: np.ndarray) -> np.ndarray:
 
 def fill_holes(mask: np.ndarray) -> np.ndarray:
     """Background that the border does not reach becomes mask."""
-    outside = np.pad(~mask, 1, constant_values=True)
-    seen = np.zeros_like(outside)
-    seen[0, :] = seen[-1, :] = seen[:, 0] = seen[:, -1] = True
-    while True:
-        p = np.pad(seen, 1)
-        grown = (p[1:-1, 1:-1] | p[:-2, 1:-1] | p[2:, 1:-1] | p[1:-1, :-2] | p[1:-1, 2:]) & outside
-        if (grown == seen).all():
-            return ~seen[1:-1, 1:-1]
-        seen = grown
+    label = components(np.pad(~mask, 1, constant_values=True), diagonal=False)
+    return (label != label[0, 0])[1:-1, 1:-1]
 
 
-def brain_mask(mean: np.ndarray, std: np.ndarray, sigma: float = 10, least: int = 5000, widen: int = 5) -> np.ndarray:
-    """The largest bright and variable area, filled and widened; empty if none has ``least`` pixels."""
-    unit = lambda a: (a - a.min()) / (a.max() - a.min() + np.finfo(float).eps)
-    both = smooth(unit(mean) * unit(std), sigma)
+def mask_of(both: np.ndarray, least: int = 5000, widen: int = 5) -> np.ndarray:
+    """The largest area above half of Otsu's level, filled and widened; empty if none has ``least`` pixels."""
     mask = fill_holes(both > otsu(both) * 0.5)
     label = components(mask)
     sizes = np.bincount(label.ravel())
     sizes[0] = 0
-    if not len(sizes) or sizes.max() < least:
+    if sizes.max() < least:
         return np.zeros_like(mask)
     return dilate(label == sizes.argmax(), disk(widen))
 
@@ -98,14 +121,26 @@ def correlation_maps(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def local_maxima(image: np.ndarray) -> np.ndarray:
+    """Pixels of parts of one value, single pixels mostly, whose neighbours are all lower."""
     h, w = image.shape
     p = np.pad(image, 1, constant_values=-np.inf)
-    around = np.max([p[a : a + h, b : b + w] for a in range(3) for b in range(3) if (a, b) != (1, 1)], axis=0)
-    return image > around
-
-
-def seeds(cn, pnr, mask, levels, scales=(1.5, 3.0, 4.5), cn_uniform=False, mean=None, g_sig=3.0):
-    """(y, x, score, level): local maxima of the smoothed maps over each level's limits; the peak map alone, and then the
+    around = np.full((h, w), -np.inf)
+    for a in range(3):
+        for b in range(3):
+            if (a, b) != (1, 1):
+                np.maximum(around, p[a : a + h, b : b + w], out=around)
+    flat = image == around  # has a neighbour of its own value and none that is higher
+    if flat.any():
+        # a part is a maximum if none of its pixels has a higher neighbour: those that do are of it, but not in ``flat``
+        label = components(np.ones_like(flat), values=image) if flat.mean() > 0.5 else components(image <= around, values=image)
+        low = np.zeros(h * w + 1, bool)
+        low[label[image < around]] = True
+        flat &= ~low[label]
+    return (image > around) | flat
+
+
+def seeds(cn, pnr, mask, levels, cn_scales, pnr_scales, cn_uniform=False, mean=None):
+    """(y, x, score, level): regional maxima of the smoothed maps over each level's limits; the peak map alone, and then the smoothed
     mean image, if there are none. The first level that finds a pixel keeps it; the best score comes first."""
     found = {}
 
@@ -114,62 +149,58 @@ def seeds(cn, pnr, mask, levels, scales=(1.5, 3.0, 4.5), cn_uniform=False, mean=
             found.setdefault((int(y), int(x)), (float(score[y, x]), level))
 
     if not cn_uniform:
+        tops = [local_maxima(s) for s in cn_scales]
         for level, (c, p) in enumerate(levels, 1):
-            for s in scales:
-                take((cn > c) & (pnr > p) & local_maxima(smooth(cn, s)), cn * pnr, level)
+            for top in tops:
+                take((cn > c) & (pnr > p) & top, cn * pnr, level)
     if not found or cn_uniform:
         limit = max(0.9 * levels[-1][1], hazen(pnr[mask], 70)) if mask.any() else 0
-        for s in scales:
-            take(local_maxima(smooth(pnr, s)) & (pnr > limit), pnr, 4)
+        for s in pnr_scales:
+            take(local_maxima(s) & (pnr > limit), pnr, 4)
     if not found and mean is not None and mask.any():
-        m = smooth(mean * mask, g_sig)
-        take(local_maxima(m) & (m > hazen(m[mask], 40)), m, 5)
+        take(local_maxima(mean) & (mean > hazen(mean[mask], 40)), mean, 5)
     return sorted(((y, x, s, k) for (y, x), (s, k) in found.items()), key=lambda r: (-r[2], r[0], r[1]))
 
 
-def suppress(found, spacing: float):
-    """Seeds without those nearer than ``spacing`` to a better one."""
-    kept = []
-    for s in found:
-        if all((s[0] - t[0]) ** 2 + (s[1] - t[1]) ** 2 >= spacing * spacing for t in kept):
-            kept.append(s)
-    return kept
-
-
 #: Shares of the seed's correlation, peak ratio or brightness that a region keeps, when grown, relaxed and tightened.
 GROW = {"first": (0.80, 0.70, 0.75, 0.85), "relaxed": (0.65, 0.55, 0.60, None), "tight": (0.92, 0.88, 0.92, None)}
 
 
 def grow(found, cn, pnr, mean, mask, g_sig=3.0, least=12, most=120, max_rois=300, overlap=0.3, factor=1.2):
-    """[(y, x, level, mask)]: regions grown from the seeds in order, none on pixels that are taken."""
+    """[(level, [(y, x), ...])]: regions grown from the seeds (y, x, level) in order, none on pixels that are taken. All that a seed looks at lies
+    in a window around it."""
     h, w = cn.shape
-    yy, xx = np.mgrid[:h, :w]
     used = np.zeros((h, w), bool)
     target = min(np.pi * (g_sig * factor) ** 2, most)
+    reach = int(g_sig * 2 + 0.5)
+    side = max(reach, int(np.ceil(1.2 * g_sig)), int(np.ceil(np.sqrt(target / np.pi)))) + 2
     out = []
-    for y, x, _, level in found:
+    for y0, x0, level in found:
         if len(out) >= max_rois:
             break
-        if used[y, x]:
+        if used[y0, x0]:
             continue
-        free = mask & ~used
+        top, left = max(0, y0 - side), max(0, x0 - side)
+        window = np.s_[top : y0 + side + 1, left : x0 + side + 1]
+        y, x, free = y0 - top, x0 - left, mask[window] & ~used[window]
+        c, p, m = cn[window], pnr[window], mean[window]
+        yy, xx = np.indices(free.shape)
         distance = np.hypot(yy - y, xx - x)
         near = np.s_[max(0, y - 1) : y + 2, max(0, x - 1) : x + 2]
-        reach = int(g_sig * 2 + 0.5)
         search = (abs(yy - y) <= reach) & (abs(xx - x) <= reach) & free
 
-        def part(kind, y=y, x=x, level=level, near=near, search=search, distance=distance, free=free):
-            a, b, c, d = GROW[kind]
+        def part(kind, y=y, x=x, c=c, p=p, m=m, level=level, near=near, search=search, distance=distance, free=free):
+            share_c, share_p, only_p, share_m = GROW[kind]
             if level <= 3:
-                area = (cn >= a * cn[near].max()) & (pnr >= b * pnr[near].max()) & search
+                area = (c >= share_c * c[near].max()) & (p >= share_p * p[near].max()) & search
             elif level == 4:
-                area = (pnr >= c * pnr[near].max()) & search
-            elif d is not None:
-                area = (mean >= d * mean[near].max()) & search
+                area = (p >= only_p * p[near].max()) & search
+            elif share_m is not None:
+                area = (m >= share_m * m[near].max()) & search
             else:
                 area = (distance <= g_sig * (1.2 if kind == "relaxed" else 1)) & free
             label = components(area)
-            return label == label[y, x] if label[y, x] else np.zeros((h, w), bool)
+            return label == label[y, x] if label[y, x] else np.zeros_like(area)
 
         if search.sum() < 5:
             region = (distance <= g_sig) & free
@@ -190,15 +221,15 @@ def grow(found, cn, pnr, mean, mask, g_sig=3.0, least=12, most=120, max_rois=300
                     region = shrunk if shrunk.sum() >= least else (distance <= np.sqrt(target / np.pi)) & free
             if not region[y, x]:
                 region = (distance <= g_sig) & free
-        size = region.sum()
+        size, taken = region.sum(), used[window]
         if not least <= size <= most:
             continue
-        if (region & used).any():
-            if (region & used).sum() / size > overlap or (region & ~used).sum() < least:
+        if (region & taken).any():
+            if (region & taken).sum() / size > overlap or (region & ~taken).sum() < least:
                 continue
-            region = region & ~used
-        out.append((y, x, level, region))
-        used |= region
+            region = region & ~taken
+        out.append((level, [(int(a) + top, int(b) + left) for a, b in zip(*np.nonzero(region), strict=True)]))
+        used[window] |= region
     return out
 
 

@@ -3,12 +3,15 @@ with their DuckDB twins."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from motionspark.jobs.motion_queries import hz, six
 from motionspark.operators import movies, refine
 from motionspark.operators.traces import mean_of
+from motionspark.runtime import checkpointed
 from motionspark.sources import adapters
 
 QUERIES, SQL = {}, {}
@@ -112,11 +115,36 @@ def im09(spark, sf):
     return six(movies.cn_pnr_maps(movie(spark, sf), 20), "cn", "pnr")
 
 
+def raw_maps(spark, sf):
+    """Maps before masking and smoothing, with a mask of all but the first and last row of pixels."""
+    m = movie(spark, sf)
+    bands = movies.mean_std_bands(m).join(movies.cn_pnr_bands(m, 20).select("recording", "band", "cn", "pnr"), ["recording", "band"])
+    return bands.withColumn("in_mask", F.transform("cn", lambda v, i: F.when(F.floor(i / 8).between(1, 6), 1.0).otherwise(0.0)))
+
+
 def maps(spark, sf):
-    return movies.cn_pnr_maps(movie(spark, sf), 20)
+    return movies.finished_maps(raw_maps(spark, sf))
+
+
+def smooth_sql(source: str, column: str, sigma: float, out: str) -> str:
+    """CTEs from ``source`` (recording, y, x, column) to ``out`` (recording, y, x, v): the Gaussian filter with the border repeated."""
+    half = math.ceil(2 * sigma)
+    w = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-half, half + 1)]
+    taps = ", ".join(f"({k - half}, {v / sum(w)!r}::double)" for k, v in enumerate(w))
+    step = lambda src, col, name, along, across: f"{name} as (select a.recording, a.y, a.x, sum(t.w * b.{col}) as v from {src} a, (values {taps}) t(k, w), {src} b where b.recording = a.recording and b.{across} = a.{across} and b.{along} = greatest(0, least(7, a.{along} + t.k)) group by all)"
+    return f"{step(source, column, f'{out}_v', 'y', 'x')}, {step(f'{out}_v', 'v', out, 'x', 'y')}"
+
+
+FINISHED = f"""{CN}, masked as (select recording, y, x, case when y between 1 and 6 then cn else 0 end as cn, case when y between 1 and 6 then pnr else 0 end as pnr from cnp),
+{smooth_sql("masked", "cn", 1.5, "s_cn")}, {smooth_sql("masked", "pnr", 1.0, "s_pnr")},
+fin as (select recording, y, x, a.v as cn, b.v as pnr from s_cn a join s_pnr b using (recording, y, x)), inside as (select * from fin where y between 1 and 6)"""
+
+
+@query("im09_finished_maps", f"with {FINISHED} select recording, y, x, round(cn, 6) as cn, round(pnr, 6) as pnr from fin")
+def im09f(spark, sf):
+    return six(movies.pixels_of(maps(spark, sf), "cn", "pnr"), "cn", "pnr")
 
 
-INSIDE = f"{CN}, inside as (select * from cnp where y between 1 and 6)"
 MEASURES = ("mean", "median", "std", "min", "max", *(f"p{k}" for k in movies.PERCENTILES))
 
 
@@ -137,40 +165,65 @@ lv as (select recording, cn_uniform, 1 as level, 'strict' as name, c as cn, p as
 MAP_COLUMNS = (*(f"{c}_{k}" for c in ("cn", "pnr") for k in MEASURES), "cn_range")
 
 
-@query("im10_map_stats", f"with {INSIDE}, {map_stats_sql(0.3, 3.0, 'inside')} select recording, {', '.join(f'round({c}, 6) as {c}' for c in MAP_COLUMNS)}, cn_uniform, data_quality, weak_signal_mode, effective_min_pnr, effective_min_corr from ms")
+@query("im10_map_stats", f"with {FINISHED}, {map_stats_sql(0.3, 3.0, 'inside')} select recording, {', '.join(f'round({c}, 6) as {c}' for c in MAP_COLUMNS)}, cn_uniform, data_quality, weak_signal_mode, effective_min_pnr, effective_min_corr from ms")
 def im10(spark, sf):
-    """Statistics within a mask without the first and last row of pixels."""
-    return six(movies.map_stats(maps(spark, sf).withColumn("in_mask", F.col("y").between(1, 6))), *MAP_COLUMNS)
+    """Statistics of the finished maps within the mask."""
+    return six(movies.map_stats(maps(spark, sf)), *MAP_COLUMNS)
 
 
-@query("im11_threshold_levels", f"with {CN}, {map_stats_sql(0.02, 1.5, 'cnp')}, {LEVELS} select recording, level, name, round(cn, 6) as cn, round(pnr, 6) as pnr from lv")
+@query("im11_threshold_levels", f"with {FINISHED}, {map_stats_sql(0.02, 1.5, 'inside')}, {LEVELS} select recording, level, name, round(cn, 6) as cn, round(pnr, 6) as pnr from lv")
 def im11(spark, sf):
     return six(movies.threshold_levels(movies.map_stats(maps(spark, sf), 0.02, 1.5)), "cn", "pnr").drop("cn_uniform")
 
 
-@query("im11_weak_signal_levels", f"with {CN}, {map_stats_sql(0.5, 9.0, 'cnp')}, {LEVELS} select recording, level, name, round(cn, 6) as cn, round(pnr, 6) as pnr from lv")
+@query("im11_weak_signal_levels", f"with {FINISHED}, {map_stats_sql(0.5, 9.0, 'inside')}, {LEVELS} select recording, level, name, round(cn, 6) as cn, round(pnr, 6) as pnr from lv")
 def im11w(spark, sf):
     """Limits above what the recordings reach, so they are lowered."""
     return six(movies.threshold_levels(movies.map_stats(maps(spark, sf), 0.5, 9.0)), "cn", "pnr").drop("cn_uniform")
 
 
-def full_maps(spark, sf):
-    m = movies.pixel_mean_std(movie(spark, sf))
-    return m.join(maps(spark, sf), ["recording", "y", "x"]).withColumn("in_mask", F.lit(True))
+def top_sql(source: str, out: str) -> str:
+    """Pixels of ``source`` (v) that no neighbour exceeds; no two neighbours are equal here."""
+    return f"{out} as (select recording, y, x from {source} a where not exists (select 1 from {source} b where b.recording = a.recording and abs(b.y - a.y) <= 1 and abs(b.x - a.x) <= 1 and b.v > a.v))"
+
+
+SCALES = (0.5, 1.0, 1.5)
+SEEDS = f"""{FINISHED}, {map_stats_sql(0.0, 1.5, 'inside')}, {LEVELS}, inner_maps as (select recording, y, x, case when y between 1 and 6 then cn else 0 end as cn, case when y between 1 and 6 then pnr else 0 end as pnr from fin),
+{', '.join(f"{smooth_sql('inner_maps', c, s, f'{c}{k}')}, {top_sql(f'{c}{k}', f'top_{c}{k}')}" for c in ("cn", "pnr") for k, s in enumerate(SCALES))},
+tops as ({' union '.join(f"select * from top_cn{k}" for k in range(3))}), tops4 as ({' union '.join(f"select * from top_pnr{k}" for k in range(3))}),
+by_level as (select i.recording, i.y, i.x, i.cn * i.pnr as score, min(l.level)::int as level from inside i join tops using (recording, y, x) join lv l on l.recording = i.recording and i.cn > l.cn and i.pnr > l.pnr and not l.cn_uniform group by all),
+cut as (select v.recording, greatest(0.9 * l.pnr, {hz("v", 70)}) as least from (select recording, list_sort(list(pnr)) as v from inside group by recording) v join lv l on l.recording = v.recording and l.level = 3),
+by_peak as (select i.recording, i.y, i.x, i.pnr as score, 4 as level from inside i join tops4 using (recording, y, x) join cut c on c.recording = i.recording and i.pnr > c.least where i.recording not in (select recording from by_level)),
+sd as (select *, row_number() over (partition by recording order by score desc, y, x)::int as place from (select * from by_level union all select * from by_peak))"""
+
+
+def levels(spark, sf, bands=None):
+    return movies.threshold_levels(movies.map_stats(maps(spark, sf) if bands is None else bands, 0.0, 1.5))
+
+
+@query("im12_seed_candidates", f"with {SEEDS} select recording, y, x, round(score, 6) as score, level, place from sd")
+def im12(spark, sf):
+    """Regional maxima of the finished maps at three scales over the limits of each level."""
+    bands = checkpointed(maps(spark, sf))
+    return six(movies.seed_candidates(bands, levels(spark, sf, bands), 1.0), "score")
 
 
-def levels(spark, sf):
-    return movies.threshold_levels(movies.map_stats(maps(spark, sf), 0.0, 1.5))
+def whole_chain(spark, sf):
+    """Finished maps of each recording with its own mask (parameters for 8 by 8 pixels), and their levels."""
+    bands = checkpointed(movies.recording_maps(movie(spark, sf), 20, (1.0, 4, 1)))
+    return bands, levels(spark, sf, bands)
 
 
 @query("im13_seeds")
 def im13(spark, sf):
     """Candidates of all scales and levels (IM-12) after removal of those near a better one (IM-13)."""
-    return six(movies.find_regions(full_maps(spark, sf), levels(spark, sf), 1.0, 3, 20, grow=False), "score")
+    bands, limits = whole_chain(spark, sf)
+    return six(movies.find_regions(bands, limits, 1.0, 3, 20, grow=False, blur=None), "score")
 
 
 def regions(spark, sf):
-    return movies.find_regions(full_maps(spark, sf), levels(spark, sf), 1.0, 3, 20)
+    bands, limits = whole_chain(spark, sf)
+    return movies.find_regions(bands, limits, 1.0, 3, 20, blur=None)
 
 
 @query("im14_grow_rois")
@@ -225,14 +278,18 @@ def im28(spark, sf):
 
 @query("im31_zero_roi_diagnostics")
 def im31(spark, sf):
-    counts = regions(spark, sf).groupBy("recording").agg(F.count_distinct("roi_id").alias("n_rois"))
-    return six(movies.zero_roi_diagnostics(movies.map_stats(maps(spark, sf)), counts), "value")
+    """Regions of 5 pixels at least are asked for, which only some recordings have."""
+    bands, limits = whole_chain(spark, sf)
+    counts = movies.find_regions(bands, limits, 1.0, 5, 20, blur=None).groupBy("recording").agg(F.count_distinct("roi_id").alias("n_rois"))
+    seeds = movies.thinned(movies.seed_candidates(bands, limits, 1.0), 1.5)
+    return movies.zero_roi_diagnostics(movies.map_stats(bands, 0.0, 1.5), counts, seeds, 0.0, 1.5, 5, 20, 1.0)
 
 
 @query("im32_detection_thresholds")
 def im32(spark, sf):
-    stats = movies.map_stats(maps(spark, sf), 0.0, 1.5)
-    return six(movies.detection_thresholds(stats, levels(spark, sf), regions(spark, sf), 0.0, 1.5), "cn_median", "cn_range", "cn_max", "pnr_median", "pnr_max", "cn", "pnr")
+    bands, limits = whole_chain(spark, sf)
+    found = movies.find_regions(bands, limits, 1.0, 3, 20, blur=None)
+    return six(movies.detection_thresholds(movies.map_stats(bands, 0.0, 1.5), limits, found, 0.0, 1.5), "cn_median", "cn_range", "cn_max", "pnr_median", "pnr_max", "cn", "pnr")
 
 
 FIELD = "fd as (select recording, y, x from (select distinct recording from mv), (select unnest(range(1, 7)) as y), (select unnest(range(1, 8)) as x))"

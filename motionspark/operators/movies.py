@@ -2,8 +2,12 @@
 
 ``movie`` has one row a frame: recording, frame (1, 2, ... without gaps), height, width and pixels (row-major array).
 Frames are never exploded to pixels and never sorted or windowed as whole recordings: passes over pixels are vectorized by
-chunks of frames (``recording, chunk``), so one long recording spreads over many tasks, and only the small maps of a
-recording (one image) come together in a task. What a recording has once (template, masks) is sent once a chunk.
+chunks of frames (``recording, chunk``), so one long recording spreads over many tasks. What a recording has once (template,
+masks) is sent once a chunk.
+
+Maps (mean, spread, correlation, peak ratio, mask) travel as bands of ``BAND`` image rows: recording, band, height, width and one
+array of doubles a map. Tasks add up and smooth bands, the latter with the neighbouring bands' rows as a border; rows of
+single pixels are made last, by ``pixels_of``, for tables. Operators that take maps take such rows too.
 """
 
 from __future__ import annotations
@@ -14,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionspark.functions import images, kernels
-from motionspark.functions.stats import hazen, sample_std, values_of
-from motionspark.runtime import ship_package
+from motionspark.operators import rounds
+from motionspark.runtime import checkpointed, ship_package
 
 
 def frames_of(pdf: pd.DataFrame) -> np.ndarray:
@@ -77,35 +81,108 @@ def quiet_window(movie: DataFrame, fps: float, least: int = 200, seconds: float
     return best.select("recording", F.col("b.frame").alias("start"), F.col("b.activity").alias("activity"))
 
 
+#: Image rows of a band, and recordings whose sums a task holds before it hands the oldest on.
+BAND = 64
+HELD_RECORDINGS = 4
+
+
+def band_frame(recording: str, shape: tuple[int, int], size: int, images_: dict[str, np.ndarray], **extra) -> pd.DataFrame:
+    """The bands of ``size`` image rows each as rows."""
+    h, w = shape
+    rows = []
+    for k in range(0, h, size):
+        rows.append({"recording": recording, "band": k // size, "height": h, "width": w, **extra, **{c: v[k : k + size].ravel() for c, v in images_.items()}})
+    return pd.DataFrame(rows)
+
+
+def band_schema(*columns: str, extra: str = "") -> str:
+    return ", ".join(["recording string, band int, height int, width int", *([extra] if extra else []), *(f"{c} array<double>" for c in columns)])
+
+
+def assembled(bands: pd.DataFrame, *columns: str) -> list[np.ndarray]:
+    """Whole images from all bands of a recording."""
+    bands = bands.sort_values("band")
+    return [np.concatenate([np.asarray(v, float) for v in bands[c]]).reshape(-1, int(bands["width"].iloc[0])) for c in columns]
+
+
+def pixels_of(bands: DataFrame, *columns: str) -> DataFrame:
+    """recording, y, x and the maps ``columns``: one row a pixel."""
+    each = bands.select("recording", "band", "width", F.posexplode(F.arrays_zip(*columns)).alias("k", "v"))
+    y, x = F.col("band") * BAND + F.floor(F.col("k") / F.col("width")), F.col("k") % F.col("width")
+    return each.select("recording", y.cast("int").alias("y"), x.cast("int").alias("x"), *[F.col(f"v.{c}").alias(c) for c in columns])
+
+
+def bands_of(maps: DataFrame) -> DataFrame:
+    """Maps as bands, whether they come as bands or as rows of pixels (pixels that are not there are 0)."""
+    if "band" in maps.columns:
+        return maps
+    columns, size = [c for c in maps.columns if c not in ("recording", "y", "x")], BAND
+    sizes = maps.groupBy("recording").agg((F.max("y") + 1).cast("int").alias("height"), (F.max("x") + 1).cast("int").alias("width"))
+    rows = maps.select("recording", "y", "x", *[F.col(c).cast("double").alias(c) for c in columns]).withColumn("band", F.floor(F.col("y") / BAND).cast("int")).join(sizes, "recording")
+
+    def run(key, pdf):
+        h, w = int(pdf["height"].iloc[0]), int(pdf["width"].iloc[0])
+        out = {"recording": key[0], "band": key[1], "height": h, "width": w}
+        for c in columns:
+            image = np.zeros((min(size, h - key[1] * size), w))
+            image[pdf["y"] - key[1] * size, pdf["x"]] = pdf[c]
+            out[c] = image.ravel()
+        return pd.DataFrame([out])
+
+    return rows.groupBy("recording", "band").applyInPandas(run, band_schema(*columns))
+
+
 def pixel_sums(movie: DataFrame) -> DataFrame:
-    """recording, width, n, mean and m2 (squared deviations) of each pixel as arrays, over the frames that a task saw."""
+    """recording, band, height, width, n, mean and m2 (squared deviations) of each band, over the frames that a task saw. A task holds the images of
+    ``HELD_RECORDINGS`` recordings at most."""
     ship_package(movie.sparkSession)
-    schema = "recording string, width int, n long, mean array<double>, m2 array<double>"
+    size, most = BAND, HELD_RECORDINGS
 
     def run(batches):
         held: dict = {}
         for pdf in batches:
-            for name, part in pdf.groupby("recording"):
-                x = np.array(part["pixels"].tolist(), float)
+            for name, part in pdf.groupby("recording", sort=False):
+                x = frames_of(part)
                 n, mean = len(x), x.mean(0)
                 m2 = ((x - mean) ** 2).sum(0)
                 if name in held:
-                    width, n0, mean0, m20 = held[name]
+                    n0, mean0, m20 = held.pop(name)
                     gap = mean - mean0
                     mean, m2 = mean0 + gap * n / (n0 + n), m20 + m2 + gap * gap * n0 * n / (n0 + n)
                     n += n0
-                held[name] = (int(part["width"].iloc[0]), n, mean, m2)
-        yield pd.DataFrame([(k, w, n, mean.tolist(), m2.tolist()) for k, (w, n, mean, m2) in held.items()], columns=[c.split()[0] for c in schema.split(", ")])
+                held[name] = n, mean, m2
+                while len(held) > most:
+                    old = next(iter(held))
+                    n, mean, m2 = held.pop(old)
+                    yield band_frame(old, mean.shape, size, {"mean": mean, "m2": m2}, n=n)
+        for name, (n, mean, m2) in held.items():
+            yield band_frame(name, mean.shape, size, {"mean": mean, "m2": m2}, n=n)
+
+    return movie.select("recording", "height", "width", "pixels").mapInPandas(run, band_schema("mean", "m2", extra="n long"))
+
+
+def mean_std_bands(movie: DataFrame) -> DataFrame:
+    """Mean and sample spread of each pixel, as bands."""
 
-    return movie.select("recording", "width", "pixels").mapInPandas(run, schema)
+    def merge(key, pdf):
+        n, mean, m2 = 0, 0.0, 0.0
+        for r in pdf.itertuples():
+            gap, k = np.asarray(r.mean) - mean, n + r.n
+            mean, m2, n = mean + gap * r.n / k, m2 + np.asarray(r.m2) + gap * gap * n * r.n / k, k
+        std = np.sqrt(m2 / (n - 1)) if n > 1 else np.zeros_like(mean)
+        return pd.DataFrame([{"recording": key[0], "band": key[1], "height": pdf["height"].iloc[0], "width": pdf["width"].iloc[0], "mean": mean, "std": std}])
+
+    return pixel_sums(movie).groupBy("recording", "band").applyInPandas(merge, band_schema("mean", "std"))
 
 
 def template(movie: DataFrame, quiet: DataFrame, frames: int) -> DataFrame:
-    """The mean image of each recording's quiet window. Sums leave each task as one image a recording."""
+    """The mean image of each recording's quiet window. Sums leave a task as one image a recording."""
     inside = movie.join(quiet.select("recording", "start"), "recording").filter((F.col("frame") >= F.col("start")) & (F.col("frame") < F.col("start") + frames))
-    parts = pixel_sums(inside).select("recording", "n", F.posexplode("mean").alias("k", "v"))
-    means = parts.groupBy("recording", "k").agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("v"))
-    return means.groupBy("recording").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("template"))
+
+    def whole(key, pdf):
+        return pd.DataFrame([{"recording": key[0], "template": assembled(pdf, "mean")[0].ravel()}])
+
+    return mean_std_bands(inside).groupBy("recording").applyInPandas(whole, "recording string, template array<double>")
 
 
 def estimate_shifts(movie: DataFrame, templates: DataFrame, most: int, half_limit: int, rescues: int = 5, factor: float = 2.0, up: int = 50) -> DataFrame:
@@ -168,48 +245,92 @@ def sample_frames(movie: DataFrame, n: int) -> DataFrame:
 
 
 def pixel_mean_std(movie: DataFrame) -> DataFrame:
-    """Mean and sample spread of each pixel; a task sends one image a recording, whatever its frames."""
-    both = F.posexplode(F.arrays_zip("mean", "m2")).alias("k", "v")
-    parts = pixel_sums(movie).select("recording", "width", "n", both).select("recording", "width", "k", "n", "v.mean", "v.m2")
-    whole = parts.groupBy("recording", "width", "k").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("m"), F.sum("m2").alias("m2"), F.collect_list(F.struct("n", "mean")).alias("parts"))  # one a task
-    between = F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["n"] * (p["mean"] - F.col("m")) * (p["mean"] - F.col("m")))
-    std = F.when(F.col("n") > 1, F.sqrt((F.col("m2") + between) / (F.col("n") - 1))).otherwise(0.0)
-    return whole.select("recording", F.floor(F.col("k") / F.col("width")).cast("int").alias("y"), (F.col("k") % F.col("width")).cast("int").alias("x"), F.col("m").alias("mean"), std.alias("std"))
-
-
-def image_of(pdf: pd.DataFrame, *columns: str) -> list[np.ndarray]:
-    h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
-    out = []
-    for c in columns:
-        image = np.zeros((h, w))
-        image[pdf["y"], pdf["x"]] = pdf[c]
-        out.append(image)
-    return out
+    """Mean and sample spread of each pixel, as rows."""
+    return pixels_of(mean_std_bands(movie), "mean", "std")
+
+
+def smoothed(bands: DataFrame, sigmas: dict[str, float]) -> DataFrame:
+    """``bands`` with the maps named in ``sigmas`` under a Gaussian filter of that width, the image's border repeated. A band is sent to
+    its neighbours as far as the filter reaches, so an image of any height spreads over tasks."""
+    ship_package(bands.sparkSession)
+    reach = -(-max(int(np.ceil(2 * v)) for v in sigmas.values()) // BAND)
+    last = F.ceil(F.col("height") / BAND).cast("int") - 1
+    dealt = bands.withColumn("to", F.explode(F.sequence(F.greatest(F.lit(0), F.col("band") - reach), F.least(last, F.col("band") + reach))))
+    maps = [f.name for f in bands.schema if f.dataType.simpleString() == "array<double>"]
+
+    def run(key, pdf):
+        pdf = pdf.sort_values("band")
+        own = int(np.flatnonzero(pdf["band"] == key[1])[0])
+        width = int(pdf["width"].iloc[0])
+        above = sum(len(v) for v in pdf[maps[0]].iloc[:own]) // width
+        out = {c: pdf[c].iloc[own] for c in ["recording", "band", "height", "width", *maps]}
+        rows = len(out[maps[0]]) // width
+        for c, sigma in sigmas.items():
+            image = np.concatenate([np.asarray(v, float) for v in pdf[c]]).reshape(-1, width)
+            out[c] = images.smooth(image, sigma)[above : above + rows].ravel()
+        return pd.DataFrame([out])
+
+    return dealt.select("recording", "band", "height", "width", *maps, "to").groupBy("recording", "to").applyInPandas(run, band_schema(*maps))
 
 
 def brain_mask(maps: DataFrame, sigma: float = 10, least: int = 5000, widen: int = 5) -> DataFrame:
-    """``maps`` (recording, y, x, mean, std) with in_mask; one image a task."""
+    """``maps`` (mean, std) with ``in_mask`` (1 or 0 in bands, boolean in rows). The product of both, each scaled to one, is smoothed by bands; the
+    level, holes and parts of the mask need the whole image, which is one task's work."""
     ship_package(maps.sparkSession)
+    as_rows = "y" in maps.columns
+    bands = bands_of(maps.select("recording", "y", "x", "mean", "std") if as_rows else maps)
+    range_of = bands.groupBy("recording").agg(*[f(g(c)).alias(f"_{k}_{c}") for c in ("mean", "std") for k, f, g in (("lo", F.min, F.array_min), ("hi", F.max, F.array_max))])
+    eps = float(np.finfo(float).eps)
+    unit = lambda c: F.transform(c, lambda v: (v - F.col(f"_lo_{c}")) / (F.col(f"_hi_{c}") - F.col(f"_lo_{c}") + eps))
+    both = bands.join(range_of, "recording").withColumn("both", F.zip_with(unit("mean"), unit("std"), lambda a, b: a * b))
+    both = smoothed(both.select(*bands.columns, "both"), {"both": sigma})
+    maps_ = [c for c in both.columns if c not in ("recording", "band", "height", "width", "both")]
+
+    def run(pdf):
+        pdf = pdf.sort_values("band")
+        mask = images.mask_of(assembled(pdf, "both")[0], least, widen)
+        cut = np.cumsum([len(v) for v in pdf["both"]])[:-1]
+        return pdf.drop(columns="both").assign(in_mask=np.split(mask.ravel().astype(float), cut))
+
+    got = both.groupBy("recording").applyInPandas(run, band_schema(*maps_, "in_mask"))
+    return pixels_of(got, "mean", "std", "in_mask").withColumn("in_mask", F.col("in_mask") > 0) if as_rows else got
+
+
+def cn_pnr_bands(movie: DataFrame, chunk: int = 50) -> DataFrame:
+    """Neighbour correlation and peak-to-noise ratio, averaged over blocks of ``chunk`` frames in their order, as bands. A block leaves its
+    task as one image."""
+    ship_package(movie.sparkSession)
+    dealt, size = movie.withColumn("chunk", chunk_of(chunk)), BAND
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mask = images.brain_mask(*image_of(pdf, "mean", "std"), sigma, least, widen)
-        return pdf.assign(in_mask=mask[pdf["y"], pdf["x"]])
+    def run(key, pdf):
+        cn, pnr = images.correlation_maps(frames_of(pdf.sort_values("frame")))
+        return band_frame(key[0], cn.shape, size, {"cn": cn, "pnr": pnr})
 
-    return maps.select("recording", "y", "x", "mean", "std").groupBy("recording").applyInPandas(run, "recording string, y int, x int, mean double, std double, in_mask boolean")
+    def mean(key, pdf):
+        return pd.DataFrame([{"recording": key[0], "band": key[1], "height": pdf["height"].iloc[0], "width": pdf["width"].iloc[0], **{c: np.mean(np.stack(pdf[c]), axis=0) for c in ("cn", "pnr")}}])
+
+    parts = dealt.select("recording", "chunk", "frame", "height", "width", "pixels").groupBy("recording", "chunk").applyInPandas(run, band_schema("cn", "pnr"))
+    return parts.groupBy("recording", "band").applyInPandas(mean, band_schema("cn", "pnr"))
 
 
 def cn_pnr_maps(movie: DataFrame, chunk: int = 50) -> DataFrame:
-    """Neighbour correlation and peak-to-noise ratio, averaged over blocks of ``chunk`` frames in their order."""
-    ship_package(movie.sparkSession)
-    dealt = movie.withColumn("chunk", chunk_of(chunk))
+    """The maps of ``cn_pnr_bands`` as rows, before masking and smoothing."""
+    return pixels_of(cn_pnr_bands(movie, chunk), "cn", "pnr")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        cn, pnr = images.correlation_maps(frames_of(pdf.sort_values("frame")))
-        y, x = np.mgrid[: cn.shape[0], : cn.shape[1]]
-        return pd.DataFrame({"recording": key[0], "y": y.ravel().astype("int32"), "x": x.ravel().astype("int32"), "cn": cn.ravel(), "pnr": pnr.ravel()})
 
-    parts = dealt.select("recording", "chunk", "frame", "height", "width", "pixels").groupBy("recording", "chunk").applyInPandas(run, "recording string, y int, x int, cn double, pnr double")
-    return parts.groupBy("recording", "y", "x").agg(F.avg("cn").alias("cn"), F.avg("pnr").alias("pnr"))
+def finished_maps(bands: DataFrame, blur: tuple[float, float] = (1.5, 1.0)) -> DataFrame:
+    """``bands`` (cn, pnr, in_mask and others) whose correlation and peak maps are 0 outside the mask and then smoothed: what statistics,
+    limits and seeds are taken from."""
+    masked = bands.withColumns({c: F.zip_with(c, "in_mask", lambda v, m: F.when(m > 0, v).otherwise(0.0)) for c in ("cn", "pnr")})
+    return smoothed(masked, dict(zip(("cn", "pnr"), blur, strict=True)))
+
+
+def recording_maps(movie: DataFrame, chunk: int = 50, mask: tuple[float, int, int] = (10, 5000, 5), blur: tuple[float, float] = (1.5, 1.0)) -> DataFrame:
+    """All maps of each recording as bands (mean, std, in_mask, and finished cn and pnr), from its sampled frames. ``mask`` are the parameters
+    of ``brain_mask``."""
+    still = brain_mask(mean_std_bands(movie), *mask)
+    moving = cn_pnr_bands(movie, chunk).select("recording", "band", "cn", "pnr")
+    return finished_maps(still.join(moving, ["recording", "band"]), blur)
 
 
 PERCENTILES = (25, 50, 75, 90, 95)
@@ -218,10 +339,22 @@ PERCENTILES = (25, 50, 75, 90, 95)
 def map_stats(maps: DataFrame, min_corr: float = 0.3, min_pnr: float = 3.0) -> DataFrame:
     """Statistics of the two maps within the mask (``in_mask``; without that column, of all pixels), the class of the data,
     and the least limits that count, lowered where the signal is weak."""
-    inside = maps.filter("in_mask") if "in_mask" in maps.columns else maps
-    measures = (("mean", F.avg), ("median", F.median), ("std", lambda c: sample_std(F.col(c))), ("min", F.min), ("max", F.max))
-    got = inside.groupBy("recording").agg(*[f(c).alias(f"{c}_{k}") for c in ("cn", "pnr") for k, f in measures], *[values_of(F.col(c)).alias(f"_{c}") for c in ("cn", "pnr")])
-    wide = got.select("*", *[hazen(F.col(f"_{c}"), p).alias(f"{c}_p{p}") for c in ("cn", "pnr") for p in PERCENTILES]).drop("_cn", "_pnr").withColumn("cn_range", F.col("cn_max") - F.col("cn_min"))
+    ship_package(maps.sparkSession)
+    bands = bands_of(maps)
+    names = [f"{c}_{k}" for c in ("cn", "pnr") for k in ("mean", "median", "std", "min", "max", *(f"p{p}" for p in PERCENTILES))]
+    held = ["recording", "band", "width", "cn", "pnr", *(["in_mask"] if "in_mask" in bands.columns else [])]
+
+    def run(key, pdf):
+        mask = assembled(pdf, "in_mask")[0] > 0 if "in_mask" in pdf else np.ones_like(assembled(pdf, "cn")[0], bool)
+        out = {"recording": key[0]}
+        for c in ("cn", "pnr"):
+            v = np.sort(assembled(pdf, c)[0][mask])
+            if len(v):
+                measures = [v.mean(), (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2, v.std(ddof=1) if len(v) > 1 else 0.0, v[0], v[-1], *(kernels.hazen(v, p) for p in PERCENTILES)]
+                out |= dict(zip((n for n in names if n.startswith(f"{c}_")), map(float, measures), strict=True))
+        return pd.DataFrame([out], columns=["recording", *names]) if len(out) > 1 else pd.DataFrame(columns=["recording", *names])
+
+    wide = bands.select(*held).groupBy("recording").applyInPandas(run, f"recording string, {', '.join(f'{n} double' for n in names)}").withColumn("cn_range", F.col("cn_max") - F.col("cn_min"))
     wide = wide.withColumn("cn_uniform", (F.col("cn_range") < 0.15) & (F.col("cn_median") > 0.7))
     quality = F.when(F.col("pnr_max") < min_pnr, "low_pnr").when(F.col("cn_max") < min_corr, "poor_correlation").otherwise("normal")
     weak = F.col("pnr_p75") < min_pnr
@@ -239,29 +372,62 @@ def threshold_levels(stats: DataFrame, min_corr: float | None = None, min_pnr: f
     return stats.select("recording", "cn_uniform", F.inline(levels))
 
 
-def find_regions(maps: DataFrame, levels: DataFrame, g_sig: float = 3.0, least: int = 12, most: int = 120, grow: bool = True, blur: tuple[float, float] = (1.5, 1.0)) -> DataFrame:
-    """Maps are smoothed by ``blur`` first. Seeds (grow=False: y, x, score, level) or grown regions (one row a pixel with
-    roi_id) of each recording; ``maps`` has mean, cn, pnr and in_mask. Where the correlation map is even (``cn_uniform``)
-    only the peak map gives seeds. The order of seeds decides, so one recording's image is one task."""
+def find_regions(maps: DataFrame, levels: DataFrame, g_sig: float = 3.0, least: int = 12, most: int = 120, grow: bool = True, blur: tuple[float, float] | None = (1.5, 1.0)) -> DataFrame:
+    """Seeds (grow=False: y, x, score, level) or grown regions (one row a pixel with roi_id) of each recording; ``maps`` has mean, cn, pnr
+    and in_mask. Rows of raw maps are finished by ``blur`` first; finished ones (bands) come with ``blur`` None. Where the
+    correlation map is even (``cn_uniform``) only the peak map gives seeds. Seeds are thinned out by ``thinned`` before regions are
+    grown from them in order, each in a window of its own, so one recording's image is one task."""
     ship_package(maps.sparkSession)
-    even = F.bool_or("cn_uniform") if "cn_uniform" in levels.columns else F.lit(False)
-    limits = levels.groupBy("recording").agg(even.alias("cn_uniform"), F.transform(F.array_sort(F.collect_list(F.struct("level", "cn", "pnr"))), lambda s: F.array(s["cn"], s["pnr"])).alias("levels"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mean, cn, pnr, mask = image_of(pdf, "mean", "cn", "pnr", "in_mask")
-        mask = mask.astype(bool)
-        cn, pnr = images.smooth(cn * mask, blur[0]), images.smooth(pnr * mask, blur[1])
-        found = images.suppress(images.seeds(cn, pnr, mask, [tuple(v) for v in pdf["levels"].iloc[0]], (0.5 * g_sig, g_sig, 1.5 * g_sig), bool(pdf["cn_uniform"].iloc[0]), mean=mean, g_sig=g_sig), 1.5 * g_sig)
+    bands = bands_of(maps)
+    bands = finished_maps(bands, blur) if blur else bands
+    seeds = thinned(seed_candidates(bands, levels, g_sig), 1.5 * g_sig)
+    if not grow:
+        return seeds.select("recording", F.col("place").alias("roi_id"), "y", "x", "score", "level")
+    listed = seeds.groupBy("recording").agg(F.array_sort(F.collect_list(F.struct("place", "y", "x", "level"))).alias("seeds"))
+
+    def run(pdf):
+        cn, pnr, mean, mask = assembled(pdf, "cn", "pnr", "mean", "in_mask")
+        found = [(int(r["y"]), int(r["x"]), int(r["level"])) for r in pdf["seeds"].iloc[0]]
         name = pdf["recording"].iloc[0]
-        if not grow:
-            return pd.DataFrame([(name, k + 1, *s[:2], s[2], s[3]) for k, s in enumerate(found)], columns=["recording", "roi_id", "y", "x", "score", "level"])
-        rows = [(name, k + 1, int(a), int(b), 0.0, level) for k, (_, _, level, region) in enumerate(images.grow(found, cn, pnr, mean, mask, g_sig, least, most)) for a, b in zip(*np.nonzero(region), strict=True)]
+        rows = [(name, k + 1, int(a), int(b), 0.0, level) for k, (level, cells) in enumerate(images.grow(found, cn, pnr, mean, mask > 0, g_sig, least, most)) for a, b in cells]
         return pd.DataFrame(rows, columns=["recording", "roi_id", "y", "x", "score", "level"])
 
-    joined = maps.select("recording", "y", "x", "mean", "cn", "pnr", F.col("in_mask").cast("double").alias("in_mask")).join(limits, "recording")
+    joined = bands.select("recording", "band", "width", "mean", "cn", "pnr", "in_mask").join(listed, "recording")
     return joined.groupBy("recording").applyInPandas(run, "recording string, roi_id int, y int, x int, score double, level int")
 
 
+def seed_candidates(bands: DataFrame, levels: DataFrame, g_sig: float = 3.0) -> DataFrame:
+    """recording, y, x, score, level and place (1 is the best score; ties by y and x) of every candidate: regional maxima of the maps smoothed at three
+    scales, plateaus included, over the limits of each level; the first level that finds a pixel keeps it."""
+    even = F.bool_or("cn_uniform") if "cn_uniform" in levels.columns else F.lit(False)
+    limits = levels.groupBy("recording").agg(even.alias("cn_uniform"), F.transform(F.array_sort(F.collect_list(F.struct("level", "cn", "pnr"))), lambda s: F.array(s["cn"], s["pnr"])).alias("levels"))
+    scales = (0.5 * g_sig, g_sig, 1.5 * g_sig)
+    inside = bands.withColumns({c: F.zip_with(c, "in_mask", lambda v, m: F.when(m > 0, v).otherwise(0.0)) for c in ("cn", "pnr", "mean")})
+    wide = inside.withColumns({f"{c}_{k}": F.col(c) for c in ("cn", "pnr") for k in range(3)} | {"mean_0": F.col("mean")})
+    wide = smoothed(wide, {f"{c}_{k}": s for c in ("cn", "pnr") for k, s in enumerate(scales)} | {"mean_0": g_sig})
+
+    def run(pdf):
+        cn, pnr, mask, m, *rest = assembled(pdf, "cn", "pnr", "in_mask", "mean_0", *(f"{c}_{k}" for c in ("cn", "pnr") for k in range(3)))
+        found = images.seeds(cn, pnr, mask > 0, [tuple(v) for v in pdf["levels"].iloc[0]], rest[:3], rest[3:], bool(pdf["cn_uniform"].iloc[0]), m)
+        name = pdf["recording"].iloc[0]
+        return pd.DataFrame([(name, y, x, score, level, k) for k, (y, x, score, level) in enumerate(found, 1)], columns=["recording", "y", "x", "score", "level", "place"])
+
+    return wide.join(limits, "recording").groupBy("recording").applyInPandas(run, "recording string, y int, x int, score double, level int, place int")
+
+
+def thinned(seeds: DataFrame, spacing: float) -> DataFrame:
+    """``seeds`` without those nearer than ``spacing`` to a better one that stays. Pairs meet in cells of a grid, and rounds settle all seeds whose
+    better neighbours are settled, so one recording's seeds spread over tasks."""
+    seeds = checkpointed(seeds)
+    cell = lambda c: F.floor(F.col(c) / spacing)
+    home = seeds.select("recording", F.col("place").alias("i"), F.col("y").alias("yi"), F.col("x").alias("xi"), cell("y").alias("cy"), cell("x").alias("cx"))
+    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+    near = seeds.withColumn("_o", around).select("recording", F.col("place").alias("j"), F.col("y").alias("yj"), F.col("x").alias("xj"), (cell("y") + F.col("_o.a")).alias("cy"), (cell("x") + F.col("_o.b")).alias("cx"))
+    pairs = home.join(near, ["recording", "cy", "cx"]).filter((F.col("i") < F.col("j")) & (F.hypot(F.col("yi") - F.col("yj"), F.col("xi") - F.col("xj")) < spacing))
+    gone = rounds.first_come(pairs.select("recording", "i", "j"))
+    return seeds.join(gone.select("recording", F.col("node").alias("place")), ["recording", "place"], "left_anti")
+
+
 def neuropil_masks(masks: DataFrame, height: int, width: int, inner: float = 3.0, outer: float | None = None) -> DataFrame:
     """A ring around each region: within ``outer`` of it, not within ``inner``, and on no region."""
     outer = max(2.5 * inner, inner + 4) if outer is None else outer
@@ -360,14 +526,17 @@ def reject_edge(masks: DataFrame, field: DataFrame, most: float = 0.20) -> DataF
     return both.withColumns({"c_edge": F.when(touches, "edge_contact"), "why_edge": F.when(touches, F.format_string(f"Edge contact (%.0f%% > {100 * most:.0f}%%)", 100 * F.col("contact")))})
 
 
-#: Measures of the maps that are reported of a recording without regions.
-DIAGNOSTICS = ("cn_mean", "cn_std", "cn_median", "cn_min", "cn_max", "cn_range", "pnr_mean", "pnr_std", "pnr_median", "pnr_min", "pnr_max", "pnr_p75", "pnr_p90")
-
-
-def zero_roi_diagnostics(stats: DataFrame, counts: DataFrame) -> DataFrame:
-    """Metric and value rows of recordings without regions."""
+def zero_roi_diagnostics(stats: DataFrame, counts: DataFrame, seeds: DataFrame | None = None, min_corr: float = 0.3, min_pnr: float = 3.0, least: int = 12, most: int = 120, g_sig: float = 3.0) -> DataFrame:
+    """Metric and value (as text) rows of recordings without regions: measures of their maps, the limits that were asked for, and how many ``seeds`` were left."""
     empty = stats.join(counts.filter("n_rois > 0"), "recording", "left_anti")
-    return empty.unpivot(["recording"], list(DIAGNOSTICS), "metric", "value")
+    found = seeds.groupBy("recording").agg(F.count("*").alias("n_seeds")) if seeds is not None else empty.select("recording", F.lit(0).alias("n_seeds"))
+    empty = empty.join(found, "recording", "left")
+    number = lambda c, places: F.format_string(f"%.{places}f", F.col(c).cast("double"))
+    values = {
+        "n_rois": F.lit("0"), "cn_median": number("cn_median", 4), "cn_range": number("cn_range", 4), "cn_max": number("cn_max", 4), "pnr_median": number("pnr_median", 2), "pnr_max": number("pnr_max", 2), "min_pnr_thresh": F.lit(f"{min_pnr:.1f}"),
+        "min_corr_thresh": F.lit(f"{min_corr:.2f}"), "min_area": F.lit(str(least)), "max_area": F.lit(str(most)), "n_seeds": F.coalesce("n_seeds", F.lit(0)).cast("string"), "data_quality": F.col("data_quality"), "gSig": F.lit(f"{g_sig:g}"),
+    }
+    return empty.select("recording", F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in values.items()])))
 
 
 def detection_thresholds(stats: DataFrame, levels: DataFrame, rois: DataFrame, min_corr: float = 0.3, min_pnr: float = 3.0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionspark.functions import kernels
+from motionspark.operators import rounds
 from motionspark.operators import traces as tr
 from motionspark.runtime import checkpointed, ship_package
 
@@ -82,21 +83,14 @@ def trace_criteria(rois: DataFrame, dff: str = "dff", smooth: str = "dff_smooth"
 
 
 def greedy_prune(rois: DataFrame, pairs: DataFrame, value: str | None = None) -> DataFrame:
-    """recording, roi_id, loses_to and the pair's ``value``. ``pairs`` are the recording's conflicting pairs
-    (roi_i < roi_j), walked in order in one task for each recording, as each decision depends on the one before."""
-    ship_package(rois.sparkSession)
+    """recording, roi_id, loses_to and the pair's ``value``. ``pairs`` are the recording's conflicting pairs (roi_i < roi_j); they are
+    settled in the order of a walk along them, by rounds (``rounds.weaker_goes``)."""
     known = rois.select("recording", "roi_id", "snr")
-    i, j = known.withColumnsRenamed({"roi_id": "roi_i", "snr": "snr_i"}), known.withColumnsRenamed({"roi_id": "roi_j", "snr": "snr_j"})
-    both = pairs.select("recording", "roi_i", "roi_j", (F.col(value) if value else F.lit(None)).cast("double").alias("value")).join(i, ["recording", "roi_i"]).join(j, ["recording", "roi_j"])
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["roi_i", "roi_j"])
-        snr = dict(zip(pdf["roi_i"], pdf["snr_i"], strict=True)) | dict(zip(pdf["roi_j"], pdf["snr_j"], strict=True))
-        gone = kernels.greedy(zip(pdf["roi_i"], pdf["roi_j"], strict=True), snr)
-        values = dict(zip(zip(pdf["roi_i"], pdf["roi_j"], strict=True), pdf["value"], strict=True))
-        return pd.DataFrame({"recording": pdf["recording"].iloc[0], "roi_id": list(gone), "loses_to": list(gone.values()), "value": [values[min(a, b), max(a, b)] for a, b in gone.items()]})
-
-    return both.groupBy("recording").applyInPandas(walk, "recording string, roi_id long, loses_to long, value double")
+    i, j = known.withColumnsRenamed({"roi_id": "i", "snr": "snr_i"}), known.withColumnsRenamed({"roi_id": "j", "snr": "snr_j"})
+    both = pairs.select("recording", F.col("roi_i").alias("i"), F.col("roi_j").alias("j"), (F.col(value) if value else F.lit(None)).cast("double").alias("value"))
+    both = checkpointed(both.join(i, ["recording", "i"]).join(j, ["recording", "j"]))
+    gone = rounds.weaker_goes(both).select("recording", F.col("node").alias("roi_id"), F.col("by").alias("loses_to"), F.least("node", "by").alias("i"), F.greatest("node", "by").alias("j"))
+    return gone.join(both.select("recording", "i", "j", "value"), ["recording", "i", "j"]).select("recording", F.col("roi_id").cast("long").alias("roi_id"), F.col("loses_to").cast("long").alias("loses_to"), "value")
 
 
 def prune_correlated(rois: DataFrame, column: str = "dff", most: float = 0.7) -> DataFrame:

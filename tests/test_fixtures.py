@@ -246,5 +246,14 @@ def test_zero_roi_diagnostics_only_without_regions(spark):
 
     sf = "/root/testdata/sf0.001"
     names = lambda df: {r["recording"] for r in df.select("recording").distinct().collect()}
-    got = names(mv.im31(spark, sf))
-    assert got == names(mv.maps(spark, sf)) - names(mv.regions(spark, sf))
+    found = mv.im31(spark, sf)
+    bands, limits = mv.whole_chain(spark, sf)
+    got, regions = names(found), names(movies.find_regions(bands, limits, 1.0, 5, 20, blur=None))
+    assert got == names(mv.maps(spark, sf)) - regions and got and regions
+    one = {r["metric"]: r["value"] for r in found.filter(F.col("recording") == min(got)).collect()}
+    stats = movies.map_stats(bands, 0.0, 1.5).filter(F.col("recording") == min(got)).first()
+    seeds = movies.find_regions(bands, limits, 1.0, 5, 20, grow=False, blur=None).filter(F.col("recording") == min(got)).count()
+    assert one == {
+        "n_rois": "0", "cn_median": f"{stats['cn_median']:.4f}", "cn_range": f"{stats['cn_range']:.4f}", "cn_max": f"{stats['cn_max']:.4f}", "pnr_median": f"{stats['pnr_median']:.2f}", "pnr_max": f"{stats['pnr_max']:.2f}", "min_pnr_thresh": "1.5",
+        "min_corr_thresh": "0.00", "min_area": "5", "max_area": "20", "n_seeds": str(seeds), "data_quality": stats["data_quality"], "gSig": "1",
+    }
