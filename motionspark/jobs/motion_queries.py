@@ -353,6 +353,59 @@ def mo29f(spark, sf):
     return six(wide, *[f.name for f in wide.schema if f.dataType.simpleString() == "double"])
 
 
+def movement(spark, sf):
+    return gates.movement_record(frames(spark, sf), MOVEMENT, 1.0, 10, 8)
+
+
+#: A stage whose limits are met by about half of the recordings.
+MOVEMENT = gates.QcConfig(max_nan=0.06, max_pegged=0.34, good_step_um=1.6, max_spikes=0.5, limit_x_um=LIMIT, limit_y_um=LIMIT, spike_um=SPIKE, spike_frames=3, median_frames=WIN, peg_run_frames=3)
+BURST_SQL = ", ".join(f"count(*) filter (coalesce(step_um > {t}, false) and not coalesce(coalesce(before > {t}, false), false) and frame > 1) as n{k}" for k, t in enumerate(gates.BURSTS))
+MOVED = f"""{SPECTRA}, {island('pegs', 'is_pegged', 'peg_isl')}, longest as (select recording, coalesce(max(k) filter (is_pegged), 0) as longest from (select recording, is_pegged, count(*) as k from peg_isl group by recording, is_pegged, island) group by recording),
+hot as (select *, coalesce(step_um > {SPIKE}, false) as hi, lag(step_um) over (partition by recording order by frame) as before from pegs), {island('hot', 'hi', 'hot_isl')}, marked as (select *, hi and count(*) over (partition by recording, hi, island) >= 3 as above from hot_isl),
+calm_a as (select recording, frame, coalesce(median(step_um) over (partition by recording order by frame rows between 5 preceding and 4 following) < 1.6, false) as calm from steps), {island('calm_a', 'calm', 'calm_isl')},
+calm as (select recording, (min(s) - 1) / 60.0 as auto_settle_min from (select recording, min(frame) as s from calm_isl where calm group by recording, island having count(*) >= 8) group by recording),
+peak as (select recording, f, p from (select *, row_number() over (partition by recording order by p desc, f) as place from spectra where f between 0.01 and 0.5) where place = 1),
+strips as (select recording, f, lead(f) over w as f2, (lead(f) over w - f) * (p + lead(p) over w) / 2 as area from spectra window w as (partition by recording order by f)),
+power as (select recording, {', '.join(f'coalesce(sum(area) filter (f >= {lo} and f2 <= {hi}), 0) / sum(area) as frac_{k}' for k, (lo, hi) in gates.movement_bands(1.0).items())} from strips group by recording),
+whole as (select recording, "group", count(*) as n_frames, list_sort(list(step_um) filter (step_um is not null)) as v, avg(step_um) as mean_step, coalesce(stddev_samp(step_um), 0) as sd_step, sum(step_um) as cum_path, avg(is_pegged::int) as pegged, avg(above::int) as spikes,
+  coalesce(count(*) filter (dx_um is null or dy_um is null) = 0 and coalesce(stddev_samp(dx_um), 0) < 0.065 and coalesce(stddev_samp(dy_um), 0) < 0.065, false) as flatline, avg((dx_um is null or dy_um is null)::int) as nan_frac,
+  avg(coalesce(step_um <= 0.1, false)::int) as b1, avg(coalesce(step_um <= 0.2, false)::int) as b2, median(dx_um) filter (frame >= n - 30) - median(dx_um) filter (frame <= 31) as ex, median(dy_um) filter (frame >= n - 30) - median(dy_um) filter (frame <= 31) as ey, {BURST_SQL}
+  from marked group by recording, "group"),
+moved as (select *, sqrt(ex * ex + ey * ey) as drift, (n_frames - 1)::double as seconds, nan_frac >= 0.06 as t_nan, pegged >= 0.34 as t_peg, longest >= 3 as t_run, {hz("v", 50)} as med from whole join longest using (recording) left join calm using (recording) left join peak using (recording) left join power using (recording)),
+mv as (select *, not (t_peg or t_run or t_nan or flatline) as qc_pass, coalesce(med < 1.6 and spikes < 0.5, false) as still, coalesce(nullif(concat_ws(',', case when t_peg then 'pegged_frac' end, case when t_run then 'ceiling_run' end, case when t_nan then 'nan_frac' end, case when flatline then 'flatline' end), ''), 'OK') as reason,
+  case when flatline then 'FLATLINE' when t_nan then 'NAN_EXCESS' when t_run then 'CEILING_RUN' when t_peg then 'PEGGED' else 'OK' end as health from moved)"""
+MOVED_NUMBERS = {
+    "MedianDisp_um": "med", "Pct95Disp_um": hz("v", 95), "CumPath_um": "cum_path", "NetDrift_um": "drift", "DriftRate_um_per_s": "drift / greatest(1e-9, seconds)", "Pegged_frac": "pegged", "MedianDisp_postSettle_um": "med",
+    "Pct95Disp_postSettle_um": hz("v", 95), "CumPath_postSettle_um": "cum_path", "NetDrift_postSettle_um": "drift", "DriftRate_postSettle_um_per_s": "drift / greatest(1e-9, seconds)", "Pegged_postSettle_frac": "pegged",
+    "SpikeFrac_postSettle_over_0p5um_per_s": "spikes", "JitterRatio_post_cumPath_over_netDrift": "least(1000, cum_path / greatest(1e-9, drift))", "TailLength_min": "seconds / 60", "AutoSettle_min": "auto_settle_min", "nan_frac": "nan_frac",
+    "MeanStep_um": "mean_step", "SDStep_um": "sd_step", "P99Step_um": hz("v", 99), "MeanStep_postSettle_um": "mean_step", "P99Step_postSettle_um": hz("v", 99), "PctTime_step_le_0p10um": "b1", "PctTime_step_le_0p20um": "b2",
+    "DriftAngle_deg": "degrees(atan2(ey, ex))", **{f"Rate_post_{str(t).replace('.', 'p')}um_per_min": f"n{k} / greatest(1e-9, n_frames / 60)" for k, t in enumerate(gates.BURSTS)}, "PSD_DominantFreq_Hz": "f", "PSD_DominantPeriod_min": "1 / f / 60",
+    "PSD_DominantPower": "p", "PSD_FracLow": "frac_low", "PSD_FracMid": "frac_mid", "PSD_FracHigh": "frac_high", "MedianStep_um": "med", "MedianStep_postSettle_um": "med", "DriftSpeed_um_s": "drift / greatest(1e-9, seconds)",
+    "MedianDisp_preSettle_um": "null::double", "SettleRatio_post_over_pre": "null::double", "settle_min": "0::double", "TailStart_min": "0::double", "fps_used": "1::double", "px_um": "0.26::double", "max_shift_um": f"{LIMIT}::double",
+}
+MOVED_PLAIN = {
+    "File": "recording || '.avi'", "n_frames": "n_frames", "Flatline_flag": "flatline", "Flatline_postSettle_flag": "flatline", "QC_PASS": "qc_pass", "QC_PASS_tracking": "qc_pass", "QC_soft_still": "still", "QC_reason": "reason",
+    "HealthFlag": "health", "rescue_count": "0", "unstable_tracking": "false", **{f"Bursts_post_{str(t).replace('.', 'p')}um": f"n{k}" for k, t in enumerate(gates.BURSTS)},
+}
+
+
+@query("mo29_movement_tables", f"with {MOVED} select {', '.join(f'round({c}, 6) as {chr(34)}{n}{chr(34)}' for n, c in MOVED_NUMBERS.items())}, {', '.join(f'{c} as {chr(34)}{n}{chr(34)}' for n, c in MOVED_PLAIN.items())} from mv")
+def mo29m(spark, sf):
+    """All columns of the three tables of the movement stage side by side."""
+    t = gates.movement_tables(movement(spark, sf))
+    wide = t["basic"]
+    for name in ("qc", "enriched"):
+        wide = wide.join(t[name].select("File", *[c for c in t[name].columns if c not in wide.columns]), "File")
+    return six(wide, *MOVED_NUMBERS)
+
+
+@query("mo31_movement_summary", f"""with {MOVED} select "group", count(*) as n_files, count(*) filter (qc_pass) as n_pass, round(count(*) filter (qc_pass) / count(*), 6) as pass_rate, count(*) filter (qc_pass) as n_pass_tracking, count(*) filter (still) as n_soft_still,
+  round(avg(med), 6) as "mean_MedianDisp_post_um", round(stddev_samp(med), 6) as "sd_MedianDisp_post_um", null::double as "mean_SettleRatio", null::double as "sd_SettleRatio", round(avg(auto_settle_min), 6) as "mean_AutoSettle_min", round(avg(seconds / 60), 6) as "mean_TailLength_min" from mv group by "group" """)
+def mo31m(spark, sf):
+    got = gates.movement_summary(movement(spark, sf))
+    return six(got, *[f.name for f in got.schema if f.dataType.simpleString() == "double"])
+
+
 @query("mo30_motion_summary", f"""with {FRAMES}, e as (select recording, median(dx_um) filter (frame >= n - 30) - median(dx_um) filter (frame <= 31) as x, median(dy_um) filter (frame >= n - 30) - median(dy_um) filter (frame <= 31) as y, median(step_um) as median_step, sum(step_um) as cum_path, median(step_um) filter (frame > 20) as median_step_late from steps group by recording)
 select recording, round(median_step, 6) as median_step, round(cum_path, 6) as cum_path, round(median_step_late, 6) as median_step_late, round(sqrt(x * x + y * y), 6) as net_drift from e""")
 def mo30(spark, sf):

@@ -101,17 +101,66 @@ BURSTS = (0.2, 0.5, 1.0)
 BANDS = {"low": (0.0, 0.02), "mid": (0.02, 0.1), "high": (0.1, 0.5)}
 
 
-def full_record(frames: DataFrame, judged: DataFrame, cfg: QcConfig, calm_um: float = 0.30, calm_win: int = 61, calm_hold: int = 60) -> DataFrame:
+#: What the tables of the movement stage hold beside ``BASIC``.
+MOVEMENT_QC = {
+    "MedianDisp_preSettle_um": "med_step_pre", "SettleRatio_post_over_pre": "settle_ratio", "SPIKE": "spike_frac_ps", "JitterRatio_post_cumPath_over_netDrift": "jitter_ratio", "QC_PASS": "qc_pass", "TailLength_min": "tail_length_min",
+    "AutoSettle_min": "auto_settle_min", "QC_PASS_tracking": "qc_pass", "QC_soft_still": "qc_soft_still", "QC_reason": "qc_reason", "HealthFlag": "health", "nan_frac": "nan_frac", "rescue_count": "rescue_count", "unstable_tracking": "unstable_tracking",
+}
+MOVEMENT_ENRICHED = {k: v for k, v in ENRICHED.items() if not k.startswith(("Excursion", "MOVEMENT", "Movement", "ROI"))} | {
+    "DriftSpeed_um_s": "drift_rate", "QC_PASS": "qc_pass", "TailStart_min": "settle_min", "TailLength_min": "tail_length_min", "QC_PASS_tracking": "qc_pass", "QC_soft_still": "qc_soft_still", "HealthFlag": "health", "nan_frac": "nan_frac",
+    "rescue_count": "rescue_count", "unstable_tracking": "unstable_tracking",
+}
+
+
+def movement_bands(fps: float) -> dict[str, tuple[float, float]]:
+    """Low, middle and high frequencies of the movement stage, whose bounds come from the frame rate."""
+    top = fps / 2
+    low, mid = min(0.05, 0.2 * top), min(0.2, 0.8 * top)
+    return {"low": (0.01, low), "mid": (low, mid), "high": (mid, top)}
+
+
+def movement_record(frames: DataFrame, cfg: QcConfig, fps: float = 1.0, calm_win: int | None = None, calm_hold: int | None = None) -> DataFrame:
+    """One row a recording with all that the tables of the movement stage hold. Nothing settles in that stage: the whole recording is its
+    tail, so what is named after settling is of all frames, and the ratio over the time before is NULL. ``frames`` have step_um;
+    those of ``calm_um`` and less for ``calm_hold`` frames (3 minutes) tell the minute from which a recording is still."""
+    whole = frames.withColumns({"post": F.lit(True), "reposition": F.lit(False), "settle_min": F.lit(0.0)})
+    longest = series.longest_run(series.pegged(whole, cfg.limit_x_um, cfg.limit_y_um), "is_pegged")
+    judged = movement_qc(recording_metrics(whole, cfg), cfg, longest)
+    tail = (F.col("n_frames") - 1) / F.greatest(F.lit(1.0), F.col("fps")) / 60
+    win, hold = calm_win or round(60 * fps), calm_hold or round(180 * fps)
+    return full_record(whole, judged, cfg, cfg.good_step_um, win, hold, series.psd(whole, 128, 16), movement_bands(fps)).withColumn("tail_length_min", tail)
+
+
+def movement_tables(record: DataFrame, spike_um_per_s: float = 0.5) -> dict[str, DataFrame]:
+    """The basic, qc and enriched tables of the movement stage, from ``movement_record``."""
+    named = lambda columns: [F.col(c).alias(spike_header(spike_um_per_s) if n == "SPIKE" else n) for n, c in columns.items()]
+    first = [F.concat("recording", F.lit(".avi")).alias("File"), F.col("n_frames")]
+    return {"basic": record.select(*first, *named(BASIC)), "qc": record.select(*first, *named(BASIC | MOVEMENT_QC)), "enriched": record.select(*first, *named(MOVEMENT_ENRICHED))}
+
+
+def movement_summary(record: DataFrame) -> DataFrame:
+    """Counts, pass rates and the spread of the main metrics over the recordings of each group of the movement stage."""
+    n, passed = F.count("*"), F.count_if("qc_pass")
+    return record.groupBy("group").agg(
+        n.alias("n_files"), passed.alias("n_pass"), (passed / n).alias("pass_rate"), passed.alias("n_pass_tracking"), F.count_if("qc_soft_still").alias("n_soft_still"), F.avg("med_step_ps").alias("mean_MedianDisp_post_um"),
+        sample_std(F.col("med_step_ps")).alias("sd_MedianDisp_post_um"), F.avg("settle_ratio").alias("mean_SettleRatio"), sample_std(F.col("settle_ratio")).alias("sd_SettleRatio"), F.avg("auto_settle_min").alias("mean_AutoSettle_min"),
+        F.avg("tail_length_min").alias("mean_TailLength_min"),
+    )
+
+
+def full_record(
+    frames: DataFrame, judged: DataFrame, cfg: QcConfig, calm_um: float = 0.30, calm_win: int = 61, calm_hold: int = 60, spectra: DataFrame | None = None, bands: dict[str, tuple[float, float]] | None = None,
+) -> DataFrame:
     """``judged`` with all that the tables hold; ``frames`` as for ``recording_metrics``. Everything is grouped by recording,
     so the parts meet without moving frames again."""
-    spectra = series.psd(frames)
+    spectra = series.psd(frames) if spectra is None else spectra
     pre = frames.groupBy("recording").agg(F.median(F.when(~F.col("post"), F.col("step_um"))).alias("med_step_pre"), F.max("px_um").alias("px_um"), F.max("settle_min").alias("settle_min"))
     counts = series.bursts(series.compacted(frames), list(BURSTS))
     place = F.coalesce(*[F.when(F.col("threshold") == t, k) for k, t in enumerate(BURSTS)])
     bursts = counts.groupBy("recording").agg(*[F.max(F.when(place == k, F.col(c))).alias(f"{n}_{k}") for k in range(len(BURSTS)) for c, n in (("n_bursts", "n_bursts"), ("rate_per_min", "burst_rate"))])
     parts = [
         series.step_stats(frames).drop("median_step", "cum_path"), series.net_drift(frames, cfg.median_frames).drop("duration_s"), pre, series.settle_ratio(frames), series.auto_settle(frames, calm_um, calm_win, calm_hold), bursts,
-        series.dominant_peak(spectra), series.band_power(spectra, BANDS), series.excursion(frames, cfg.field_um, cfg.boundary_warning, cfg.boundary_exit).select("recording", "boundary_warning", "boundary_exit"),
+        series.dominant_peak(spectra), series.band_power(spectra, bands or BANDS), series.excursion(frames, cfg.field_um, cfg.boundary_warning, cfg.boundary_exit).select("recording", "boundary_warning", "boundary_exit"),
     ]
     got = judged.drop("settle_min", "px_um")
     for part in parts:
