@@ -4,14 +4,15 @@ with their DuckDB twins."""
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from motionspark.jobs.motion_queries import hz, six
-from motionspark.operators import movies, refine
+from motionspark.operators import movies, refine, tables
 from motionspark.operators.traces import mean_of
-from motionspark.runtime import checkpointed
+from motionspark.runtime import checkpointed, shared_folder
 from motionspark.sources import adapters
 
 QUERIES, SQL = {}, {}
@@ -37,9 +38,22 @@ MV = """mv as (select 'L' || label as recording, row_number() over (partition by
 pix as (select recording, frame, (i // 8)::int as y, (i % 8)::int as x, value from (select recording, frame, unnest(range(64)) as i, unnest(px) as value from mv))"""
 
 
-@query("io05_read_frames", f"with {MV} select recording, count(*) as n_frames, round(avg(list_avg(px)), 6) as mean from mv group by recording")
+@query("io05_read_frames", f"with {MV} select recording, count(*) as n_frames, round(avg(list_avg(px)), 3) as mean from mv group by recording")
 def io05(spark, sf):
-    return six(movie(spark, sf).groupBy("recording").agg(F.count("*").alias("n_frames"), F.avg(mean_of(F.col("pixels"))).alias("mean")), "mean")
+    """The frames written as Parquet, in single precision, and read back."""
+    path = f"{shared_folder(spark)}/frames-{uuid.uuid4().hex}"
+    movie(spark, sf).withColumn("pixels", F.col("pixels").cast("array<float>")).write.partitionBy("recording").parquet(path)
+    m = tables.read_frames(spark, path)
+    return m.groupBy("recording").agg(F.count("*").alias("n_frames"), F.round(F.avg(mean_of(F.col("pixels").cast("array<double>"))), 3).cast("double").alias("mean"))
+
+
+@query("io05_read_rois", "select 'L' || label as recording, vec_id as roi_id, null::double as fps, null::int as event_count, round(list_sum(embedding::double[]), 6) as total from embeddings")
+def io05r(spark, sf):
+    """Regions written without some columns, and read back with them."""
+    path = f"{shared_folder(spark)}/rois-{uuid.uuid4().hex}"
+    adapters.table(spark, sf, "embeddings").select(F.concat(F.lit("L"), "label").alias("recording"), F.col("vec_id").cast("string").alias("roi_id"), F.col("embedding").cast("array<double>").alias("dff")).write.parquet(path)
+    got = tables.read_rois(spark, path)
+    return six(got.select("recording", "roi_id", "fps", "event_count", F.aggregate("dff", F.lit(0.0), lambda a, v: a + v).alias("total")), "total")
 
 
 @query("im01_quiet_window", f"""with {MV}, d as (select recording, frame, px, lag(px) over (partition by recording order by frame) as q from mv),

@@ -229,10 +229,10 @@ def apply_shifts(movie: DataFrame, shifts: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            moved = [np.clip(np.floor(images.translate(np.asarray(r.pixels, float).reshape(r.height, r.width), -r.dx_px, r.dy_px) + 0.5), 0, 65535).ravel().tolist() for r in pdf.itertuples()]
+            moved = [np.clip(np.floor(images.translate(np.asarray(r.pixels, float).reshape(r.height, r.width), -r.dx_px, r.dy_px) + 0.5), 0, 65535).astype(np.int32).ravel() for r in pdf.itertuples()]
             yield pdf.assign(pixels=moved)[["recording", "frame", "height", "width", "pixels"]]
 
-    return movie.join(shifts, ["recording", "frame"]).mapInPandas(run, "recording string, frame int, height int, width int, pixels array<double>")
+    return movie.join(shifts, ["recording", "frame"]).mapInPandas(run, "recording string, frame int, height int, width int, pixels array<int>")
 
 
 def sample_frames(movie: DataFrame, n: int) -> DataFrame:

@@ -32,9 +32,13 @@ def sample_status(samples: DataFrame, few: int = 5) -> DataFrame:
 
 
 def quality_summary(judged: DataFrame) -> DataFrame:
-    ok = F.col("eligible")
+    """Samples of each condition by status, shares in percent, and means over the eligible ones."""
+    ok, n = F.col("eligible"), F.count("*")
+    share = lambda c: 100 * F.count_if(c) / n
+    mean = lambda c: F.avg(F.when(ok, F.col(c) if c in judged.columns else F.lit(None).cast("double"))).alias(c if c.startswith("mean") else f"mean_{c.removeprefix('n_')}")
     return judged.groupBy("condition").agg(
-        F.count("*").alias("n"), *[F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in STATUSES], (100 * F.count_if(ok) / F.count("*")).alias("pct_eligible"), F.avg(F.when(ok, F.col("synchrony"))).alias("mean_synchrony"), F.avg(F.when(ok, F.col("n_rois"))).alias("mean_rois")
+        n.alias("total_samples"), F.count_if(ok).alias("eligible_samples"), share(ok).alias("pct_eligible"), *[F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in STATUSES],
+        share(F.col("status") == "ARTIFACT").alias("pct_artifact"), share(F.col("status") == "OK").alias("pct_clean"), mean("synchrony"), mean("mean_snr"), mean("n_rois"),
     )
 
 

@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 
 from motionspark.functions import special
 from motionspark.functions.stats import sample_std
-from motionspark.operators import groups, series
+from motionspark.operators import groups, series, traces
 from motionspark.runtime import checkpointed, ship_package
 
 # ---- inputs ------------------------------------------------------------------------------------------------------
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Movie frames stored as Parquet, with the columns of ``operators.movies``."""
-    return spark.read.parquet(path).select(F.col("recording").cast("string").alias("recording"), F.col("frame").cast("int").alias("frame"), F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), F.col("pixels").cast("array<double>").alias("pixels"))
+    """Movie frames stored as Parquet, with the columns of ``operators.movies``. Pixels keep the type that they are stored in, for frames are
+    shuffled as they are; NumPy widens them where they are used."""
+    return spark.read.parquet(path).select(F.col("recording").cast("string").alias("recording"), F.col("frame").cast("int").alias("frame"), F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), "pixels")
 
 
 def read_rois(spark: SparkSession, path: str) -> DataFrame:
@@ -186,15 +187,19 @@ def roi_metrics(measured: DataFrame, stats: DataFrame, shapes: DataFrame | None
     return got.withColumn("level", level_name(F.col("level"))) if "level" in own else got
 
 
-def pipeline_summary(measured: DataFrame, synchrony: DataFrame | None = None, best: int = 6) -> DataFrame:
+def pipeline_summary(measured: DataFrame, synchrony: DataFrame | None = None, best: int = 6, recordings: DataFrame | None = None) -> DataFrame:
     """One row a recording: number of regions, mean quality, event rate and amplitude, synchrony, and the mean quality of
-    its ``best`` regions."""
+    its ``best`` regions. With ``recordings`` all of these have a row: one without regions has means of 0 and no synchrony."""
     place = F.row_number().over(Window.partitionBy("recording").orderBy(F.desc("snr"), "roi_id"))
     mean = lambda c: F.avg(c) if c in measured.columns else F.lit(None).cast("double")
     got = measured.withColumn("_k", place).groupBy("recording").agg(
         F.count("*").alias("n_rois"), F.avg("snr").alias("mean_snr"), mean("event_rate").alias("mean_event_rate"), mean("event_amplitude").alias("mean_event_amplitude"), F.avg(F.when(F.col("_k") <= best, F.col("snr"))).alias(f"top{best}_snr")
     )
-    return got.join(synchrony.select("recording", "synchrony"), "recording", "left") if synchrony is not None else got
+    got = got.join(synchrony.select("recording", "synchrony"), "recording", "left") if synchrony is not None else got
+    if recordings is None:
+        return got
+    zero = [F.coalesce(c, F.lit(0)).alias(c) if c in ("n_rois", "mean_snr", "mean_event_rate", "mean_event_amplitude") else F.when(F.col("n_rois") > 0, F.col(c)).alias(c) for c in got.columns if c != "recording"]
+    return recordings.join(got, "recording", "left").select(*recordings.columns, *zero)
 
 
 def condition_summary(summary: DataFrame) -> DataFrame:
@@ -209,12 +214,30 @@ def level_counts(rois: DataFrame) -> DataFrame:
     return rois.groupBy("recording").agg(*[F.count_distinct(F.when(F.col("level") == k, F.col("roi_id"))).alias(f"n_{n}") for k, n in LEVELS.items()])
 
 
-def sample_metrics(stored: DataFrame, computed: DataFrame, names: list[str]) -> DataFrame:
-    """One row a sample: each of ``names`` as it was stored, else as it was computed."""
-    both = computed.alias("c").join(stored.alias("s"), "recording", "left")
-    given = set(stored.columns)
-    value = lambda n: F.coalesce(F.col(f"s.{n}"), F.col(f"c.{n}")) if n in given else F.col(f"c.{n}")
-    return both.select("recording", *[value(n).alias(n) for n in names])
+def sample_metrics(recordings: DataFrame, rois: DataFrame, stored: DataFrame | None = None, column: str = "dff_raw", most: float = 5.0, least: float = -2.0) -> DataFrame:
+    """One row a recording (recording, condition): number of regions, extremes of dF/F, synchrony before and after regression, severity, whether the
+    signal was regressed, mean quality and event rate, and ``artifact``. ``stored`` has the metrics that newer files carry (recording and
+    any of synchrony_before, synchrony_after, max_dff, min_dff, neuropil_severity, global_regression_applied, artifact_flag): of such a
+    recording what is not stored stays unknown. Of others the metrics are computed from the traces ``column``. A recording without regions has no
+    metrics and severity NONE."""
+    number = rois.groupBy("recording").agg(F.count("*").alias("n_rois"), *[(F.avg(c) if c in rois.columns else F.lit(None).cast("double")).alias(f"mean_{c}") for c in ("snr", "event_rate")])
+    extremes = rois.groupBy("recording").agg(F.max(F.array_max(column)).alias("c_max"), F.min(F.array_min(column)).alias("c_min"))
+    got = recordings.join(number, "recording", "left").join(extremes, "recording", "left").join(traces.synchrony(rois, column).select("recording", F.col("synchrony").alias("c_synchrony")), "recording", "left")
+    kinds = {"synchrony_before": "double", "synchrony_after": "double", "max_dff": "double", "min_dff": "double", "neuropil_severity": "string", "global_regression_applied": "boolean", "artifact_flag": "boolean"}
+    if stored is None:
+        got = got.withColumns({"known": F.lit(None).cast("boolean")} | {f"s_{c}": F.lit(None).cast(k) for c, k in kinds.items()})
+    else:
+        got = got.join(stored.select("recording", F.lit(True).alias("known"), *[field(stored, c, k).alias(f"s_{c}") for c, k in kinds.items()]), "recording", "left")
+    some, known = F.coalesce("n_rois", F.lit(0)) > 0, F.coalesce("known", F.lit(False))
+    pick = lambda c, computed: F.when(some, F.when(known, F.col(f"s_{c}")).otherwise(computed))
+    flag = lambda c: some & known & F.coalesce(f"s_{c}", F.lit(False))
+    severity = F.when(~some, "NONE").when(known, F.coalesce("s_neuropil_severity", F.lit("UNKNOWN"))).otherwise(F.coalesce(traces.neuropil_severity(F.col("c_synchrony")), F.lit("LOW")))
+    got = got.select(
+        "recording", "condition", F.coalesce("n_rois", F.lit(0)).alias("n_rois"), pick("max_dff", F.col("c_max")).alias("max_dff"), pick("min_dff", F.col("c_min")).alias("min_dff"), pick("synchrony_before", F.col("c_synchrony")).alias("synchrony"),
+        pick("synchrony_after", F.lit(None).cast("double")).alias("synchrony_after"), severity.alias("neuropil_severity"), flag("global_regression_applied").alias("regression_applied"), "mean_snr", "mean_event_rate",
+        F.when(~some, "unknown").when(known, "v4.5").otherwise("v4.4").alias("pipeline_version"), flag("artifact_flag").alias("flagged"),
+    )
+    return got.withColumn("artifact", F.col("flagged") | F.coalesce(F.col("max_dff") > most, F.lit(False)) | F.coalesce(F.col("min_dff") < least, F.lit(False))).drop("flagged")
 
 
 def wide_means(means: DataFrame, metrics: list[str]) -> DataFrame:
