@@ -295,6 +295,22 @@ def ranked(spark, sf):
     return groups.rank_samples(wide, list(RANKED))
 
 
+TWO = MOMENTS.replace("'F'", "'control'").replace("'O'", "'experimental'")
+COMPARE_NUMBERS = ("m1", "m2", "median1", "median2", "sd1", "sd2", "sem1", "sem2", "iqr1", "iqr2", "mean_diff", "median_diff", "t", "df", "g")
+EACH_SIDE = f"d as (select metric, condition, n, mean, sd, sd / sqrt(n) as sem, {hz('v', 50)} as median, {hz('v', 75)} - {hz('v', 25)} as iqr from {DESCRIBE})"
+
+
+@query("m215_compare_plain", f"""with {LONG}, {TWO}, {EACH_SIDE}, {RANKS.replace("'F'", "'control'").replace("'O'", "'experimental'")},
+k as (select m.metric, m.n1, m.n2, m1, m2, a.median as median1, b.median as median2, a.sd as sd1, b.sd as sd2, a.sem as sem1, b.sem as sem2, a.iqr as iqr1, b.iqr as iqr2, m2 - m1 as mean_diff, b.median - a.median as median_diff, (m2 - m1) / sqrt(v1 / m.n1 + v2 / m.n2) as t,
+  (v1 / m.n1 + v2 / m.n2) ** 2 / ((v1 / m.n1) ** 2 / (m.n1 - 1) + (v2 / m.n2) ** 2 / (m.n2 - 1)) as df, us.u::double as u, (m2 - m1) / sqrt(((m.n1 - 1) * v1 + (m.n2 - 1) * v2) / (m.n1 + m.n2 - 2)) * (1 - 3 / (4 * (m.n1 + m.n2) - 9)) as g
+  from m join us on us.metric = m.metric join d a on a.metric = m.metric and a.condition = 'control' join d b on b.metric = m.metric and b.condition = 'experimental')
+select metric, n1, n2, u, {', '.join(f'round({c}, 6) as {c}' for c in COMPARE_NUMBERS)}, case when abs(g) < 0.2 then 'negligible' when abs(g) < 0.5 then 'small' when abs(g) < 0.8 then 'medium' else 'large' end as effect, 'control' as label1, 'experimental' as label2 from k""")
+def m215p(spark, sf):
+    """The columns of the comparison that need no resampling, and no distribution that SQL lacks."""
+    got = tables.compare_groups(motion_long(spark, sf), "control", "experimental", 50)
+    return six(got.select("metric", "n1", "n2", "u", *COMPARE_NUMBERS, "effect", "label1", "label2"), *COMPARE_NUMBERS)
+
+
 @query("m216_rank_samples", f"""with {RANKED_SQL}
 select "File", "Group", {', '.join(f'{m}_rank::int as {m}_rank' for m in RANKED)}, round(avg_rank, 6) as avg_rank, (row_number() over (order by avg_rank nulls last, ordinal))::int as overall_rank from s""")
 def m216(spark, sf):
@@ -313,23 +329,31 @@ def m217(spark, sf):
     return six(tables.effect_order(groups.moments(nest(spark, sf), "F", "O")), "diff")
 
 
-CONCLUDED = f"""with {NEST}, {MOMENTS}, g as (select *, {G} as g from m),
-c as (select metric, 100 * (m2 - m1) / abs(m1) as pct_change, case when m2 > m1 then 'increase' when m2 < m1 then 'decrease' else 'none' end as direction, case when abs(g) >= 0.8 then 'large' when abs(g) >= 0.5 then 'medium' when abs(g) >= 0.2 then 'small' else 'none' end as effect_size, abs(g) >= 0.2 as notable from g)"""
+CONCLUDED = f"""with {NEST}, {MOMENTS}, g as (select *, {G} as g, m2 - m1 as gap, sqrt(v1 / n1 + v2 / n2) as se from m),
+c as (select metric, 100 * gap / abs(m1) as pct_change, case when m2 > m1 then 'increase' when m2 < m1 then 'decrease' else 'none' end as direction, case when abs(g) >= 0.8 then 'large' when abs(g) >= 0.5 then 'medium' when abs(g) >= 0.2 then 'small' else 'none' end as effect_size, abs(g) >= 0.2 as notable,
+  gap - 0.9 * se > 0 or gap + 0.9 * se < 0 as ci_excludes_zero, abs(gap) > 0.5 * se as significant from g)"""
 
 
 def concluded(spark, sf):
-    m = groups.moments(nest(spark, sf), "F", "O")
-    return tables.conclusions(m.join(groups.hedges_g(m), "metric"))
+    """Differences with an interval of 0.9 standard errors, and a q that is low from half of one on."""
+    nested_long = nest(spark, sf).withColumn("metric", F.when(F.col("metric") == "discount", "step_discount").otherwise(F.col("metric")))
+    m = groups.moments(nested_long, "F", "O")
+    gap, se = F.col("m2") - F.col("m1"), F.sqrt(F.col("v1") / F.col("n1") + F.col("v2") / F.col("n2"))
+    given = {"ci_low": gap - 0.9 * se, "ci_high": gap + 0.9 * se, "q": F.when(F.abs(gap) > 0.5 * se, 0.01).otherwise(0.6)}
+    return tables.conclusions(m.join(groups.hedges_g(m), "metric").withColumns(given))
+
+
+NAMED = "case metric when 'discount' then 'step_discount' else metric end"
 
 
-@query("m218_conclusions", f"{CONCLUDED} select metric, round(pct_change, 6) as pct_change, direction, effect_size, notable from c")
+@query("m218_conclusions", f"{CONCLUDED} select {NAMED} as metric, round(pct_change, 6) as pct_change, direction, effect_size, notable, ci_excludes_zero, significant from c")
 def m218(spark, sf):
-    return six(concluded(spark, sf), "pct_change").drop("ci_excludes_zero", "significant")
+    return six(concluded(spark, sf), "pct_change")
 
 
-@query("m218_conclusion_counts", f"{CONCLUDED} select count(*) filter (effect_size = 'large') as n_large, count(*) filter (effect_size = 'medium') as n_medium, count(*) filter (effect_size = 'small') as n_small from c")
+@query("m218_conclusion_counts", f"{CONCLUDED} select count(*) filter (significant) as n_significant, count(*) filter (effect_size = 'large') as n_large, count(*) filter (effect_size = 'medium') as n_medium, count(*) filter (effect_size = 'small') as n_small, round(avg(-pct_change) filter (metric = 'discount' and pct_change < 0), 6) as mean_reduction from c")
 def m218c(spark, sf):
-    return tables.conclusion_counts(concluded(spark, sf)).select("n_large", "n_medium", "n_small")
+    return six(tables.conclusion_counts(concluded(spark, sf)), "mean_reduction")
 
 
 @query("m219_box_stats", f"with {NEST}, q as (select metric, condition, {hz('v', 25)} as q1, {hz('v', 50)} as med, {hz('v', 75)} as q3 from {DESCRIBE}) select metric, condition, round(q1, 6) as q1, round(med, 6) as median, round(q3, 6) as q3, round(q3 + 1.5 * (q3 - q1), 6) as fence, count(*) filter (value > q3 + 1.5 * (q3 - q1)) as n_outliers from long join q using (metric, condition) group by all")
