@@ -12,7 +12,8 @@ The only table that is joined has one row a source with its cumulative probabili
 were read; beyond that it is joined by a shuffle that adaptive execution splits.
 
 Edge cases: a null source is a source of its own; a source without a given weight gets none (no copies) if weights are
-given, else all sources weigh the same; a null doc_id hashes as an empty id; repeated rows draw alike; an empty table
+given, else all sources weigh the same; a weight for a source that the table lacks is left out, and the others share the
+whole; a null doc_id hashes as an empty id; repeated rows draw alike; an empty table
 gives no rows. Columns named source_rate, copies, copy or shuffle_key in the input are replaced; all others stay, whatever
 their names.
 """

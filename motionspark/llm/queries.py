@@ -129,6 +129,31 @@ many as (select *, unnest(range(copies))::int as copy from counted)
 select *, md5('mix:' || coalesce(doc_id::varchar, '') || ':' || copy || ':order') as shuffle_key from many"""
 
 
+def license_sql() -> str:
+    """Votes of equal word triples by template and diagonal, neighbouring diagonals merged, and what they cover."""
+    rows = []
+    for i, t in enumerate(licenses.TEMPLATES):
+        words = [w.decode() for w in licenses.words_of(t.text)]
+        shift = 0 if t.phrase else max(licenses.SHIFT, len(words) // 10)
+        rows.append(f"({i}, '{t.label}', {str(t.phrase).lower()}, {len(words)}, {shift}, {words})")
+    return rf"""
+with templates(template, label, phrase, size, shift, words) as (values {', '.join(rows)}),
+known as (select template, label, phrase, size, shift, k as place, words[k + 1] || ' ' || words[k + 2] || ' ' || words[k + 3] as gram from (select *, unnest(range(size - 2)) as k from templates)),
+docs as (select row_number() over () as row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+grams as (select row_id, k, w[k + 1] || ' ' || w[k + 2] || ' ' || w[k + 3] as gram from (select row_id, w, unnest(range(len(w) - 2)) as k from docs where len(w) >= 3)),
+votes as (select row_id, template, label, phrase, size, shift, k - place as diagonal, place from grams join known using (gram)),
+diagonals as (select distinct row_id, template, shift, diagonal from votes),
+cuts as (select *, coalesce(diagonal - lag(diagonal) over (partition by row_id, template order by diagonal) > shift, false)::int as cut from diagonals),
+parts as (select row_id, template, diagonal, sum(cut) over (partition by row_id, template order by diagonal) as part from cuts),
+covered as (select v.row_id, v.template, label, phrase, size, part, unnest([place, place + 1, place + 2]) as word, v.diagonal + place as at_word from votes v join parts p on p.row_id = v.row_id and p.template = v.template and p.diagonal = v.diagonal),
+spans as (select row_id, template, label, phrase, part, count(distinct word) / any_value(size) as coverage, min(at_word) as first_word from covered group by row_id, template, label, phrase, part),
+taken as (select * from spans where coverage >= case when phrase then 1.0 else {licenses.COVERAGE} end),
+summed as (select row_id, count(*) filter (phrase) as n_base, min(first_word) filter (phrase) as first_word, max(first_word) filter (phrase) as last_word, list_sort(list_distinct(coalesce(list(label) filter (phrase), []))) as base, list_sort(list_distinct(list(label))) as every from taken group by row_id),
+scores as (select row_id, max(coverage) as score from spans group by row_id)
+select doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(array_to_string(base, ','), '') as base_labels, coalesce(array_to_string(every, ','), '') as labels, coalesce(score, 0)::double as score
+from docs left join summed using (row_id) left join scores using (row_id)"""
+
+
 DIVERGENCE_SQL = r"""
 with docs as (select row_number() over () as row_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
@@ -173,4 +198,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": MIXING_SQL, "op7_url_filter": url_sql(), "op13_divergence": DIVERGENCE_SQL}
+    return {"op3_mixing": MIXING_SQL, "op7_url_filter": url_sql(), "op11_licenses": license_sql(), "op13_divergence": DIVERGENCE_SQL}

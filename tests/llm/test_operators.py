@@ -309,6 +309,16 @@ def test_urls(spark):
     assert got[13]["verdict"] == "block" and got[14]["verdict"] == "block" and got[0]["verdict"] == "allow"
 
 
+def test_urls_of_any_length_and_none(spark):
+    long = "http://" + "a." * 50_000 + "example.net/en/" + "b/" * 100_000 + "?" + "q" * 100_000
+    df = spark.createDataFrame([(1, long), (2, "http://x/" + "y" * 300_000 + ".exe"), (None, "http://fr.org/fr/")], "page_id long, url string")
+    got = {r["page_id"]: r["judged"] for r in urls.filter_urls(df).collect()}
+    assert (got[1]["rule"], got[1]["verdict"], len(got[1]["host"]), len(got[1]["path"])) == ("example.net/en/", "allow", 100_011, 200_004)
+    assert got[2]["verdict"] == "block" and got[2]["rule"] is None and got[None]["rule"] == "org/fr/"
+    none = urls.filter_urls(df.filter("page_id = 7"))
+    assert none.count() == 0 and none.columns == urls.filter_urls(df).columns
+
+
 def slow_stats(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)

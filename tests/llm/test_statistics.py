@@ -30,6 +30,13 @@ def slow_strength(groups):
     return min(sites.MAX_STRENGTH, max(1.0, spread / extra - 1)) if extra > 1e-9 else sites.MAX_STRENGTH
 
 
+def test_mixing_weights_of_absent_sources(spark):
+    """A weight for a source that the table lacks goes, and the rest share the whole; a source without a weight gets no copy."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").otherwise("c").alias("source"))
+    got = {r["source"]: r["source_rate"] for r in mixing.mix(docs, {"a": 0.3, "b": 0.1, "gone": 0.6}).select("source", "source_rate").distinct().collect()}
+    assert got == {"a": 2.25, "b": 0.75}
+
+
 def test_lowest_hashes_of_repeated_rows(spark):
     """Repeats neither crowd out other rows nor leave the sample empty."""
     df = spark.range(400_000).select((F.col("id") % 4).alias("doc_id"), F.lit(1.5).alias("x"))
