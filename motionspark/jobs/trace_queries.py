@@ -251,11 +251,15 @@ def qa05(spark, sf):
 # ---- refinement --------------------------------------------------------------------------------------------------
 
 
-def regions(spark, sf):
-    """Regions with the measures of their traces, centres on a coarse grid, and pixels: a block whose sides follow from
-    the id, in a field whose border some of them touch."""
+def criteria(spark, sf):
+    """Regions with the measures of their traces and the criteria on them, and centres on a coarse grid."""
     m = measured(spark, sf).withColumns({"center_x": (F.col("roi_id") * 7 % 61).cast("double"), "center_y": (F.col("roi_id") * 11 % 53).cast("double")})
-    m = refine.trace_criteria(m, "trace", "dff_smooth", max_snr=6.5, max_plateau_s=1.4, jump=1.6)
+    return refine.trace_criteria(m, "trace", "dff_smooth", max_snr=6.5, max_plateau_s=1.4, jump=1.6)
+
+
+def regions(spark, sf):
+    """The same with pixels: a block whose sides follow from the id, in a field whose border some of them touch."""
+    m = criteria(spark, sf)
     box = F.explode(F.sequence(F.lit(0), 2 + F.col("roi_id") % 7)).alias("a")
     cells = m.select("recording", "roi_id", "center_x", "center_y", box).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("b"))
     cells = cells.filter((F.col("roi_id") % 3 == 0) | (F.col("a") + F.col("b") > 0))  # most blocks lack a corner, a whole one fills its box
@@ -270,31 +274,31 @@ def regions(spark, sf):
 h as (select recording, roi_id, len(list_filter(x, lambda k: k > 8 * greatest(0.001, 1.4826 * list_median(list_transform(low, lambda q: abs(q - list_median(low))))))) / len(x) as high from y)
 select recording, roi_id, snr > 6.5 or high > 0.3 as rejected from snr join h using (recording, roi_id)""")
 def rf01(spark, sf):
-    return regions(spark, sf).select("recording", "roi_id", F.col("c_snr").isNotNull().alias("rejected"))
+    return criteria(spark, sf).select("recording", "roi_id", F.col("c_snr").isNotNull().alias("rejected"))
 
 
 @query("rf04_reject_negative", f"""with {TR}, z as (select recording, roi_id, x, list_sort(x) as v from tr), y as (select recording, roi_id, x, list_filter(x, lambda k: k < {hz("v", 50)}) as low from z)
 select recording, roi_id, (list_min(x) - list_median(low)) / greatest(0.001, 1.4826 * list_median(list_transform(low, lambda q: abs(q - list_median(low))))) < -3 as rejected from y""")
 def rf04(spark, sf):
-    return regions(spark, sf).select("recording", "roi_id", F.col("c_negative").isNotNull().alias("rejected"))
+    return criteria(spark, sf).select("recording", "roi_id", F.col("c_negative").isNotNull().alias("rejected"))
 
 
 @query("rf05_reject_step", f"""with {TR}, w as (select recording, roi_id, frame, abs(lead(v) over o - v) as jump, lead(v) over o as after, avg(v) over (partition by roi_id order by frame rows between 5 preceding and current row) as before from pt window o as (partition by roi_id order by frame))
 select recording, roi_id, count(*) filter (frame < 63 and jump > 1.6 and after > before + 0.8 * jump) >= 2 as rejected from w group by all""")
 def rf05(spark, sf):
-    return regions(spark, sf).select("recording", "roi_id", F.col("c_step").isNotNull().alias("rejected"))
+    return criteria(spark, sf).select("recording", "roi_id", F.col("c_step").isNotNull().alias("rejected"))
 
 
 @query("rf06_reject_kinetics")
 def rf06(spark, sf):
-    return regions(spark, sf).select("recording", "roi_id", "c_kinetics")
+    return criteria(spark, sf).select("recording", "roi_id", "c_kinetics")
 
 
 @query("rf07_reject_plateau", f"""with {TR}, l as (select recording, roi_id, {hz("list_sort(x)", 10)} as lo, {hz("list_sort(x)", 99)} as hi from tr), e as (select p.recording, p.roi_id, frame, hi - lo >= 0.05 and v > lo + 0.7 * (hi - lo) as up from pt p join l using (roi_id)),
 i as (select *, row_number() over (partition by roi_id order by frame) - row_number() over (partition by roi_id, up order by frame) as g from e), r as (select recording, roi_id, up, count(*) as n from i group by recording, roi_id, up, g)
 select recording, roi_id, coalesce(max(n) filter (up), 0) > 3 as rejected from r group by all""")
 def rf07(spark, sf):
-    return regions(spark, sf).select("recording", "roi_id", F.col("c_plateau").isNotNull().alias("rejected"))
+    return criteria(spark, sf).select("recording", "roi_id", F.col("c_plateau").isNotNull().alias("rejected"))
 
 
 @query("rf08_prune_correlated")
@@ -310,7 +314,7 @@ def rf09(spark, sf):
 
 @query("rf09_prune_close")
 def rf09p(spark, sf):
-    c = regions(spark, sf)
+    c = criteria(spark, sf)
     return six(refine.greedy_prune(c, refine.close_pairs(c), "distance"), "value")
 
 
@@ -318,7 +322,7 @@ def rf09p(spark, sf):
 b as (select *, list_median(list_filter(s, lambda k: k <= {hz("s", 90)})) as sb, list_median(list_filter(e, lambda k: k <= {hz("e", 90)})) as eb from w)
 select recording, roi_id, abs(eb - sb) > 0.5 and len(list_filter(en, lambda k: k > sb + 0.25)) / 10 > 0.5 as rejected from b""")
 def rf10(spark, sf):
-    return regions(spark, sf).select("recording", "roi_id", F.col("c_drift").isNotNull().alias("rejected"))
+    return criteria(spark, sf).select("recording", "roi_id", F.col("c_drift").isNotNull().alias("rejected"))
 
 
 def refined(spark, sf):
