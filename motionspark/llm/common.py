@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 import pyarrow as pa
@@ -22,6 +23,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Arrow batches of ``rows`` rows for the jobs that run inside, and the session's own size again after them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Run:
     """The tables that ``materialise`` writes while this is entered, in this thread alone: a chain of steps of which only the last
     result is read again removes the others as it goes. Tables written outside of a run stay, for lazy results read them."""

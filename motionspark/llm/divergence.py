@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motionspark.llm.common import materialise, ship_package
+from motionspark.llm.common import materialise, rows_per_batch, ship_package
 from motionspark.llm.words import blanked, pieces
 
 MIN_DOCS = 3
@@ -54,7 +54,7 @@ BLOCK_SOURCES = 500
 #: Rows of the table of groups up to which it is broadcast.
 BROADCAST_GROUPS = 100_000
 #: Entries of a task's counts, bytes of text and occurrences of terms after which it hands them on.
-HELD_ENTRIES = 300_000
+HELD_ENTRIES = 200_000
 HELD_BYTES = 64 << 20
 HELD_TERMS = 3_000_000
 #: Rows that are taken from a batch at a time.
@@ -287,8 +287,9 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS,
     """lang, source, part (pair or term), item, value, rank."""
     ship_package(docs.sparkSession)
     key = F.when(F.octet_length("term") > LONG_BYTES, F.concat(F.lit("\x01"), F.sha2("term", 256))).otherwise(F.col("term"))
-    kept = materialise(document_frequencies(docs).filter(F.col("docs") >= min_docs).select("lang", key.alias("key"), "term", "docs"), "kept")
-    found = postings(docs, kept, shard_bytes)
+    with rows_per_batch(docs.sparkSession):  # texts can be long
+        kept = materialise(document_frequencies(docs).filter(F.col("docs") >= min_docs).select("lang", key.alias("key"), "term", "docs"), "kept")
+        found = postings(docs, kept, shard_bytes)
 
     sums = found.groupBy("lang", "source").agg(F.sum("count").alias("n"))
     groups = docs.select(*group_columns(docs)).distinct().join(sums, ["lang", "source"], "left").join(kept.groupBy("lang").agg(F.count("*").alias("v")), "lang", "left")
