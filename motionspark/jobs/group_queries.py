@@ -236,9 +236,13 @@ def m210(spark, sf):
     return got.select("metric", F.col("n1").cast("double").alias("n1"), F.col("n2").cast("double").alias("n2"), "u", F.round("z", 6).alias("z"))
 
 
-@query("m210_rank_p")
+TIES = "t as (select metric, sum(c ** 3 - c) as ties from (select metric, value, count(*)::double as c from long where value is not null group by all) group by metric)"
+RANK_Z = f"{RANKS}, {TIES}, rz as (select metric, n1, n2, u, sign(u - n1 * n2 / 2) * greatest(0, abs(u - n1 * n2 / 2) - 0.5) / sqrt(n1::double * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2)::double * (n1 + n2 - 1)))) as z from us join t using (metric))"
+
+
+@query("m210_rank_p", f"with {NEST}, {RANK_Z} select metric, round(z, 6) as z, round(least(1, 2 * {normal_sql('(-abs(z))')}), 6) as p from rz")
 def m210p(spark, sf):
-    """z with its two-sided p (tested against tabled values)."""
+    """z with its two-sided p."""
     return six(groups.mann_whitney(groups.rank_sums(nest(spark, sf), "F", "O")), "z", "p").select("metric", "z", "p")
 
 
@@ -450,7 +454,9 @@ def st07(spark, sf):
     return six(tables.compare_conditions(nest(spark, sf), "F", "O").select("metric", "n1", "n2", "u", *COMPARED), *COMPARED)
 
 
-@query("st07_significance")
+@query("st07_significance", f"""with {NEST}, {RANK_Z}, w as (select metric, n1, n2, u, least(1, 2 * {normal_sql('(-abs(z))')}) as p, 2 * u / (n1 * n2) - 1 as d, count(*) over () as m from rz),
+k as (select *, case when abs(d) < 0.147 then 'negligible' when abs(d) < 0.33 then 'small' when abs(d) < 0.474 then 'medium' else 'large' end as effect, p < 0.05 / m as significant from w)
+select metric, round(p, 6) as p, round(least(1, p * m), 6) as p_bonferroni, case when not significant then 'n.s.' when p < 0.001 then '***' when p < 0.01 then '**' when p < 0.05 then '*' else 'n.s.' end as stars, effect, significant, significant and effect = 'negligible' as significant_but_negligible, not significant and effect = 'large' as large_but_not_significant from k""")
 def st07p(spark, sf):
     got = tables.compare_conditions(nest(spark, sf), "F", "O")
     return six(got.select("metric", "p", "p_bonferroni", "stars", "effect", "significant", "significant_but_negligible", "large_but_not_significant"), "p", "p_bonferroni")
@@ -470,7 +476,8 @@ def st08(spark, sf):
     return six(groups.normality(screened(spark, sf)), "p").withColumns({"skewness": F.round("skewness", 5), "kurtosis": F.round("kurtosis", 5)})
 
 
-@query("st09_power_estimate")
+@query("st09_power_estimate", f"""with {NEST}, {MOMENTS}, e as (select metric, n1, n2, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) * sqrt(n1 * n2 / (n1 + n2)::double) as s from m)
+select metric, round(2.0 * n1 * n2 / (n1 + n2), 6) as harmonic_n, round(least(1, 1 - {normal_sql('(1.96 - s)')} + {normal_sql('(-1.96 - s)')}), 6) as power from e""")
 def st09(spark, sf):
     return six(groups.power_estimate(groups.moments(nest(spark, sf), "F", "O")), "harmonic_n", "power")
 
@@ -480,10 +487,11 @@ def st10(spark, sf):
     return tables.motion_quality_counts(tables.sample_table(refined(spark, sf)))
 
 
-@query("st11_join_motion")
+@query("st11_join_motion", """with s as (select c_custkey, case when c_custkey % 2 = 0 then upper(c_name) else substr(c_name, 1, length(c_name) - 1) end as stem from customer),
+x as (select s.c_custkey, s.stem, m.c_name as motion_stem, m.c_custkey as ordinal, row_number() over (partition by s.c_custkey order by lower(m.c_name) <> lower(s.stem), m.c_custkey) as k from s join customer m on contains(lower(m.c_name), lower(s.stem)))
+select c_custkey, stem, motion_stem, case when lower(motion_stem) = lower(stem) then 'exact' else 'contains' end as match from x where k = 1""")
 def st11(spark, sf):
-    """All customers on both sides; a stem that is cut short is looked for inside the others (tested on a fixture, for the
-    plain form compares every stem with every other)."""
+    """All customers on both sides; a stem that is cut short is looked for inside the others."""
     c = table(spark, sf, "customer")
     s = c.select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.upper("c_name")).otherwise(F.expr("substr(c_name, 1, length(c_name) - 1)")).alias("stem"))
     return files.join_motion(s, c.select(F.col("c_name").alias("stem"), F.col("c_custkey").alias("ordinal")))
