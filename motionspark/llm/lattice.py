@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from motionspark.llm.common import materialise, small_batches
 from motionspark.llm.graph import components
 
-#: Vectors of a cell, or of a block of a large cell, that are compared at once.
+#: Vectors that are compared at once.
 BLOCK = 512
+#: Vectors of a block of a large cell: each is sent to as many tasks as its cell has blocks.
+SENT = 4096
 #: Bits of the filter of home cells for each of them, and at most; beyond that it lets more through, but loses none.
 HOME_BITS, MOST_BITS = 16, 1 << 28
 TABLES, PARTS, SCALE, PROBES = 12, 3, 0.5, 8
@@ -258,8 +260,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, tables: int = TABL
     every = materialise(signed.select("rep", "dim", "own", "near").mapInArrow(entries, "t byte, cell long, rep long, home boolean"), "cells")
     shared = every.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("home").alias("n_home")).filter("n > 1 and n_home > 0").select("cell", "n")
     met = every.join(shared, "cell")
-    # a cell of n vectors has ceil(n / BLOCK) blocks; each vector goes to every pair of blocks that has its own
-    blocks = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
+    # a cell of n vectors has ceil(n / SENT) blocks; each vector goes to every pair of blocks that has its own
+    blocks = F.ceil(F.col("n") / F.lit(float(SENT))).cast("int")
     met = met.withColumn("own_block", F.pmod("rep", blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     met = met.select("t", "cell", F.least("own_block", "other").alias("lo"), F.greatest("own_block", "other").alias("hi"), "own_block", "rep", "home")
     whole = reps.select("rep", "v").join(signed.drop("dim"), "rep")

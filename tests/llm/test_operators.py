@@ -267,7 +267,7 @@ def test_large_cells_are_compared_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(2)
     v = rng.normal(size=64)
     rows = [(i, list(map(float, v + 0.02 * rng.normal(size=64)))) for i in range(120)]
-    monkeypatch.setattr(lattice, "BLOCK", 16)
+    monkeypatch.setattr(lattice, "SENT", 16)
     got = lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     assert {(r["n_links"], r["component_id"]) for r in got.collect()} == {(119, 0)}
 
