@@ -49,12 +49,12 @@ TOP_TERMS = 200
 SHARD_BYTES = 12 << 20
 LONG_BYTES = 256
 #: Postings of one block of terms, and sources of one block of sources.
-BLOCK_POSTINGS = 100_000
+BLOCK_POSTINGS = 30_000
 BLOCK_SOURCES = 500
 #: Rows of the table of groups up to which it is broadcast.
 BROADCAST_GROUPS = 100_000
 #: Entries of a task's counts, bytes of text and occurrences of terms after which it hands them on.
-HELD_ENTRIES = 200_000
+HELD_ENTRIES = 400_000
 HELD_BYTES = 64 << 20
 HELD_TERMS = 3_000_000
 #: Rows that are taken from a batch at a time.
@@ -214,7 +214,7 @@ def common_terms(block: pd.DataFrame, lo: int, hi: int) -> pd.DataFrame:
     order = np.argsort(keys, kind="stable")
     keys, sources = keys[order], sources[order]
     part, counts, p, p0 = (block[c].to_numpy(np.int64)[order] for c in ("part", "count", "p", "p0"))
-    n, small = len(names), max(1, min(64, 2000 // max(1, len(names))))
+    n, small = len(names), max(1, min(16, 2000 // max(1, len(names))))
     cell = np.where(counts < small, sources * small + counts, -1)
     of_cell, of_source = np.ones(n * small, np.int64), np.ones(n, np.int64)
     of_cell[cell[cell >= 0]], of_source[sources] = p[cell >= 0], p0
