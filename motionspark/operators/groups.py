@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from motionspark.functions import special
 from motionspark.functions.stats import sample_std
-from motionspark.runtime import checkpointed, ship_package
+from motionspark.runtime import checkpointed, dealt_out, ship_package
 
 #: Slices of a key at least and at most, and different values that one is meant for.
 SLICES, MOST_SLICES, SLICE_ROWS = 32, 4096, 100_000
@@ -248,9 +248,9 @@ def replicate_sums(means: DataFrame, first: str, second: str, replicates: int, s
 
     if (blocks.agg(F.max("block")).first()[0] or 0) > 0:
         of_metric = blocks.groupBy("metric").agg(parts("block"))
-        held = held.join(of_metric, "metric").repartition("metric", "chunk").mapInPandas(spread(1), numbers)
+        held = dealt_out(held.join(of_metric, "metric"), "metric", "chunk").mapInPandas(spread(1), numbers)
     of_block = slices.groupBy("metric", F.col("block").alias("part")).agg(parts("slice"))
-    held = held.join(of_block, ["metric", "part"]).select("metric", "chunk", "part", "k1", "k2", "parts").repartition("metric", "chunk", "part").mapInPandas(spread(2), numbers)
+    held = dealt_out(held.join(of_block, ["metric", "part"]).select("metric", "chunk", "part", "k1", "k2", "parts"), "metric", "chunk", "part").mapInPandas(spread(2), numbers)
 
     def draw(batches):
         for pdf in batches:
@@ -266,7 +266,7 @@ def replicate_sums(means: DataFrame, first: str, second: str, replicates: int, s
                 u = (c1 * (np.cumsum(c2, axis=1) - c2 / 2)).sum(1)
                 yield pd.DataFrame({"metric": r.metric, "replicate": r.chunk * CHUNK + np.arange(len(k1)), "slice": r.slice, "w1": k1, "s1": c1 @ x, "w2": k2, "s2": c2 @ x, "u": u})
 
-    both = slices.select("metric", "slice", "items").join(held.withColumnRenamed("part", "slice"), ["metric", "slice"]).repartition("metric", "slice", "chunk")
+    both = dealt_out(slices.select("metric", "slice", "items").join(held.withColumnRenamed("part", "slice"), ["metric", "slice"]), "metric", "slice", "chunk")
     schema = "metric string, chunk int, slice int, w array<double>, s array<double>" if arrays else "metric string, replicate int, slice int, w1 long, s1 double, w2 long, s2 double, u double"
     return both.select("metric", "slice", "chunk", "items", "k1", "k2").mapInPandas(draw, schema)
 
@@ -480,7 +480,7 @@ def hierarchical_bootstrap(long: DataFrame, first: str, second: str, replicates:
                 some = times.any(0)
                 yield pd.DataFrame({"key": np.array(r.keys)[some], "chunk": r.chunk, "times": times.T[some].tolist()})
 
-    both = blocks.join(dealt, ["metric", "condition", "block"]).repartition("metric", "condition", "block", "chunk")
+    both = dealt_out(blocks.join(dealt, ["metric", "condition", "block"]), "metric", "condition", "block", "chunk")
     picked = both.select("metric", "condition", "block", "chunk", "keys", "k").mapInPandas(pick, "key long, chunk int, times array<long>")
     values = known.select(F.col("key").cast("string").alias("metric"), F.lit("v").alias("condition"), "value")
     drawn = replicate_sums(values, "v", "", replicates, seed, value="value", times=picked.select(F.col("key").cast("string").alias("metric"), "chunk", "times"))

@@ -43,3 +43,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut in reliable storage."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def dealt_out(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` by its keys in as many partitions as two rounds of tasks take: for rows that are small but take long, which adaptive
+    execution would else merge into one task for their size."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *columns)
