@@ -446,20 +446,44 @@ def power_estimate(m: DataFrame, z: float = 1.96) -> DataFrame:
     return m.join(cohens_d(m), "metric").select("metric", harmonic.alias("harmonic_n"), power("cohens_d", harmonic).alias("power"))
 
 
+#: Values up to which a sample is drawn from whole, beside the others of its block; and draws a different value from which
+#: counting the draws of each value is quicker than drawing one by one.
+SAMPLE_VALUES, DRAWS_A_VALUE = 10_000, 12
+
+
+def drawn_sums(rng, values: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The sum of ``k[i]`` values drawn with replacement from ``values`` (ascending), for each i."""
+    out = np.zeros(len(k))
+    some = np.flatnonzero(k)
+    if not len(some):
+        return out
+    x, n = np.unique(values, return_counts=True)
+    if len(values) > DRAWS_A_VALUE * len(x):
+        out[some] = rng.multinomial(k[some], n / len(values)) @ x
+    else:
+        got = values[rng.integers(0, len(values), k[some].sum(), dtype=np.uint16)]
+        out[some] = np.add.reduceat(got, np.concatenate([[0], np.cumsum(k[some])[:-1]]))
+    return out
+
+
 def hierarchical_bootstrap(long: DataFrame, first: str, second: str, replicates: int = 10_000, seed: int = 42) -> DataFrame:
     """Percentile intervals when samples are drawn again, and the values in each drawn sample: of each condition's mean over
     all drawn values (low1, high1, low2, high2) and of the difference of the two (ci_low, ci_high; second minus first).
 
     A replicate first draws how many times over each sample comes; then as many values as that many samples of its size have
-    are drawn from the sample, by slices as in ``replicate_sums``, so each time it comes it counts with values of its own and a
-    sample of any size spreads over tasks. Samples are drawn in the same two steps, by blocks and then in each block.
-    Replicates stay in arrays of ``CHUNK`` until they are summed."""
+    are drawn from the sample, so each time it comes it counts with values of its own. Samples are drawn in the same two
+    steps, by blocks and then in each block. A block of samples of up to ``SAMPLE_VALUES`` values is drawn in one task, which
+    leaves one sum a replicate; larger samples spread over tasks by slices as in ``replicate_sums``, with their numbers in arrays
+    of ``CHUNK`` replicates until they are summed."""
+    ship_package(long.sparkSession)
     known = long.filter(F.col("value").isNotNull() & F.col("condition").isin(first, second))
-    known = known.withColumn("key", F.xxhash64("metric", "condition", "sample"))
-    samples = known.groupBy("metric", "condition", "key").agg(F.lit(1).alias("one"))
-    numbered = running_counts(samples, ["metric", "condition"], "key", ["one"]).withColumn("block", F.floor((F.col("one_upto") - 1) / SLICE_VALUES).cast("int"))
-    blocks = checkpointed(numbered.groupBy("metric", "condition", "block").agg(F.array_sort(F.collect_list("key")).alias("keys")))
-    sizes = blocks.groupBy("metric", "condition").agg(F.array_sort(F.collect_list(F.struct("block", F.size("keys").alias("n")))).alias("sizes"))
+    known = known.select("metric", "condition", F.xxhash64("metric", "condition", "sample").alias("key"), F.col("value").cast("double").alias("value"))
+    samples = checkpointed(known.groupBy("metric", "condition", "key").agg(F.count("*").alias("n")).withColumn("one", F.lit(1)))
+    numbered = running_counts(samples, ["metric", "condition"], "key", ["one"]).withColumns({"block": F.floor((F.col("one_upto") - 1) / SLICE_VALUES).cast("int"), "place": ((F.col("one_upto") - 1) % SLICE_VALUES).cast("int")})
+    numbered = checkpointed(numbered.select("metric", "condition", "key", "n", "block", "place"))
+    large = numbered.filter(F.col("n") > SAMPLE_VALUES)
+    own = numbered.groupBy("metric", "condition", "block").agg(F.count("*").cast("int").alias("n"))
+    sizes = own.groupBy("metric", "condition").agg(F.array_sort(F.collect_list(F.struct("block", "n"))).alias("sizes"))
     sizes = sizes.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // CHUNK))))
 
     def numbers(batches):
@@ -468,33 +492,58 @@ def hierarchical_bootstrap(long: DataFrame, first: str, second: str, replicates:
                 rng = np.random.default_rng((seed, 4, stable_hash(r.metric, r.condition), r.chunk))
                 n = np.array([x["n"] for x in r.sizes], np.int64)
                 k = rng.multinomial(n.sum(), n / n.sum(), size=min(CHUNK, replicates - r.chunk * CHUNK))
-                yield pd.DataFrame({"metric": r.metric, "condition": r.condition, "block": [x["block"] for x in r.sizes], "chunk": r.chunk, "k": k.T.tolist()})
+                yield pd.DataFrame({"metric": r.metric, "condition": r.condition, "block": [x["block"] for x in r.sizes], "chunk": r.chunk, "size": n, "k": k.T.tolist()})
+
+    dealt = sizes.repartition("metric", "condition", "chunk").select("metric", "condition", "chunk", "sizes").mapInPandas(numbers, "metric string, condition string, block int, chunk int, size int, k array<long>")
+
+    def times(r) -> np.ndarray:
+        """[replicates of the chunk, samples of the block]: how many times over each comes, the same wherever it is asked for."""
+        rng = np.random.default_rng((seed, 5, stable_hash(r.metric, r.condition), r.chunk, r.block))
+        return rng.multinomial(np.array(r.k), np.full(r.size, 1 / r.size))
+
+    def draw(values: pd.DataFrame, numbers: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for r in numbers.sort_values("chunk").itertuples():
+            often = times(r)
+            w, s = (np.zeros(len(often)) for _ in range(2))
+            for v in values.itertuples():
+                rng = np.random.default_rng((seed, 6, v.key & 0xFFFFFFFFFFFFFFFF, r.chunk))
+                k = often[:, v.place] * len(v.values_)
+                w += k
+                s += drawn_sums(rng, np.asarray(v.values_), k)
+            rows.append(pd.DataFrame({"metric": r.metric, "condition": r.condition, "replicate": r.chunk * CHUNK + np.arange(len(w)), "w": w, "s": s}))
+        return pd.concat(rows)
+
+    result = "metric string, condition string, replicate long, w double, s double"
+    small = known.join(large.select("key"), "key", "left_anti") if large.first() else known
+    small = small.groupBy("key").agg(F.array_sort(F.collect_list("value")).alias("values_"))
+    small = small.join(numbered.drop("n"), "key").select("metric", "condition", "block", "place", "key", "values_")
+    by = ["metric", "condition", "block"]
+    drawn = dealt_out(small, *by).groupBy(*by).cogroup(dealt_out(dealt, *by).groupBy(*by)).applyInPandas(draw, result)
+
+    if large.first():
+        held = large.groupBy(*by).agg(F.collect_list(F.struct("place", "key")).alias("keys"))
+
+        def pick(batches):
+            for pdf in batches:
+                for r in pdf.itertuples():
+                    often = times(r)
+                    yield pd.DataFrame({"metric": [str(x["key"]) for x in r.keys], "chunk": r.chunk, "times": [often[:, x["place"]].tolist() for x in r.keys]})
 
-    dealt = sizes.repartition("metric", "condition", "chunk").select("metric", "condition", "chunk", "sizes").mapInPandas(numbers, "metric string, condition string, block int, chunk int, k array<long>")
+        picked = dealt_out(held.join(dealt, by), *by, "chunk").select(*by, "chunk", "size", "keys", "k").mapInPandas(pick, "metric string, chunk int, times array<long>")
+        values = known.join(large.select("key"), "key", "left_semi").select(F.col("key").cast("string").alias("metric"), F.lit("v").alias("condition"), "value")
+        parts = replicate_sums(values, "v", "", replicates, seed, value="value", times=picked)
+        parts = parts.select(F.col("metric").cast("long").alias("key"), "chunk", "w", "s").join(large.select("metric", "condition", "key"), "key")
 
-    def pick(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                rng = np.random.default_rng((seed, 5, stable_hash(r.metric, r.condition), r.chunk, r.block))
-                times = rng.multinomial(np.array(r.k), np.full(len(r.keys), 1 / len(r.keys)))
-                some = times.any(0)
-                yield pd.DataFrame({"key": np.array(r.keys)[some], "chunk": r.chunk, "times": times.T[some].tolist()})
-
-    both = dealt_out(blocks.join(dealt, ["metric", "condition", "block"]), "metric", "condition", "block", "chunk")
-    picked = both.select("metric", "condition", "block", "chunk", "keys", "k").mapInPandas(pick, "key long, chunk int, times array<long>")
-    values = known.select(F.col("key").cast("string").alias("metric"), F.lit("v").alias("condition"), "value")
-    drawn = replicate_sums(values, "v", "", replicates, seed, value="value", times=picked.select(F.col("key").cast("string").alias("metric"), "chunk", "times"))
-    drawn = drawn.select(F.col("metric").cast("long").alias("key"), "chunk", "w", "s").join(samples.drop("one"), "key")
-
-    def add(batches):
-        for pdf in batches:
-            rows = []
-            for (metric, condition, chunk), part in pdf.groupby(["metric", "condition", "chunk"]):
-                w, s = (np.array(part[c].tolist()).sum(0) for c in ("w", "s"))
-                rows.append(pd.DataFrame({"metric": metric, "condition": condition, "replicate": chunk * CHUNK + np.arange(len(w)), "w": w, "s": s}))
-            yield pd.concat(rows)
+        def add(batches):
+            for pdf in batches:
+                rows = []
+                for (metric, condition, chunk), part in pdf.groupby(["metric", "condition", "chunk"]):
+                    w, s = (np.array(part[c].tolist()).sum(0) for c in ("w", "s"))
+                    rows.append(pd.DataFrame({"metric": metric, "condition": condition, "replicate": chunk * CHUNK + np.arange(len(w)), "w": w, "s": s}))
+                yield pd.concat(rows)
 
-    drawn = drawn.select("metric", "condition", "chunk", "w", "s").mapInPandas(add, "metric string, condition string, replicate long, w double, s double")
+        drawn = drawn.unionByName(parts.select("metric", "condition", "chunk", "w", "s").mapInPandas(add, result))
     total = lambda c, name: F.sum(F.when(F.col("condition") == name, F.col(c)))
     mean = lambda name: F.round(F.try_divide(total("s", name), total("w", name)), 9)
     rows = checkpointed(drawn.groupBy("metric", "replicate").agg(mean(first).alias("m1"), mean(second).alias("m2")).withColumn("gap", F.round(F.col("m2") - F.col("m1"), 9)))

@@ -106,6 +106,28 @@ def test_hierarchical_bootstrap_against_numpy(spark, monkeypatch, sizes):
         assert got[high] - got[low] == pytest.approx(b - a, rel=0.03) and (got[high] + got[low]) / 2 == pytest.approx((a + b) / 2, abs=0.03 * (b - a))
 
 
+@pytest.mark.parametrize("most", [10_000, 12])
+def test_hierarchical_bootstrap_of_small_samples_takes_no_slices(spark, monkeypatch, most):
+    """Samples of up to ``SAMPLE_VALUES`` values leave one sum a replicate and block; only larger ones are drawn by slices."""
+    monkeypatch.setattr(groups, "SAMPLE_VALUES", most)
+    sliced, whole = [], groups.replicate_sums
+
+    def seen(values, *args, **more):
+        sliced.append({r[0] for r in values.groupBy("metric").count().filter("count > 0").select("count").collect()})
+        return whole(values, *args, **more)
+
+    monkeypatch.setattr(groups, "replicate_sums", seen)
+    rng = np.random.default_rng(3)
+    data = {c: [np.round(rng.normal(rng.normal(m, 0.5), 1, n), 1) for n in (4, 30, 9, 20, 5, 7)] for c, m in (("x", 0), ("y", 1))}
+    values = [("m", c, f"{c}{s}", float(v)) for c, samples in data.items() for s, x in enumerate(samples) for v in x]
+    got = groups.hierarchical_bootstrap(rows(spark, values, "metric string, condition string, sample string, value double"), "x", "y", 4000).first()
+    assert sliced == ([] if most == 10_000 else [{30, 20}])
+    x, y = (nested_means(rng, data[c], 20_000) for c in "xy")
+    for low, high, want in (("low1", "high1", x), ("low2", "high2", y), ("ci_low", "ci_high", y - x)):
+        a, b = np.percentile(want, [2.5, 97.5])
+        assert got[high] - got[low] == pytest.approx(b - a, rel=0.08) and (got[high] + got[low]) / 2 == pytest.approx((a + b) / 2, abs=0.06 * (b - a))
+
+
 def test_draws_are_shared_out_among_blocks(spark, monkeypatch):
     """A metric of several blocks: every replicate draws as many values as there are, and any value can come."""
     monkeypatch.setattr(groups, "SLICE_VALUES", 4)
