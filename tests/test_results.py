@@ -128,6 +128,26 @@ def test_hierarchical_bootstrap_of_small_samples_takes_no_slices(spark, monkeypa
         assert got[high] - got[low] == pytest.approx(b - a, rel=0.08) and (got[high] + got[low]) / 2 == pytest.approx((a + b) / 2, abs=0.06 * (b - a))
 
 
+def test_steps_and_paths_to_the_last_bit(spark):
+    """Steps by squares and paths in the order of frames, bit by bit: equal recordings tie in ranks, in bins as in SQL."""
+    rng = np.random.default_rng(5)
+    shifts = {f"r{i}": rng.integers(-500, 500, (60, 2)) / 1000 * 0.26 for i in range(40)}
+    data = [(r, k + 1, float(x), float(y), 1.0, 0.26, k >= 10, False) for r, xy in shifts.items() for k, (x, y) in enumerate(xy)]
+    frames = rows(spark, data, "recording string, frame int, dx_um double, dy_um double, fps double, px_um double, post boolean, reposition boolean")
+    steps = series.step_size(frames)
+    want = {r: [0.0] + [math.sqrt(x * x + y * y) for x, y in np.diff(xy, axis=0)] for r, xy in shifts.items()}
+    assert {(r["recording"], r["frame"]): r["step_um"] for r in steps.collect()} == {(r, k + 1): v for r, s in want.items() for k, v in enumerate(s)}
+    got = series.post_settle_stats(steps, 1, 1, 0.1, 2, 5).collect()
+    assert {r["recording"]: r["cum_path_ps"] for r in got} == {r: sum_in_order(s[10:]) for r, s in want.items()}
+
+
+def sum_in_order(values):
+    total = 0.0
+    for v in values:
+        total += v
+    return total
+
+
 def test_draws_are_shared_out_among_blocks(spark, monkeypatch):
     """A metric of several blocks: every replicate draws as many values as there are, and any value can come."""
     monkeypatch.setattr(groups, "SLICE_VALUES", 4)
