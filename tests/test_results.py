@@ -148,6 +148,28 @@ def sum_in_order(values):
     return total
 
 
+def test_synchrony_of_a_half_is_not_above_it(spark, tmp_path):
+    """Discounts whose mean is 0.05, added in any order."""
+    from motionspark.jobs import group_queries
+
+    rng = np.random.default_rng(2)
+    lines = [("F", s, 1, "N", 9.0, float(d), 0.01) for s in range(1, 13) for d in rng.permutation([k / 100 for k in range(11)] * 7)]
+    path = f"{tmp_path}/lineitem.parquet"
+    rows(spark, lines, "l_linestatus string, l_suppkey long, l_linenumber int, l_returnflag string, l_quantity double, l_discount double, l_tax double").repartition(7).write.parquet(path)
+    assert {r["synchrony"] for r in group_queries.refined(spark, str(tmp_path)).collect()} == {0.5}
+    assert group_queries.QUERIES["st10_sample_quality_counts"](spark, str(tmp_path)).first()["n_high_synchrony"] == 0
+
+
+def test_motion_quality_counts_judge_every_recording(spark, tmp_path):
+    """Recordings by the quality that their frames give; no other table is read."""
+    from motionspark.jobs import group_queries
+
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").write.parquet(f"{tmp_path}/events.parquet")
+    got = group_queries.QUERIES["st10_motion_quality_counts"](spark, str(tmp_path)).collect()
+    users = spark.read.parquet(f"{tmp_path}/events.parquet").select("user_id").distinct().count()
+    assert sum(r["good"] + r["high_motion"] + r["spiky"] for r in got) == users and {r["group"] for r in got} == {"control", "experimental"}
+
+
 def test_draws_are_shared_out_among_blocks(spark, monkeypatch):
     """A metric of several blocks: every replicate draws as many values as there are, and any value can come."""
     monkeypatch.setattr(groups, "SLICE_VALUES", 4)
