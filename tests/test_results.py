@@ -170,6 +170,15 @@ def test_motion_quality_counts_judge_every_recording(spark, tmp_path):
     assert sum(r["good"] + r["high_motion"] + r["spiky"] for r in got) == users and {r["group"] for r in got} == {"control", "experimental"}
 
 
+def test_equal_samples_tie(spark):
+    """The same prices in any order and partition: one mean, so the rank correlation has its ties."""
+    rng = np.random.default_rng(6)
+    prices = np.round(rng.random(300) * 1e5, 2)
+    values = [("price", "F", s, float(v)) for s in range(20) for v in rng.permutation(prices)]
+    long = rows(spark, values, "metric string, condition string, sample long, value double").repartition(9)
+    assert {r["mean"] for r in groups.sample_means(long).collect()} == {math.fsum(prices) / 300}
+
+
 def test_draws_are_shared_out_among_blocks(spark, monkeypatch):
     """A metric of several blocks: every replicate draws as many values as there are, and any value can come."""
     monkeypatch.setattr(groups, "SLICE_VALUES", 4)
