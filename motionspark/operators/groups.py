@@ -41,9 +41,23 @@ def running_counts(counted: DataFrame, keys: list[str], order: str, columns: lis
     return joined.select(*counted.columns, *[(F.sum(c).over(inside) + F.col(f"_b_{c}")).alias(f"{c}_upto") for c in columns])
 
 
-def percentiles(long: DataFrame, keys: list[str], wanted: dict[str, float], value: str = "value") -> DataFrame:
-    """Percentiles at midpoint positions for each key, from counts of different values."""
-    counted = long.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+def counted_values(long: DataFrame) -> DataFrame:
+    """metric, condition, value and n: how often each known value comes. Written once, for what asks for several statistics."""
+    return checkpointed(long.filter("value is not null").groupBy("metric", "condition", "value").agg(F.count("*").alias("n")))
+
+
+def counted_moments(counted: DataFrame) -> DataFrame:
+    """n, mean and variance of each metric and condition of ``counted_values``."""
+    n, keys = F.col("n"), ["metric", "condition"]
+    means = counted.groupBy(*keys).agg((F.sum(n * F.col("value")) / F.sum(n)).alias("mean"))
+    gap = F.col("value") - F.col("mean")
+    got = counted.join(F.broadcast(means), keys).groupBy(*keys, "mean").agg(F.sum("n").alias("n"), F.sum(n * gap * gap).alias("_ss"))
+    return got.select(*keys, "n", "mean", F.when(n == 1, 0.0).otherwise(F.try_divide("_ss", n - 1)).alias("var"))
+
+
+def percentiles(long: DataFrame, keys: list[str], wanted: dict[str, float], value: str = "value", times: str | None = None) -> DataFrame:
+    """Percentiles at midpoint positions for each key, from counts of different values; a row stands for ``times`` values."""
+    counted = long.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(times) if times else F.count("*")).alias("_n"))
     upto = running_counts(counted, keys, value, ["_n"])
     sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_all"))
     both = upto.join(sizes, keys)
@@ -53,16 +67,23 @@ def percentiles(long: DataFrame, keys: list[str], wanted: dict[str, float], valu
     return got.select(*keys, *[(F.col(f"_a_{k}") + (place(p) - F.floor(place(p))) * (F.col(f"_b_{k}") - F.col(f"_a_{k}"))).alias(k) for k, p in wanted.items()])
 
 
-def describe(long: DataFrame) -> DataFrame:
-    """n, mean, median, sd, sem and iqr of each metric and condition."""
+def describe(long: DataFrame, counted: bool = False) -> DataFrame:
+    """n, mean, median, sd, sem and iqr of each metric and condition; ``long`` may be ``counted`` values."""
     known = long.filter("value is not null")
-    moments = known.groupBy("metric", "condition").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), sample_std(F.col("value")).alias("sd"))
-    pct = percentiles(known, ["metric", "condition"], {"q1": 25, "median": 50, "q3": 75})
+    if counted:
+        moments = counted_moments(long).withColumn("sd", F.sqrt("var")).drop("var")
+    else:
+        moments = known.groupBy("metric", "condition").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), sample_std(F.col("value")).alias("sd"))
+    pct = percentiles(known, ["metric", "condition"], {"q1": 25, "median": 50, "q3": 75}, times="n" if counted else None)
     return moments.join(pct, ["metric", "condition"]).select("metric", "condition", "n", "mean", "median", "sd", (F.col("sd") / F.sqrt(F.col("n").cast("double"))).alias("sem"), (F.col("q3") - F.col("q1")).alias("iqr"))
 
 
-def moments(long: DataFrame, first: str, second: str) -> DataFrame:
-    """n1, m1, v1, n2, m2, v2 of each metric: count, mean and variance of the two conditions."""
+def moments(long: DataFrame, first: str, second: str, counted: bool = False) -> DataFrame:
+    """n1, m1, v1, n2, m2, v2 of each metric: count, mean and variance of the two conditions; ``long`` may be ``counted`` values."""
+    if counted:
+        of = lambda c, name: F.max(F.when(F.col("condition") == name, F.col(c)))
+        n = lambda name: F.coalesce(of("n", name), F.lit(0))
+        return counted_moments(long).groupBy("metric").agg(n(first).alias("n1"), of("mean", first).alias("m1"), of("var", first).alias("v1"), n(second).alias("n2"), of("mean", second).alias("m2"), of("var", second).alias("v2"))
     x = lambda c: F.when(F.col("condition") == c, F.col("value"))
     spread = lambda c: F.coalesce(F.var_samp(x(c)), F.when(F.count(x(c)) == 1, 0.0))
     return long.groupBy("metric").agg(F.count(x(first)).alias("n1"), F.avg(x(first)).alias("m1"), spread(first).alias("v1"), F.count(x(second)).alias("n2"), F.avg(x(second)).alias("m2"), spread(second).alias("v2"))
@@ -101,10 +122,11 @@ def cohens_d(m: DataFrame) -> DataFrame:
     return m.select("metric", F.when(pooled > 0, (F.col("m1") - F.col("m2")) / pooled).otherwise(0.0).alias("cohens_d"))
 
 
-def rank_sums(long: DataFrame, first: str, second: str) -> DataFrame:
+def rank_sums(long: DataFrame, first: str, second: str, counted: bool = False) -> DataFrame:
     """n1, n2, U of the first condition and the tie term of each metric, from counts of different values; of small metrics
-    also the sizes of their blocks of equal values in order (``blocks``)."""
-    x = lambda c: F.count_if(F.col("condition") == c)
+    also the sizes of their blocks of equal values in order (``blocks``). ``long`` may be ``counted`` values."""
+    times = F.col("n") if counted else F.lit(1)
+    x = lambda c: F.sum(F.when(F.col("condition") == c, times).otherwise(0)).cast("long")
     counted = checkpointed(long.filter(F.col("value").isNotNull()).groupBy("metric", "value").agg(x(first).alias("a"), x(second).alias("b")))
     upto = running_counts(counted, ["metric"], "value", ["b"])
     t = (F.col("a") + F.col("b")).cast("double")
@@ -402,9 +424,11 @@ def ecdf(long: DataFrame) -> DataFrame:
 
 
 def box_stats(long: DataFrame) -> DataFrame:
-    """Quartiles, the upper fence Q3 + 1.5 IQR and the values above it."""
-    q = percentiles(long, ["metric", "condition"], {"q1": 25, "median": 50, "q3": 75}).withColumn("fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    return long.join(q, ["metric", "condition"]).groupBy("metric", "condition", "q1", "median", "q3", "fence").agg(F.count_if(F.col("value") > F.col("fence")).alias("n_outliers"))
+    """Quartiles, the upper fence Q3 + 1.5 IQR and the number of values above it, from one count of the different values."""
+    counted = counted_values(long)
+    q = percentiles(counted, ["metric", "condition"], {"q1": 25, "median": 50, "q3": 75}, times="n").withColumn("fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
+    above = F.sum(F.when(F.col("value") > F.col("fence"), F.col("n")).otherwise(0)).cast("long")
+    return counted.join(q, ["metric", "condition"]).groupBy("metric", "condition", "q1", "median", "q3", "fence").agg(above.alias("n_outliers"))
 
 
 def places(df: DataFrame, order: list, name: str) -> DataFrame:

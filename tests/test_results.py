@@ -179,6 +179,25 @@ def test_equal_samples_tie(spark):
     assert {r["mean"] for r in groups.sample_means(long).collect()} == {math.fsum(prices) / 300}
 
 
+def test_counted_values_serve_every_statistic(spark, monkeypatch):
+    """Box statistics and comparisons write counts of different values, never all rows."""
+    written, whole = [], groups.checkpointed
+
+    def seen(df):
+        out = whole(df)
+        written.append(out.count())
+        return out
+
+    values = [("m", c, s, float(v % 7)) for c, n in (("x", 700), ("y", 560)) for s in range(2) for v in range(n)]
+    long = rows(spark, values, "metric string, condition string, sample int, value double")
+    plain, counted = groups.moments(long, "x", "y").first(), groups.moments(groups.counted_values(long), "x", "y", counted=True).first()
+    assert tuple(plain)[1:] == pytest.approx(tuple(counted)[1:]) and tuple(groups.rank_sums(long, "x", "y").first())[:5] == tuple(groups.rank_sums(groups.counted_values(long), "x", "y", counted=True).first())[:5]
+    for module in (groups, tables):
+        monkeypatch.setattr(module, "checkpointed", seen)
+    assert {r["n_outliers"] for r in groups.box_stats(long).collect()} == {0} and tables.compare_conditions(long, "x", "y").first()["n1"] == 1400
+    assert max(written) <= 14
+
+
 def test_draws_are_shared_out_among_blocks(spark, monkeypatch):
     """A metric of several blocks: every replicate draws as many values as there are, and any value can come."""
     monkeypatch.setattr(groups, "SLICE_VALUES", 4)
