@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,3 +258,33 @@ def test_zero_roi_diagnostics_only_without_regions(spark):
         "n_rois": "0", "cn_median": f"{stats['cn_median']:.4f}", "cn_range": f"{stats['cn_range']:.4f}", "cn_max": f"{stats['cn_max']:.4f}", "pnr_median": f"{stats['pnr_median']:.2f}", "pnr_max": f"{stats['pnr_max']:.2f}", "min_pnr_thresh": "1.5",
         "min_corr_thresh": "0.00", "min_area": "5", "max_area": "20", "n_seeds": str(seeds), "data_quality": stats["data_quality"], "gSig": "1",
     }
+
+
+def test_many_recordings_share_a_call(spark):
+    """Recordings cut by Arrow batches stay whole, and none costs a call of its own."""
+    n = [1, 7, 40, 40, 3, 120, 40, 2]
+    rows = [(f"r{k}", i + 1, float((i * 7 + k) % 11) if (i + k) % 5 else None, 1.0) for k, m in enumerate(n) for i in range(m)]
+    df = spark.createDataFrame(rows, "recording string, frame int, step_um double, fps double")
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {}
+    try:
+        for size in (16, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            calls = series.whole_series(df.coalesce(1), lambda p: pd.DataFrame({"n": [len(p)], "series": [p["recording"].nunique()]}), "n int, series int").collect()
+            assert sum(r["n"] for r in calls) == sum(n) and sum(r["series"] for r in calls) == len(n)
+            got[size] = sorted(map(tuple, series.psd(df, 32, 8).collect())), sorted(map(tuple, series.rolling_median(df, ["step_um"], 5).select("recording", "frame", "step_um_s").collect())), sorted(map(tuple, series.auto_settle(df, 6.0, 5, 3).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert got[16] == got[10_000] and len(calls) <= 8
+    x = pd.Series([r[2] for r in rows if r[0] == "r5"], dtype=float)
+    assert [r[2] for r in got[16][1] if r[0] == "r5"] == x.rolling(5, center=True, min_periods=1).median().tolist()
+    assert np.allclose([r[3] for r in got[16][0] if r[0] == "r5"], series.welch(x.to_numpy(), 1.0, 32, 8)[1])
+
+
+def test_peak_and_bands_are_those_of_the_lines(spark):
+    df = spark.createDataFrame([(f"r{k}", i + 1, float((i * i + k) % 13), 1.0) for k in range(3) for i in range(64)], "recording string, frame int, step_um double, fps double")
+    bands = {"low": (0.0, 0.1), "high": (0.1, 0.5)}
+    lines = series.spectra(df, 32, 8)
+    both = series.dominant_peak(series.psd(df, 32, 8)).join(series.band_power(series.psd(df, 32, 8), bands), "recording").orderBy("recording").collect()
+    for a, b in zip(both, series.peak_and_bands(lines, bands).orderBy("recording").collect(), strict=True):
+        assert a["recording"] == b["recording"] and all(abs(a[c] - b[c]) < 1e-9 for c in ("dom_f", "dom_p", "dom_period_min", "frac_low", "frac_high"))
