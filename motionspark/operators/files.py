@@ -25,10 +25,12 @@ def read_shifts(spark: SparkSession, path: str, px_um: float = 0.26, fps: float
     return rows if include_cropped else rows.filter(~F.lower("recording").contains("cropped"))
 
 
-def write_shifts(frames: DataFrame, path: str) -> None:
+def write_shifts(frames: DataFrame, path: str, folders: bool = True) -> None:
     """Shifts as CSV files in a folder for each recording (``recording=...``), which ``read_shifts`` reads with
-    ``glob="*.csv"``. One shuffle by recording."""
-    frames.repartition("recording").write.partitionBy("recording").option("header", True).csv(path)
+    ``glob="*.csv"``; without ``folders`` a file holds many whole recordings, named in a column, so the number of files does not grow
+    with theirs. One shuffle by recording."""
+    writer = frames.repartition("recording").write.option("header", True)
+    (writer.partitionBy("recording") if folders else writer).csv(path)
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:

@@ -47,3 +47,22 @@ def test_reasons(spark):
 def test_severity(spark):
     got = spark.createDataFrame([(0.6,), (0.4,), (0.2,), (0.1,), (None,)], "s double").select(traces.neuropil_severity(F.col("s"))).collect()
     assert [r[0] for r in got] == ["SEVERE", "HIGH", "MILD", "LOW", None]
+
+
+def test_shifts_of_many_recordings_take_few_files(spark, tmp_path):
+    data = [(f"r{k}", i, k + i / 2 if i % 3 else None, float(-i)) for k in range(60) for i in range(1, 8)]
+    f = spark.createDataFrame(data, "recording string, frame int, dx_px double, dy_px double")
+    files.write_shifts(f, str(tmp_path / "x"), folders=False)
+    assert len(list((tmp_path / "x").rglob("*.csv"))) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = files.read_shifts(spark, str(tmp_path / "x"), px_um=1.0, glob="*.csv").select("recording", "frame", "dx_um", "dy_um")
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[:2]) == sorted(data, key=lambda r: r[:2])
+
+
+def test_judged_recordings_are_written_once_for_their_tables(spark, monkeypatch):
+    from motionspark.jobs import group_queries
+
+    seen = []
+    real = group_queries.checkpointed
+    monkeypatch.setattr(group_queries, "checkpointed", lambda df: seen.append(df.columns) or real(df))
+    assert group_queries.QUERIES["io03_read_motion_tables"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(seen) == 1 and "roi_eligible" in seen[0]
