@@ -141,6 +141,21 @@ def test_steps_and_paths_to_the_last_bit(spark):
     assert {r["recording"]: r["cum_path_ps"] for r in got} == {r: sum_in_order(s[10:]) for r, s in want.items()}
 
 
+def test_angles_at_the_edge_of_a_sector(spark):
+    """An angle that a rounding error keeps from 90, 180 or 270 degrees is in the sector that begins there, as in SQL."""
+    angles = rows(spark, [(math.degrees(math.atan2(y, x)),) for x, y in ((1.1102230246251565e-16, 0.533), (-0.020020000000000093, 1.3877787807814457e-17), (-1e-17, -0.2), (0.3, -1e-17))], "angle double")
+    assert {r["sector"]: r["n"] for r in series.angle_histogram(angles, "angle").collect()} == {3: 1, 6: 1, 9: 1, 0: 1}
+
+
+def test_drift_angles_to_the_last_bit(spark):
+    """As atan2 of the C library gives them; without a shift there is none."""
+    rng = np.random.default_rng(6)
+    ends = {f"r{i}": (float(x), float(y)) for i, (x, y) in enumerate([*(rng.integers(-500, 500, (300, 2)) / 1000 * 0.26), (-2.220446049250313e-16, -0.4706)])}
+    data = [(r, k, a, b, 1.0) for r, (x, y) in ends.items() for k, a, b in ((1, 0.0, 0.0), (9, x, y))] + [("lost", 1, 0.0, 0.0, 1.0), ("lost", 9, None, None, 1.0)]
+    got = {r["recording"]: r["drift_angle"] for r in series.net_drift(rows(spark, data, "recording string, frame int, dx_um double, dy_um double, fps double"), 3).collect()}
+    assert got == {r: math.degrees(math.atan2(y, x)) for r, (x, y) in ends.items()} | {"lost": None}
+
+
 def sum_in_order(values):
     total = 0.0
     for v in values:
