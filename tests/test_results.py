@@ -156,6 +156,15 @@ def test_drift_angles_to_the_last_bit(spark):
     assert got == {r: math.degrees(math.atan2(y, x)) for r, (x, y) in ends.items()} | {"lost": None}
 
 
+def test_lilliefors_far_from_the_middle(spark):
+    """Values of more than 14 deviations, for which the sum of 120 odd powers in the query's SQL is too short."""
+    x = np.append(np.random.default_rng(7).normal(size=2000), [400.0, 500.0])
+    got = groups.lilliefors(rows(spark, [("m", "c", float(v)) for v in x], "metric string, condition string, value double")).first()
+    z = (np.sort(x) - x.mean()) / x.std(ddof=1)
+    f, place = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in z]), np.arange(len(x))
+    assert z[-1] > 14 and got["d"] == pytest.approx(np.maximum((place + 1) / len(x) - f, f - place / len(x)).max(), abs=1e-12)
+
+
 def sum_in_order(values):
     total = 0.0
     for v in values:
