@@ -23,10 +23,11 @@ from motionspark.runtime import checkpointed, dealt_out, ship_package
 SLICES, MOST_SLICES, SLICE_ROWS = 32, 4096, 100_000
 
 
-def running_counts(counted: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
+def running_counts(counted: DataFrame, keys: list[str], order: str, columns: list[str], written: bool = False) -> DataFrame:
     """``counted`` with ``<column>_upto``: the sum of the column over all rows of the key up to the row's value. ``counted``
-    has one row for each key and value; it is written once, and the largest key's number of values sets the number of slices."""
-    counted = checkpointed(counted)
+    has one row for each key and value; it is written once, unless it is ``written``, and the largest key's number of values sets the
+    number of slices."""
+    counted = counted if written else checkpointed(counted)
     most = counted.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     slices = min(MOST_SLICES, max(SLICES, -(-most // SLICE_ROWS)))
     cuts = [k / slices for k in range(1, slices)]
@@ -57,8 +58,8 @@ def counted_moments(counted: DataFrame) -> DataFrame:
 
 def percentiles(long: DataFrame, keys: list[str], wanted: dict[str, float], value: str = "value", times: str | None = None) -> DataFrame:
     """Percentiles at midpoint positions for each key, from counts of different values; a row stands for ``times`` values."""
-    counted = long.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(times) if times else F.count("*")).alias("_n"))
-    upto = running_counts(counted, keys, value, ["_n"])
+    counted = checkpointed(long.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(times) if times else F.count("*")).alias("_n")))
+    upto = running_counts(counted, keys, value, ["_n"], written=True)
     sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_all"))
     both = upto.join(sizes, keys)
     place = lambda p: F.greatest(F.lit(1.0), F.least(F.col("_all").cast("double"), F.col("_all") * F.lit(p / 100) + 0.5))
@@ -128,7 +129,7 @@ def rank_sums(long: DataFrame, first: str, second: str, counted: bool = False) -
     times = F.col("n") if counted else F.lit(1)
     x = lambda c: F.sum(F.when(F.col("condition") == c, times).otherwise(0)).cast("long")
     counted = checkpointed(long.filter(F.col("value").isNotNull()).groupBy("metric", "value").agg(x(first).alias("a"), x(second).alias("b")))
-    upto = running_counts(counted, ["metric"], "value", ["b"])
+    upto = running_counts(counted, ["metric"], "value", ["b"], written=True)
     t = (F.col("a") + F.col("b")).cast("double")
     whole = upto.groupBy("metric").agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * (F.col("b_upto") - F.col("b") / 2.0)).alias("u"), F.sum(t * t * t - t).alias("ties"))
     small = whole.filter(F.col("n1") + F.col("n2") <= EXACT_VALUES).select("metric")
@@ -208,41 +209,75 @@ def sample_means(long: DataFrame) -> DataFrame:
     return long.filter("value is not null").groupBy("metric", "condition", "sample").agg(n.alias("n"), (steady_sum(value) / n).alias("mean"))
 
 
-#: Different values of a slice that one task draws from, slices of a block, and replicates that are drawn at once.
-SLICE_VALUES, BLOCK_SLICES, CHUNK = 1000, 256, 500
+#: Different values of a slice that one task draws from, slices of a block, replicates that are dealt together, and replicates whose
+#: numbers are held at once for a slice.
+SLICE_VALUES, BLOCK_SLICES, CHUNK, HELD = 1000, 256, 500, 50
+
+#: Draws a different value from which counting the draws of each value is quicker than drawing one by one.
+DRAWS_A_VALUE = 12
 
 
 def stable_hash(*parts) -> int:
     return zlib.crc32("|".join(map(str, parts)).encode())
 
 
+def drawn_counts(rng, k: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """[replicates, parts]: how many of ``k`` draws with replacement fall to each part, which has ``n`` values."""
+    total, shape = n.sum(), (len(k), len(n))
+    if not total:
+        return np.zeros(shape, np.int64)
+    if max(total, k.mean()) > DRAWS_A_VALUE * len(n) or total > 2**16:
+        return rng.multinomial(k, n / total)
+    place = np.repeat(np.arange(len(n)), n)[rng.integers(0, total, k.sum(), dtype=np.uint16)]
+    return np.bincount(place + np.repeat(np.arange(len(k)) * len(n), k), minlength=len(k) * len(n)).reshape(shape)
+
+
 def shared_out(rng, k1: np.ndarray, k2: np.ndarray, a: np.ndarray, b: np.ndarray, shuffle_labels: bool) -> tuple[np.ndarray, np.ndarray]:
     """[replicates, parts]: how many of each replicate's ``k1`` and ``k2`` draws fall to each part, of which ``a`` and ``b`` values are
     of the two conditions."""
     if shuffle_labels:
-        c1 = np.array([rng.multivariate_hypergeometric(a + b, k, method="marginals") for k in k1])
+        method = "count" if (a + b).sum() <= DRAWS_A_VALUE * len(a) else "marginals"
+        c1 = np.array([rng.multivariate_hypergeometric(a + b, k, method=method) for k in k1])
         return c1, a + b - c1
-    return tuple(rng.multinomial(k, n / n.sum()) if n.sum() else np.zeros((len(k), len(n)), np.int64) for k, n in ((k1, a), (k2, b)))
+    return drawn_counts(rng, k1, a), drawn_counts(rng, k2, b)
+
+
+def slice_sums(rng, x: np.ndarray, a: np.ndarray, b: np.ndarray, k1: np.ndarray, k2: np.ndarray, shuffle_labels: bool, pairs: bool) -> np.ndarray:
+    """[3, replicates]: the sums of both conditions' draws from the values ``x`` of a slice and, with ``pairs``, the pairs in which the
+    first is greater, ties as halves. ``HELD`` replicates are drawn at a time, so their numbers stay in the processor's cache."""
+    out = np.zeros((3, len(k1)))
+    for i in range(0, len(k1), HELD):
+        c1, c2 = (c.astype(float) for c in shared_out(rng, k1[i : i + HELD], k2[i : i + HELD], a, b, shuffle_labels))
+        out[0, i : i + HELD], out[1, i : i + HELD] = c1 @ x, c2 @ x
+        if pairs:
+            out[2, i : i + HELD] = np.einsum("ij,ij->i", c1, np.cumsum(c2, axis=1) - c2 / 2)
+    return out
 
 
 def value_slices(means: DataFrame, first: str, second: str, value: str) -> DataFrame:
-    """metric, block, slice, items (value, a, b: how often each condition has it), a and b of each slice of ``SLICE_VALUES`` different values."""
-    of = lambda c: F.count_if(F.col("condition") == c).cast("long")
+    """metric, block, slice, x, xa and xb (its different values and how often each condition has them), a and b of each slice of
+    ``SLICE_VALUES`` different values. A row stands for ``n`` values if ``means`` has that column."""
+    n = F.col("n") if value != "mean" and "n" in means.columns else F.lit(1)
+    of = lambda c: F.sum(F.when(F.col("condition") == c, n).otherwise(0)).cast("long")
     known = means.filter(F.col(value).isNotNull() & F.col("condition").isin(first, second))
     counted = known.groupBy("metric", F.col(value).cast("double").alias("value")).agg(of(first).alias("a"), of(second).alias("b")).withColumn("one", F.lit(1))
     placed = running_counts(counted, ["metric"], "value", ["one"]).withColumn("slice", F.floor((F.col("one_upto") - 1) / SLICE_VALUES).cast("int"))
     slices = placed.groupBy("metric", "slice").agg(F.array_sort(F.collect_list(F.struct("value", "a", "b"))).alias("items"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    of_items = lambda c: F.transform("items", lambda i: i[c])
+    slices = slices.select("metric", "slice", of_items("value").alias("x"), of_items("a").alias("xa"), of_items("b").alias("xb"), "a", "b")
     return checkpointed(slices.withColumn("block", F.floor(F.col("slice") / BLOCK_SLICES).cast("int")))
 
 
-def replicate_sums(means: DataFrame, first: str, second: str, replicates: int, seed: int, shuffle_labels: bool = False, value: str = "mean", times: DataFrame | None = None) -> DataFrame:
+def replicate_sums(means: DataFrame, first: str, second: str, replicates: int, seed: int, shuffle_labels: bool = False, value: str = "mean", times: DataFrame | None = None, pairs: bool = True, added: bool = False) -> DataFrame:
     """metric, replicate, slice and, of what a replicate drew there, w1 and s1 (number and sum for the first condition), w2
     and s2 (for the second) and u (pairs in which the first is greater, ties as halves). Values are drawn with
     replacement within their condition, or, with ``shuffle_labels``, the conditions are dealt anew. Each metric's values
     are counted and dealt into slices of ``SLICE_VALUES`` different ones, and slices into blocks of ``BLOCK_SLICES``; a replicate's
     draws are shared out among the blocks, those of a block among its slices, and those of a slice among its values, each
     in tasks of their own (multinomial or hypergeometric), which together is the same as drawing from all values. No task
-    holds more than one block's numbers at a time. Replicates have their own seeds, whatever the partitions.
+    holds more than one block's numbers at a time. Replicates have their own seeds, whatever the partitions. With ``added`` a task
+    adds its slices, and the result has metric, replicate, w1, s1, w2, s2 and u, which are still to be summed; u then counts all pairs
+    with the first in the task's slices (0 without ``pairs``), for a slice is sent with the draws of the second that lie below it.
 
     ``times`` (metric, chunk, times: an array over the chunk's replicates) says how many times over a replicate draws as many
     values as the metric has, in place of once. Then the result is metric, chunk, slice, w and s of the first condition alone,
@@ -261,9 +296,9 @@ def replicate_sums(means: DataFrame, first: str, second: str, replicates: int, s
         for pdf in batches:
             n = [min(CHUNK, replicates - c * CHUNK) for c in pdf["chunk"]]
             t = [np.ones(k, np.int64) if x is None else np.array(x) for x, k in zip(pdf["times"], n, strict=True)]
-            yield pd.DataFrame({"metric": pdf["metric"], "chunk": pdf["chunk"], "part": 0, "k1": [(x * a).tolist() for x, a in zip(t, pdf["a"], strict=True)], "k2": [(x * b).tolist() for x, b in zip(t, pdf["b"], strict=True)]})
+            yield pd.DataFrame({"metric": pdf["metric"], "chunk": pdf["chunk"], "part": 0, "k1": [(x * a).tolist() for x, a in zip(t, pdf["a"], strict=True)], "k2": [(x * b).tolist() for x, b in zip(t, pdf["b"], strict=True)], "below": [[0] * k for k in n]})
 
-    numbers = "metric string, chunk int, part int, k1 array<long>, k2 array<long>"
+    numbers = "metric string, chunk int, part int, k1 array<long>, k2 array<long>, below array<long>"
     held = chunks.select("metric", "chunk", "times", "a", "b").mapInPandas(start, numbers)
 
     def spread(level: int):
@@ -273,7 +308,8 @@ def replicate_sums(means: DataFrame, first: str, second: str, replicates: int, s
                     rng = np.random.default_rng((seed, level, stable_hash(r.metric), r.chunk, r.part))
                     a, b = (np.array([x[k] for x in r.parts], np.int64) for k in ("a", "b"))
                     c1, c2 = shared_out(rng, np.array(r.k1), np.array(r.k2), a, b, shuffle_labels)
-                    yield pd.DataFrame({"metric": r.metric, "chunk": r.chunk, "part": [x["part"] for x in r.parts], "k1": c1.T.tolist(), "k2": c2.T.tolist()})
+                    below = np.array(r.below)[:, None] + np.cumsum(c2, axis=1) - c2
+                    yield pd.DataFrame({"metric": r.metric, "chunk": r.chunk, "part": [x["part"] for x in r.parts], "k1": list(c1.T), "k2": list(c2.T), "below": list(below.T)})
 
         return run
 
@@ -281,25 +317,31 @@ def replicate_sums(means: DataFrame, first: str, second: str, replicates: int, s
         of_metric = blocks.groupBy("metric").agg(parts("block"))
         held = dealt_out(held.join(of_metric, "metric"), "metric", "chunk").mapInPandas(spread(1), numbers)
     of_block = slices.groupBy("metric", F.col("block").alias("part")).agg(parts("slice"))
-    held = dealt_out(held.join(of_block, ["metric", "part"]).select("metric", "chunk", "part", "k1", "k2", "parts"), "metric", "chunk", "part").mapInPandas(spread(2), numbers)
+    held = dealt_out(held.join(of_block, ["metric", "part"]).select("metric", "chunk", "part", "k1", "k2", "below", "parts"), "metric", "chunk", "part").mapInPandas(spread(2), numbers)
+
+    def drawn(r):
+        rng = np.random.default_rng((seed, 3, stable_hash(r.metric), r.chunk, r.slice))
+        k1, k2 = np.array(r.k1), np.array(r.k2)
+        return k1, k2, *slice_sums(rng, np.array(r.x), np.array(r.xa), np.array(r.xb), k1, k2, shuffle_labels, pairs and not arrays)
 
     def draw(batches):
         for pdf in batches:
+            total = {}
             for r in pdf.itertuples():
-                rng = np.random.default_rng((seed, 3, stable_hash(r.metric), r.chunk, r.slice))
-                x = np.array([i["value"] for i in r.items])
-                a, b = (np.array([i[k] for i in r.items], np.int64) for k in ("a", "b"))
-                k1, k2 = np.array(r.k1), np.array(r.k2)
-                c1, c2 = shared_out(rng, k1, k2, a, b, shuffle_labels)
+                k1, k2, s1, s2, u = drawn(r)
                 if arrays:
-                    yield pd.DataFrame({"metric": [r.metric], "chunk": [r.chunk], "slice": [r.slice], "w": [k1.astype(float).tolist()], "s": [(c1 @ x).tolist()]})
-                    continue
-                u = (c1 * (np.cumsum(c2, axis=1) - c2 / 2)).sum(1)
-                yield pd.DataFrame({"metric": r.metric, "replicate": r.chunk * CHUNK + np.arange(len(k1)), "slice": r.slice, "w1": k1, "s1": c1 @ x, "w2": k2, "s2": c2 @ x, "u": u})
+                    yield pd.DataFrame({"metric": [r.metric], "chunk": [r.chunk], "slice": [r.slice], "w": [k1.astype(float).tolist()], "s": [s1.tolist()]})
+                elif added:
+                    held = total.setdefault((r.metric, r.chunk), np.zeros((5, len(k1))))
+                    held += k1, s1, k2, s2, u + k1 * np.array(r.below) if pairs else u
+                else:
+                    yield pd.DataFrame({"metric": r.metric, "replicate": r.chunk * CHUNK + np.arange(len(k1)), "slice": r.slice, "w1": k1, "s1": s1, "w2": k2, "s2": s2, "u": u})
+            for (metric, chunk), (w1, s1, w2, s2, u) in total.items():
+                yield pd.DataFrame({"metric": metric, "replicate": chunk * CHUNK + np.arange(len(w1)), "w1": w1.astype(np.int64), "s1": s1, "w2": w2.astype(np.int64), "s2": s2, "u": u})
 
-    both = dealt_out(slices.select("metric", "slice", "items").join(held.withColumnRenamed("part", "slice"), ["metric", "slice"]), "metric", "slice", "chunk")
-    schema = "metric string, chunk int, slice int, w array<double>, s array<double>" if arrays else "metric string, replicate int, slice int, w1 long, s1 double, w2 long, s2 double, u double"
-    return both.select("metric", "slice", "chunk", "items", "k1", "k2").mapInPandas(draw, schema)
+    both = dealt_out(slices.select("metric", "slice", "x", "xa", "xb").join(held.withColumnRenamed("part", "slice"), ["metric", "slice"]), "metric", "slice", "chunk")
+    schema = "metric string, chunk int, slice int, w array<double>, s array<double>" if arrays else f"metric string, replicate int, {'' if added else 'slice int, '}w1 long, s1 double, w2 long, s2 double, u double"
+    return both.select("metric", "slice", "chunk", "x", "xa", "xb", "k1", "k2", "below").mapInPandas(draw, schema)
 
 
 def replicate_differences(sums: DataFrame) -> DataFrame:
@@ -311,7 +353,7 @@ def replicate_differences(sums: DataFrame) -> DataFrame:
 
 def bootstrap_mean_diff(means: DataFrame, first: str, second: str, replicates: int = 10_000, seed: int = 42) -> DataFrame:
     """Percentile interval of the difference of means (second minus first) of resampled samples."""
-    rows = replicate_differences(replicate_sums(means, first, second, replicates, seed))
+    rows = replicate_differences(replicate_sums(means, first, second, replicates, seed, pairs=False, added=True))
     return percentiles(rows, ["metric"], {"ci_low": 2.5, "ci_high": 97.5})
 
 
@@ -320,7 +362,7 @@ def permutation_test(means: DataFrame, first: str, second: str, replicates: int
     share of replicates at least as far from zero as the difference itself."""
     x = lambda c: F.avg(F.when(F.col("condition") == c, F.col("mean")))
     seen = means.groupBy("metric").agg((x(second) - x(first)).alias("seen"))
-    rows = replicate_differences(replicate_sums(means, first, second, replicates, seed, shuffle_labels=True)).join(seen, "metric")
+    rows = replicate_differences(replicate_sums(means, first, second, replicates, seed, shuffle_labels=True, pairs=False, added=True)).join(seen, "metric")
     hit = F.count_if(F.abs("value") >= F.abs("seen") - 1e-9)
     p = hit / F.count("*") if plain else (hit + 1) / (F.count("*") + 1)
     return rows.groupBy("metric").agg(F.when(F.first("seen").isNotNull(), p).alias("p_permutation"))
@@ -333,21 +375,20 @@ def delta_of(x: np.ndarray, y: np.ndarray) -> float:
 
 def bootstrap_effect(means: DataFrame, first: str, second: str, replicates: int = 2000, seed: int = 42, value: str = "mean") -> DataFrame:
     """Percentile interval of Cliff's delta of two resampled conditions, for the column ``value``: means of samples, or
-    the values themselves."""
-    sums = replicate_sums(means, first, second, replicates, seed, value=value)
-    before = Window.partitionBy("metric", "replicate").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    won = sums.withColumn("won", F.col("u") + F.col("w1") * F.coalesce(F.sum("w2").over(before), F.lit(0)))
-    delta = F.try_divide(2 * F.sum("won"), F.sum("w1") * F.sum("w2")) - 1
-    rows = won.groupBy("metric", "replicate").agg(F.round(delta, 12).alias("value"))
+    the values themselves, which may be counted (``n``)."""
+    sums = replicate_sums(means, first, second, replicates, seed, value=value, added=True)
+    delta = F.try_divide(2 * F.sum("u"), F.sum("w1").cast("double") * F.sum("w2")) - 1
+    rows = sums.groupBy("metric", "replicate").agg(F.round(delta, 12).alias("value"))
     return percentiles(rows, ["metric"], {"effect_low": 2.5, "effect_high": 97.5})
 
 
 def forest_table(long: DataFrame, first: str, second: str, replicates: int = 2000, seed: int = 42) -> DataFrame:
     """Cliff's delta of each metric with its interval, both of the same values: the samples' means as ``<metric>`` and all
     values as ``all_<metric>``."""
-    per = sample_means(long).select("metric", "condition", "sample", F.col("mean").alias("value"))
-    every = checkpointed(long.select(F.concat(F.lit("all_"), "metric").alias("metric"), "condition", "sample", "value").unionByName(per))
-    delta = cliffs_delta(rank_sums(every, first, second)).select("metric", "delta", "effect")
+    per = sample_means(long).select("metric", "condition", F.col("mean").alias("value"), F.lit(1).cast("long").alias("n"))
+    counted = long.filter("value is not null").groupBy("metric", "condition", "value").agg(F.count("*").alias("n"))
+    every = checkpointed(counted.withColumn("metric", F.concat(F.lit("all_"), "metric")).unionByName(per))
+    delta = cliffs_delta(rank_sums(every, first, second, counted=True)).select("metric", "delta", "effect")
     return delta.join(bootstrap_effect(every, first, second, replicates, seed, value="value"), "metric")
 
 
@@ -479,9 +520,8 @@ def power_estimate(m: DataFrame, z: float = 1.96) -> DataFrame:
     return m.join(cohens_d(m), "metric").select("metric", harmonic.alias("harmonic_n"), power("cohens_d", harmonic).alias("power"))
 
 
-#: Values up to which a sample is drawn from whole, beside the others of its block; and draws a different value from which
-#: counting the draws of each value is quicker than drawing one by one.
-SAMPLE_VALUES, DRAWS_A_VALUE = 10_000, 12
+#: Values up to which a sample is drawn from whole, beside the others of its block.
+SAMPLE_VALUES = 10_000
 
 
 def drawn_sums(rng, values: np.ndarray, k: np.ndarray) -> np.ndarray:

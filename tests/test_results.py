@@ -165,6 +165,40 @@ def test_lilliefors_far_from_the_middle(spark):
     assert z[-1] > 14 and got["d"] == pytest.approx(np.maximum((place + 1) / len(x) - f, f - place / len(x)).max(), abs=1e-12)
 
 
+def test_draws_one_by_one_and_by_counts_are_alike():
+    """Draws of few values a place, which go one by one, have the moments of a multinomial; shuffled labels those of a hypergeometric."""
+    rng, n, k = np.random.default_rng(9), np.array([1, 4, 0, 2, 3]), np.full(20_000, 10)
+    for c in (groups.drawn_counts(rng, k, n), groups.shared_out(rng, k, k, n, n, True)[0]):
+        assert (c.sum(1) == 10).all() and (c[:, 2] == 0).all() and c.mean(0) == pytest.approx(n, abs=0.05)
+    c1, c2 = groups.shared_out(rng, k, k, n, n[::-1], False)
+    assert c1.var(0) == pytest.approx(n * (1 - n / 10), abs=0.1) and (c2[:, 2] == 0).all()
+
+
+def test_added_slices_count_all_pairs(spark, monkeypatch):
+    """Sums that tasks have added give the effect of every replicate that the slices give; each draw is made once."""
+    monkeypatch.setattr(groups, "SLICE_VALUES", 4)
+    monkeypatch.setattr(groups, "BLOCK_SLICES", 3)
+    means = groups.sample_means(long_of(spark, range(30), range(10, 35)))
+    parts = groups.replicate_sums(means, "x", "y", 60, 3).toPandas().sort_values("slice")
+    won = parts["u"] + parts["w1"] * (parts.groupby("replicate")["w2"].cumsum() - parts["w2"])
+    added = groups.replicate_sums(means, "x", "y", 60, 3, added=True).toPandas().groupby("replicate")[["w1", "w2", "s1", "s2", "u"]].sum()
+    want = parts.assign(u=won).groupby("replicate")[["w1", "w2", "s1", "s2", "u"]].sum()
+    assert np.allclose(added, want) and len(added) == 60
+
+
+def test_percentiles_take_their_rows_once(spark):
+    """What is costly before the percentiles, as resampling, is not done a second time for their sizes."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    long = rows(spark, [("m", float(v)) for v in range(50)], "metric string, value double").mapInPandas(look, "metric string, value double")
+    assert groups.percentiles(long, ["metric"], {"median": 50}).first()["median"] == 24.5 and seen.value == 50
+
+
 def sum_in_order(values):
     total = 0.0
     for v in values:
