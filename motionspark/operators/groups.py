@@ -8,6 +8,7 @@ replicate first draws how many of its values come from each slice, and the slice
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -32,8 +33,11 @@ def running_counts(counted: DataFrame, keys: list[str], order: str, columns: lis
     slices = min(MOST_SLICES, max(SLICES, -(-most // SLICE_ROWS)))
     cuts = [k / slices for k in range(1, slices)]
     bounds = counted.groupBy(*keys).agg(F.percentile_approx(order, cuts, max(1000, 10 * slices)).alias("_bounds"))
-    slices = F.size(F.filter("_bounds", lambda b: b < F.col(order)))
-    dealt = counted.join(bounds, keys).withColumn("_slice", slices).drop("_bounds")
+    stride = math.isqrt(slices)  # a value is compared with every so many bounds first, and then with those between two of them
+    bounds = bounds.withColumn("_coarse", F.filter("_bounds", lambda b, i: (i + 1) % stride == 0))
+    below = lambda bounds: F.size(F.filter(bounds, lambda b: b < F.col(order)))
+    dealt = counted.join(bounds, keys).withColumn("_first", below("_coarse") * stride)
+    dealt = dealt.withColumn("_slice", F.col("_first") + below(F.slice("_bounds", F.col("_first") + 1, F.lit(stride)))).drop("_bounds", "_coarse", "_first")
     totals = dealt.groupBy(*keys, "_slice").agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*keys, "_slice", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in columns])

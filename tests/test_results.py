@@ -199,6 +199,15 @@ def test_percentiles_take_their_rows_once(spark):
     assert groups.percentiles(long, ["metric"], {"median": 50}).first()["median"] == 24.5 and seen.value == 50
 
 
+@pytest.mark.parametrize("slices", [2, 9, 11, 40])
+def test_values_find_their_slices(spark, monkeypatch, slices):
+    """However many slices there are, each value has the total up to itself."""
+    monkeypatch.setattr(groups, "SLICES", slices)
+    counted = rows(spark, [("m", float(v * v), 1 + v % 3) for v in range(100)], "metric string, value double, n long")
+    got = groups.running_counts(counted, ["metric"], "value", ["n"]).orderBy("value").collect()
+    assert [r["n_upto"] for r in got] == np.cumsum([1 + v % 3 for v in range(100)]).tolist()
+
+
 def sum_in_order(values):
     total = 0.0
     for v in values:
