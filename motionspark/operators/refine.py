@@ -57,6 +57,13 @@ def corr_histogram(rois: DataFrame, column: str, bins: int = 30) -> DataFrame:
     return got.groupBy("recording", "bin").agg(F.sum("n").alias("n"))
 
 
+def trace_measures(x: np.ndarray, smooth: np.ndarray, fps: float, jump: float) -> tuple:
+    """What the criteria on one trace need; peaks and ends are looked at once."""
+    ratio, tau = kernels.kinetics_values(smooth, fps)
+    drift, raised = kernels.drift_values(x, fps)
+    return kernels.high_share(x), kernels.negative_z(x), kernels.bad_steps(x, fps, jump), kernels.kinetics_category(ratio, tau), ratio, tau, kernels.longest_plateau(x), drift, raised, kernels.off_start(drift, raised)
+
+
 def trace_criteria(rois: DataFrame, dff: str = "dff", smooth: str = "dff_smooth", max_snr: float = 150, max_plateau_s: float = 20, jump: float = 0.5) -> DataFrame:
     """``c_snr``, ``c_negative``, ``c_step``, ``c_kinetics``, ``c_plateau`` and ``c_drift``: the category of each criterion
     that a region fails, else NULL; and ``why_...``, the reason in words."""
@@ -66,9 +73,7 @@ def trace_criteria(rois: DataFrame, dff: str = "dff", smooth: str = "dff_smooth"
     def measure(x: pd.Series, y: pd.Series, fps: pd.Series) -> pd.DataFrame:
         rows = []
         for a, b, r in zip(x, y, fps, strict=True):
-            a, b = np.asarray(a, float), np.asarray(b, float)
-            ratio, tau = kernels.kinetics_values(b, r)
-            rows.append((kernels.high_share(a), kernels.negative_z(a), kernels.bad_steps(a, r, jump), kernels.kinetics(b, r), ratio, tau, kernels.longest_plateau(a), *kernels.drift_values(a, r), kernels.drifted(a, r)))
+            rows.append(trace_measures(np.asarray(a, float), np.asarray(b, float), r, jump))
         return pd.DataFrame(rows, columns=["high", "neg", "steps", "kin", "ratio", "tau", "plateau", "drift", "raised", "drifted"])
 
     m = rois.withColumn("_m", measure(dff, smooth, "fps"))

@@ -600,3 +600,28 @@ def test_spike_header_and_candidates(spark):
     assert gates.spike_header(3.0) == "SpikeFrac_postSettle_over_3um_per_s" and gates.spike_header(0.25) == "SpikeFrac_postSettle_over_0p25um_per_s"
     c = rows(spark, [("A", True), ("B", False)], "Stem string, ROI_ELIGIBLE boolean")
     assert [r[0] for r in gates.candidate_list(c).collect()] == ["A"]
+
+
+def test_traces_of_one_file_go_to_many_tasks(spark, tmp_path, monkeypatch):
+    """A table that is one file with one row group is measured by all tasks, and the peaks and ends of a trace are looked at once."""
+    from motionspark.jobs import trace_queries
+
+    values = [(k, [float(v) for v in np.random.default_rng(k).normal(size=64)], k % 2) for k in range(200)]
+    spark.createDataFrame(values, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    at = trace_queries.criteria(spark, str(tmp_path)).select(F.spark_partition_id().alias("p"), "c_kinetics").groupBy("p").count().collect()
+    assert len(at) > 8 and max(r["count"] for r in at) < 50 and sum(r["count"] for r in at) == 200
+    calls = {"kinetics_values": 0, "drift_values": 0}
+
+    def counted(name, real):
+        def run(*args):
+            calls[name] += 1
+            return real(*args)
+
+        return run
+
+    for name in calls:
+        monkeypatch.setattr(kernels, name, counted(name, getattr(kernels, name)))
+    x = np.asarray(values[0][1])
+    got = refine.trace_measures(x, x, 2.0, 0.5)
+    assert calls == {"kinetics_values": 1, "drift_values": 1}
+    assert (got[3], got[9]) == (kernels.kinetics(x, 2.0), kernels.drifted(x, 2.0))
