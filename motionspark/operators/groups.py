@@ -524,22 +524,119 @@ def power_estimate(m: DataFrame, z: float = 1.96) -> DataFrame:
     return m.join(cohens_d(m), "metric").select("metric", harmonic.alias("harmonic_n"), power("cohens_d", harmonic).alias("power"))
 
 
-#: Values up to which a sample is drawn from whole, beside the others of its block.
-SAMPLE_VALUES = 10_000
+#: Values up to which a sample is drawn from whole, beside the others of its block; draws at a time when they go one by one; draws that take
+#: as long as a point of the distribution of their sum; and draws from which working out such a distribution pays.
+SAMPLE_VALUES, DRAWN, DRAWS_A_POINT, MANY_DRAWS = 10_000, 2**16, 32, 2**17
+
+#: Parts of one that values are tried to be whole numbers of.
+SCALES = (1, 100, 10_000)
+
+#: Deviations on each side of the mean that the cells of a sum lie within, their number, and the most frequencies that their chances are made of.
+REACH, CELLS, FREQUENCIES = 20.0, 4096, 512
+
+
+def reach_of_sum(gap: np.ndarray, spread: float) -> float:
+    """Deviations ``spread`` on each side of its mean that a sum of draws, each with one of ``gap`` to its own mean, leaves with a chance below
+    1e-15, by Bernstein's bound."""
+    far = 12 * np.abs(gap).max() / spread
+    return far + math.sqrt(far * far + 72)
+
+
+def sum_chances(chances: np.ndarray, n: int) -> np.ndarray:
+    """How likely each sum of ``n`` draws is, modulo ``len(chances)``, when ``chances`` are those of 0, 1, 2, ... in a draw: the n-th power of
+    their Fourier transform. Rounding errors, below 1e-16, count as nothing."""
+    square, power = np.fft.rfft(chances), 1.0
+    for bit in bin(n)[:1:-1]:
+        power = power * square if bit == "1" else power
+        square = square * square
+    got = np.fft.irfft(power, len(chances))
+    return np.where(got > 1e-16, got, 0.0)
+
+
+def cell_chances(gap: np.ndarray, often: np.ndarray, spread: float) -> np.ndarray | None:
+    """How likely a sum of draws from ``gap`` (different values less their mean, and how often each is there; as many draws as values) is in each of
+    ``CELLS`` from -``REACH`` to ``REACH`` times its deviation ``spread``, so that even draws in a cell give the sum's characteristic function, which is
+    the values' own to the power of their number. None where that has not died away within ``FREQUENCIES``, or the sum may leave the cells."""
+    if reach_of_sum(gap, spread) > REACH:
+        return None
+    n, turns = often.sum(), np.exp(-1j * np.pi / REACH / spread * gap)[None]
+    while len(turns) < FREQUENCIES:
+        turns = np.concatenate([turns, turns * turns[-1]])  # one frequency a row
+        if len(turns) >= 64:
+            wave = (turns @ (often / n)) ** n
+            if np.abs(wave[-len(wave) // 8 :]).max() < 1e-16:
+                k = np.arange(1, len(wave) + 1)
+                got = np.fft.irfft(np.append(1.0, wave * np.where(k % 2, -1, 1) / np.sinc(k / CELLS)), CELLS)
+                return np.where(got > 1e-16, got, 0.0)
+    return None
+
+
+def drawn_places(rng, chances: np.ndarray, times: int) -> np.ndarray:
+    """``times`` places drawn by their ``chances``. Most are found by a table of where each 16,384th of the chances begins, the rest by search."""
+    upto, parts = np.cumsum(chances), 2**14
+    upto /= upto[-1]
+    start = np.cumsum(np.bincount(np.ceil(upto * parts).astype(np.intp), minlength=parts + 2))
+    u = rng.random(times)
+    part = (u * parts).astype(np.intp)
+    place = start[part]
+    rest = np.flatnonzero(start[part + 1] != place)
+    place[rest] = np.searchsorted(upto, u[rest], "right")
+    return place
+
+
+def sums_of_draws(rng, values: np.ndarray, times: int) -> np.ndarray:
+    """``times`` sums, each of as many draws with replacement from ``values`` as these are.
+
+    A sum has a distribution that follows from the values, and is drawn from it at once, which is the same as adding draws: where values are
+    whole numbers of a step with few steps from the least to the greatest, by the chance of each sum, else by the chances of narrow cells, which
+    give the sum's characteristic function to about 1e-12. Few draws, and those of far outliers, go one by one, or by counts if few values differ."""
+    n = len(values)
+    x, often = np.unique(values, return_counts=True)
+    if len(x) == 1:
+        return np.full(times, n * x[0])
+    for scale in SCALES:
+        whole = np.rint(x * scale)
+        if np.abs(whole).max() < 2**31 and (whole / scale == x).all():
+            steps = (whole - whole[0]).astype(np.int64)
+            step = np.gcd.reduce(steps)
+            steps //= step
+            gap = steps - often @ steps / n
+            spread = math.sqrt(often @ (gap * gap))
+            most = min(int(steps[-1]) * n + 1, math.ceil(2 * reach_of_sum(gap, spread) * spread) + 2)
+            size = 1 << (most - 1).bit_length()
+            if size * DRAWS_A_POINT > times * n:
+                break
+            place = drawn_places(rng, sum_chances(np.bincount(steps % size, often / n, size), n), times)
+            first = max(0, int(often @ steps) - size // 2)  # sums lie within ``size`` from there
+            return (n * whole[0] + step * (first + (place - first) % size)) / scale
+    if n > DRAWS_A_VALUE * len(x):
+        return rng.multinomial(n, often / n, size=times) @ x
+    if times * n > MANY_DRAWS and np.isfinite(x).all():
+        mean = often @ x / n
+        gap = x - mean
+        spread = math.sqrt(often @ (gap * gap))
+        chances = cell_chances(gap, often, spread)
+        if chances is not None:
+            place = drawn_places(rng, chances, times) + rng.random(times) - 0.5
+            return n * mean + spread * (place * (2 * REACH / CELLS) - REACH)
+    every = np.repeat(x, often)
+    out, rows = np.empty(times), max(1, DRAWN // n)
+    place, got = np.empty((min(rows, times), n), np.intp), np.empty((min(rows, times), n))
+    for i in range(0, times, rows):
+        m = min(rows, times - i)
+        place[:m] = rng.integers(0, n, (m, n), dtype=np.uint16)
+        every.take(place[:m], mode="clip", out=got[:m])
+        got[:m].sum(axis=1, out=out[i : i + m])
+    return out
 
 
 def drawn_sums(rng, values: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """The sum of ``k[i]`` values drawn with replacement from ``values`` (ascending), for each i."""
+    """The sum of ``k[i]`` times as many draws with replacement from ``values`` as these are, for each i."""
     out = np.zeros(len(k))
     some = np.flatnonzero(k)
-    if not len(some):
-        return out
-    x, n = np.unique(values, return_counts=True)
-    if len(values) > DRAWS_A_VALUE * len(x):
-        out[some] = rng.multinomial(k[some], n / len(values)) @ x
-    else:
-        got = values[rng.integers(0, len(values), k[some].sum(), dtype=np.uint16)]
-        out[some] = np.add.reduceat(got, np.concatenate([[0], np.cumsum(k[some])[:-1]]))
+    if len(some):
+        sums = sums_of_draws(rng, values, int(k.sum()))
+        out[some] = np.add.reduceat(sums, np.concatenate([[0], np.cumsum(k[some])[:-1]]))
     return out
 
 
@@ -550,8 +647,8 @@ def hierarchical_bootstrap(long: DataFrame, first: str, second: str, replicates:
     A replicate first draws how many times over each sample comes; then as many values as that many samples of its size have
     are drawn from the sample, so each time it comes it counts with values of its own. Samples are drawn in the same two
     steps, by blocks and then in each block. A block of samples of up to ``SAMPLE_VALUES`` values is drawn in one task, which
-    leaves one sum a replicate; larger samples spread over tasks by slices as in ``replicate_sums``, with their numbers in arrays
-    of ``CHUNK`` replicates until they are summed."""
+    leaves one sum a replicate: of each sample it draws the sums alone where it can (``sums_of_draws``). Larger samples spread over tasks by
+    slices as in ``replicate_sums``, with their numbers in arrays of ``CHUNK`` replicates until they are summed."""
     ship_package(long.sparkSession)
     known = long.filter(F.col("value").isNotNull() & F.col("condition").isin(first, second))
     known = known.select("metric", "condition", F.xxhash64("metric", "condition", "sample").alias("key"), F.col("value").cast("double").alias("value"))
@@ -576,27 +673,28 @@ def hierarchical_bootstrap(long: DataFrame, first: str, second: str, replicates:
     def times(r) -> np.ndarray:
         """[replicates of the chunk, samples of the block]: how many times over each comes, the same wherever it is asked for."""
         rng = np.random.default_rng((seed, 5, stable_hash(r.metric, r.condition), r.chunk, r.block))
-        return rng.multinomial(np.array(r.k), np.full(r.size, 1 / r.size))
+        k = np.array(r.k)
+        place = rng.integers(0, r.size, k.sum(), dtype=np.uint16) + np.repeat(np.arange(len(k)) * r.size, k)
+        return np.bincount(place, minlength=len(k) * r.size).reshape(len(k), r.size)
 
     def draw(values: pd.DataFrame, numbers: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for r in numbers.sort_values("chunk").itertuples():
-            often = times(r)
-            w, s = (np.zeros(len(often)) for _ in range(2))
-            for v in values.itertuples():
-                rng = np.random.default_rng((seed, 6, v.key & 0xFFFFFFFFFFFFFFFF, r.chunk))
-                k = often[:, v.place] * len(v.values_)
-                w += k
-                s += drawn_sums(rng, np.asarray(v.values_), k)
-            rows.append(pd.DataFrame({"metric": r.metric, "condition": r.condition, "replicate": r.chunk * CHUNK + np.arange(len(w)), "w": w, "s": s}))
-        return pd.concat(rows)
+        chunks = list(numbers.sort_values("chunk").itertuples())
+        r = chunks[0]
+        often = np.concatenate([times(c).T.astype(np.int32) for c in chunks], axis=1)  # a row a sample
+        w, s = (np.zeros(often.shape[1]) for _ in range(2))
+        rng = np.random.default_rng((seed, 6, stable_hash(r.metric, r.condition), r.block))
+        for v in values.sort_values("place").itertuples():
+            w += often[v.place] * len(v.values_)
+            s += drawn_sums(rng, np.asarray(v.values_), often[v.place])
+        return pd.DataFrame({"metric": r.metric, "condition": r.condition, "replicate": np.arange(len(w)), "w": w, "s": s})
 
     result = "metric string, condition string, replicate long, w double, s double"
     small = known.join(large.select("key"), "key", "left_anti") if large.first() else known
-    small = small.groupBy("key").agg(F.array_sort(F.collect_list("value")).alias("values_"))
+    small = small.groupBy("key").agg(F.collect_list("value").alias("values_"))
     small = small.join(numbered.drop("n"), "key").select("metric", "condition", "block", "place", "key", "values_")
     by = ["metric", "condition", "block"]
-    drawn = dealt_out(small, *by).groupBy(*by).cogroup(dealt_out(dealt, *by).groupBy(*by)).applyInPandas(draw, result)
+    parts = max(2 * long.sparkSession.sparkContext.defaultParallelism, min(own.count(), MOST_SLICES))  # so that long blocks leave no core waiting
+    drawn = small.repartition(parts, *by).groupBy(*by).cogroup(dealt.repartition(parts, *by).groupBy(*by)).applyInPandas(draw, result)
 
     if large.first():
         held = large.groupBy(*by).agg(F.collect_list(F.struct("place", "key")).alias("keys"))

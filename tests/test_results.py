@@ -128,6 +128,79 @@ def test_hierarchical_bootstrap_of_small_samples_takes_no_slices(spark, monkeypa
         assert got[high] - got[low] == pytest.approx(b - a, rel=0.08) and (got[high] + got[low]) / 2 == pytest.approx((a + b) / 2, abs=0.06 * (b - a))
 
 
+class Counted:
+    """Random numbers, and how many were asked for."""
+
+    def __init__(self, seed):
+        self.rng, self.asked = np.random.default_rng(seed), 0
+
+    def random(self, n):
+        self.asked += n
+        return self.rng.random(n)
+
+    def integers(self, low, high, size, dtype):
+        self.asked += int(np.prod(size))
+        return self.rng.integers(low, high, size, dtype=dtype)
+
+    def multinomial(self, n, p, size):
+        self.asked += size * len(p)
+        return self.rng.multinomial(n, p, size=size)
+
+
+SAMPLES = {
+    "cents": lambda rng: np.round(rng.uniform(900, 105_000, 300), 2),
+    "whole": lambda rng: rng.integers(1, 51, 300).astype(float),
+    "tenths": lambda rng: rng.integers(0, 11, 300) / 100,
+    "any": lambda rng: rng.lognormal(size=300),
+    "outlier": lambda rng: np.append(rng.normal(size=299), 1e6),
+    "few": lambda rng: rng.choice([math.pi, math.e, -1.5], 300),
+    "small": lambda rng: rng.normal(size=3),
+    "same": lambda rng: np.full(300, 0.1),
+}
+
+
+@pytest.mark.parametrize("kind", SAMPLES)
+def test_sums_of_draws(kind):
+    """Sums of redrawn samples are as those of plain draws, and those of many values are not drawn value by value."""
+    rng = np.random.default_rng(11)
+    values, times, counted = SAMPLES[kind](rng), 20_000, Counted(12)
+    got = groups.drawn_sums(counted, values, np.full(times, 2))
+    want = values[rng.integers(0, len(values), (times, 2 * len(values)))].sum(axis=1)
+    assert counted.asked <= (2 * times * 3 if kind != "outlier" else 2 * times * 300)
+    spread = want.std()
+    assert got.mean() == pytest.approx(want.mean(), abs=0.04 * spread + 1e-9) and got.std() == pytest.approx(spread, rel=0.03, abs=1e-9)
+    at = np.percentile(want, [1, 5, 25, 50, 75, 95, 99]) + 1e-9
+    assert np.searchsorted(np.sort(got), at) / times == pytest.approx(np.searchsorted(np.sort(want), at) / times, abs=0.02)
+    assert (groups.drawn_sums(counted, values, np.array([0, 3, 0])) != 0).tolist() == [False, True, False]
+
+
+def test_chances_of_sums():
+    """Of values with a step each sum's chance, also where sums are told apart modulo a size only; of others the chances of cells."""
+    rng = np.random.default_rng(13)
+    one = np.bincount(rng.integers(0, 40, 50), minlength=64) / 50
+    whole = np.ones(1)
+    for _ in range(50):
+        whole = np.convolve(whole, one[:40])
+    assert groups.sum_chances(np.append(one, np.zeros(4096 - 64)), 50)[: len(whole)] == pytest.approx(whole, abs=1e-14)
+    assert groups.sum_chances(one, 50) == pytest.approx(np.bincount(np.arange(len(whole)) % 64, whole), abs=1e-14)
+
+    x, often = np.unique(rng.integers(0, 2000, 60), return_counts=True)
+    one, whole = np.bincount(x, often / 60), np.ones(1)
+    for _ in range(60):
+        whole = np.convolve(whole, one)
+    gap = x - often @ x / 60
+    spread = math.sqrt(often @ (gap * gap))
+    cells = groups.cell_chances(gap, often, spread)
+    edges = 60 * (often @ x / 60) + spread * ((np.arange(len(cells)) + 0.5) * 2 * groups.REACH / len(cells) - groups.REACH)
+    exact = np.append(0.0, np.cumsum(whole))[np.clip(np.floor(edges).astype(int) + 1, 0, len(whole))]
+    assert np.abs(np.cumsum(cells) - exact).max() < 1e-4
+    place = np.arange(len(cells)) * 2 * groups.REACH / len(cells) - groups.REACH
+    inside = (2 * groups.REACH / len(cells)) ** 2 / 12
+    third = (np.arange(len(whole)) - whole @ np.arange(len(whole))) ** 3 @ whole / spread**3
+    assert (cells @ place, cells @ place**2 + inside, cells @ place**3) == pytest.approx((0, 1, third), abs=1e-9)
+    assert groups.cell_chances(np.append(gap, 1e6), np.append(often, 1), 1e6) is None
+
+
 def test_steps_and_paths_to_the_last_bit(spark):
     """Steps by squares and paths in the order of frames, bit by bit: equal recordings tie in ranks, in bins as in SQL."""
     rng = np.random.default_rng(5)
